@@ -22,10 +22,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import task_count
 from .timeline import HOUR, SLICE, sliced
 
 LIMITS = "array<array<double>>"
@@ -33,15 +34,18 @@ LIMITS = "array<array<double>>"
 
 def _split_fold(
     df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], values: Sequence[str], width: float,
-    state_size: int, describe: Callable, advance: Callable, walk: Callable, outputs: str,
+    describe: Callable, advance: Callable, walk: Callable, outputs: str,
 ) -> DataFrame:
-    """``describe(v) -> rows``, ``advance(state, rows) -> state``, ``walk(v, state) -> columns``.
+    """``describe(v) -> rows``, ``advance(state, rows) -> state``, ``walk(v, state, final) -> columns``.
 
     ``v`` is a dict of numpy arrays in row order.  A state is a list of floats, or
-    None before the first kept row.
+    None before the first kept row; ``walk`` also learns whether the slice is the
+    key's last.
     """
     keys, values = list(keys), list(dict.fromkeys(values))
     base = sliced(df, time, width)
+    # a fixed number of partitions: AQE would merge small ones and serialise the Python work
+    base = base.repartition(task_count(df), *keys, SLICE)
     fields = {f.name: f.dataType.simpleString() for f in base.schema.fields}
     part_cols = [*keys, SLICE]
     sort = [time, *order]
@@ -67,9 +71,11 @@ def _split_fold(
             state = advance(state, desc)
         out = pdf[part_cols].copy()
         out["_state"] = incoming
+        out["_final"] = [False] * (len(out) - 1) + [True]
         return out
 
-    states = described.groupBy(*keys).applyInPandas(thread, f"{key_schema}, _state array<double>")
+    states = described.repartition(task_count(df), *keys).groupBy(*keys).applyInPandas(
+        thread, f"{key_schema}, _state array<double>, _final boolean")
     joined = base.join(states.withColumnsRenamed({c: f"_c_{c}" for c in part_cols}),
                        _all_equal(base, part_cols), "left").drop(*[f"_c_{c}" for c in part_cols])
     out_schema = T.StructType([f for f in base.schema.fields if f.name != SLICE])
@@ -80,8 +86,8 @@ def _split_fold(
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, v = arrays(pdf)
         state = pdf["_state"].iloc[0]
-        cols = walk(v, None if state is None else list(state))
-        return pdf.drop(columns=["_state", SLICE]).assign(**cols)[out_schema.names]
+        cols = walk(v, None if state is None else list(state), bool(pdf["_final"].iloc[0]))
+        return pdf.drop(columns=["_state", "_final", SLICE]).assign(**cols)[out_schema.names]
 
     return joined.groupBy(*part_cols).applyInPandas(finish, out_schema)
 
@@ -124,7 +130,7 @@ def cooldown(df: DataFrame, keys: Sequence[str], time: str = "now", order: Seque
                 return [final]
         return state
 
-    def walk(v, state):
+    def walk(v, state, final_slice):
         t, cd, nxt = nexts(v)
         fired = np.zeros(len(t), dtype=bool)
         if cd <= 0:
@@ -136,7 +142,7 @@ def cooldown(df: DataFrame, keys: Sequence[str], time: str = "now", order: Seque
             i = nxt[i]
         return {"fired": fired}
 
-    return _split_fold(df, keys, time, order, [time, seconds], width, 1, describe, advance, walk, "fired boolean")
+    return _split_fold(df, keys, time, order, [time, seconds], width, describe, advance, walk, "fired boolean")
 
 
 # --- heading decimation -----------------------------------------------------
@@ -146,23 +152,18 @@ def decimate(df: DataFrame, keys: Sequence[str], time: str = "sec", order: Seque
     """Keep each track's first and last row, and rows whose heading differs by
     ``min_change`` or more from the last kept heading."""
 
-    def apart(a, b):
-        d = np.abs(a - b)
-        return np.where(d > 180, 360 - d, d)
-
     def last_kept(h, i):
         cur = h[i]
-        while True:
-            later = np.nonzero(apart(h[i + 1:], cur) >= min_change)[0]
-            if not len(later):
-                return cur
-            i += 1 + int(later[0])
-            cur = h[i]
+        for x in h[i + 1:]:
+            d = abs(x - cur)
+            if (360.0 - d if d > 180.0 else d) >= min_change:
+                cur = x
+        return cur
 
     def describe(v):
         # Incoming headings still unmatched form one arc [a, b] around the first
         # heading; every row cuts its ends off.  Rows: (kind, a, b, result).
-        h = v[heading]
+        h = v[heading].tolist()
         c, lo, hi = h[0], -min_change, min_change
         rows, known = [(c, last_kept(h, 0), 0.0, 0.0)], {}
         for i in range(1, len(h)):
@@ -195,27 +196,20 @@ def decimate(df: DataFrame, keys: Sequence[str], time: str = "sec", order: Seque
                 return [result]
         return state
 
-    def walk(v, state):
-        h = v[heading]
+    def walk(v, state, final_slice):
+        h = v[heading].tolist()
         kept = np.zeros(len(h), dtype=bool)
-        cur, i = (None, 0) if state is None else (state[0], 0)
-        while i < len(h):
-            if cur is not None:
-                later = np.nonzero(apart(h[i:], cur) >= min_change)[0]
-                if not len(later):
-                    break
-                i += int(later[0])
-            kept[i] = True
-            cur = h[i]
-            i += 1
+        cur = None if state is None else state[0]
+        for i, x in enumerate(h):
+            d = 360.0 if cur is None else abs(x - cur)
+            if cur is None or (360.0 - d if d > 180.0 else d) >= min_change:
+                kept[i] = True
+                cur = x
+        kept[-1] |= final_slice
         return {"kept": kept}
 
-    marked = _split_fold(df, keys, time, order, [heading], width, 1, describe, advance, walk, "kept boolean")
-    lasts = df.groupBy(*keys).agg(F.max(F.struct(time, *order)).alias("_last"))
-    here = F.struct(time, *order)
-    from .skew import salted_join
-
-    return salted_join(marked, lasts, keys).where(F.col("kept") | (here == F.col("_last"))).drop("kept", "_last")
+    marked = _split_fold(df, keys, time, order, [heading], width, describe, advance, walk, "kept boolean")
+    return marked.where("kept").drop("kept")
 
 
 # --- closest approach -------------------------------------------------------
@@ -252,7 +246,7 @@ def closest_approach(df: DataFrame, keys: Sequence[str], time: str = "sec", orde
                 return [lat, alt]
         return state
 
-    def walk(v, state):
+    def walk(v, state, final_slice):
         lat, alt = v[lateral], v[vertical]
         adopted = np.zeros(len(lat), dtype=bool)
         cur = state
@@ -262,4 +256,4 @@ def closest_approach(df: DataFrame, keys: Sequence[str], time: str = "sec", orde
                 cur = (lat[i], alt[i])
         return {"adopted": adopted}
 
-    return _split_fold(df, keys, time, order, [lateral, vertical], width, 2, describe, advance, walk, "adopted boolean")
+    return _split_fold(df, keys, time, order, [lateral, vertical], width, describe, advance, walk, "adopted boolean")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import task_count
 from .sequence import FLIGHT_GAP_S, HOLD_S, interpolated, second_of
 from .timeline import HOUR, running
 
@@ -130,7 +131,10 @@ def near_pairs(pieces: DataFrame, lateral_nm: float, vertical_ft: float, max_abs
     lowest = F.lit(True)
     for axis in "tyxz":
         lowest = lowest & (F.col(f"c{axis}") == F.greatest(F.col(f"a.{axis}0"), F.col(f"b.{axis}0")))
-    met = left.join(right, cells).where(
+    # a cell is one minute of one small square, so no cell can be large; the work
+    # after the join is computation, which AQE would not split by size
+    n = task_count(pieces)
+    met = left.repartition(n, *cells).join(right.repartition(n, *cells), cells).where(
         (F.col("a.tail") < F.col("b.tail")) & lowest
         & (F.col("a.s0") <= F.col("b.s1")) & (F.col("b.s0") <= F.col("a.s1")))
     lo, hi = F.greatest("a.s0", "b.s0"), F.least("a.s1", "b.s1")

@@ -45,6 +45,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def task_count(df) -> int:
+    """Partition count for stages whose cost is computation rather than bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, never reused path below the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
