@@ -39,17 +39,19 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
 
 def exact_rank(
-    df: DataFrame, groups: Sequence[str], value: str, picks: dict[str, Column], bucket: float, counts: str = "_cnt",
+    df: DataFrame, groups: Sequence[str], value: str, picks: dict[str, Column], bucket: float, weight: str | None = None,
 ) -> DataFrame:
     """The value at given 0-based ranks of each group, exactly, in two steps.
 
-    ``picks`` maps an output name to a rank as a function of the group size
+    ``weight`` names a
+    column of multiplicities.  ``picks`` maps an output name to a rank as a function of the group size
     (Column ``_total``).  A histogram of ``value / bucket`` finds the bucket that
     holds each rank; only values of that bucket are ranked.  Both steps count
     distinct values after map-side combining, so no task sees a group's raw rows.
     """
-    groups = list(groups)
-    vals = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias(counts))
+    groups, counts = list(groups), "_times"
+    each = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    vals = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(each.alias(counts))
     vals = vals.withColumn("_bk", F.floor(F.col(value) / F.lit(float(bucket))))
     hist = vals.groupBy(*groups, "_bk").agg(F.sum(counts).alias("_c"))
     w = Window.partitionBy(*groups).orderBy("_bk")
