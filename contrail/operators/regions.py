@@ -71,10 +71,10 @@ def assign_join(df: DataFrame, regions: DataFrame, row_id: Sequence[str], name:
     found = dimension_join(probe, dim, ["cy", "cx"]).where(hit)
     first = found.groupBy(*row_id, F.col("r.layer").alias("layer")).agg(F.min_by("r.name", "r.idx").alias("name"))
     slots = first.groupBy(*row_id).agg(F.map_from_entries(F.collect_list(F.struct("layer", "name"))).alias("_slots"))
-    layers = regions.agg(F.max("layer").alias("m")).scalar()
+    last = int(regions.agg(F.max("layer")).first()[0] or 0)
     return df.join(slots, list(row_id), "left").withColumn(
         name,
-        F.transform(F.sequence(F.lit(0), layers), lambda i: F.when(F.col("_slots").isNotNull(), F.try_element_at("_slots", i)))
+        F.array(*[F.try_element_at("_slots", F.lit(i)) for i in range(last + 1)])
     ).drop("_slots")
 
 

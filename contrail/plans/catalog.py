@@ -1,4 +1,4 @@
 """Imports every query module, which registers its queries."""
 
-from . import q_airport, q_los, q_sequence  # noqa: F401
+from . import q_airport, q_density, q_los, q_rules, q_sequence, q_tables  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
