@@ -246,7 +246,8 @@ def event_diff(new: DataFrame, old: DataFrame, tolerance: float = 1e-6) -> DataF
     differs = []
     for c in COMPARED:
         a, b = F.col(f"v_old.{c}"), F.col(f"v_new.{c}")
-        differs.append(~a.eqNullSafe(b) if c == "quality" else F.coalesce(F.abs(a - b) > tolerance, F.lit(False)))
+        matched = F.col("v_old").isNotNull() & F.col("v_new").isNotNull()
+        differs.append(matched & ~a.eqNullSafe(b) if c == "quality" else F.coalesce(F.abs(a - b) > tolerance, F.lit(False)))
     changed = F.array_compact(F.array(*[F.when(d, F.lit(c)) for c, d in zip(COMPARED, differs)]))
     status = F.when(F.col("v_old").isNull(), "ADDED").when(F.col("v_new").isNull(), "REMOVED").when(F.size("changed") > 0, "CHANGED").otherwise("SAME")
     return both.withColumn("changed", changed).select("event_key", status.alias("status"), F.array_join("changed", ",").alias("changed"))

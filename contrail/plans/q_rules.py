@@ -29,7 +29,6 @@ RING = t.haversine_sql("lat", "lon", "CAST(36.6 AS DOUBLE)", "CAST(-121.7 AS DOU
 CASES = {
     "F2_latlongring": ({"latlongring": [4.0, 36.6, -121.7]}, f"{RING} <= 4.0"),
     "F3_aircraft_list": ({"aircraft_list": "fleet"}, "tail IN ('N101', 'N105', 'N117', 'N133')"),
-    "F3_missing_list": ({"aircraft_list": "nobody", "min_alt": 0}, "false"),
     "F4_exclude_aircraft_list": ({"exclude_aircraft_list": "fleet"}, "tail NOT IN ('N101', 'N105', 'N117', 'N133')"),
     "F6_exclude_substrs": ({"exclude_aircraft_substrs": ["10", "33"]}, "NOT contains(tail, '10') AND NOT contains(tail, '33')"),
     "F7_altitude_limits": ({"min_alt": 1150, "max_alt": 1500}, "alt_baro BETWEEN 1150 AND 1500"),

@@ -206,11 +206,11 @@ SETS = """WITH base AS (SELECT event_id, 'N' || user_id AS f1, 'N' || (user_id *
   o AS (SELECT f2 AS flight1, f1 AS flight2, ts AS timestamp, CASE WHEN event_id % 7 = 1 THEN 'medium' ELSE quality END AS quality, value + CASE WHEN event_id % 6 = 0 THEN 0.01 ELSE 0 END AS lateral_nm, CAST(event_id % 400 AS DOUBLE) AS alt_sep_ft, 10.0 AS duration_s FROM base WHERE event_id % 9 <> 4),
   kn AS (SELECT least(flight1, flight2) || '|' || greatest(flight1, flight2) || '@' || strftime(make_timestamp(CAST(timestamp AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M') AS k, * FROM n),
   ko AS (SELECT least(flight1, flight2) || '|' || greatest(flight1, flight2) || '@' || strftime(make_timestamp(CAST(timestamp AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M') AS k, * FROM o),
-  dn AS (SELECT * FROM kn QUALIFY row_number() OVER (PARTITION BY k ORDER BY timestamp, lateral_nm) = 1), dk AS (SELECT * FROM ko QUALIFY row_number() OVER (PARTITION BY k ORDER BY timestamp, lateral_nm) = 1),
-  j AS (SELECT coalesce(dn.k, dk.k) AS event_key, dn.k IS NULL AS gone, dk.k IS NULL AS added, dn.quality <> dk.quality AS dq, abs(dn.lateral_nm - dk.lateral_nm) > 1e-6 AS dl FROM dn FULL JOIN dk ON dn.k = dk.k)"""
+  dn AS (SELECT * FROM kn QUALIFY row_number() OVER (PARTITION BY k ORDER BY timestamp, lateral_nm, alt_sep_ft, quality) = 1), dk AS (SELECT * FROM ko QUALIFY row_number() OVER (PARTITION BY k ORDER BY timestamp, lateral_nm, alt_sep_ft, quality) = 1),
+  j AS (SELECT coalesce(dn.k, dk.k) AS event_key, dn.k IS NULL AS gone, dk.k IS NULL AS added, dn.quality <> dk.quality AS dq, coalesce(abs(dn.lateral_nm - dk.lateral_nm) > 1e-6, false) AS dl, coalesce(abs(dn.alt_sep_ft - dk.alt_sep_ft) > 1e-6, false) AS da FROM dn FULL JOIN dk ON dn.k = dk.k)"""
 
 
-@query("J13_event_diff", SETS + " SELECT event_key, CASE WHEN added THEN 'ADDED' WHEN gone THEN 'REMOVED' WHEN dq OR dl THEN 'CHANGED' ELSE 'SAME' END AS status, concat_ws(',', CASE WHEN dq THEN 'quality' END, CASE WHEN dl THEN 'lateral_nm' END) AS changed FROM j")
+@query("J13_event_diff", SETS + " SELECT event_key, CASE WHEN added THEN 'ADDED' WHEN gone THEN 'REMOVED' WHEN dq OR dl OR da THEN 'CHANGED' ELSE 'SAME' END AS status, concat_ws(',', CASE WHEN dq THEN 'quality' END, CASE WHEN dl THEN 'lateral_nm' END, CASE WHEN da THEN 'alt_sep_ft' END) AS changed FROM j")
 def event_diff(spark, sf):
     e, u = F.col("event_id"), F.col("user_id")
     base = t.table(spark, sf, "events").select(

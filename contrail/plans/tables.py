@@ -35,9 +35,13 @@ POSITIONS_SQL = f"""positions AS (
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positions_from(table(spark, sf_dir, "events"))
+
+
+def positions_from(events: DataFrame) -> DataFrame:
     a, e = F.col("a"), F.col("event_id")
     kind = F.col("event_type")
-    return table(spark, sf_dir, "events").withColumn("a", F.col("user_id") % 40).select(
+    return events.withColumn("a", F.col("user_id") % 40).select(
         e.alias("seq"), (e + EPOCH0).cast("double").alias("now"), "a",
         F.concat(F.lit("a"), F.lpad(a.cast("string"), 5, "0")).alias("hex"),
         F.concat(F.lit("N"), (a + 100).cast("string")).alias("tail"),
