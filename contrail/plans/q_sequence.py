@@ -157,7 +157,7 @@ def evenly_spaced(spark, sf):
     return op(t.table(spark, sf, "events"), ["ts", "event_id"], "ts", 500).select("event_id")
 
 
-@query("T7_order_columns", f"WITH {P} SELECT seq, CAST(sum(alt_baro) OVER (ORDER BY now, seq) AS BIGINT) AS running_alt FROM positions")
+@query("O2_running_total", f"WITH {P} SELECT seq, CAST(sum(alt_baro) OVER (ORDER BY now, seq) AS BIGINT) AS running_alt FROM positions")
 def running_total(spark, sf):
     out = running(t.positions(spark, sf).select("seq", "now", "alt_baro"), [], "now", ["seq"], sums={"running_alt": F.col("alt_baro")})
     return out.select("seq", "running_alt")
