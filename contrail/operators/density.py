@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, tiles
+from ..session import stage
 from .skew import dimension_join
 from .timeline import HOUR, timeline
 
@@ -130,10 +131,11 @@ def zoom_out(px: DataFrame, parent_zoom: int) -> DataFrame:
 
 
 def pyramid(px: DataFrame, source_zoom: int, min_zoom: int = 3) -> DataFrame:
-    """All parent zooms; each level has at most a quarter of the pixels of the one below."""
-    levels, cur = None, px
+    """All parent zooms.  Each level is staged, so the next one reads its pixels (at
+    most a quarter as many) instead of starting from the reports again."""
+    levels, cur = None, stage(px, f"zoom{source_zoom}")
     for z in range(source_zoom - 1, min_zoom - 1, -1):
-        cur = zoom_out(cur, z)
+        cur = stage(zoom_out(cur, z), f"zoom{z}")
         levels = cur if levels is None else levels.unionByName(cur)
     return levels
 

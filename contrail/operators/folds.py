@@ -18,13 +18,12 @@ slice.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import task_count
 from .timeline import HOUR, SLICE, sliced
@@ -32,64 +31,94 @@ from .timeline import HOUR, SLICE, sliced
 LIMITS = "array<array<double>>"
 
 
+def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Whole groups of a partition sorted by ``by``: frames with their group bounds.
+
+    The last group of a batch may continue in the next one and is held back.
+    """
+    held = None
+    for pdf in batches:
+        if held is not None and len(held):
+            pdf = pd.concat([held, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        fresh = np.zeros(len(pdf), dtype=bool)
+        for c in by:
+            col = pdf[c].to_numpy()
+            fresh[1:] |= col[1:] != col[:-1]
+        starts = np.flatnonzero(fresh)
+        if not len(starts):
+            held = pdf
+            continue
+        cut = int(starts[-1])
+        yield pdf.iloc[:cut], np.concatenate(([0], starts[:-1], [cut]))
+        held = pdf.iloc[cut:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held, np.array([0, len(held)])
+
+
 def _split_fold(
     df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], values: Sequence[str], width: float,
-    describe: Callable, advance: Callable, walk: Callable, outputs: str,
+    describe: Callable, advance: Callable, walk: Callable,
 ) -> DataFrame:
-    """``describe(v) -> rows``, ``advance(state, rows) -> state``, ``walk(v, state, final) -> columns``.
+    """Positions (keys, time, order) of the kept rows.
 
-    ``v`` is a dict of numpy arrays in row order.  A state is a list of floats, or
-    None before the first kept row; ``walk`` also learns whether the slice is the
-    key's last.
+    ``describe(v) -> rows``, ``advance(state, rows) -> state``,
+    ``walk(v, state, final) -> kept mask``.  ``v`` is a dict of numpy arrays in row
+    order.  A state is a list of floats, or None before the first kept row;
+    ``walk`` also learns whether the slice is the key's last.
     """
     keys, values = list(keys), list(dict.fromkeys(values))
-    base = sliced(df, time, width)
-    # a fixed number of partitions: AQE would merge small ones and serialise the Python work
-    base = base.repartition(task_count(df), *keys, SLICE)
+    # only what the walk reads passes through Python
+    slim = list(dict.fromkeys([*keys, time, *order, *values]))
+    base = sliced(df.select(*slim), time, width)
     fields = {f.name: f.dataType.simpleString() for f in base.schema.fields}
-    part_cols = [*keys, SLICE]
-    sort = [time, *order]
-
-    def arrays(pdf: pd.DataFrame) -> tuple[pd.DataFrame, dict]:
-        pdf = pdf.sort_values(sort, kind="stable", ignore_index=True)
-        return pdf, {c: pdf[c].to_numpy(dtype="float64") for c in values}
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, v = arrays(pdf)
-        head = {c: [pdf[c].iloc[0]] for c in part_cols}
-        return pd.DataFrame({**head, "_desc": [[[float(x) for x in r] for r in describe(v)]]})
-
-    key_schema = ", ".join(f"`{c}` {fields[c]}" for c in part_cols)
-    wanted = list(dict.fromkeys([*part_cols, *sort, *values]))
-    described = base.select(*wanted).groupBy(*part_cols).applyInPandas(summarise, f"{key_schema}, _desc {LIMITS}")
-
-    def thread(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(SLICE, kind="stable", ignore_index=True)
-        state, incoming = None, []
-        for desc in pdf["_desc"]:
-            incoming.append(state)
-            state = advance(state, desc)
-        out = pdf[part_cols].copy()
-        out["_state"] = incoming
-        out["_final"] = [False] * (len(out) - 1) + [True]
-        return out
-
-    states = described.repartition(task_count(df), *keys).groupBy(*keys).applyInPandas(
-        thread, f"{key_schema}, _state array<double>, _final boolean")
-    joined = base.join(states.withColumnsRenamed({c: f"_c_{c}" for c in part_cols}),
-                       _all_equal(base, part_cols), "left").drop(*[f"_c_{c}" for c in part_cols])
-    out_schema = T.StructType([f for f in base.schema.fields if f.name != SLICE])
-    extra = T.StructType.fromDDL(outputs)
-    for f in extra.fields:
-        out_schema = out_schema.add(f)
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, v = arrays(pdf)
-        state = pdf["_state"].iloc[0]
-        cols = walk(v, None if state is None else list(state), bool(pdf["_final"].iloc[0]))
-        return pdf.drop(columns=["_state", "_final", SLICE]).assign(**cols)[out_schema.names]
-
-    return joined.groupBy(*part_cols).applyInPandas(finish, out_schema)
+    part, sort = [*keys, SLICE], [time, *order]
+    ddl = lambda names: ", ".join(f"`{c}` {fields[c]}" for c in names)
+    # a fixed number of partitions: AQE would merge small ones and serialise the Python work
+    n = task_count(df)
+    base = base.repartition(n, *part)
+
+    def arrays(pdf: pd.DataFrame) -> dict:
+        return {c: pdf[c].to_numpy(dtype="float64") for c in values}
+
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, bounds in _groups(batches, part):
+            v = arrays(pdf)
+            out = pdf.iloc[bounds[:-1]][part].reset_index(drop=True)
+            out["_desc"] = [
+                [[float(x) for x in r] for r in describe({c: a[lo:hi] for c, a in v.items()})] for lo, hi in zip(bounds, bounds[1:])]
+            yield out
+
+    described = base.sortWithinPartitions(*part, *sort).mapInPandas(summarise, f"{ddl(part)}, _desc {LIMITS}")
+
+    def thread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, bounds in _groups(batches, keys):
+            incoming, final = [], []
+            descs = pdf["_desc"].to_list()
+            for lo, hi in zip(bounds, bounds[1:]):
+                state = None
+                for i in range(lo, hi):
+                    incoming.append(state)
+                    final.append(i == hi - 1)
+                    state = advance(state, descs[i])
+            yield pdf[part].assign(_state=incoming, _final=final)
+
+    states = described.repartition(n, *keys).sortWithinPartitions(*part).mapInPandas(
+        thread, f"{ddl(part)}, _state array<double>, _final boolean")
+    joined = base.join(states.withColumnsRenamed({c: f"_c_{c}" for c in part}), _all_equal(base, part), "left").drop(*[f"_c_{c}" for c in part])
+    position = [*keys, *sort]
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, bounds in _groups(batches, part):
+            v = arrays(pdf)
+            states, finals = pdf["_state"].iloc[bounds[:-1]].to_list(), pdf["_final"].iloc[bounds[:-1]].to_list()
+            chosen = np.concatenate([
+                walk({c: a[lo:hi] for c, a in v.items()}, None if state is None else list(state), bool(final))
+                for lo, hi, state, final in zip(bounds, bounds[1:], states, finals)])
+            yield pdf.loc[chosen, position]
+
+    return joined.repartition(n, *part).sortWithinPartitions(*part, *sort).mapInPandas(finish, ddl(position))
 
 
 def _all_equal(df: DataFrame, cols: list[str]):
@@ -100,11 +129,16 @@ def _all_equal(df: DataFrame, cols: list[str]):
     return cond
 
 
+def _keep(df: DataFrame, positions: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``df`` at the given positions; ``on`` is unique, so no key is hot."""
+    return df.join(positions, on, "left_semi")
+
+
 # --- cooldown -------------------------------------------------------------
 
 def cooldown(df: DataFrame, keys: Sequence[str], time: str = "now", order: Sequence[str] = ("seq",), seconds: str = "cooldown_s",
              width: float = HOUR) -> DataFrame:
-    """``fired``: at least ``seconds`` (a column, constant per key) since the last fired row."""
+    """Rows at least ``seconds`` (a column, constant per key) after the last fired row."""
 
     def nexts(v):
         t, cd = v[time], v[seconds]
@@ -135,14 +169,15 @@ def cooldown(df: DataFrame, keys: Sequence[str], time: str = "now", order: Seque
         fired = np.zeros(len(t), dtype=bool)
         if cd <= 0:
             fired[:] = True
-            return {"fired": fired}
+            return fired
         i = 0 if state is None else int(np.searchsorted(t, state[0] + cd, side="left"))
         while i < len(t):
             fired[i] = True
             i = nxt[i]
-        return {"fired": fired}
+        return fired
 
-    return _split_fold(df, keys, time, order, [time, seconds], width, describe, advance, walk, "fired boolean")
+    fired = _split_fold(df, keys, time, order, [time, seconds], width, describe, advance, walk)
+    return _keep(df, fired, [*keys, time, *order])
 
 
 # --- heading decimation -----------------------------------------------------
@@ -206,19 +241,19 @@ def decimate(df: DataFrame, keys: Sequence[str], time: str = "sec", order: Seque
                 kept[i] = True
                 cur = x
         kept[-1] |= final_slice
-        return {"kept": kept}
+        return kept
 
-    marked = _split_fold(df, keys, time, order, [heading], width, describe, advance, walk, "kept boolean")
-    return marked.where("kept").drop("kept")
+    kept = _split_fold(df, keys, time, order, [heading], width, describe, advance, walk)
+    return _keep(df, kept, [*keys, time, *order])
 
 
 # --- closest approach -------------------------------------------------------
 
 def closest_approach(df: DataFrame, keys: Sequence[str], time: str = "sec", order: Sequence[str] = (), lateral: str = "lateral_nm",
                      vertical: str = "alt_sep_ft", width: float = HOUR) -> DataFrame:
-    """``adopted``: the row replaced the stored minima, which happens when its
-    lateral or its vertical separation is below the stored one (both are then
-    stored together).  The last adopted row of a key is its closest approach."""
+    """Positions of the rows that replaced the stored minima, which happens when the
+    lateral or the vertical separation is below the stored one (both are then
+    stored together).  The last such row of a key is its closest approach."""
 
     def chain(lat, alt):
         """Last row adopted when the walk adopts row i, for every i."""
@@ -254,6 +289,6 @@ def closest_approach(df: DataFrame, keys: Sequence[str], time: str = "sec", orde
             if cur is None or lat[i] < cur[0] or alt[i] < cur[1]:
                 adopted[i] = True
                 cur = (lat[i], alt[i])
-        return {"adopted": adopted}
+        return adopted
 
-    return _split_fold(df, keys, time, order, [lateral, vertical], width, describe, advance, walk, "adopted boolean")
+    return _split_fold(df, keys, time, order, [lateral, vertical], width, describe, advance, walk)

@@ -49,17 +49,18 @@ EVENT_KEYS = ["tail1", "tail2", "event_no"]
 
 def event_rows(numbered: DataFrame, width: float = HOUR) -> DataFrame:
     """One row per event: times, closest approach, true minima."""
-    marked = folds.closest_approach(numbered, EVENT_KEYS, "sec", (), "lateral_nm", "alt_sep_ft", width)
-    at = F.struct("sec", "last_now", "lat1", "lon1", "alt_baro1", "lat2", "lon2", "alt_baro2", "flight_id1", "flight_id2",
-                  "lateral_nm", "alt_sep_ft")
-    out = marked.groupBy(*EVENT_KEYS).agg(
+    adopted = folds.closest_approach(numbered, EVENT_KEYS, "sec", (), "lateral_nm", "alt_sep_ft", width)
+    last = adopted.groupBy(*EVENT_KEYS).agg(F.max("sec").alias("sec"))
+    fields = ["last_now", "lat1", "lon1", "alt_baro1", "lat2", "lon2", "alt_baro2", "flight_id1", "flight_id2", "lateral_nm", "alt_sep_ft"]
+    # one position per event: unique keys on both sides
+    cpa = numbered.join(last, [*EVENT_KEYS, "sec"]).select(*EVENT_KEYS, F.struct("sec", *fields).alias("cpa"))
+    out = numbered.groupBy(*EVENT_KEYS).agg(
         F.min("last_now").alias("create_time"),
         F.max("last_now").alias("last_time"),
         F.count(F.lit(1)).alias("hits"),
         F.min("lateral_nm").alias("true_min_lateral_nm"),
         F.min("alt_sep_ft").alias("true_min_alt_sep_ft"),
-        F.max_by(at, F.when(F.col("adopted"), F.col("sec"))).alias("cpa"),
-    )
+    ).join(cpa, EVENT_KEYS)
     mean = geo.mean_location("cpa.lat1", "cpa.lon1", "cpa.alt_baro1", "cpa.lat2", "cpa.lon2", "cpa.alt_baro2")
     return out.select(
         *EVENT_KEYS, "create_time", "last_time", "hits", "true_min_lateral_nm", "true_min_alt_sep_ft",
@@ -316,7 +317,8 @@ def detect(reports: DataFrame, lateral_nm: float = LATERAL_NM, vertical_ft: floa
     hits = proximity.near_pairs(pieces, lateral_nm, vertical_ft)
     for c in isolate_by:
         hits = hits.where(F.col(f"{c}1") == F.col(f"{c}2"))
-    return steps, stage(sessions(hits, width=width), "hits")
+    # the hits are read several times below; the join that finds them runs once
+    return steps, stage(sessions(stage(hits, "pairs"), width=width), "hits")
 
 
 def los_events(reports: DataFrame, airports: DataFrame | None = None, with_tracks: bool = True, **options) -> DataFrame:

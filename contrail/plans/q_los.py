@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import folds, los, proximity, sequence
+from ..operators import los, proximity, sequence
 from ..session import stage
 from . import tables as t
 from .q_sequence import PERTURBED, perturbed_steps
@@ -22,7 +22,7 @@ def _hits(spark, sf):
 def _events(spark, sf):
     steps = stage(_steps(spark, sf), "steps")
     hits = proximity.near_pairs(proximity.track_pieces(steps), los.LATERAL_NM, los.VERTICAL_FT)
-    return steps, stage(los.event_rows(stage(los.sessions(hits), "hits")), "events")
+    return steps, stage(los.event_rows(stage(los.sessions(stage(hits, "pairs")), "hits")), "events")
 
 
 @query("J2_resampled_proximity", f"""WITH {t.hits_sql()} SELECT sec, tail1, tail2, flight_id1, flight_id2, round(lateral_nm, 6) AS lateral_nm, alt_sep_ft FROM hits""")
@@ -32,7 +32,7 @@ def resampled_proximity(spark, sf):
 
 @query("W16_los_sessions", f"""WITH {t.SESSIONS_SQL} SELECT tail1, tail2, event_no, min(sec) AS first_sec, max(sec) AS last_sec, count(*) AS hits FROM event_hits GROUP BY 1, 2, 3""")
 def los_sessions(spark, sf):
-    return los.sessions(_hits(spark, sf)).groupBy("tail1", "tail2", "event_no").agg(
+    return los.sessions(stage(_hits(spark, sf), "pairs")).groupBy("tail1", "tail2", "event_no").agg(
         F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec"), F.count(F.lit(1)).alias("hits"))
 
 
@@ -53,7 +53,7 @@ cpas AS (SELECT tail1, tail2, event_no, arg_max(cpa, i) AS cpa_sec, arg_max(m_la
 @query("W17_closest_approach", CPA + """ SELECT tail1, tail2, event_no, CAST(cpa_sec AS DOUBLE) AS cpa_time, round(m_lat, 6) AS lateral_nm, m_alt AS alt_sep_ft,
   CAST(last_sec - first_sec AS DOUBLE) AS duration_s, hits FROM cpas""")
 def closest_approach(spark, sf):
-    events = los.event_rows(stage(los.sessions(_hits(spark, sf)), "hits"))
+    events = los.event_rows(stage(los.sessions(stage(_hits(spark, sf), "pairs")), "hits"))
     return events.select("tail1", "tail2", "event_no", "cpa_time", F.round("lateral_nm", 6).alias("lateral_nm"), "alt_sep_ft", "duration_s", "hits")
 
 

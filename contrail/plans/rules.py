@@ -200,7 +200,7 @@ class Rules:
                 continue
             secs = F.coalesce(*[F.when(F.col("rule") == n, F.lit(float(s))) for n, s in scoped.items()])
             part = fired.where(F.col("rule").isin(list(scoped))).withColumn("cooldown_s", secs)
-            part = folds.cooldown(part, keys, "now", ["seq"], "cooldown_s", width).where("fired").drop("fired", "cooldown_s")
+            part = folds.cooldown(part, keys, "now", ["seq"], "cooldown_s", width).drop("cooldown_s")
             out = out.unionByName(part)
         return out
 
