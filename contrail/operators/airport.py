@@ -12,7 +12,7 @@ from ..functions.times import day_type
 from ..session import stage
 from .los import nearest_airports
 from .skew import dimension_join, exact_rank
-from .timeline import HOUR, running, timeline
+from .timeline import SLICE_S, running, timeline
 
 # Fixed values.
 BAND_BELOW_FT, BAND_ABOVE_FT = -200, 4000
@@ -94,7 +94,7 @@ def shard_by_airport(reports: DataFrame, airports: DataFrame, radius_nm: float =
                        F.col("airport_lat").alias("ap_lat"), F.col("airport_lon").alias("ap_lon"), "distance_nm")
 
 
-def coverage_tracks(points: DataFrame, width: float = HOUR) -> DataFrame:
+def coverage_tracks(points: DataFrame, width: float = SLICE_S) -> DataFrame:
     """One row per (icao, date, hex) with at least three points and what it did.
 
     ``points``: icao, date, hex, now, seq, lat, lon, alt_baro, elev, ap_lat, ap_lon.
@@ -113,7 +113,7 @@ def coverage_tracks(points: DataFrame, width: float = HOUR) -> DataFrame:
     )
 
 
-def coverage_gaps(points: DataFrame, width: float = HOUR) -> DataFrame:
+def coverage_gaps(points: DataFrame, width: float = SLICE_S) -> DataFrame:
     """Gaps of up to 300 s between reports of tracks with at least three points."""
     keys = ["icao", "date", "hex"]
     rows = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
@@ -125,7 +125,7 @@ def coverage_gaps(points: DataFrame, width: float = HOUR) -> DataFrame:
     return counted.join(big, keys)
 
 
-def coverage_quality(points: DataFrame, width: float = HOUR) -> DataFrame:
+def coverage_quality(points: DataFrame, width: float = SLICE_S) -> DataFrame:
     """Per (icao, date): completed, lost and passing tracks, loss rate, gap statistics."""
     t = coverage_tracks(points, width)
     long = F.col("points") >= 3
@@ -217,7 +217,7 @@ def field_centers(anchors: DataFrame) -> DataFrame:
 APPROACH = ["icao", "hex", "visit", "piece"]
 
 
-def split_approaches(points: DataFrame, centers: DataFrame, width: float = HOUR) -> DataFrame:
+def split_approaches(points: DataFrame, centers: DataFrame, width: float = SLICE_S) -> DataFrame:
     """Number the approaches of each aircraft: by silences above 600 s, then by field
     overpasses (within 0.4 nm, and out beyond 1.0 nm again).
 
@@ -235,7 +235,7 @@ def split_approaches(points: DataFrame, centers: DataFrame, width: float = HOUR)
     return running(rows, keys, "now", ["seq"], sums={"piece": F.col("_cut")}, inclusive=False, width=width).drop("_cut")
 
 
-def final_runs(pieces: DataFrame, anchors: DataFrame, width: float = HOUR) -> DataFrame:
+def final_runs(pieces: DataFrame, anchors: DataFrame, width: float = SLICE_S) -> DataFrame:
     """Longest stretch each approach stays established on each runway's final."""
     seg = timeline(pieces, APPROACH, "now", ["seq"], lag=["lat", "lon"], width=width).where(F.col("prev1").isNotNull())
     moved = (F.col("prev1.lat") != F.col("lat")) | (F.col("prev1.lon") != F.col("lon"))

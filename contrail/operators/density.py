@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, tiles
 from ..session import stage
 from .skew import dimension_join
-from .timeline import HOUR, timeline
+from .timeline import SLICE_S, timeline
 
 # Fixed values.
 SEGMENT_GAP_S = 120
@@ -24,7 +24,7 @@ EVENT_RADIUS_PX = {7: 0.67, 8: 0.67, 9: 1.33, 10: 2.0, 11: 4.0}
 EVENT_TILE_QUALITIES = ["vhigh", "high", "medium"]
 
 
-def track_segments(df: DataFrame, zoom: int, key: str = "hex", width: float = HOUR) -> DataFrame:
+def track_segments(df: DataFrame, zoom: int, key: str = "hex", width: float = SLICE_S) -> DataFrame:
     """Consecutive reports less than 120 s apart as segments in world pixels.
 
     ``x0, y0, x1, y1`` are integer pixels of the whole world at ``zoom``; the mean
@@ -204,9 +204,8 @@ def nearest_point(rows: DataFrame, row_id: Sequence[str], lat: str, lon: str, po
 def hotspots(points: DataFrame, grid: int = 50, factor: float | None = None, threshold: float = 0.1) -> DataFrame:
     """Gaussian density of points on a padded grid x grid mesh, scaled to 0..1.
 
-    Points are first counted per distinct position; every position then adds to the
-    ``grid * grid`` nodes, which combine on the map side.  Only one row of
-    statistics (count, bounds, covariance) reaches the driver.
+    Every point adds to the ``grid * grid`` nodes, which combine on the map side, so
+    the points themselves are never shuffled.  Only one row of statistics (count, bounds, covariance) reaches the driver.
     """
     pts = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("lat", "lon")
     st = pts.agg(
@@ -223,12 +222,11 @@ def hotspots(points: DataFrame, grid: int = 50, factor: float | None = None, thr
         span = high - low
         return F.lit(low - pad * span) + i * F.lit((1 + 2 * pad) * span / last)
 
-    rows = pts.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("w"))
-    rows = rows.withColumn("node", F.explode(F.sequence(F.lit(0), F.lit(grid * grid - 1))))
+    rows = pts.withColumn("node", F.explode(F.sequence(F.lit(0), F.lit(grid * grid - 1))))
     gy, gx = node(st["y0"], st["y1"], F.floor(F.col("node") / grid)), node(st["x0"], st["x1"], F.col("node") % grid)
     dy, dx = gy - F.col("lat"), gx - F.col("lon")
     power = dy * dy * (cxx / det) + dx * dx * (cyy / det) - 2 * dy * dx * (cxy / det)
-    dens = rows.groupBy("node").agg((F.sum(F.col("w") * F.exp(-0.5 * power)) / (2 * math.pi * math.sqrt(det) * st["n"])).alias("d"))
+    dens = rows.groupBy("node").agg((F.sum(F.exp(-0.5 * power)) / (2 * math.pi * math.sqrt(det) * st["n"])).alias("d"))
     # grid * grid rows, whatever the input
     mesh = Window.partitionBy(F.lit(0))
     low, high = F.min("d").over(mesh), F.max("d").over(mesh)

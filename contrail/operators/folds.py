@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import task_count
-from .timeline import HOUR, SLICE, sliced
+from .timeline import SLICE_S, SLICE, sliced
 
 LIMITS = "array<array<double>>"
 
@@ -137,7 +137,7 @@ def _keep(df: DataFrame, positions: DataFrame, on: list[str]) -> DataFrame:
 # --- cooldown -------------------------------------------------------------
 
 def cooldown(df: DataFrame, keys: Sequence[str], time: str = "now", order: Sequence[str] = ("seq",), seconds: str = "cooldown_s",
-             width: float = HOUR) -> DataFrame:
+             width: float = SLICE_S) -> DataFrame:
     """Rows at least ``seconds`` (a column, constant per key) after the last fired row."""
 
     def nexts(v):
@@ -183,7 +183,7 @@ def cooldown(df: DataFrame, keys: Sequence[str], time: str = "now", order: Seque
 # --- heading decimation -----------------------------------------------------
 
 def decimate(df: DataFrame, keys: Sequence[str], time: str = "sec", order: Sequence[str] = (), heading: str = "track",
-             min_change: float = 10.0, width: float = HOUR) -> DataFrame:
+             min_change: float = 10.0, width: float = SLICE_S) -> DataFrame:
     """Keep each track's first and last row, and rows whose heading differs by
     ``min_change`` or more from the last kept heading."""
 
@@ -250,7 +250,7 @@ def decimate(df: DataFrame, keys: Sequence[str], time: str = "sec", order: Seque
 # --- closest approach -------------------------------------------------------
 
 def closest_approach(df: DataFrame, keys: Sequence[str], time: str = "sec", order: Sequence[str] = (), lateral: str = "lateral_nm",
-                     vertical: str = "alt_sep_ft", width: float = HOUR) -> DataFrame:
+                     vertical: str = "alt_sep_ft", width: float = SLICE_S) -> DataFrame:
     """Positions of the rows that replaced the stored minima, which happens when the
     lateral or the vertical separation is below the stored one (both are then
     stored together).  The last such row of a key is its closest approach."""

@@ -13,7 +13,7 @@ from ..session import stage
 from . import folds, proximity, sequence
 from .proximity import nearest_in_time
 from .skew import dimension_join
-from .timeline import HOUR, timeline
+from .timeline import HOUR, SLICE_S, fitted_width, timeline
 
 # Fixed values of the event score.
 LATERAL_NM, VERTICAL_FT = 0.3, 400.0
@@ -33,7 +33,7 @@ NEAR_AIRPORT_NM, AIRPORT_AGL_FT, OPEN_FLOOR_FT = 5.0, 200, 50
 LOOKUP_S = 60
 
 
-def sessions(hits: DataFrame, quiet: int = QUIET_S, width: float = HOUR) -> DataFrame:
+def sessions(hits: DataFrame, quiet: int = QUIET_S, width: float = SLICE_S) -> DataFrame:
     """Number the hits of each pair into events (``event_no``).
 
     A new event starts when the check second is more than ``quiet`` after the
@@ -47,7 +47,7 @@ def sessions(hits: DataFrame, quiet: int = QUIET_S, width: float = HOUR) -> Data
 EVENT_KEYS = ["tail1", "tail2", "event_no"]
 
 
-def event_rows(numbered: DataFrame, width: float = HOUR) -> DataFrame:
+def event_rows(numbered: DataFrame, width: float = SLICE_S) -> DataFrame:
     """One row per event: times, closest approach, true minima."""
     adopted = folds.closest_approach(numbered, EVENT_KEYS, "sec", (), "lateral_nm", "alt_sep_ft", width)
     last = adopted.groupBy(*EVENT_KEYS).agg(F.max("sec").alias("sec"))
@@ -129,7 +129,7 @@ def initial_separation(events: DataFrame, steps: DataFrame, spans: DataFrame) ->
     return best.select(*EVENT_KEYS, geo.haversine_nm("n1.rlat", "n1.rlon", "n2.rlat", "n2.rlon").alias("initial_sep_nm"))
 
 
-def proximity_ratio(events: DataFrame, steps: DataFrame, spans: DataFrame, width: float = HOUR) -> DataFrame:
+def proximity_ratio(events: DataFrame, steps: DataFrame, spans: DataFrame, width: float = SLICE_S) -> DataFrame:
     """Share of flight 1's reports, paired in time with one of flight 2, that are
     within 0.6 nm; per pair of flights.
 
@@ -302,13 +302,15 @@ def event_table(scored: DataFrame) -> DataFrame:
 
 
 def detect(reports: DataFrame, lateral_nm: float = LATERAL_NM, vertical_ft: float = VERTICAL_FT, hold: int = sequence.HOLD_S,
-           isolate_by: tuple[str, ...] = (), width: float = HOUR) -> tuple[DataFrame, DataFrame]:
+           isolate_by: tuple[str, ...] = (), width: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Reports to numbered hits.  Returns (steps, hits), both staged tables.
 
     ``isolate_by`` names columns that must agree within a pair and that also break
-    tracks, for comparison with runs that analysed cells on their own.
+    tracks, for comparison with runs that analysed cells on their own.  Without a
+    ``width`` the slices are fitted to the busiest aircraft.
     """
     rows = sequence.prefilter(reports)
+    width = fitted_width(rows, ["tail"], "now") if width is None else width
     if isolate_by:
         own = F.concat_ws("|", "tail", *isolate_by)
         rows = rows.withColumn("_tail", F.col("tail")).withColumn("tail", own)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..session import task_count
 from .sequence import FLIGHT_GAP_S, HOLD_S, interpolated, second_of
-from .timeline import HOUR, running
+from .timeline import SLICE_S, running
 
 # Join cell: one minute by 0.05 degrees by 1000 ft.  A step between two reports of
 # a flight is at most 60 s long, so it touches few cells.
@@ -172,7 +172,7 @@ def first_neighbour(rows: DataFrame, rule1: Column, rule2: Column) -> DataFrame:
 
 
 def nearest_in_time(a: DataFrame, b: DataFrame, keys: Sequence[str], time: str, fields: Sequence[str], order: Sequence[str] = (),
-                    tolerance: float = 5.0, width: float = HOUR) -> DataFrame:
+                    tolerance: float = 5.0, width: float = SLICE_S) -> DataFrame:
     """For each row of ``a`` the row of ``b`` with the same keys nearest in time.
 
     Ties go to the later-or-equal row.  Rows without a match within ``tolerance``

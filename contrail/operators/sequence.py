@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.times import seconds_of_day
-from .timeline import HOUR, running, timeline
+from .timeline import HOUR, SLICE_S, running, timeline
 
 # Fixed values.
 MAX_GAP_S = 300
@@ -28,27 +28,27 @@ VISIT_GAP_S = 600
 
 
 def report_gaps(df: DataFrame, key: str = "hex", time: str = "now", order: Sequence[str] = ("seq",), max_gap: float = MAX_GAP_S,
-                width: float = HOUR) -> DataFrame:
+                width: float = SLICE_S) -> DataFrame:
     out = timeline(df, [key], time, order, width=width)
     gap = F.col(time) - F.col(f"prev1.{time}")
     return out.withColumn("gap", gap).where((F.col("gap") > 0) & (F.col("gap") <= max_gap)).drop("prev1")
 
 
 def flight_numbers(df: DataFrame, key: str = "tail", time: str = "now", order: Sequence[str] = ("seq",), gap: float = FLIGHT_GAP_S,
-                   width: float = HOUR) -> DataFrame:
+                   width: float = SLICE_S) -> DataFrame:
     """``flight_no`` and ``flight_id`` (tail_N); a silence above ``gap`` starts a new flight."""
     out = timeline(df, [key], time, order, gap=gap, width=width).withColumnRenamed("session_no", "flight_no")
     return out.withColumn("flight_id", F.concat_ws("_", F.col(key), F.col("flight_no").cast("string"))).drop("prev1")
 
 
 def life_segments(df: DataFrame, key: str = "tail", time: str = "now", order: Sequence[str] = ("seq",), expire: float = EXPIRE_S,
-                  width: float = HOUR) -> DataFrame:
+                  width: float = SLICE_S) -> DataFrame:
     out = timeline(df, [key], time, order, gap=expire, width=width)
     return out.withColumnRenamed("session_no", "life_no").drop("prev1")
 
 
 def carry_forward(df: DataFrame, columns: Sequence[str] = ("category", "squawk", "emergency"), key: str = "tail", time: str = "now",
-                  order: Sequence[str] = ("seq",), width: float = HOUR) -> DataFrame:
+                  order: Sequence[str] = ("seq",), width: float = SLICE_S) -> DataFrame:
     """Latest known value of periodically sent attributes within one life.
 
     Needs ``life_no``.  A column ``has_<name>`` (key present in the report) is
@@ -73,7 +73,7 @@ def speed_kt(a: Column, b: Column, seconds: Column) -> Column:
 
 
 def flight_steps(df: DataFrame, carry: Sequence[str] = ("category",), key: str = "tail", time: str = "now",
-                 order: Sequence[str] = ("seq",), width: float = HOUR) -> DataFrame:
+                 order: Sequence[str] = ("seq",), width: float = SLICE_S) -> DataFrame:
     """One row per real report with its predecessor in the same flight.
 
     ``prev`` is null at a flight's first report.  ``suspicious`` marks an implied
@@ -143,7 +143,7 @@ def resample(steps: DataFrame) -> DataFrame:
 
 
 def altitude_trend(df: DataFrame, key: str = "tail", time: str = "now", order: Sequence[str] = ("seq",), entries: int = 5,
-                   expire: float = EXPIRE_S, width: float = HOUR) -> DataFrame:
+                   expire: float = EXPIRE_S, width: float = SLICE_S) -> DataFrame:
     """+1 climbing, -1 descending, 0 level: altitude against the truncated mean of
     up to five earlier reports of the same life."""
     out = timeline(df, [key], time, order, lag=["alt_baro"], depth=entries, width=width)
@@ -158,7 +158,7 @@ def altitude_trend(df: DataFrame, key: str = "tail", time: str = "now", order: S
         *[f"prev{i}" for i in range(1, entries + 1)])
 
 
-def trip_points(df: DataFrame, key: str = "hex", time: str = "now", order: Sequence[str] = ("seq",), width: float = HOUR) -> DataFrame:
+def trip_points(df: DataFrame, key: str = "hex", time: str = "now", order: Sequence[str] = ("seq",), width: float = SLICE_S) -> DataFrame:
     """First report per 10 s bucket between 100 and 18000 ft, numbered into
     segments at silences above 120 s."""
     kept = df.where(F.col("alt_baro").between(*TRIP_ALT)).withColumn("bucket", F.floor(F.col(time) / THIN_S))
@@ -184,7 +184,7 @@ def trips(points: DataFrame, key: str = "hex", part_s: float = HOUR) -> DataFram
 
 
 def gap_marks(df: DataFrame, keys: Sequence[str], time: str = "sec", order: Sequence[str] = (), threshold: float = 2.0,
-              width: float = HOUR) -> DataFrame:
+              width: float = SLICE_S) -> DataFrame:
     """``in_gap``: member of an interpolated run longer than ``threshold`` seconds,
     or reached by a time step longer than it.
 

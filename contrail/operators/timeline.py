@@ -26,7 +26,11 @@ from pyspark.sql import functions as F
 
 HOUR = 3600.0
 DAY = 86400.0
+# Default slice: ten minutes.  One aircraft sends about a thousand reports in it.
+SLICE_S = 600.0
 SLICE = "_slice"
+# Rows one task should order at most.
+SLICE_ROWS = 2_000_000
 
 
 def _epoch(df: DataFrame, time: str) -> Column:
@@ -39,6 +43,26 @@ def sliced(df: DataFrame, time: str, width: float) -> DataFrame:
     return df.withColumn(SLICE, F.floor(_epoch(df, time) / F.lit(float(width))))
 
 
+def fitted_width(df: DataFrame, keys: Sequence[str], time: str, width: float = SLICE_S, rows: int = SLICE_ROWS) -> float:
+    """A slice width at which no (key, slice) exceeds about ``rows`` rows.
+
+    Counts the rows per slice (combined on the map side) and narrows the width by
+    the excess of the fullest one.
+    """
+    counts = sliced(df, time, width).groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("n"))
+    fullest = counts.agg(F.max("n")).first()[0] or 0
+    return width if fullest <= rows else max(width * rows / fullest, 1.0)
+
+
+def global_width(df: DataFrame, column: str, rows: int = SLICE_ROWS) -> float:
+    """A slice width for ordering all rows by ``column``: about ``rows`` per slice."""
+    value = _epoch(df, column)
+    low, high, n = df.agg(F.min(value), F.max(value), F.count(F.lit(1))).first()
+    if not n or high <= low:
+        return 1.0
+    return max((high - low) / max(n / rows, 1.0), 1e-6) * 1.000001
+
+
 def _join_back(local: DataFrame, carry: DataFrame, part: list[str]) -> DataFrame:
     cond = None
     right = carry
@@ -59,7 +83,7 @@ def timeline(
     gap: float | None = None,
     end: str | None = None,
     following: bool = False,
-    width: float = HOUR,
+    width: float = SLICE_S,
 ) -> DataFrame:
     """Add the ``depth`` previous rows of the same key, and session numbers.
 
@@ -135,7 +159,7 @@ def running(
     lasts: dict[str, Column] | None = None,
     nexts: dict[str, Column] | None = None,
     inclusive: bool = True,
-    width: float = HOUR,
+    width: float = SLICE_S,
 ) -> DataFrame:
     """Prefix sums and nearest non-null values before (or after) each row.
 
@@ -181,8 +205,12 @@ def running(
     return out.drop(SLICE, *[f"_{p}_{n}" for n in names for p in "xwb"])
 
 
-def numbered(df: DataFrame, order: Sequence[str], slice_on: str, width: float, name: str = "row_no") -> DataFrame:
-    """Global 0-based row numbers in ``order`` (first entry numeric) without a
-    single-task window: rows are counted per slice of ``slice_on``."""
+def numbered(df: DataFrame, order: Sequence[str], slice_on: str, width: float | None = None, name: str = "row_no") -> DataFrame:
+    """Global 0-based row numbers in ``order`` without a single-task window.
+
+    ``slice_on`` is the numeric or time column that leads the order; rows are
+    counted per slice of it, with about two million rows in a slice by default.
+    """
+    width = global_width(df, slice_on) if width is None else width
     out = running(df, [], slice_on, [c for c in order if c != slice_on], sums={name: F.lit(1).cast("bigint")}, width=width)
     return out.withColumn(name, F.col(name) - 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import folds, sequence
-from ..operators.timeline import DAY, numbered, running, timeline
+from ..operators.timeline import numbered, running, timeline
 from . import tables as t
 from .registry import query
 
@@ -23,7 +23,7 @@ def report_gaps(spark, sf):
   WHERE gap > 0 AND gap <= 86400""")
 def gaps_by_user(spark, sf):
     e = t.table(spark, sf, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    out = sequence.report_gaps(e, "user_id", "t", ["event_id"], max_gap=86400, width=DAY)
+    out = sequence.report_gaps(e, "user_id", "t", ["event_id"], max_gap=86400, width=3600.0)
     return out.select("user_id", "event_id", F.round("gap", 6).alias("gap"))
 
 
@@ -166,4 +166,4 @@ def running_total(spark, sf):
 @query("O1_global_sort", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_no FROM events")
 def global_sort(spark, sf):
     e = t.table(spark, sf, "events").select("event_id", "ts")
-    return numbered(e, ["ts", "event_id"], "ts", DAY).select("event_id", F.col("row_no")).orderBy("row_no")
+    return numbered(e, ["ts", "event_id"], "ts").select("event_id", F.col("row_no")).orderBy("row_no")

@@ -73,9 +73,9 @@ def event_lifecycle(spark, sf):
 
 
 @query("T8_stream_fresh_pairs", f"""WITH {t.POSITIONS_SQL} SELECT a.tail AS tail1, a.seq AS seq1, b.tail AS tail2, b.seq AS seq2 FROM positions a JOIN positions b
-  ON b.seq BETWEEN a.seq - 5 AND a.seq + 5 AND a.tail < b.tail AND floor(a.lat / CAST(0.1 AS DOUBLE)) = floor(b.lat / CAST(0.1 AS DOUBLE)) AND floor(a.lon / CAST(0.1 AS DOUBLE)) = floor(b.lon / CAST(0.1 AS DOUBLE))""")
+  ON b.seq BETWEEN a.seq - 5 AND a.seq + 5 AND a.tail < b.tail AND abs(a.alt_baro - b.alt_baro) < 400 WHERE {t.haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 1.5""")
 def stream_pairs(spark, sf):
-    return stateful.run_available(stateful.fresh_pairs(_stream(spark, sf), _stream(spark, sf)), "pairs")
+    return stateful.run_available(stateful.fresh_pairs(_stream(spark, sf), _stream(spark, sf), 1.5, 400.0), "pairs")
 
 
 @query("T10_run_counters", f"WITH {t.POSITIONS_SQL} SELECT count(*) AS reports, count(*) FILTER (WHERE on_ground) AS ground, CAST(sum(CASE WHEN alt_baro >= 1600 THEN 1 ELSE 0 END) AS BIGINT) AS high FROM positions")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, labels
 from ..functions.times import as_timestamp, hhmm_utc, in_time_ranges
 from ..operators import folds, proximity, regions, sequence
-from ..operators.timeline import HOUR, running, timeline
+from ..operators.timeline import SLICE_S, running, timeline
 
 CONDITIONS = {
     "proximity", "aircraft_list", "exclude_aircraft_list", "one_in_aircraft_list", "exclude_aircraft_substrs", "min_alt", "max_alt",
@@ -160,7 +160,7 @@ class Rules:
         return self._listed(value, F.col("tail1")) != self._listed(value, F.col("tail2"))
 
     # -- evaluation --------------------------------------------------------
-    def prepare(self, reports: DataFrame, width: float = HOUR) -> DataFrame:
+    def prepare(self, reports: DataFrame, width: float = SLICE_S) -> DataFrame:
         """Add ``inside``, ``was_inside`` and ``life_no`` to reports (tail, now, seq, ...)."""
         out = regions.assign_inline(reports, self.layers) if self.layers else reports.withColumn(
             "inside", F.array(F.lit(None).cast("string")))
@@ -185,7 +185,7 @@ class Rules:
             return "rule", int(per_rule * 60)
         return None if per_tail is None else ("tail", int(per_tail * 60))
 
-    def firings(self, prepared: DataFrame, width: float = HOUR) -> DataFrame:
+    def firings(self, prepared: DataFrame, width: float = SLICE_S) -> DataFrame:
         """One row per (report, rule) that fires, after cooldowns."""
         names = self._plain()
         position = {n: i for i, n in enumerate(self.rules)}
@@ -204,7 +204,7 @@ class Rules:
             out = out.unionByName(part)
         return out
 
-    def with_notes(self, fired: DataFrame, width: float = HOUR) -> DataFrame:
+    def with_notes(self, fired: DataFrame, width: float = SLICE_S) -> DataFrame:
         """``note``: the aircraft's note before this firing (last one set in its life)."""
         notes = {n: b["actions"]["note"] for n, b in self.rules.items() if "note" in (b["actions"] or {})}
         if not notes:

@@ -29,7 +29,7 @@ def track_lines(events: DataFrame, row_id: str = "event_id") -> DataFrame:
     return events.select(row_id, F.to_json(F.struct(text("track1"), text("track2"))).alias("line"))
 
 
-def byte_index(lines: DataFrame, row_id: str = "event_id", slice_rows: float = 65536.0) -> DataFrame:
+def byte_index(lines: DataFrame, row_id: str = "event_id", slice_rows: float = 1_000_000.0) -> DataFrame:
     """Offset and length of each line in the file that holds them in ``row_id`` order.
 
     A prefix sum over id ranges: totals per range first, so no task sees all lines.

@@ -8,6 +8,7 @@ watermark, and rows older than it are dropped by Spark.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import geo
 from ..session import scratch_path
 
 EXPIRE_S = 180
@@ -140,22 +142,31 @@ def checkpoint_windows(reports: DataFrame, seconds: int = 5, key: Column | None
     return reports.groupBy(*groups).agg(F.count(F.lit(1)).alias("reports"))
 
 
-def fresh_pairs(a: DataFrame, b: DataFrame, max_age_s: int = 5, cell_deg: float = 0.1) -> DataFrame:
-    """Reports of two streams in the same grid cell at most ``max_age_s`` apart.
+def fresh_pairs(a: DataFrame, b: DataFrame, lateral_nm: float, vertical_ft: float, max_age_s: int = 5, cell_deg: float = 0.05,
+                max_abs_lat: float = 60.0) -> DataFrame:
+    """Reports of two streams at most ``max_age_s`` apart in time and within both limits.
 
-    A stream-stream interval join: both sides carry watermarks, so state older than
-    the interval is dropped.
+    A stream-stream interval join on grid cells (one side copied to the neighbour
+    cells): both sides carry watermarks, so state older than the interval is dropped.
     """
+    if lateral_nm > cell_deg * geo.NM_PER_DEGREE * math.cos(math.radians(max_abs_lat)):
+        raise ValueError("the grid cell must be at least as wide as the lateral limit")
+
     def side(df: DataFrame, n: int) -> DataFrame:
         return df.select(
             F.col("tail").alias(f"tail{n}"), F.col("seq").alias(f"seq{n}"), F.col("event_time").alias(f"time{n}"),
+            F.col("lat").alias(f"lat{n}"), F.col("lon").alias(f"lon{n}"), F.col("alt_baro").alias(f"alt{n}"),
             F.floor(F.col("lat") / cell_deg).alias(f"cy{n}"), F.floor(F.col("lon") / cell_deg).alias(f"cx{n}"))
 
+    near = side(b, 2)
+    for c in ("cy2", "cx2"):
+        near = near.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
     span = F.expr(f"interval {max_age_s} seconds")
     cond = (
         (F.col("cy1") == F.col("cy2")) & (F.col("cx1") == F.col("cx2")) & (F.col("tail1") < F.col("tail2"))
-        & (F.col("time2") >= F.col("time1") - span) & (F.col("time2") <= F.col("time1") + span))
-    return side(a, 1).join(side(b, 2), cond, "inner").select("tail1", "seq1", "tail2", "seq2")
+        & (F.col("time2") >= F.col("time1") - span) & (F.col("time2") <= F.col("time1") + span)
+        & (F.abs(F.col("alt1") - F.col("alt2")) < vertical_ft) & (geo.haversine_nm("lat1", "lon1", "lat2", "lon2") < lateral_nm))
+    return side(a, 1).join(near, cond, "inner").select("tail1", "seq1", "tail2", "seq2")
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:
