@@ -55,7 +55,7 @@ def assign_join(df: DataFrame, regions: DataFrame, row_id: Sequence[str], name:
     """Same result for any number of regions (a table with ``schema.REGION``).
 
     Regions are copied to the grid cells of their box, points meet them by cell,
-    and the first match per layer is an aggregate over the row id.
+    and the first match per layer is one aggregate over the row id.
     """
     dim = regions.withColumn("box", geo.ring_box("ring"))
     dim = dim.withColumn("cy", F.explode(_cells(F.col("box.south"), F.col("box.north"))))
@@ -69,13 +69,12 @@ def assign_join(df: DataFrame, regions: DataFrame, row_id: Sequence[str], name:
     )
     probe = pts.select(*row_id, "cy", "cx", "lat", "lon", "alt_baro", "track")
     found = dimension_join(probe, dim, ["cy", "cx"]).where(hit)
-    first = found.groupBy(*row_id, F.col("r.layer").alias("layer")).agg(F.min_by("r.name", "r.idx").alias("name"))
-    slots = first.groupBy(*row_id).agg(F.map_from_entries(F.collect_list(F.struct("layer", "name"))).alias("_slots"))
     last = int(regions.agg(F.max("layer")).first()[0] or 0)
-    return df.join(slots, list(row_id), "left").withColumn(
-        name,
-        F.array(*[F.try_element_at("_slots", F.lit(i)) for i in range(last + 1)])
-    ).drop("_slots")
+    layer = lambda i: F.col("r.layer") == i
+    first = found.groupBy(*row_id).agg(*[
+        F.min_by(F.when(layer(i), F.col("r.name")), F.when(layer(i), F.col("r.idx"))).alias(f"_in{i}") for i in range(last + 1)])
+    names = [f"_in{i}" for i in range(last + 1)]
+    return df.join(first, list(row_id), "left").withColumn(name, F.array(*names)).drop(*names)
 
 
 def in_any_region(layers: Sequence[Sequence[dict]], rings: Sequence[Sequence[float]] = ()) -> Column:

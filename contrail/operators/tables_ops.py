@@ -69,8 +69,8 @@ def dataset_profile(df: DataFrame) -> DataFrame:
     out = main
     for one in (aircraft, calls.agg(F.count(F.lit(1)).alias("callsigns")), median(per, "pts", "median_pts", 1000.0),
                 median(per.where("dur > 0"), "dur", "median_dur", 3600.0), median(alts, "_alt", "median_alt", 500.0)):
-        # every side has exactly one row
-        out = out.withColumn("_k", F.lit(1)).join(one.withColumn("_k", F.lit(1)), "_k").drop("_k")
+        # a one-row subquery each
+        out = out.withColumn("_one", one.select(F.struct(*one.columns)).scalar()).select("*", "_one.*").drop("_one")
     mid = (F.col("max_lat") + F.col("min_lat")) / 2
     return out.withColumn("height_nm", (F.col("max_lat") - F.col("min_lat")) * 60).withColumn(
         "width_nm", (F.col("max_lon") - F.col("min_lon")) * 60 * F.cos(F.radians(mid)))

@@ -68,7 +68,7 @@ def api_snapshots(spark, sf):
     return out.select("hex", "now", "alt_baro")
 
 
-@query("S5_region_placemarks", f"""WITH {t.AIRPORTS_SQL} SELECT CAST(ordinal AS INTEGER) AS idx, lower(name) AS name, ordinal * 100 AS min_alt, 5000 + ordinal AS max_alt, CAST(ordinal * 10 AS DOUBLE) AS hdg0, CAST(360 - ordinal AS DOUBLE) AS hdg1, 4 AS points,
+@query("S5_region_placemarks", f"""WITH {t.AIRPORTS_SQL} SELECT CAST(ordinal AS INTEGER) AS idx, lower(name) AS name, CAST(ordinal * 100 AS BIGINT) AS min_alt, CAST(5000 + ordinal AS BIGINT) AS max_alt, CAST(ordinal * 10 AS DOUBLE) AS hdg0, CAST(360 - ordinal AS DOUBLE) AS hdg1, 4 AS points,
   round(lon + 0.01, 6) AS x1, round(lat + 0.02, 6) AS y2 FROM airports""")
 def region_placemarks(spark, sf):
     a = t.airports(spark, sf)

@@ -188,6 +188,8 @@ class Rules:
     def firings(self, prepared: DataFrame, width: float = SLICE_S) -> DataFrame:
         """One row per (report, rule) that fires, after cooldowns."""
         names = self._plain()
+        if not names:
+            return prepared.withColumn("rule", F.lit("")).withColumn("rule_no", F.lit(0)).where(F.lit(False))
         position = {n: i for i, n in enumerate(self.rules)}
         hit = F.array_compact(F.array(*[
             F.when(self.predicate(n), F.struct(F.lit(n).alias("rule"), F.lit(position[n]).alias("rule_no"))) for n in names]))

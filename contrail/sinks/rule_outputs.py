@@ -47,7 +47,7 @@ class TableSink:
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(path):
             return []
-        done = [s.getPath() for s in fs.listStatus(path) if s.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        done = [s.getPath() for s in fs.listStatus(path) if s.isDirectory() and s.getPath().getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
         return sorted(p.getName() for p in done)
 
     def read(self) -> DataFrame | None:
@@ -66,6 +66,13 @@ class TableSink:
         old = self.read()
         self.write(df if old is None else old.unionByName(df))
 
+    def append_epoch(self, df: DataFrame, epoch: int) -> None:
+        """Append of a streaming batch: a replayed epoch replaces its own rows."""
+        df.write.mode("overwrite").parquet(f"{self.root}/epochs/epoch={epoch}")
+
+    def read_epochs(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/epochs")
+
     def merge(self, new: DataFrame, keys: Sequence[str], newest: str | None = None) -> None:
         """Insert or replace by key; within ``new`` the row with the largest ``newest`` wins."""
         if newest:
