@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values.
 EARTH_RADIUS_NM = 3443.92
 NM_PER_DEGREE = 60.0
 FEET_PER_NM = 6076.12

@@ -173,11 +173,6 @@ def event_tracks(spark, sf):
                       F.col("track1")[0]["t"].alias("t1"), F.col("track2")[0]["t"].alias("t2"))
 
 
-@query("D12_los_event_table")
-def los_event_table(spark, sf):
-    return los.los_events(t.positions(spark, sf), t.airports(spark, sf))
-
-
 # Raw reports held for up to five seconds, checked at every whole second.
 HELD = f"""WITH {t.POSITIONS_SQL}, nexted AS (SELECT *, lead(now) OVER (PARTITION BY tail ORDER BY now, seq) AS nx FROM positions),
 held AS (SELECT unnest(range(CAST(now AS BIGINT), CAST(least(now + 5, coalesce(nx - 1, now + 5)) AS BIGINT) + 1)) AS sec, * FROM nexted),
@@ -230,3 +225,17 @@ def airports_near_event(spark, sf):
 def airborne_events(spark, sf):
     _, events = _events(spark, sf)
     return los.airborne(events, t.airports(spark, sf)).select(*los.EVENT_KEYS, "alt_ft")
+
+
+BAND = "CASE WHEN alt_ft < 0 THEN '18k+' WHEN alt_ft < 3000 THEN '0k-3k' WHEN alt_ft < 6000 THEN '3k-6k' WHEN alt_ft < 10000 THEN '6k-10k' WHEN alt_ft < 18001 THEN '10k-18k' ELSE '18k+' END"
+EVENT_TABLE = FEATURES.replace("WITH RECURSIVE ", "WITH RECURSIVE " + t.AIRPORTS_SQL + ", ", 1) + f""", decided AS (SELECT tail1, tail2, event_no, arg_min(elev, ordinal) AS elev FROM (
+    SELECT e.tail1, e.tail2, e.event_no, p.ordinal, p.elev, {t.equirect_sql('p.lat', 'p.lon', 'e.lat', 'e.lon')} AS d FROM events0 e, airports p) WHERE d <= 5 GROUP BY 1, 2, 3)
+  SELECT cpa_time AS timestamp, strftime(make_timestamp(CAST(cpa_time AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S') AS datetime_utc, round(s.lat, 6) AS lat, round(s.lon, 6) AS lon, alt_ft, {BAND} AS alt_band,
+    tail1 AS flight1, tail2 AS flight2, round(lateral_nm, 6) AS lateral_nm, alt_sep_ft, duration_s, quality FROM scored s LEFT JOIN decided d USING (tail1, tail2, event_no) WHERE alt_ft > coalesce(d.elev + 200, 50)"""
+
+
+@query("D12_los_event_table", EVENT_TABLE)
+def los_event_table(spark, sf):
+    out = los.los_events(t.positions(spark, sf), t.airports(spark, sf), hold=0)
+    rounded = {c: F.round(c, 6) for c in ("lat", "lon", "lateral_nm")}
+    return out.withColumns(rounded).drop("quality_explanation", "animation_path", "track1", "track2")

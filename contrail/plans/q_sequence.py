@@ -108,15 +108,17 @@ def trips(spark, sf):
         F.sum("tod").cast("bigint").alias("tod_sum"))
 
 
-@query("W10_heading_decimation", f"""WITH RECURSIVE {t.RESAMPLED_SQL}, r AS (
+DECIMATED = f"""WITH RECURSIVE {t.RESAMPLED_SQL}, r AS (
   SELECT flight_id, sec, round(track, 6) AS track, row_number() OVER (PARTITION BY flight_id ORDER BY sec) AS i, count(*) OVER (PARTITION BY flight_id) AS n FROM resampled),
 walk AS (
   SELECT flight_id, sec, i, n, track AS kept_track, true AS kept FROM r WHERE i = 1
   UNION ALL
   SELECT r.flight_id, r.sec, r.i, r.n, CASE WHEN d >= 10 THEN r.track ELSE kept_track END, d >= 10
   FROM (SELECT r.*, w.kept_track, least(abs(r.track - w.kept_track), 360 - abs(r.track - w.kept_track)) AS d
-        FROM walk w JOIN r ON r.flight_id = w.flight_id AND r.i = w.i + 1) r)
-SELECT flight_id, sec FROM walk WHERE kept OR i = n""")
+        FROM walk w JOIN r ON r.flight_id = w.flight_id AND r.i = w.i + 1) r)"""
+
+
+@query("W10_heading_decimation", DECIMATED + " SELECT flight_id, sec FROM walk WHERE kept OR i = n")
 def heading_decimation(spark, sf):
     rows = sequence.resample(sequence.flight_steps(sequence.prefilter(t.positions(spark, sf))))
     return folds.decimate(rows.select("flight_id", "sec", F.round("track", 6).alias("track")), ["flight_id"], width=600).select("flight_id", "sec")

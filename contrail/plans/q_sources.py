@@ -12,6 +12,7 @@ from ..sources import dimensions as dims
 from ..sources import lines as src
 from ..sources import traces
 from . import tables as t
+from .q_sequence import DECIMATED
 from .registry import query
 
 P = t.POSITIONS_SQL
@@ -213,11 +214,13 @@ def track_export(spark, sf):
         steps.groupBy("flight_id").agg(F.min(F.col("now").cast("bigint")).alias("first_sec")), "flight_id")
 
 
-@query("K14_decimated_export")
+@query("K14_decimated_export", DECIMATED + " SELECT flight_id, count(*) AS points, min(sec) AS first_sec FROM walk WHERE kept OR i = n GROUP BY 1")
 def decimated_export(spark, sf):
     rows = sequence.resample(sequence.flight_steps(sequence.prefilter(t.positions(spark, sf))))
-    kept = folds.decimate(rows.select("flight_id", "sec", "lat", "lon", "alt_baro", "track"), ["flight_id"], width=600)
-    return exports.track_export(kept)
+    kept = folds.decimate(rows.select("flight_id", "sec", "lat", "lon", "alt_baro", F.round("track", 6).alias("track")), ["flight_id"])
+    parts = exports.track_export(kept)
+    n = F.size(F.from_json("line", "array<array<double>>"))
+    return parts.groupBy("flight_id").agg(F.sum(n).alias("points"), F.min("first_sec").alias("first_sec"))
 
 
 @query("K7_event_upsert", f"WITH {EV}, first AS (SELECT 'id' || (event_id % 997) AS los_id, event_id AS v, quality FROM ev WHERE event_id % 2 = 0), second AS (SELECT 'id' || (event_id % 499) AS los_id, event_id AS v, quality FROM ev WHERE event_id % 2 = 1), "

@@ -59,7 +59,7 @@ def track_export(kept: DataFrame, keys: Sequence[str] = ("flight_id",), time: st
     """
     point = F.struct(F.col(time), F.array(F.col("lat"), F.col("lon"), F.col("alt_baro").cast("double")).alias("p"))
     parts = kept.groupBy(*keys, F.floor(F.col(time) / part_s).alias("part")).agg(F.sort_array(F.collect_list(point)).alias("pts"))
-    return parts.select(*keys, "part", F.size("pts").alias("points"), F.to_json(F.transform("pts", lambda x: x["p"])).alias("line"))
+    return parts.select(*keys, "part", F.size("pts").alias("points"), F.col("pts")[0][time].alias(f"first_{time}"), F.to_json(F.transform("pts", lambda x: x["p"])).alias("line"))
 
 
 def write_lines(lines: DataFrame, path: str, compression: str = "gzip", mode: str = "overwrite") -> None:
