@@ -9,11 +9,12 @@ Which segments is a matter of cost:
 1. Every set sends all its segments' signatures to buckets. A segment no other set has costs
    nothing; a set with enough of those has no partner and is done. Almost all sets end here.
 2. The others allot: segments of their own first, then the rarest shared ones, or second units
-   on segments of their own, whichever is cheaper, so frequent passages are not looked up.
+   on segments of their own, whichever finds fewer sets, so frequent passages are hardly ever
+   looked up. What a second unit would find is asked in buckets, too.
 3. Looked-up signatures meet the indexed ones in buckets. Only the components are wanted, so in
    a first round each run of equal signatures tests its members against the smallest one; in a
-   second round, all pairs of a run that are in different components by then. All candidates
-   are verified on the whole sets.
+   second round, members of a run that are in different components by then: as pairs, or, when
+   the run is long, by an index inside blocks of members. All links are verified on whole sets.
 
 Bands: sets up to SMALL shingles have each shingle for a segment; above, bands grow by 4/3, so
 partners are in one band or the next, and a set also has signatures in the segments of the next.
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +37,16 @@ from .common import partitions
 SHINGLE = 5
 SMALL = 64
 SLACK = 1.3
-#: Cost of a second unit on a segment, in candidates: about the signatures it looks up.
-SECOND = 8.0
+#: Cost of looking a signature up, in candidates.
+LOOKUP = 0.1
+NEVER = 1e18
 #: Bytes of text handled at once, and entries of a bucket, about.
 CHUNK = 2_000_000
 BUCKET = 2_000_000
 BATCH_SETS = 16_384
+#: Runs of more members than this are met in blocks of about MET_ROWS members, not as pairs.
+LONG_RUN = 16
+MET_ROWS = 1024
 
 U = np.uint64
 # Odd constants of a generator, not of meaning: they make the hash functions.
@@ -316,16 +322,17 @@ def need(sizes: np.ndarray, role: int, larger: bool) -> np.ndarray:
     return (sizes + sizes * 4 // 3) // 7 + 1
 
 
-def allot(s: Signatures, n_sets: int, cost: np.ndarray, own: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which segments get one unit (others share them) and which of their own get a second one.
+def allot(s: Signatures, n_sets: int, first: np.ndarray, second: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which shared segments get a unit, and which of a set's own segments get a second one.
 
-    ``cost`` is the number of other sets with the signature, ``own`` where it is 0. Units on
-    segments of their own come first and need no lookup; what is missing is the cheapest of
-    shared segments and second units.
+    ``first`` is the number of other sets with the signature, 0 for a segment of the set's own,
+    and ``second`` the number of sets that looking up its one-deletion neighbourhood finds. Units
+    on own segments come first and need no lookup; what is missing is the cheapest of the rest.
     """
+    own = first == 0
     lack = need(sizes, 0, False) - np.bincount(s.set[own], minlength=n_sets)
     double = own & (s.count >= 2)
-    price = np.where(own, np.where(double, SECOND, INFINITE), cost)
+    price = np.where(double, second + LOOKUP * (s.count + 1), np.where(own, NEVER, first))
     order = np.lexsort((price, s.set))
     owner = s.set[order]
     begins = np.searchsorted(owner, np.arange(n_sets))
@@ -335,135 +342,265 @@ def allot(s: Signatures, n_sets: int, cost: np.ndarray, own: np.ndarray, sizes:
     return chosen & ~own, chosen & double
 
 
-INFINITE = 1e18
+# ---- second pass: candidates among sets that share much
 
+LIVE = "_rep long, _n long, _role0 boolean, _role1 boolean, _set binary, _first binary"
+_LIVE = {"_rep": pa.int64(), "_n": pa.int64(), "_role0": pa.bool_(), "_role1": pa.bool_(), "_set": pa.binary(), "_first": pa.binary()}
+LOW = U((1 << 40) - 1)
 
-# ---- second pass: candidates among sets that share much
 
-LIVE = "_rep long, _n long, _role0 boolean, _role1 boolean, _set binary, _once binary, _twice binary"
+def _numbers_of(keys: list[bytes] | None, counts: list[bytes] | None, wanted: np.ndarray) -> np.ndarray:
+    """Counts that go with the low bits of the wanted keys; 0 for others."""
+    have = np.concatenate([np.frombuffer(x, U) for x in keys or []] or [np.zeros(0, U)])
+    if not len(have):
+        return np.zeros(len(wanted))
+    number = np.concatenate([np.frombuffer(x, np.uint32) for x in counts])
+    order = np.argsort(have, kind="stable")
+    have, number = have[order], number[order]
+    place = np.minimum(np.searchsorted(have, wanted & LOW), len(have) - 1)
+    return np.where(have[place] == (wanted & LOW), number[place], 0).astype(float)
 
 
 def _live_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The whole set of each live text with its allotment, if the text still is the expected one."""
+    """The whole set of each live text with the number of others at each segment, if the text still is the expected one."""
     for batch in batches:
-        keys_of, counts_of = batch.column(5).to_pylist(), batch.column(6).to_pylist()
         given, digest = batch.column(0).to_numpy(), batch.column(2).to_numpy()
         for a, b, hashes, offsets in shingle_sets(batch.column(1)):
             c1, _ = digests(hashes, offsets)
-            sizes = np.diff(offsets)
             s = Signatures(hashes, offsets, 0)
-            cost = np.zeros(len(s.keys))
             at = np.searchsorted(s.set, np.arange(b - a + 1))
-            mine = s.keys & U((1 << 40) - 1)
-            for d in range(b - a):
-                lo, hi = int(at[d]), int(at[d + 1])
-                shared = np.concatenate([np.frombuffer(x, U) for x in keys_of[a + d]] or [np.zeros(0, U)])
-                number = np.concatenate([np.frombuffer(x, np.uint32) for x in counts_of[a + d]] or [np.zeros(0, np.uint32)])
-                if not len(shared) or lo == hi:
-                    continue
-                order = np.argsort(shared, kind="stable")
-                shared, number = shared[order], number[order]
-                place = np.minimum(np.searchsorted(shared, mine[lo:hi]), len(shared) - 1)
-                cost[lo:hi] = np.where(shared[place] == mine[lo:hi], number[place] - 1.0, 0.0)
-            once, twice = allot(s, b - a, cost, cost == 0, sizes)
             made = []
-            for d in range(b - a):
-                if c1[d] != digest[a + d]:
-                    continue
-                lo, hi = int(at[d]), int(at[d + 1])
+            for d in np.flatnonzero(c1 == digest[a:b]):
+                number = _numbers_of(batch.column(5)[a + d].as_py(), batch.column(6)[a + d].as_py(), s.keys[at[d]:at[d + 1]])
                 made.append({
-                    "_rep": int(given[a + d]), "_n": int(sizes[d]), "_role0": batch.column(3)[a + d].as_py(), "_role1": batch.column(4)[a + d].as_py(),
-                    "_set": hashes[offsets[d]:offsets[d + 1]].tobytes(), "_once": np.packbits(once[lo:hi]).tobytes(), "_twice": np.packbits(twice[lo:hi]).tobytes()})
-            yield _rows(made, {"_rep": pa.int64(), "_n": pa.int64(), "_role0": pa.bool_(), "_role1": pa.bool_(), "_set": pa.binary(), "_once": pa.binary(), "_twice": pa.binary()})
+                    "_rep": int(given[a + d]), "_n": int(offsets[d + 1] - offsets[d]), "_role0": batch.column(3)[a + d].as_py(), "_role1": batch.column(4)[a + d].as_py(),
+                    "_set": hashes[offsets[d]:offsets[d + 1]].tobytes(), "_first": np.maximum(number - 1, 0).astype(np.uint32).tobytes()})
+            yield _rows(made, _LIVE)
+
+
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of live sets, a bounded volume at a time, with their hashes and offsets."""
+    step = 0
+    while step < batch.num_rows:
+        end = volume = 0
+        end = step
+        while end < batch.num_rows and end - step < BATCH_SETS // 2 and (end == step or volume <= CHUNK * 4):
+            volume += len(batch.column(4)[end].as_buffer())
+            end += 1
+        part = batch.slice(step, end - step)
+        sets = [np.frombuffer(x.as_buffer(), U) for x in part.column(4)]
+        yield part, np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+        step = end
+
+
+ALLOTTED = LIVE.replace("_first", "_once") + ", _twice binary"
+
+
+def _allotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Live sets with a bit per segment for a unit on a shared one, and for a second unit on an own one."""
+    for batch in batches:
+        for part, hashes, offsets in _groups(batch):
+            s = Signatures(hashes, offsets, 0)
+            n = part.num_rows
+            at = np.searchsorted(s.set, np.arange(n + 1))
+            first = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in part.column(5)]).astype(float)
+            second = np.zeros(len(s.keys))
+            gone, _ = s.deletions(1)
+            more = mix(s.keys + _GONE)
+            for d in range(n):
+                if part.column(6)[d].is_valid:
+                    keys, counts = part.column(6)[d].as_py(), part.column(7)[d].as_py()
+                    lo, hi = at[d], at[d + 1]
+                    second[lo:hi] = _numbers_of(keys, counts, more[lo:hi]) + np.bincount(
+                        s.of[offsets[d]:offsets[d + 1]] - lo, _numbers_of(keys, counts, gone[offsets[d]:offsets[d + 1]]), hi - lo)
+            once, twice = allot(s, n, first, second, np.diff(offsets))
+            bits = [pa.array([np.packbits(x[at[d]:at[d + 1]]).tobytes() for d in range(n)], pa.binary()) for x in (once, twice)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:5], *bits], names=["_rep", "_n", "_role0", "_role1", "_set", "_once", "_twice"])
 
 
 INDEX, PROBE = 1, 2
 
 
+def _indexed(part: pa.RecordBatch, hashes: np.ndarray, offsets: np.ndarray) -> tuple[Signatures, list, list]:
+    """Signatures that others may find: exact ones, and less one shingle, in both roles."""
+    keys, of = [], []
+    for role in (1, 0):
+        s = Signatures(hashes, offsets, role)
+        live = np.array(part.column(2 + role).to_pylist(), bool)
+        gone, owner = s.deletions(3)
+        for new, sets in ((s.keys, s.set), (mix(gone + _GONE), owner)):
+            fit = live[sets]
+            keys.append(new[fit])
+            of.append(sets[fit].astype(np.int64) << 2 | INDEX)
+    return s, keys, of
+
+
+def _asked(s: Signatures, once: np.ndarray | None, twice: np.ndarray, keys: list, of: list) -> None:
+    """Signatures to look up: of the ``once`` segments, and the neighbourhoods of the ``twice`` ones."""
+    gone, owner = s.deletions(2, twice)
+    asks = [(gone, owner), (mix(s.keys[twice] + _GONE), s.set[twice])]  # the partner lacks a shingle, or has one more
+    if once is not None:
+        asks.append((s.keys[once], s.set[once]))
+    for new, sets in asks:
+        keys.append(new)
+        of.append(sets.astype(np.int64) << 2 | PROBE)
+
+
+def _questions(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Blobs to learn what second units would cost, of sets that lack units."""
+    for batch in batches:
+        for part, hashes, offsets in _groups(batch):
+            s, keys, of = _indexed(part, hashes, offsets)
+            own = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in part.column(5)]) == 0
+            lack = need(np.diff(offsets), 0, False) > np.bincount(s.set[own], minlength=part.num_rows)
+            _asked(s, None, own & (s.count >= 2) & lack[s.set], keys, of)
+            yield _rows(list(_blobs(part.column(0).to_numpy(), np.concatenate(of), np.concatenate(keys), buckets)), _BLOB)
+
+
+ANSWERS = "_set long, _keys binary, _counts binary"
+
+
+def _answers(table: pa.Table) -> pa.Table:
+    """For each set that asks in a bucket, the signatures that others index there, and how many."""
+    sets, keys, flags = _entries(table)
+    sets = sets[:, 0]
+    order = np.argsort(keys, kind="stable")
+    sets, keys, flags = sets[order], keys[order], flags[order]
+    run = np.cumsum(np.concatenate(([0], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    found = np.bincount(run[flags == INDEX], minlength=run[-1] + 1 if len(run) else 0)[run] if len(run) else run
+    hit = (flags == PROBE) & (found > 0)
+    sets, keys, found = sets[hit], keys[hit], found[hit]
+    order = np.argsort(sets, kind="stable")
+    sets, keys, found = sets[order], keys[order], found[order]
+    cuts = np.flatnonzero(np.concatenate(([True], sets[1:] != sets[:-1]))) if len(sets) else np.zeros(0, np.int64)
+    ends = np.append(cuts[1:], len(sets)) if len(sets) else cuts
+    return pa.table({
+        "_set": sets[cuts], "_keys": pa.array([keys[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+        "_counts": pa.array([found[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts, ends)], pa.binary())})
+
+
 def _lookups(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Blobs of the live sets: indexed and looked-up signatures, exact and less one shingle."""
+    """Blobs of the live sets: indexed and looked-up signatures."""
     for batch in batches:
-        step = 0
-        rows = batch.num_rows
-        while step < rows:
-            end, volume = step, 0
-            while end < rows and (end == step or volume + len(batch.column(4)[end].as_buffer()) <= CHUNK * 4) and end - step < BATCH_SETS // 2:
-                volume += len(batch.column(4)[end].as_buffer())
-                end += 1
-            part = batch.slice(step, end - step)
-            step = end
-            sets = [np.frombuffer(x.as_buffer(), U) for x in part.column(4)]
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
-            hashes = np.concatenate(sets)
-            roles = [np.array(part.column(k).to_pylist(), bool) for k in (2, 3)]
-            keys, of = [], []
-
-            def add(new: np.ndarray, owner: np.ndarray, flag: int) -> None:
-                keys.append(new)
-                of.append(owner.astype(np.int64) << 2 | flag)
-
-            for role in (0, 1):
-                s = Signatures(hashes, offsets, role)
-                fit = roles[role][s.set]
-                add(s.keys[fit], s.set[fit], INDEX)
-                gone, owner = s.deletions(3)
-                fit = roles[role][owner]
-                add(mix(gone[fit] + _GONE), owner[fit], INDEX)
-                if role == 0:
-                    bits = [np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=int(c)) for x, c in zip(
-                        part.column(k), np.bincount(s.set, minlength=len(sets)))] or [np.zeros(0, np.uint8)]).astype(bool) for k in (5, 6)]
-                    once, twice = bits
-                    add(s.keys[once], s.set[once], PROBE)
-                    gone, owner = s.deletions(2, twice)
-                    add(gone, owner, PROBE)  # the partner lacks one
-                    add(mix(s.keys[twice] + _GONE), s.set[twice], PROBE)  # the partner has one more
+        for part, hashes, offsets in _groups(batch):
+            s, keys, of = _indexed(part, hashes, offsets)
+            width = np.bincount(s.set, minlength=part.num_rows)
+            once, twice = (np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=int(c)) for x, c in zip(part.column(k), width)]).astype(bool)
+                           for k in (5, 6))
+            _asked(s, once, twice, keys, of)
             values = np.stack([part.column(k).to_numpy().astype(np.int64) for k in (0, 1, 7)], axis=1)
-            # Signatures looked up by nobody here may be looked up elsewhere: all go.
             yield _rows(list(_blobs(values, np.concatenate(of), np.concatenate(keys), buckets)), _BLOB)
 
 
 PAIRS = "_a long, _b long"
 
 
-def _candidates(table: pa.Table, star: bool) -> pa.Table:
-    """Distinct pairs of one bucket: of a run's smallest member with the others, or of all members
-    that were not joined so far. A run needs a lookup and an indexed signature of different sets."""
+def _runs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Members (id, size, root) of runs of equal signatures, their flags, and the runs' bounds:
+    runs with a lookup and an indexed signature, of different sets. Members are in order of id."""
     sets, keys, flags = _entries(table, 3)
     order = np.lexsort((sets[:, 0], keys))
     sets, keys, flags = sets[order], keys[order], flags[order]
-    pairs: list[np.ndarray] = []
-    if len(keys):
-        fresh = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (sets[1:, 0] != sets[:-1, 0]))))
-        flags = np.bitwise_or.reduceat(flags, fresh)
-        sets, keys = sets[fresh], keys[fresh]
-        begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        end = np.append(begin[1:], len(keys))
-        held = np.bitwise_or.reduceat(flags, begin) == INDEX | PROBE
-        several = held & (end - begin > 1)
-        if star:
-            run = np.repeat(np.arange(len(begin)), end - begin)
-            rest = several[run]
-            rest[begin] = False
-            head = begin[run[rest]]
-            pairs.append(np.stack([sets[head, 0], sets[rest, 0]], axis=1)[_alike(sets[head, 1], sets[rest, 1])])
-        else:
-            low = np.minimum.reduceat(sets[:, 2], begin)
-            high = np.maximum.reduceat(sets[:, 2], begin)
-            for i in np.flatnonzero(several & (low != high)):
-                own = sets[begin[i]:end[i]]
-                asks = np.flatnonzero(flags[begin[i]:end[i]] & PROBE)
-                indexed = flags[begin[i]:end[i]] & INDEX > 0
-                for p in asks:
-                    fit = indexed & (own[:, 2] != own[p, 2]) & _alike(own[:, 1], own[p, 1])
-                    if fit.any():
-                        other = own[fit, 0]
-                        pairs.append(np.stack([np.minimum(other, own[p, 0]), np.maximum(other, own[p, 0])], axis=1))
-                if len(pairs) > 256:
-                    pairs = [np.unique(np.concatenate(pairs), axis=0)]
-    found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+    if not len(keys):
+        return sets, flags, keys.astype(np.int64), keys.astype(np.int64)
+    fresh = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (sets[1:, 0] != sets[:-1, 0]))))
+    flags = np.bitwise_or.reduceat(flags, fresh)
+    sets, keys = sets[fresh], keys[fresh]
+    begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    end = np.append(begin[1:], len(keys))
+    held = (np.bitwise_or.reduceat(flags, begin) == INDEX | PROBE) & (end - begin > 1)
+    return sets, flags, begin[held], end[held]
+
+
+def _stars(table: pa.Table) -> pa.Table:
+    """Distinct pairs of each run's smallest member with the others, if their sizes allow a link."""
+    sets, _, begin, end = _runs(table)
+    size = end - begin
+    head = np.repeat(begin, size)
+    rest = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + head
+    fit = (rest != head) & _alike(sets[head, 1], sets[rest, 1])
+    found = np.unique(np.stack([sets[head[fit], 0], sets[rest[fit], 0]], axis=1), axis=0)
     return pa.table({"_a": found[:, 0], "_b": found[:, 1]})
 
 
+CROSS = "_group long, _a long, _b long"
+
+
+def _cross(table: pa.Table) -> pa.Table:
+    """Of runs whose members are not all joined yet: pairs of members that are not, or, of long runs,
+    no pairs but rows (component of the smallest member, member, whether it looks up)."""
+    sets, flags, begin, end = _runs(table)
+    pairs, members = [np.zeros((0, 2), np.int64)], [np.zeros((0, 3), np.int64)]
+    root = sets[:, 2]
+    for a, b in zip(begin, end):
+        if (root[a:b] == root[a]).all():
+            continue
+        asks = flags[a:b] & PROBE > 0
+        if b - a > LONG_RUN:
+            members.append(np.stack([np.full(b - a, root[a]), sets[a:b, 0], asks], axis=1))
+        else:
+            fit = asks[:, None] & (flags[a:b] & INDEX > 0) & (root[a:b, None] != root[a:b]) & _alike(sets[a:b, 1][:, None], sets[a:b, 1])
+            x, y = np.nonzero(fit)
+            pairs.append(np.sort(np.stack([sets[a + x, 0], sets[a + y, 0]], axis=1), axis=1))
+        if len(pairs) > 2000:
+            pairs = [np.unique(np.concatenate(pairs), axis=0)]
+        if len(members) > 50:
+            members = [np.unique(np.concatenate(members), axis=0)]
+    two, three = np.unique(np.concatenate(pairs), axis=0), np.unique(np.concatenate(members), axis=0)
+    return pa.table({
+        "_group": pa.concat_arrays([pa.nulls(len(two), pa.int64()), pa.array(three[:, 0], pa.int64())]),
+        "_a": np.concatenate((two[:, 0], three[:, 1])), "_b": np.concatenate((two[:, 1], three[:, 2]))})
+
+
+def _met(block: pa.Table) -> pa.Table:
+    """Links between sets that look up and sets of other components, both in blocks: one link for
+    each asking set and component. Overlaps are counted by an index of the shingles."""
+    out: list[tuple[int, int]] = []
+    left, right = block.filter(block.column("_left")), block.filter(pc.invert(block.column("_left")))
+    if left.num_rows and right.num_rows:
+        ids, sizes, roots = (right.column(c).to_numpy() for c in ("_x", "_n", "_root"))
+        often, number = np.unique(roots, return_counts=True)
+        often = often[np.argmax(number)]
+
+        def index(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            sets = [np.frombuffer(right.column("_set")[int(i)].as_buffer(), U) for i in rows]
+            token = np.concatenate(sets) if sets else np.zeros(0, U)
+            owner = np.repeat(rows, [len(x) for x in sets]) if sets else rows
+            order = np.argsort(token, kind="stable")
+            token, owner = token[order], owner[order]
+            first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
+            return token[first], np.append(first, len(token)), owner
+
+        whole, few = index(np.arange(len(ids))), index(np.flatnonzero(roots != often))
+        for x, n, root, raw in zip(*(left.column(c).to_pylist() for c in ("_x", "_n", "_root")), left.column("_set")):
+            tokens, bounds, owner = few if root == often else whole
+            if not len(tokens):
+                continue
+            own = np.frombuffer(raw.as_buffer(), U)
+            at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+            at = at[tokens[at] == own]
+            if not len(at):
+                continue
+            both = np.bincount(np.concatenate([owner[bounds[i]:bounds[i + 1]] for i in at]), minlength=len(ids))
+            hit = np.flatnonzero((100 * both >= 75 * (sizes + n - both)) & (roots != root))
+            _, one = np.unique(roots[hit], return_index=True)
+            out.extend((x, int(ids[i])) for i in hit[one])
+    return pa.table({"_a": pa.array([a for a, _ in out], pa.int64()), "_b": pa.array([b for _, b in out], pa.int64())})
+
+
+def met_in_blocks(members: DataFrame, live: DataFrame) -> DataFrame:
+    """Links inside the groups of ``_group, _a (member), _b (1 if it looks up)``, block by block of members."""
+    each = members.groupBy("_group", F.col("_a").alias("_x")).agg(F.max("_b").alias("_asks"))
+    width = each.groupBy("_group").agg(F.ceil(F.count(F.lit(1)) / MET_ROWS).cast("int").alias("_w"))
+    each = each.join(width, "_group").withColumn("_own", F.pmod(F.xxhash64("_x"), F.col("_w")).cast("int"))
+    each = each.join(live.select(F.col("_rep").alias("_x"), "_n", "_root", "_set"), "_x")
+    every = F.explode(F.sequence(F.lit(0), F.col("_w") - 1))
+    key = ["_group", "_l", "_r"]
+    left = each.where("_asks = 1").select("_group", F.col("_own").alias("_l"), every.alias("_r"), "_x", "_n", "_root", "_set", F.lit(True).alias("_left"))
+    right = each.select("_group", every.alias("_l"), F.col("_own").alias("_r"), "_x", "_n", "_root", "_set", F.lit(False).alias("_left"))
+    return left.unionByName(right).groupBy(*key).applyInArrow(_met, PAIRS)
+
+
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (4 * a >= 3 * b) & (4 * b >= 3 * a)
 
@@ -552,16 +689,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = live.select(F.col("_rep").alias("_id"), "_c1", "_role0", "_role1", "_keys", "_counts")
     texts = base.join(live, "_id").select("_id", "_text", "_c1", "_role0", "_role1", "_keys", "_counts")
     live = stage(texts.mapInArrow(_live_sets, LIVE).dropDuplicates(["_rep"]), "live-sets")
+    asked = live.select("_rep", "_n", "_role0", "_role1", "_set", "_first").mapInArrow(lambda it: _questions(it, buckets), BLOBS)
+    told = asked.groupBy("_bucket").applyInArrow(_answers, ANSWERS).groupBy(F.col("_set").alias("_rep")).agg(
+        F.collect_list("_keys").alias("_keys"), F.collect_list("_counts").alias("_counts"))
+    live = live.join(told, "_rep", "left").select("_rep", "_n", "_role0", "_role1", "_set", "_first", "_keys", "_counts")
+    live = stage(live.mapInArrow(_allotted, ALLOTTED), "allotted-sets")
 
-    def candidates(sets: DataFrame, star: bool) -> DataFrame:
+    def looked_up(sets: DataFrame) -> DataFrame:
         rows = sets.select("_rep", "_n", "_role0", "_role1", "_set", "_once", "_twice", "_root")
-        looked = rows.mapInArrow(lambda it: _lookups(it, buckets), BLOBS)
-        return looked.groupBy("_bucket").applyInArrow(lambda t: _candidates(t, star), PAIRS).distinct()
+        return rows.mapInArrow(lambda it: _lookups(it, buckets), BLOBS).groupBy("_bucket")
 
-    first = stage(verified(candidates(live.withColumn("_root", F.col("_rep")), True), live), "pairs")
+    stars = looked_up(live.withColumn("_root", F.col("_rep"))).applyInArrow(_stars, PAIRS).distinct()
+    first = stage(verified(stars, live), "pairs")
     roots = components(first)
     known = live.join(roots, F.col("_rep") == F.col("_node"), "left").withColumn("_root", F.coalesce("_root", "_rep"))
-    second = stage(verified(candidates(known, False), live), "pairs")
+    cross = stage(looked_up(known).applyInArrow(_cross, CROSS).distinct(), "cross")
+    second = verified(cross.where("_group is null").select("_a", "_b"), live)
+    second = stage(second.unionByName(met_in_blocks(cross.where("_group is not null"), known)), "pairs")
     if not second.isEmpty():
         more = second.join(roots.select(F.col("_node").alias("_a"), F.col("_root").alias("_ra")), "_a", "left").join(
             roots.select(F.col("_node").alias("_b"), F.col("_root").alias("_rb")), "_b", "left")
