@@ -23,6 +23,7 @@ LEVEL = 3
 #: A margin, as a share of the second-best size, below this is a rejection.
 MARGIN = 0.002
 UNKNOWN = "und"
+_PLAIN = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 ANSWER = "struct<lang:string,score:double,margin:double,rejected:boolean>"
 
 
@@ -40,12 +41,18 @@ def dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "t
     books: dict[str, list[str]] = {}
     for row in kept:
         books.setdefault(row._lang, []).append(row._text)
-    return {lang: "\n".join(texts).encode() for lang, texts in books.items()}
+    return {lang: b" ".join(map(_plain, texts)) for lang, texts in books.items()}
+
+
+def _plain(text: str) -> bytes:
+    """Letters in lower case, words apart by one space; characters beyond ASCII stay."""
+    return b" ".join(text.lower().encode("utf-8", "replace").translate(_PLAIN).split())
 
 
 def _classify(batches: Iterator[pa.Array], books: dict[str, bytes], margin: float) -> Iterator[pa.Array]:
     langs = sorted(books)
     makers = []
+    vocabularies = [set(books[lang].split()) for lang in langs]
     for lang in langs:
         data = zstandard.ZstdCompressionDict(books[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         data.precompute_compress(level=LEVEL)
@@ -57,12 +64,21 @@ def _classify(batches: Iterator[pa.Array], books: dict[str, bytes], margin: floa
             if raw is None or not langs or not any(map(str.isalpha, raw)):
                 out.append({"lang": UNKNOWN, "score": 0.0, "margin": 0.0, "rejected": True})
                 continue
-            data = memoryview(raw.encode("utf-8", "replace"))
+            data = memoryview(_plain(raw))
             blocks = [data[i:i + BLOCK] for i in range(0, len(data), BLOCK)]
             sizes = [sum(len(pack(b)) for b in blocks) for pack in makers]
-            order = sorted(range(len(langs)), key=lambda i: (sizes[i], -len(books[langs[i]]), langs[i]))
+            least = min(sizes)
+            close = [i for i in range(len(langs)) if sizes[i] == least]
+            if len(close) > 1:  # as happens to texts of a few words: whole words that the dictionaries hold decide
+                own = set(bytes(data).split())
+                held = {i: sum(len(w) for w in own if w in vocabularies[i]) for i in close}
+                order = sorted(close, key=lambda i: (-held[i], -len(books[langs[i]]), langs[i]))
+                gap = (held[order[0]] - held[order[1]]) / max(1, sum(map(len, own)))
+            else:
+                order = close
+                second = min(sizes[:close[0]] + sizes[close[0] + 1:], default=0)
+                gap = (second - least) / second if second else 1.0
             best = order[0]
-            gap = (sizes[order[1]] - sizes[best]) / sizes[order[1]] if len(order) > 1 else 1.0
             out.append({"lang": langs[best], "score": gap / (gap + margin) if gap else 0.0, "margin": gap, "rejected": gap < margin})
         yield pa.array(out, pa.struct([("lang", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())]))
 
@@ -72,8 +88,9 @@ def language(text: Column, books: dict[str, bytes], margin: float = MARGIN) -> C
 
     * Null texts, texts without a letter, and any text when no language was learned: ``und``,
       score 0, rejected.
-    * The whole text counts, in blocks; equal sizes go to the language with the larger
-      dictionary, then the first by name, with score 0, and are rejected.
+    * The whole text counts, in blocks, as lower-case words with one space between. Of equal sizes, the language whose
+      dictionary holds more of the text's words wins, with that lead for a margin; then the one
+      with the larger dictionary and the first by name, with score 0 and rejected.
     * The score grows with the margin, and is one half at the rejection threshold.
 
     The dictionaries travel with the function: their size is bounded by the sample's.
