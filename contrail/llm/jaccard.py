@@ -22,6 +22,7 @@ partners are in one band or the next, and a set also has signatures in the segme
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,10 @@ SMALL = 64
 SLACK = 1.3
 #: Cost of looking a signature up, in candidates.
 LOOKUP = 0.1
+#: A shared segment with no more others than this is taken without asking what second units find.
+CHEAP = 4
+#: Up to so many ids of live sets, 8 bytes each, are broadcast.
+FEW_IDS = 1_000_000
 NEVER = 1e18
 #: Bytes of text handled at once, and entries of a bucket, about.
 CHUNK = 2_000_000
@@ -172,6 +177,8 @@ class Signatures:
         self.salt = band.astype(U) * _BAND + np.where(single, U(0), seg * _SEG)
         self.hashes = hashes
         self.keys = mix(self.total + self.salt[self.starts])
+        # Band and segment as one number; in band 0 a segment is a shingle, and has no second unit.
+        self.spot = np.where(single, 0, band << 40 | seg.astype(np.int64))[self.starts]
 
     def deletions(self, least: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Keys of segments of ``least`` shingles or more less one shingle each, and their sets."""
@@ -308,8 +315,13 @@ def _shared(table: pa.Table) -> pa.Table:
     low = np.add.reduceat(flags & 1, cuts) if len(sets) else cuts
     return pa.table({
         "_c1": sets[cuts], "_shared0": (ends - cuts - low).astype(np.int64), "_shared1": low.astype(np.int64),
-        "_keys": pa.array([keys[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-        "_counts": pa.array([size[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts, ends)], pa.binary())})
+        "_keys": pa.array([_pack(keys[a:b]) for a, b in zip(cuts, ends)], pa.binary()),
+        "_counts": pa.array([_saturated(size[a:b]) for a, b in zip(cuts, ends)], pa.binary())})
+
+
+def _saturated(numbers: np.ndarray) -> bytes:
+    """Counts as bytes; they only price a choice, so 255 stands for more."""
+    return np.minimum(numbers, 255).astype(np.uint8).tobytes()
 
 
 def need(sizes: np.ndarray, role: int, larger: bool) -> np.ndarray:
@@ -344,17 +356,18 @@ def allot(s: Signatures, n_sets: int, first: np.ndarray, second: np.ndarray, siz
 
 # ---- second pass: candidates among sets that share much
 
-LIVE = "_rep long, _n long, _role0 boolean, _role1 boolean, _set binary, _first binary"
-_LIVE = {"_rep": pa.int64(), "_n": pa.int64(), "_role0": pa.bool_(), "_role1": pa.bool_(), "_set": pa.binary(), "_first": pa.binary()}
+LIVE = "_rep long, _n long, _role0 boolean, _role1 boolean, _set binary, _first binary, _next binary, _spots array<bigint>"
+_LIVE = {"_rep": pa.int64(), "_n": pa.int64(), "_role0": pa.bool_(), "_role1": pa.bool_(), "_set": pa.binary(), "_first": pa.binary(), "_next": pa.binary(),
+         "_spots": pa.list_(pa.int64())}
 LOW = U((1 << 40) - 1)
 
 
 def _numbers_of(keys: list[bytes] | None, counts: list[bytes] | None, wanted: np.ndarray) -> np.ndarray:
     """Counts that go with the low bits of the wanted keys; 0 for others."""
-    have = np.concatenate([np.frombuffer(x, U) for x in keys or []] or [np.zeros(0, U)])
+    have = np.concatenate([_unpack(x) for x in keys or []] or [np.zeros(0, U)])
     if not len(have):
         return np.zeros(len(wanted))
-    number = np.concatenate([np.frombuffer(x, np.uint32) for x in counts])
+    number = np.concatenate([np.frombuffer(x, np.uint8) for x in counts])
     order = np.argsort(have, kind="stable")
     have, number = have[order], number[order]
     place = np.minimum(np.searchsorted(have, wanted & LOW), len(have) - 1)
@@ -362,19 +375,29 @@ def _numbers_of(keys: list[bytes] | None, counts: list[bytes] | None, wanted: np
 
 
 def _live_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The whole set of each live text with the number of others at each segment, if the text still is the expected one."""
+    """The whole set of each live text, if the text still is the expected one: the number of other sets at
+    each segment, bits for the shared ones of the next band, and the spots whose second units it may want."""
     for batch in batches:
         given, digest = batch.column(0).to_numpy(), batch.column(2).to_numpy()
         for a, b, hashes, offsets in shingle_sets(batch.column(1)):
             c1, _ = digests(hashes, offsets)
-            s = Signatures(hashes, offsets, 0)
-            at = np.searchsorted(s.set, np.arange(b - a + 1))
+            s, low = Signatures(hashes, offsets, 0), Signatures(hashes, offsets, 1)
+            at, low_at = (np.searchsorted(x.set, np.arange(b - a + 1)) for x in (s, low))
+            wanted = need(np.diff(offsets), 0, False)
             made = []
             for d in np.flatnonzero(c1 == digest[a:b]):
-                number = _numbers_of(batch.column(5)[a + d].as_py(), batch.column(6)[a + d].as_py(), s.keys[at[d]:at[d + 1]])
+                lo, hi = at[d], at[d + 1]
+                known = batch.column(5)[a + d].as_py(), batch.column(6)[a + d].as_py()
+                first = np.maximum(_numbers_of(*known, s.keys[lo:hi]) - 1, 0)
+                lack = int(wanted[d] - (first == 0).sum())
+                shared = np.sort(first[first > 0])
+                # Units that a few candidates pay for need no second thoughts.
+                asks = lack > 0 and (lack > len(shared) or shared[lack - 1] > CHEAP)
                 made.append({
                     "_rep": int(given[a + d]), "_n": int(offsets[d + 1] - offsets[d]), "_role0": batch.column(3)[a + d].as_py(), "_role1": batch.column(4)[a + d].as_py(),
-                    "_set": hashes[offsets[d]:offsets[d + 1]].tobytes(), "_first": np.maximum(number - 1, 0).astype(np.uint32).tobytes()})
+                    "_set": hashes[offsets[d]:offsets[d + 1]].tobytes(), "_first": first.astype(np.uint8).tobytes(),
+                    "_next": np.packbits(_numbers_of(*known, low.keys[low_at[d]:low_at[d + 1]]) > 0).tobytes(),
+                    "_spots": s.spot[lo:hi][(first == 0) & (s.count[lo:hi] >= 2)].tolist() if asks else []})
             yield _rows(made, _LIVE)
 
 
@@ -382,8 +405,7 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray,
     """Rows of live sets, a bounded volume at a time, with their hashes and offsets."""
     step = 0
     while step < batch.num_rows:
-        end = volume = 0
-        end = step
+        volume, end = 0, step
         while end < batch.num_rows and end - step < BATCH_SETS // 2 and (end == step or volume <= CHUNK * 4):
             volume += len(batch.column(4)[end].as_buffer())
             end += 1
@@ -393,67 +415,67 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray,
         step = end
 
 
-ALLOTTED = LIVE.replace("_first", "_once") + ", _twice binary"
+ALLOTTED = "_rep long, _once binary, _twice binary, _spots array<bigint>"
 
 
 def _allotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Live sets with a bit per segment for a unit on a shared one, and for a second unit on an own one."""
+    """A bit per segment for a unit on a shared one, and for a second unit on an own one; the spots of the latter."""
     for batch in batches:
         for part, hashes, offsets in _groups(batch):
             s = Signatures(hashes, offsets, 0)
             n = part.num_rows
             at = np.searchsorted(s.set, np.arange(n + 1))
-            first = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in part.column(5)]).astype(float)
-            second = np.zeros(len(s.keys))
+            first = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in part.column(5)]).astype(float)
+            second = np.full(len(s.keys), NEVER)  # no set does what it hasn't asked about, unless nothing else is left
             gone, _ = s.deletions(1)
-            more = mix(s.keys + _GONE)
             for d in range(n):
-                if part.column(6)[d].is_valid:
-                    keys, counts = part.column(6)[d].as_py(), part.column(7)[d].as_py()
+                if part.column(7)[d].as_py():
                     lo, hi = at[d], at[d + 1]
-                    second[lo:hi] = _numbers_of(keys, counts, more[lo:hi]) + np.bincount(
-                        s.of[offsets[d]:offsets[d + 1]] - lo, _numbers_of(keys, counts, gone[offsets[d]:offsets[d + 1]]), hi - lo)
+                    second[lo:hi] = np.bincount(s.of[offsets[d]:offsets[d + 1]] - lo, _numbers_of(
+                        part.column(8)[d].as_py(), part.column(9)[d].as_py(), gone[offsets[d]:offsets[d + 1]]), hi - lo)
             once, twice = allot(s, n, first, second, np.diff(offsets))
             bits = [pa.array([np.packbits(x[at[d]:at[d + 1]]).tobytes() for d in range(n)], pa.binary()) for x in (once, twice)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:5], *bits], names=["_rep", "_n", "_role0", "_role1", "_set", "_once", "_twice"])
+            spots = pa.array([s.spot[at[d]:at[d + 1]][twice[at[d]:at[d + 1]]].tolist() for d in range(n)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), *bits, spots], names=["_rep", "_once", "_twice", "_spots"])
 
 
 INDEX, PROBE = 1, 2
 
 
-def _indexed(part: pa.RecordBatch, hashes: np.ndarray, offsets: np.ndarray) -> tuple[Signatures, list, list]:
-    """Signatures that others may find: exact ones, and less one shingle, in both roles."""
+def _indexed(part: pa.RecordBatch, hashes: np.ndarray, offsets: np.ndarray, spots: np.ndarray, lacking: bool) -> tuple[Signatures, list, list]:
+    """Signatures that others may look up, in both roles: of shared segments, of any segment at the spots
+    where someone has a second unit, and there (if ``lacking``) less one shingle."""
     keys, of = [], []
     for role in (1, 0):
         s = Signatures(hashes, offsets, role)
-        live = np.array(part.column(2 + role).to_pylist(), bool)
-        gone, owner = s.deletions(3)
-        for new, sets in ((s.keys, s.set), (mix(gone + _GONE), owner)):
-            fit = live[sets]
-            keys.append(new[fit])
-            of.append(sets[fit].astype(np.int64) << 2 | INDEX)
+        live = np.array(part.column(2 + role).to_pylist(), bool)[s.set]
+        here = live & np.isin(s.spot, spots)
+        if lacking:
+            width = np.bincount(s.set, minlength=part.num_rows)
+            raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in part.column(5 + role)]
+            shared = np.concatenate([x > 0 if role == 0 else np.unpackbits(x, count=int(c)).astype(bool) for x, c in zip(raw, width)])
+            gone, owner = s.deletions(3, here)
+            keys.append(mix(gone + _GONE))
+            of.append(owner.astype(np.int64) << 2 | INDEX)
+            here = live & (shared | here)
+        keys.append(s.keys[here])
+        of.append(s.set[here].astype(np.int64) << 2 | INDEX)
     return s, keys, of
 
 
-def _asked(s: Signatures, once: np.ndarray | None, twice: np.ndarray, keys: list, of: list) -> None:
-    """Signatures to look up: of the ``once`` segments, and the neighbourhoods of the ``twice`` ones."""
-    gone, owner = s.deletions(2, twice)
-    asks = [(gone, owner), (mix(s.keys[twice] + _GONE), s.set[twice])]  # the partner lacks a shingle, or has one more
-    if once is not None:
-        asks.append((s.keys[once], s.set[once]))
-    for new, sets in asks:
-        keys.append(new)
-        of.append(sets.astype(np.int64) << 2 | PROBE)
+def _ask(new: np.ndarray, sets: np.ndarray, keys: list, of: list) -> None:
+    keys.append(new)
+    of.append(sets.astype(np.int64) << 2 | PROBE)
 
 
-def _questions(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Blobs to learn what second units would cost, of sets that lack units."""
+def _questions(batches: Iterator[pa.RecordBatch], buckets: int, spots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Blobs to learn what second units would find in sets that lack one shingle, of sets that want to know."""
     for batch in batches:
         for part, hashes, offsets in _groups(batch):
-            s, keys, of = _indexed(part, hashes, offsets)
-            own = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in part.column(5)]) == 0
-            lack = need(np.diff(offsets), 0, False) > np.bincount(s.set[own], minlength=part.num_rows)
-            _asked(s, None, own & (s.count >= 2) & lack[s.set], keys, of)
+            s, keys, of = _indexed(part, hashes, offsets, spots, False)
+            asks = np.array([len(x) > 0 for x in part.column(7).to_pylist()], bool)
+            first = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in part.column(5)])
+            _ask(*s.deletions(2, (first == 0) & asks[s.set]), keys, of)
             yield _rows(list(_blobs(part.column(0).to_numpy(), np.concatenate(of), np.concatenate(keys), buckets)), _BLOB)
 
 
@@ -475,20 +497,22 @@ def _answers(table: pa.Table) -> pa.Table:
     cuts = np.flatnonzero(np.concatenate(([True], sets[1:] != sets[:-1]))) if len(sets) else np.zeros(0, np.int64)
     ends = np.append(cuts[1:], len(sets)) if len(sets) else cuts
     return pa.table({
-        "_set": sets[cuts], "_keys": pa.array([keys[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-        "_counts": pa.array([found[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts, ends)], pa.binary())})
+        "_set": sets[cuts], "_keys": pa.array([_pack(keys[a:b]) for a, b in zip(cuts, ends)], pa.binary()),
+        "_counts": pa.array([_saturated(found[a:b]) for a, b in zip(cuts, ends)], pa.binary())})
 
 
-def _lookups(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _lookups(batches: Iterator[pa.RecordBatch], buckets: int, spots: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Blobs of the live sets: indexed and looked-up signatures."""
     for batch in batches:
         for part, hashes, offsets in _groups(batch):
-            s, keys, of = _indexed(part, hashes, offsets)
+            s, keys, of = _indexed(part, hashes, offsets, spots, True)
             width = np.bincount(s.set, minlength=part.num_rows)
             once, twice = (np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=int(c)) for x, c in zip(part.column(k), width)]).astype(bool)
-                           for k in (5, 6))
-            _asked(s, once, twice, keys, of)
-            values = np.stack([part.column(k).to_numpy().astype(np.int64) for k in (0, 1, 7)], axis=1)
+                           for k in (7, 8))
+            _ask(s.keys[once], s.set[once], keys, of)
+            _ask(*s.deletions(2, twice), keys, of)  # the partner lacks a shingle
+            _ask(mix(s.keys[twice] + _GONE), s.set[twice], keys, of)  # or has one more
+            values = np.stack([part.column(k).to_numpy().astype(np.int64) for k in (0, 1, 9)], axis=1)
             yield _rows(list(_blobs(values, np.concatenate(of), np.concatenate(keys), buckets)), _BLOB)
 
 
@@ -619,10 +643,37 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["_a", "_b"])
 
 
+SKETCH_BITS = 2048
+SKETCHED = "_rep long, _n long, _sketch binary"
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parity of the number of shingles that hash to each bit: where two sketches differ, the sets do."""
+    for batch in batches:
+        bits = [np.packbits((np.bincount((np.frombuffer(x.as_buffer(), U) & U(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+                for x in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], names=["_rep", "_n", "_sketch"])
+
+
+def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches differ in no more bits than linked sets can differ in shingles."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), U).reshape(batch.num_rows, -1) for k in (4, 5))
+        apart = np.bitwise_count(x ^ y).sum(axis=1)
+        keep = pa.array(apart <= (batch.column(2).to_numpy() + batch.column(3).to_numpy()) // 7)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["_a", "_b"])
+
+
 def verified(pairs: DataFrame, live: DataFrame) -> DataFrame:
-    sets = live.select(F.col("_rep"), F.col("_set"))
-    both = pairs.join(sets.select(F.col("_rep").alias("_a"), F.col("_set").alias("_x")), "_a").join(sets.select(F.col("_rep").alias("_b"), F.col("_set").alias("_y")), "_b")
-    return both.select("_a", "_b", "_x", "_y").mapInArrow(_linked, PAIRS)
+    """Pairs that are links; whole sets travel only for pairs that their sketches allow."""
+    small = live.select("_rep", "_n", "_set").mapInArrow(_sketches, SKETCHED)
+    x, y = (small.select(F.col("_rep").alias(to), F.col("_n").alias(n), F.col("_sketch").alias(k)) for to, n, k in (("_a", "_na", "_ka"), ("_b", "_nb", "_kb")))
+    near = pairs.join(x, "_a").join(y, "_b").select("_a", "_b", "_na", "_nb", "_ka", "_kb").mapInArrow(_hopeful, PAIRS)
+    near = stage(near, "hopeful")
+    x, y = (live.select(F.col("_rep").alias(to), F.col("_set").alias(k)) for to, k in (("_a", "_x"), ("_b", "_y")))
+    return near.join(x, "_a").join(y, "_b").select("_a", "_b", "_x", "_y").mapInArrow(_linked, PAIRS)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -686,26 +737,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     role0 = (F.col("_own") - F.col("_s0")) < least + F.when(n <= SMALL, 0).otherwise(F.floor(n / 21) + 1)
     role1 = (F.col("_low") > 0) & ((F.col("_low") - F.col("_s1")) < F.floor((n + F.floor(n * 4 / 3)) / 7) + 1)
     live = classes.join(shared, "_c1").withColumns({"_role0": role0, "_role1": role1}).where("_role0 or _role1")
-    live = live.select(F.col("_rep").alias("_id"), "_c1", "_role0", "_role1", "_keys", "_counts")
-    texts = base.join(live, "_id").select("_id", "_text", "_c1", "_role0", "_role1", "_keys", "_counts")
-    live = stage(texts.mapInArrow(_live_sets, LIVE).dropDuplicates(["_rep"]), "live-sets")
-    asked = live.select("_rep", "_n", "_role0", "_role1", "_set", "_first").mapInArrow(lambda it: _questions(it, buckets), BLOBS)
-    told = asked.groupBy("_bucket").applyInArrow(_answers, ANSWERS).groupBy(F.col("_set").alias("_rep")).agg(
+    live = stage(live.select(F.col("_rep").alias("_id"), "_c1", "_role0", "_role1", "_keys", "_counts"), "live")
+    texts = base
+    if live.count() <= FEW_IDS:  # the ids keep other texts out of the shuffle; beyond, the join does it alone
+        texts = base.join(F.broadcast(live.select("_id")), "_id", "left_semi")
+    texts = texts.join(live, "_id").select("_id", "_text", "_c1", "_role0", "_role1", "_keys", "_counts", F.xxhash64("_text").alias("_mark"))
+    texts = texts.dropDuplicates(["_id", "_mark"]).drop("_mark")  # rows that repeat an id and its text
+    # The sets meet many narrow tables by id: written in buckets, they need not move again.
+    name, parts = f"sets_{uuid.uuid4().hex}", partitions(spark)
+    texts.mapInArrow(_live_sets, LIVE).repartition(parts, "_rep").write.bucketBy(parts, "_rep").sortBy("_rep").saveAsTable(name)
+    try:
+        return _join_sets(profile, classes, spark.table(name), buckets, id_col)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _spots_of(sets: DataFrame) -> np.ndarray:
+    """Distinct spots: no more than the segments of all bands, so bounded by the longest text."""
+    return np.array(sorted(r[0] for r in sets.select(F.explode("_spots")).distinct().collect()), np.int64)
+
+
+def _join_sets(profile: DataFrame, classes: DataFrame, live: DataFrame, buckets: int, id_col: str) -> DataFrame:
+    """Allot, look up, verify, and name the components of all rows."""
+    columns = ["_rep", "_n", "_role0", "_role1", "_set", "_first", "_next"]
+    asked = _spots_of(live)
+    blobs = live.select(*columns, "_spots").mapInArrow(lambda it: _questions(it, buckets, asked), BLOBS)
+    told = blobs.groupBy("_bucket").applyInArrow(_answers, ANSWERS).groupBy(F.col("_set").alias("_rep")).agg(
         F.collect_list("_keys").alias("_keys"), F.collect_list("_counts").alias("_counts"))
-    live = live.join(told, "_rep", "left").select("_rep", "_n", "_role0", "_role1", "_set", "_first", "_keys", "_counts")
-    live = stage(live.mapInArrow(_allotted, ALLOTTED), "allotted-sets")
+    wise = live.join(told, "_rep", "left") if len(asked) else live.withColumns({c: F.lit(None).cast("array<binary>") for c in ("_keys", "_counts")})
+    units = stage(wise.select(*columns, "_spots", "_keys", "_counts").mapInArrow(_allotted, ALLOTTED), "units")
+    spots = _spots_of(units)
+    units = units.drop("_spots")
 
-    def looked_up(sets: DataFrame) -> DataFrame:
-        rows = sets.select("_rep", "_n", "_role0", "_role1", "_set", "_once", "_twice", "_root")
-        return rows.mapInArrow(lambda it: _lookups(it, buckets), BLOBS).groupBy("_bucket")
+    def looked_up(root: DataFrame) -> DataFrame:
+        rows = live.join(root, "_rep").select(*columns, "_once", "_twice", "_root")
+        return rows.mapInArrow(lambda it: _lookups(it, buckets, spots), BLOBS).groupBy("_bucket")
 
-    stars = looked_up(live.withColumn("_root", F.col("_rep"))).applyInArrow(_stars, PAIRS).distinct()
+    stars = looked_up(units.withColumn("_root", F.col("_rep"))).applyInArrow(_stars, PAIRS).distinct()
     first = stage(verified(stars, live), "pairs")
     roots = components(first)
-    known = live.join(roots, F.col("_rep") == F.col("_node"), "left").withColumn("_root", F.coalesce("_root", "_rep"))
-    cross = stage(looked_up(known).applyInArrow(_cross, CROSS).distinct(), "cross")
+    known = roots.select(F.col("_node").alias("_rep"), "_root")
+    ranked = units.join(known, "_rep", "left").withColumn("_root", F.coalesce("_root", "_rep"))
+    cross = stage(looked_up(ranked).applyInArrow(_cross, CROSS).distinct(), "cross")
     second = verified(cross.where("_group is null").select("_a", "_b"), live)
-    second = stage(second.unionByName(met_in_blocks(cross.where("_group is not null"), known)), "pairs")
+    joined = live.select("_rep", "_n", "_set").join(known, "_rep", "left").withColumn("_root", F.coalesce("_root", "_rep"))
+    second = stage(second.unionByName(met_in_blocks(cross.where("_group is not null"), joined)), "pairs")
     if not second.isEmpty():
         more = second.join(roots.select(F.col("_node").alias("_a"), F.col("_root").alias("_ra")), "_a", "left").join(
             roots.select(F.col("_node").alias("_b"), F.col("_root").alias("_rb")), "_b", "left")
