@@ -47,7 +47,7 @@ FEW_IDS = 1_000_000
 NEVER = 1e18
 #: Bytes of text handled at once, and entries of a bucket, about.
 CHUNK = 2_000_000
-BUCKET = 2_000_000
+BUCKET = 1_000_000
 BATCH_SETS = 16_384
 #: Runs of more members than this are met in blocks of about MET_ROWS members, not as pairs.
 LONG_RUN = 16
@@ -292,31 +292,54 @@ def _entries(table: pa.Table, width: int = 1) -> tuple[np.ndarray, np.ndarray, n
     return np.concatenate(sets), np.concatenate(keys), np.concatenate(flags)
 
 
-SHARED = "_c1 long, _shared0 long, _shared1 long, _keys binary, _counts binary"
+BY_SET = "_group int, _sets binary, _flags binary, _keys binary, _counts binary"
+_BY_SET = {"_group": pa.int32(), "_sets": pa.binary(), "_flags": pa.binary(), "_keys": pa.binary(), "_counts": pa.binary()}
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of one bucket, the signatures that several sets have: for each set, keys and numbers of sets."""
+def _to_groups(sets: np.ndarray, flags: np.ndarray, keys: np.ndarray, counts: np.ndarray, groups: int) -> pa.Table:
+    """Rows on their way back from buckets to sets: a row for each group of sets, whatever their number."""
+    group = (mix(sets.view(U)) % U(groups)).astype(np.int64)
+    order = np.lexsort((sets, group))
+    sets, flags, keys, counts, group = sets[order], flags[order], keys[order], counts[order], group[order]
+    cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
+    ends = np.append(cuts[1:], len(group)) if len(group) else cuts
+    made = [{"_group": int(group[a]), "_sets": sets[a:b].tobytes(), "_flags": flags[a:b].astype(np.uint8).tobytes(), "_keys": _pack(keys[a:b]),
+             "_counts": _saturated(counts[a:b])} for a, b in zip(cuts, ends)]
+    return pa.Table.from_batches([_rows(made, _BY_SET)])
+
+
+GATHERED = "_c1 long, _s0 long, _s1 long, _keys binary, _counts binary"
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """One row per set: how many signatures came back for either role, their low bits and counts."""
+    sets = np.frombuffer(b"".join(table.column("_sets").to_pylist()), np.int64)
+    flags, counts = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint8) for c in ("_flags", "_counts"))
+    keys = np.frombuffer(b"".join(table.column("_keys").to_pylist()), np.uint8).reshape(-1, 5)
+    order = np.argsort(sets, kind="stable")
+    sets, flags, counts, keys = sets[order], flags[order], counts[order], keys[order]
+    cuts = np.flatnonzero(np.concatenate(([True], sets[1:] != sets[:-1]))) if len(sets) else np.zeros(0, np.int64)
+    ends = np.append(cuts[1:], len(sets)) if len(sets) else cuts
+    low = np.add.reduceat((flags & 1).astype(np.int64), cuts) if len(sets) else cuts
+    return pa.table({
+        "_c1": sets[cuts], "_s0": ends - cuts - low, "_s1": low,
+        "_keys": pa.array([keys[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+        "_counts": pa.array([counts[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())})
+
+
+def _shared(table: pa.Table, groups: int) -> pa.Table:
+    """Of one bucket, the signatures that several sets have, and how many."""
     sets, keys, flags = _entries(table)
     sets = sets[:, 0]
-    order = np.lexsort((flags, sets, keys))
+    order = np.lexsort((sets, keys))
     keys, sets, flags = keys[order], sets[order], flags[order]
     if len(keys):  # copies of a set count once
-        fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1]) | (flags[1:] != flags[:-1])))
+        fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])))
         keys, sets, flags = keys[fresh], sets[fresh], flags[fresh]
     run = np.cumsum(np.concatenate(([0], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     size = np.bincount(run)[run] if len(run) else run
     many = size > 1
-    sets, keys, flags, size = sets[many], keys[many], flags[many], size[many]
-    order = np.argsort(sets, kind="stable")
-    sets, keys, flags, size = sets[order], keys[order], flags[order], size[order]
-    cuts = np.flatnonzero(np.concatenate(([True], sets[1:] != sets[:-1]))) if len(sets) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(sets)) if len(sets) else cuts
-    low = np.add.reduceat(flags & 1, cuts) if len(sets) else cuts
-    return pa.table({
-        "_c1": sets[cuts], "_shared0": (ends - cuts - low).astype(np.int64), "_shared1": low.astype(np.int64),
-        "_keys": pa.array([_pack(keys[a:b]) for a, b in zip(cuts, ends)], pa.binary()),
-        "_counts": pa.array([_saturated(size[a:b]) for a, b in zip(cuts, ends)], pa.binary())})
+    return _to_groups(sets[many], flags[many], keys[many], size[many], groups)
 
 
 def _saturated(numbers: np.ndarray) -> bytes:
@@ -362,12 +385,11 @@ _LIVE = {"_rep": pa.int64(), "_n": pa.int64(), "_role0": pa.bool_(), "_role1": p
 LOW = U((1 << 40) - 1)
 
 
-def _numbers_of(keys: list[bytes] | None, counts: list[bytes] | None, wanted: np.ndarray) -> np.ndarray:
+def _numbers_of(keys: bytes | None, counts: bytes | None, wanted: np.ndarray) -> np.ndarray:
     """Counts that go with the low bits of the wanted keys; 0 for others."""
-    have = np.concatenate([_unpack(x) for x in keys or []] or [np.zeros(0, U)])
-    if not len(have):
+    if not keys:
         return np.zeros(len(wanted))
-    number = np.concatenate([np.frombuffer(x, np.uint8) for x in counts])
+    have, number = _unpack(keys), np.frombuffer(counts, np.uint8)
     order = np.argsort(have, kind="stable")
     have, number = have[order], number[order]
     place = np.minimum(np.searchsorted(have, wanted & LOW), len(have) - 1)
@@ -479,10 +501,7 @@ def _questions(batches: Iterator[pa.RecordBatch], buckets: int, spots: np.ndarra
             yield _rows(list(_blobs(part.column(0).to_numpy(), np.concatenate(of), np.concatenate(keys), buckets)), _BLOB)
 
 
-ANSWERS = "_set long, _keys binary, _counts binary"
-
-
-def _answers(table: pa.Table) -> pa.Table:
+def _answers(table: pa.Table, groups: int) -> pa.Table:
     """For each set that asks in a bucket, the signatures that others index there, and how many."""
     sets, keys, flags = _entries(table)
     sets = sets[:, 0]
@@ -491,14 +510,7 @@ def _answers(table: pa.Table) -> pa.Table:
     run = np.cumsum(np.concatenate(([0], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     found = np.bincount(run[flags == INDEX], minlength=run[-1] + 1 if len(run) else 0)[run] if len(run) else run
     hit = (flags == PROBE) & (found > 0)
-    sets, keys, found = sets[hit], keys[hit], found[hit]
-    order = np.argsort(sets, kind="stable")
-    sets, keys, found = sets[order], keys[order], found[order]
-    cuts = np.flatnonzero(np.concatenate(([True], sets[1:] != sets[:-1]))) if len(sets) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(sets)) if len(sets) else cuts
-    return pa.table({
-        "_set": sets[cuts], "_keys": pa.array([_pack(keys[a:b]) for a, b in zip(cuts, ends)], pa.binary()),
-        "_counts": pa.array([_saturated(found[a:b]) for a, b in zip(cuts, ends)], pa.binary())})
+    return _to_groups(sets[hit], flags[hit], keys[hit], found[hit], groups)
 
 
 def _lookups(batches: Iterator[pa.RecordBatch], buckets: int, spots: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -729,8 +741,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(partitions(spark), -(-entries // BUCKET))
 
     blobs = base.where("_id is not null").select("_text").mapInArrow(lambda it: _all_signatures(it, buckets), BLOBS)
-    shared = blobs.groupBy("_bucket").applyInArrow(_shared, SHARED)
-    shared = shared.groupBy("_c1").agg(F.sum("_shared0").alias("_s0"), F.sum("_shared1").alias("_s1"), F.collect_list("_keys").alias("_keys"), F.collect_list("_counts").alias("_counts"))
+    groups = partitions(spark)
+    shared = blobs.groupBy("_bucket").applyInArrow(lambda t: _shared(t, groups), BY_SET).groupBy("_group").applyInArrow(_gathered, GATHERED)
     # A set with enough segments of its own in a role has no partner there.
     n = F.col("_n")
     least = F.when(n <= SMALL, F.floor(n / 4) + 1).otherwise(F.floor((n + n) / 7) + 1)
@@ -762,9 +774,10 @@ def _join_sets(profile: DataFrame, classes: DataFrame, live: DataFrame, buckets:
     columns = ["_rep", "_n", "_role0", "_role1", "_set", "_first", "_next"]
     asked = _spots_of(live)
     blobs = live.select(*columns, "_spots").mapInArrow(lambda it: _questions(it, buckets, asked), BLOBS)
-    told = blobs.groupBy("_bucket").applyInArrow(_answers, ANSWERS).groupBy(F.col("_set").alias("_rep")).agg(
-        F.collect_list("_keys").alias("_keys"), F.collect_list("_counts").alias("_counts"))
-    wise = live.join(told, "_rep", "left") if len(asked) else live.withColumns({c: F.lit(None).cast("array<binary>") for c in ("_keys", "_counts")})
+    groups = partitions(profile.sparkSession)
+    told = blobs.groupBy("_bucket").applyInArrow(lambda t: _answers(t, groups), BY_SET).groupBy("_group").applyInArrow(_gathered, GATHERED)
+    told = told.select(F.col("_c1").alias("_rep"), "_keys", "_counts")
+    wise = live.join(told, "_rep", "left") if len(asked) else live.withColumns({c: F.lit(None).cast("binary") for c in ("_keys", "_counts")})
     units = stage(wise.select(*columns, "_spots", "_keys", "_counts").mapInArrow(_allotted, ALLOTTED), "units")
     spots = _spots_of(units)
     units = units.drop("_spots")
