@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contrail.session import stage
+
 from .common import SPACES, ascii_lower
 
 
@@ -55,7 +57,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         counts = each.select("_h1", "_h2", "_id").distinct().groupBy("_h1", "_h2").agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
         shared = counts.where(F.col("_n") >= min_docs)
-    shared = shared.select("_h1", "_h2", "_keep")
+    # Written first, so that adaptive execution sees two plain shuffles and can split a hot line.
+    shared = stage(shared.select("_h1", "_h2", "_keep"), "shared-lines")
     gone = each.join(shared, ["_h1", "_h2"]).where(~F.col("_id").eqNullSafe(F.col("_keep")))
     gone = gone.groupBy("_id", "_mark").agg(F.collect_set("_pos").alias("_gone")).select(F.col("_id").alias("_gid"), F.col("_mark").alias("_gmark"), "_gone")
     full = base.withColumn("_mark", mark).join(gone, F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_mark") == F.col("_gmark")), "left")
