@@ -97,8 +97,10 @@ def mix_sources(
     spent = F.col("_target").cast("long")
     epochs = F.when(F.col("_source_size") > 0, F.floor(spent / F.col("_source_size"))).otherwise(0).cast("long")
     goal = goal.withColumns({"_epochs": epochs, "_buckets": F.ceil(F.sqrt("_docs"))}).withColumn("_left", spent - F.col("_epochs") * F.col("_source_size"))
-    # One row per source: at most as many as there are sources, joined by size.
-    full = base.join(goal.drop("_docs"), key)
+    # One row per source, written so that the join goes by its size: broadcast below the session's
+    # threshold, else a shuffle join whose hot sources adaptive execution can split.
+    goal = stage(goal.drop("_docs"), "mix-goals")
+    full = base.join(goal, key)
     full = full.withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key"))) * F.col("_buckets")))
     sums = full.groupBy(*key, "_bucket").agg(F.sum("_size").alias("_sum"))
     below = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
