@@ -30,12 +30,18 @@ ANSWER = "struct<lang:string,score:double,margin:double,rejected:boolean>"
 def dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """One dictionary per language of the labelled rows.
 
-    Reads every row, and keeps of each language the SAMPLE_DOCS rows with the smallest hash
-    of id and text, cut to SAMPLE_CHARS: at most 400,000 code points a language reach the
+    Reads every row, and keeps of each language the SAMPLE_DOCS rows with the smallest hash of
+    id and text among those whose low hash bits fall under a threshold, cut to SAMPLE_CHARS: at most 400,000 code points a language reach the
     driver. Rows with a null language or text are left out.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
         F.col(lang_col).alias("_lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_h"), F.substring(text_col, 1, SAMPLE_CHARS).alias("_text"))
+    # A threshold of the hash leaves about four times the sample, whatever the number of rows and tasks.
+    many = {r["_lang"]: min(1.0, 4 * SAMPLE_DOCS / r["count"]) for r in rows.groupBy("_lang").count().collect()}
+    if not many:
+        return {}
+    share = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])[F.col("_lang")]
+    rows = rows.where(F.pmod(F.col("_h"), F.lit(1 << 32)) < share * float(1 << 32))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_text"))
     kept = rows.withColumn("_rank", rank).where(F.col("_rank") <= SAMPLE_DOCS).orderBy("_lang", F.desc("_rank")).collect()
     books: dict[str, list[str]] = {}
