@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from contrail.session import stage
 
-from .common import partitions
+from .common import partitions, small_batches
 
 SHINGLE = 5
 SMALL = 64
@@ -46,9 +46,11 @@ CHEAP = 4
 FEW_IDS = 1_000_000
 NEVER = 1e18
 #: Bytes of text handled at once, and entries of a bucket, about.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 BUCKET = 1_000_000
 BATCH_SETS = 16_384
+#: Rows that a task exchanges with Python at a time.
+BATCH_ROWS = 2000
 #: Runs of more members than this are met in blocks of about MET_ROWS members, not as pairs.
 LONG_RUN = 16
 MET_ROWS = 1024
@@ -100,7 +102,7 @@ def _sets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     word = ~space
     first = np.flatnonzero(word & (np.concatenate(([True], space[:-1])) | edge[:-1]))
     after = np.flatnonzero(word & (np.concatenate((space[1:], [True])) | edge[1:])) + 1
-    up, down = _powers(1 << max(21, (n + 1).bit_length()))
+    up, down = _powers(1 << max(20, (n + 1).bit_length()))
     sums = np.zeros(n + 1, U)
     np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
     words = mix((sums[after] - sums[first]) * down[first] + (after - first).astype(U))
@@ -733,6 +735,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the shingles. A signature that a third of the sets share fills its bucket with one entry
     per set and batch, never with pairs.
     """
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        return _near_duplicates(docs, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     profile = stage(base.select("_id", "_text").mapInArrow(_profile, PROFILE), "sets")
