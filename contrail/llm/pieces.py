@@ -29,7 +29,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 #: Strings and pairs remembered by a task.
-REMEMBER = 400_000
+REMEMBER = 200_000
 #: A string between cuts that is longer is composed without being remembered.
 LONGEST = 64
 INFINITY = float("inf")
