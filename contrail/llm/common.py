@@ -27,14 +27,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+ROWS_AT_ONCE, BYTES_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 @contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs started inside exchange at most ``rows`` rows at a time with Python, which bounds
-    what a task holds of wide rows; the session's own setting comes back afterwards."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> Iterator[None]:
+    """Jobs started inside exchange at most so many rows and bytes at a time with Python, which
+    bounds what a task holds of wide rows; the session's own settings come back afterwards."""
+    before = {name: spark.conf.get(name) for name in (ROWS_AT_ONCE, BYTES_AT_ONCE)}
+    spark.conf.set(ROWS_AT_ONCE, rows)
+    spark.conf.set(BYTES_AT_ONCE, size)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)

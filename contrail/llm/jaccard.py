@@ -49,8 +49,6 @@ NEVER = 1e18
 CHUNK = 1_000_000
 BUCKET = 1_000_000
 BATCH_SETS = 16_384
-#: Rows that a task exchanges with Python at a time.
-BATCH_ROWS = 2000
 #: Runs of more members than this are met in blocks of about MET_ROWS members, not as pairs.
 LONG_RUN = 16
 MET_ROWS = 1024
@@ -290,7 +288,7 @@ def _entries(table: pa.Table, width: int = 1) -> tuple[np.ndarray, np.ndarray, n
         raw = of.as_buffer()
         place = np.frombuffer(raw, np.uint16 if len(raw) == 2 * len(keys[-1]) else np.uint32)
         sets.append(own[place >> 2])
-        flags.append((place & 3).astype(np.int64))
+        flags.append((place & 3).astype(np.uint8))
     return np.concatenate(sets), np.concatenate(keys), np.concatenate(flags)
 
 
@@ -334,7 +332,10 @@ def _shared(table: pa.Table, groups: int) -> pa.Table:
     sets, keys, flags = _entries(table)
     sets = sets[:, 0]
     order = np.lexsort((sets, keys))
-    keys, sets, flags = keys[order], sets[order], flags[order]
+    keys = keys[order]  # one by one: each frees its unsorted form
+    sets = sets[order]
+    flags = flags[order]
+    del order
     if len(keys):  # copies of a set count once
         fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])))
         keys, sets, flags = keys[fresh], sets[fresh], flags[fresh]
@@ -735,7 +736,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the shingles. A signature that a third of the sets share fills its bucket with one entry
     per set and batch, never with pairs.
     """
-    with small_batches(docs.sparkSession, BATCH_ROWS):
+    with small_batches(docs.sparkSession):
         return _near_duplicates(docs, id_col, text_col)
 
 
