@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contrail.llm.common import BYTES_AT_ONCE, ROWS_AT_ONCE
 from contrail.llm.exact_dedup import exact_dedup
 from contrail.llm.jaccard import near_duplicates
 from contrail.llm.language import dictionaries, held_out, language
@@ -18,8 +19,15 @@ from contrail.llm.queries import PIECES
 from contrail.session import stage
 
 
+def _bounded(spark: SparkSession) -> None:
+    """Executors hold a JVM and two Python workers: rows of whole texts go between them in small batches."""
+    spark.conf.set(ROWS_AT_ONCE, 1000)
+    spark.conf.set(BYTES_AT_ONCE, "8m")
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is recognised; the dictionaries come from this stage's own documents."""
+    _bounded(spark)
     books = dictionaries(docs.where(~held_out(F.col("doc_id"))))
     said = docs.withColumn("_said", language(F.col("text"), books))
     return said.where(~F.col("_said.rejected")).drop("_said")
@@ -27,12 +35,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
+    _bounded(spark)
     kept = exact_dedup(docs).where("kept").select("doc_id")
     return docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each component of near copies."""
+    _bounded(spark)
     kept = near_duplicates(docs).where("component_id = doc_id").select("doc_id")
     return docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
 
@@ -52,6 +62,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, model_path: str = PIECES) -> DataFrame:
     """Piece numbers of every row of the mix, checked by decoding."""
+    _bounded(spark)
     return encode_documents(docs, load(model_path))
 
 
