@@ -42,6 +42,12 @@ def lon_span(radius_nm, lat) -> Column:
     return _c(radius_nm) / (NM_PER_DEGREE * F.cos(F.radians(_c(lat))))
 
 
+def lon_reach(reach_deg, lat) -> Column:
+    """Degrees of longitude that a reach in degrees of latitude can span from a latitude, at most half the globe."""
+    top = F.least(F.abs(_c(lat)) + _c(reach_deg), F.lit(89.9))
+    return F.least(_c(reach_deg) / F.cos(F.radians(top)), F.lit(180.0))
+
+
 def bounds(lat, lon, radius_nm) -> Column:
     """South-west and north-east corners of the box around a circle."""
     dy, dx = lat_span(radius_nm), lon_span(radius_nm, lat)

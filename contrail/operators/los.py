@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -262,17 +261,16 @@ def airborne(events: DataFrame, airports: DataFrame, event_id: list[str] = EVENT
 AIRPORT_CELL_DEG = 0.25
 
 
-def nearest_airports(points: DataFrame, airports: DataFrame, row_id: list[str], radius_nm: float = NEAR_AIRPORT_NM,
-                     max_abs_lat: float = 60.0) -> DataFrame:
+def nearest_airports(points: DataFrame, airports: DataFrame, row_id: list[str], radius_nm: float = NEAR_AIRPORT_NM) -> DataFrame:
     """All (row, airport) pairs within ``radius_nm``: airports are copied to the grid
     cells their circle touches, points meet them by cell.  ``row_id`` lists the
     point columns to keep."""
     unique = airports.groupBy(F.round("lat", 4).alias("_a"), F.round("lon", 4).alias("_o")).agg(
         F.min(F.struct("ordinal", "ident", "lat", "lon", "elev")).alias("p")).select("p.*")
     dy = radius_nm / geo.NM_PER_DEGREE
-    dx = dy / math.cos(math.radians(max_abs_lat))
+    dx = geo.lon_reach(dy, "lat")
     dim = unique
-    for axis, col, reach in (("cy", "lat", dy), ("cx", "lon", dx)):
+    for axis, col, reach in (("cy", "lat", F.lit(dy)), ("cx", "lon", dx)):
         dim = dim.withColumn(axis, F.explode(F.sequence(
             F.floor((F.col(col) - reach) / AIRPORT_CELL_DEG), F.floor((F.col(col) + reach) / AIRPORT_CELL_DEG))))
     dim = dim.select("cy", "cx", F.col("lat").alias("airport_lat"), F.col("lon").alias("airport_lon"), F.col("elev").alias("airport_elev"), "ident", "ordinal")

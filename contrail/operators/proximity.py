@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -46,7 +45,7 @@ def track_pieces(steps: DataFrame, hold: int = 0, interpolate: bool = True, keep
     return out.select(*dict.fromkeys(names), "_p.*").where(F.col("s0") <= F.col("s1"))
 
 
-def _spread(pieces: DataFrame, reach_deg: float, reach_lon: float, reach_ft: float) -> DataFrame:
+def _spread(pieces: DataFrame, reach_deg: Column, reach_lon: Column, reach_ft: Column) -> DataFrame:
     """Copy each piece to the cells its box (grown by the reach) touches."""
     out = pieces
     for name, field, size, reach in (("y", "lat", CELL_DEG, reach_deg), ("x", "lon", CELL_DEG, reach_lon), ("z", "alt_baro", CELL_FT, reach_ft)):
@@ -113,21 +112,22 @@ def _close_seconds(lateral_nm: float, vertical_ft: float, lo: Column, hi: Column
     return F.when(whole & apart, none).when(whole, secs).otherwise(F.array_union(secs, F.array(hi)))
 
 
-def near_pairs(pieces: DataFrame, lateral_nm: float, vertical_ft: float, max_abs_lat: float = 60.0) -> DataFrame:
+def near_pairs(pieces: DataFrame, lateral_nm: float, vertical_ft: float) -> DataFrame:
     """Unordered aircraft pairs closer than both limits, per whole second.
 
     Two pieces meet in a cell that both touch; a pair of pieces sharing several
     cells is evaluated only in the lowest shared one, so no distinct is needed.
     Seconds are generated after the join, and only those within reach, so the
-    join shuffles reports, not one row per second.  ``max_abs_lat`` bounds the
-    latitudes for the width of a degree of longitude.
+    join shuffles reports, not one row per second.  The reach in longitude follows
+    from each piece's own latitude.
     """
     dy = lateral_nm / geo.NM_PER_DEGREE * 1.01
-    dx = dy / math.cos(math.radians(max_abs_lat))
+    top = F.greatest(*[F.abs(F.col(f"{e}.lat").cast("double")) for e in "pq"])
+    dx = geo.lon_reach(dy, top)
     cells = ["ct", "cy", "cx", "cz"]
     names = pieces.columns
-    left = _spread(pieces, dy, dx, vertical_ft).select(F.struct(*names, *[f"{a}0" for a in "tyxz"]).alias("a"), *cells)
-    right = _spread(pieces, 0.0, 0.0, 0.0).select(F.struct(*names, *[f"{a}0" for a in "tyxz"]).alias("b"), *cells)
+    left = _spread(pieces, F.lit(dy), dx, F.lit(vertical_ft)).select(F.struct(*names, *[f"{a}0" for a in "tyxz"]).alias("a"), *cells)
+    right = _spread(pieces, F.lit(0.0), F.lit(0.0), F.lit(0.0)).select(F.struct(*names, *[f"{a}0" for a in "tyxz"]).alias("b"), *cells)
     lowest = F.lit(True)
     for axis in "tyxz":
         lowest = lowest & (F.col(f"c{axis}") == F.greatest(F.col(f"a.{axis}0"), F.col(f"b.{axis}0")))

@@ -8,7 +8,6 @@ watermark, and rows older than it are dropped by Spark.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -142,15 +141,13 @@ def checkpoint_windows(reports: DataFrame, seconds: int = 5, key: Column | None
     return reports.groupBy(*groups).agg(F.count(F.lit(1)).alias("reports"))
 
 
-def fresh_pairs(a: DataFrame, b: DataFrame, lateral_nm: float, vertical_ft: float, max_age_s: int = 5, cell_deg: float = 0.05,
-                max_abs_lat: float = 60.0) -> DataFrame:
+def fresh_pairs(a: DataFrame, b: DataFrame, lateral_nm: float, vertical_ft: float, max_age_s: int = 5, cell_deg: float = 0.05) -> DataFrame:
     """Reports of two streams at most ``max_age_s`` apart in time and within both limits.
 
-    A stream-stream interval join on grid cells (one side copied to the neighbour
-    cells): both sides carry watermarks, so state older than the interval is dropped.
+    A stream-stream interval join on grid cells (one side copied to the cells in its
+    reach, which follows from its latitude): both sides carry watermarks, so state older than the interval is dropped.
     """
-    if lateral_nm > cell_deg * geo.NM_PER_DEGREE * math.cos(math.radians(max_abs_lat)):
-        raise ValueError("the grid cell must be at least as wide as the lateral limit")
+    dy = lateral_nm / geo.NM_PER_DEGREE * 1.01
 
     def side(df: DataFrame, n: int) -> DataFrame:
         return df.select(
@@ -159,8 +156,8 @@ def fresh_pairs(a: DataFrame, b: DataFrame, lateral_nm: float, vertical_ft: floa
             F.floor(F.col("lat") / cell_deg).alias(f"cy{n}"), F.floor(F.col("lon") / cell_deg).alias(f"cx{n}"))
 
     near = side(b, 2)
-    for c in ("cy2", "cx2"):
-        near = near.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+    for c, place, reach in (("cy2", "lat2", F.lit(dy)), ("cx2", "lon2", geo.lon_reach(dy, "lat2"))):
+        near = near.withColumn(c, F.explode(F.sequence(F.floor((F.col(place) - reach) / cell_deg), F.floor((F.col(place) + reach) / cell_deg))))
     span = F.expr(f"interval {max_age_s} seconds")
     cond = (
         (F.col("cy1") == F.col("cy2")) & (F.col("cx1") == F.col("cx2")) & (F.col("tail1") < F.col("tail2"))
