@@ -189,14 +189,14 @@ def regional_table(spark, sf):
 
 
 @query("K11_geojson_features", f"""WITH {EV} SELECT event_id, 'Feature' AS type, 'Point' AS geometry, round(lon, 6) AS lon, round(lat, 6) AS lat, quality, CASE quality WHEN 'low' THEN 'rgba(0,200,0,0.7)' WHEN 'medium' THEN 'rgba(255,255,0,0.78)' WHEN 'high' THEN 'rgba(255,140,0,0.85)' ELSE 'rgba(255,0,255,0.85)' END AS color,
-  '<b>#' || (event_id + 1) || '</b>' AS mark FROM ev""")
+  event_id + 1 AS number FROM ev""")
 def geojson_features(spark, sf):
     lines = exports.geojson(_ev(spark, sf))
     g = lambda p: F.get_json_object("line", p)
     return lines.select(
         "event_id", g("$.type").alias("type"), g("$.geometry.type").alias("geometry"), F.round(g("$.geometry.coordinates[0]").cast("double"), 6).alias("lon"),
         F.round(g("$.geometry.coordinates[1]").cast("double"), 6).alias("lat"), g("$.properties.quality").alias("quality"), g("$.properties.color").alias("color"),
-        F.regexp_extract(g("$.properties.html"), "(<b>#[0-9]+</b>)", 1).alias("mark"))
+        g("$.properties.number").cast("long").alias("number"))
 
 
 @query("K13_search_rows", f"WITH {EV} SELECT CAST(event_id AS VARCHAR) AS event_id, flight1, flight2, round(lon, 4) AS lon, round(lat, 4) AS lat, quality, datetime_utc, round_even(lateral_nm, 3) AS lateral_nm, alt_sep_ft, 'brief' AS quality_explanation FROM ev")

@@ -17,7 +17,8 @@ def geojson(events: DataFrame, row_id: str = "event_id") -> DataFrame:
     quality = F.lower(F.coalesce("quality", F.lit("")))
     props = F.struct(
         F.col(row_id).cast("string").alias("event_id"), "flight1", "flight2", quality.alias("quality"), "lateral_nm", "alt_sep_ft",
-        F.col("alt_ft").cast("double").alias("alt_ft"), "alt_band", "datetime_utc", labels.event_tooltip(F.col(row_id) + 1).alias("html"),
+        F.col("alt_ft").cast("double").alias("alt_ft"), "alt_band", "datetime_utc", (F.col(row_id) + 1).alias("number"),
+        F.coalesce("quality_explanation", F.lit("")).alias("why"),
         labels.event_color(quality).alias("color"), F.lit(labels.EVENT_RADIUS).alias("radius"))
     geometry = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
     feature = F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), props.alias("properties")))
