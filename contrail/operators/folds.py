@@ -22,10 +22,10 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import task_count
+from ..session import stage, task_count
 from .timeline import SLICE_S, SLICE, sliced
 
 LIMITS = "array<array<double>>"
@@ -180,6 +180,95 @@ def cooldown(df: DataFrame, keys: Sequence[str], time: str = "now", order: Seque
     return _keep(df, fired, [*keys, time, *order])
 
 
+def checkpoints(df: DataFrame, time: str = "now", interval: float = 5.0) -> DataFrame:
+    """Seconds (``sec``) at which a periodic check runs: the first second with a report
+    at least ``interval`` after the check before.  The data's first second only starts
+    the clock; silence has no checks.  A check sees all reports of its second."""
+    secs = df.select(F.floor(time).cast("bigint").alias("sec")).where("sec is not null").distinct()
+    secs = secs.withColumn("_all", F.lit(0)).withColumn("_pause", F.lit(float(interval)))
+    first = secs.agg(F.min("sec")).scalar()
+    return cooldown(secs, ["_all"], "sec", [], "_pause").where(F.col("sec") > first).select("sec")
+
+
+def paced(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], actors: Sequence[tuple[str, str]],
+          pause: str, key_pause: str, width: float = SLICE_S) -> DataFrame:
+    """Rows that fire when each actor and the whole key must have been quiet.
+
+    ``actors`` are (name, time) columns; the first one is the actor that fires.  A row
+    fires when, for every actor present, its time is at least ``pause`` after that
+    actor's last firing and at least ``key_pause`` after the key's last firing.  Rows
+    are walked in (time, order), which must be unique within a key.
+
+    What a slice does depends on every actor's last firing, so it has no short
+    description.  Slices are therefore walked in parallel from an assumed state, and
+    those whose predecessor ends in another state than assumed are walked again, until
+    none is left.  A state holds only firings still within a pause, so quiet stretches
+    settle in one round; rounds never exceed the slices of a key.  Slices that keep
+    disagreeing are as sequential as the rule itself.
+    """
+    keys = list(keys)
+    position = [*keys, time, *order]
+    slim = list(dict.fromkeys([*position, *[c for a in actors for c in a], pause, key_pause]))
+    part, sort = [*keys, SLICE], [time, *order]
+    base = stage(sliced(df.select(*slim), time, width), "paced")
+    fields = {f.name: f.dataType.simpleString() for f in base.schema.fields}
+    ddl = lambda names: ", ".join(f"`{c}` {fields[c]}" for c in names)
+    n = task_count(df)
+    late = 60.0  # a row's actors may have been heard this much before the row
+
+    def pace(pdf: pd.DataFrame) -> tuple[np.ndarray, dict]:
+        who, at = pdf["_who"].iloc[0], pdf["_at"].iloc[0]
+        last = {} if who is None else dict(zip(who, at))
+        wait, wait_all = float(pdf[pause].iloc[0]), float(pdf[key_pause].iloc[0])
+        names = [pdf[a].to_list() for a, _ in actors]
+        times = [pdf[t].to_list() for _, t in actors]
+        fired = np.zeros(len(pdf), dtype=bool)
+        for i in range(len(pdf)):
+            ready = True
+            for name, when in zip(names, times):
+                if isinstance(name[i], str):
+                    ready &= when[i] - last.get(name[i], -np.inf) >= wait and when[i] - last.get("", -np.inf) >= wait_all
+            if ready:
+                fired[i] = True
+                last[names[0][i]] = last[""] = times[0][i]
+        end = (pdf[SLICE].iloc[0] + 1) * width - late
+        return fired, {k: v for k, v in last.items() if end - v < (wait if k else wait_all)}
+
+    def leave(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, bounds in _groups(batches, part):
+            ends = [pace(pdf.iloc[lo:hi])[1] for lo, hi in zip(bounds, bounds[1:])]
+            out = pdf.iloc[bounds[:-1]][[*part, "_who", "_at"]].reset_index(drop=True)
+            out["_who2"] = [sorted(e) or None for e in ends]
+            out["_at2"] = [[e[k] for k in sorted(e)] or None for e in ends]
+            yield out
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, bounds in _groups(batches, part):
+            chosen = np.concatenate([pace(pdf.iloc[lo:hi])[0] for lo, hi in zip(bounds, bounds[1:])])
+            yield pdf.loc[chosen, position]
+
+    state = "_who array<string>, _at array<double>"
+    walked = f"{ddl(part)}, {state}, _who2 array<string>, _at2 array<double>"
+
+    def entered(states: DataFrame) -> DataFrame:
+        right = states.withColumnsRenamed({c: f"_c_{c}" for c in part})
+        return base.join(right, _all_equal(base, part)).drop(*[f"_c_{c}" for c in part]).repartition(n, *part).sortWithinPartitions(*part, *sort)
+
+    todo = base.select(*part).distinct().select("*", F.lit(None).cast("array<string>").alias("_who"), F.lit(None).cast("array<double>").alias("_at"))
+    done = None
+    while True:
+        fresh = entered(todo).mapInPandas(leave, walked)
+        done = stage(fresh if done is None else done.join(todo.select(*part), part, "left_anti").unionByName(fresh), "paced")
+        before = Window.partitionBy(*keys).orderBy(SLICE)
+        seen = done.select(*part, "_who", "_at", F.lag("_who2").over(before).alias("_who1"), F.lag("_at2").over(before).alias("_at1"))
+        wrong = ~(F.col("_who").eqNullSafe(F.col("_who1")) & F.col("_at").eqNullSafe(F.col("_at1")))
+        todo = stage(seen.where(wrong).select(*part, F.col("_who1").alias("_who"), F.col("_at1").alias("_at")), "paced")
+        if todo.isEmpty():
+            break
+    fired = entered(done.select(*part, "_who", "_at")).mapInPandas(choose, ddl(position))
+    return _keep(df, fired, position)
+
+
 # --- heading decimation -----------------------------------------------------
 
 def decimate(df: DataFrame, keys: Sequence[str], time: str = "sec", order: Sequence[str] = (), heading: str = "track",

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..schema import REGION
 from .skew import dimension_join
 
 # Up to this many regions are compiled into the row expression itself.
@@ -51,30 +52,43 @@ def _cells(lo: Column, hi: Column) -> Column:
     return F.sequence(F.floor(lo / REGION_CELL_DEG), F.floor(hi / REGION_CELL_DEG))
 
 
-def assign_join(df: DataFrame, regions: DataFrame, row_id: Sequence[str], name: str = "inside") -> DataFrame:
+def region_table(spark: SparkSession, layers: Sequence[Sequence[dict]], files: Sequence[str] = ()) -> DataFrame:
+    """Layers of a rule document as a table with ``schema.REGION``."""
+    names = [*files, *[f"layer{i}" for i in range(len(files), len(layers))]]
+    rows = [(i, names[i], k, r["name"], r["min_alt"], r["max_alt"], float(r["hdg0"]), float(r["hdg1"]), [(float(x), float(y)) for x, y in r["ring"]])
+            for i, layer in enumerate(layers) for k, r in enumerate(layer)]
+    return spark.createDataFrame(rows, REGION)
+
+
+def assign_join(df: DataFrame, regions: DataFrame, name: str = "inside", layers: int | None = None) -> DataFrame:
     """Same result for any number of regions (a table with ``schema.REGION``).
 
-    Regions are copied to the grid cells of their box, points meet them by cell,
-    and the first match per layer is one aggregate over the row id.
+    Regions are copied to the grid cells of their box and gathered into one list per
+    cell, in matching order.  A report meets the list of its cell and takes the first
+    match per layer, so reports are not shuffled while the lists fit a broadcast.
+    ``layers`` is the number of layers (counted from the table when not given).
     """
     dim = regions.withColumn("box", geo.ring_box("ring"))
     dim = dim.withColumn("cy", F.explode(_cells(F.col("box.south"), F.col("box.north"))))
     dim = dim.withColumn("cx", F.explode(_cells(F.col("box.west"), F.col("box.east"))))
     dim = dim.select("cy", "cx", F.struct("layer", "idx", F.lower("name").alias("name"), "min_alt", "max_alt", "hdg0", "hdg1", "ring").alias("r"))
-    pts = df.withColumn("cy", F.floor(F.col("lat") / REGION_CELL_DEG)).withColumn("cx", F.floor(F.col("lon") / REGION_CELL_DEG))
-    hit = (
-        F.col("alt_baro").between(F.col("r.min_alt"), F.col("r.max_alt"))
-        & geo.point_in_ring("lat", "lon", F.col("r.ring"))
-        & geo.heading_between("track", F.col("r.hdg0"), F.col("r.hdg1"))
-    )
-    probe = pts.select(*row_id, "cy", "cx", "lat", "lon", "alt_baro", "track")
-    found = dimension_join(probe, dim, ["cy", "cx"]).where(hit)
-    last = int(regions.agg(F.max("layer")).first()[0] or 0)
-    layer = lambda i: F.col("r.layer") == i
-    first = found.groupBy(*row_id).agg(*[
-        F.min_by(F.when(layer(i), F.col("r.name")), F.when(layer(i), F.col("r.idx"))).alias(f"_in{i}") for i in range(last + 1)])
-    names = [f"_in{i}" for i in range(last + 1)]
-    return df.join(first, list(row_id), "left").withColumn(name, F.array(*names)).drop(*names)
+    cells = dim.groupBy(F.col("cy").alias("_cy"), F.col("cx").alias("_cx")).agg(F.array_sort(F.collect_list("r")).alias("_regions"))
+    pts = df.withColumn("_cy", F.floor(F.col("lat") / REGION_CELL_DEG)).withColumn("_cx", F.floor(F.col("lon") / REGION_CELL_DEG))
+
+    def hit(r: Column) -> Column:
+        return (
+            F.col("alt_baro").between(r["min_alt"], r["max_alt"])
+            & geo.point_in_ring("lat", "lon", r["ring"])
+            & geo.heading_between("track", r["hdg0"], r["hdg1"])
+        )
+
+    def first(layer: int) -> Column:
+        return F.get(F.filter("_regions", lambda r: (r["layer"] == layer) & hit(r)), F.lit(0))["name"]
+
+    if layers is None:
+        layers = int(regions.agg(F.max("layer")).first()[0] or 0) + 1
+    met = dimension_join(pts, cells, ["_cy", "_cx"], "left")
+    return met.withColumn(name, F.array(*[first(i) for i in range(layers)])).drop("_cy", "_cx", "_regions")
 
 
 def in_any_region(layers: Sequence[Sequence[dict]], rings: Sequence[Sequence[float]] = ()) -> Column:

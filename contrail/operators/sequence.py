@@ -51,13 +51,20 @@ def carry_forward(df: DataFrame, columns: Sequence[str] = ("category", "squawk",
                   order: Sequence[str] = ("seq",), width: float = SLICE_S) -> DataFrame:
     """Latest known value of periodically sent attributes within one life.
 
-    Needs ``life_no``.  A column ``has_<name>`` (key present in the report) is
-    honoured when there is one, so that a present null is not replaced.
+    Needs ``life_no``.  Whether a report has the key is told by a column
+    ``has_<name>``, else by the list ``attrs`` of its keys, so that a present null is
+    not replaced; without either, by the value.  ``attrs`` gains the carried keys.
     """
+    def present(c: str) -> Column:
+        if f"has_{c}" in df.columns:
+            return F.col(f"has_{c}")
+        return F.coalesce(F.array_contains("attrs", c), F.lit(False)) if "attrs" in df.columns else F.col(c).isNotNull()
+
     filled = running(
-        df, [key, "life_no"], time, order, width=width,
-        lasts={f"_k_{c}": F.when(F.col(f"has_{c}") if f"has_{c}" in df.columns else F.col(c).isNotNull(), F.struct(F.col(c).alias("v")))
-               for c in columns})
+        df, [key, "life_no"], time, order, width=width, lasts={f"_k_{c}": F.when(present(c), F.struct(F.col(c).alias("v"))) for c in columns})
+    if "attrs" in df.columns:
+        known = F.array_compact(F.array(*[F.when(F.col(f"_k_{c}").isNotNull(), F.lit(c)) for c in columns]))
+        filled = filled.withColumn("attrs", F.array_union(F.coalesce("attrs", F.array().cast("array<string>")), known))
     for c in columns:
         filled = filled.withColumn(c, F.col(f"_k_{c}.v")).drop(f"_k_{c}")
     return filled

@@ -73,12 +73,17 @@ def exact_rank(
     )
 
 
-DIMENSION_ROWS = 50_000
+# Largest dimension that is copied to every executor, as text.
+DIMENSION_BYTES = 32 << 20
 
 
 def dimension_join(left: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join a dimension on ``keys``: broadcast when its counted size is within
-    ``DIMENSION_ROWS``, else a salted shuffle join."""
-    if dim.limit(DIMENSION_ROWS + 1).count() <= DIMENSION_ROWS:
+    """Join a dimension on ``keys``: broadcast when its measured size is within
+    ``DIMENSION_BYTES``, else a salted shuffle join.
+
+    Bytes are measured, not rows: a row may hold a whole polygon.
+    """
+    size = dim.select(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("bigint"))).first()[0] or 0
+    if size <= DIMENSION_BYTES:
         return left.join(F.broadcast(dim), list(keys), how)
     return salted_join(left, dim, keys, how)

@@ -224,5 +224,5 @@ def airport_rules(spark, sf):
 def assign_generated(spark, sf):
     r = regions.airport_regions(_field(spark, sf))
     r = r.withColumn("layer", F.lit(0)).withColumn("idx", F.col("idx") + F.abs(F.hash("ident")) % 1000 * 4).withColumn("file", F.col("ident"))
-    out = regions.assign_join(t.positions(spark, sf), r, ["seq"])
+    out = regions.assign_join(t.positions(spark, sf), r)
     return out.groupBy(F.col("inside")[0].alias("region")).agg(F.count(F.lit(1)).alias("n"))

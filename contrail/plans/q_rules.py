@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import regions, sequence
-from ..schema import REGION
 from . import rules as R
 from . import tables as t
 from .registry import query
@@ -93,15 +92,9 @@ def region_membership(spark, sf):
     return out.select("seq", F.col("inside")[0].alias("layer0"), F.col("inside")[1].alias("layer1"))
 
 
-def _region_table(spark):
-    rows = [(i, f, k, r["name"], r["min_alt"], r["max_alt"], float(r["hdg0"]), float(r["hdg1"]), [(float(x), float(y)) for x, y in r["ring"]])
-            for i, (f, layer) in enumerate(zip(t.REGION_FILES, t.REGION_LAYERS)) for k, r in enumerate(layer)]
-    return spark.createDataFrame(rows, REGION)
-
-
 @query("J3_point_in_region_join", f"WITH {LOCATED} SELECT seq, in0 AS layer0, in1 AS layer1 FROM located")
 def region_join(spark, sf):
-    out = regions.assign_join(t.positions(spark, sf), _region_table(spark), ["seq"])
+    out = regions.assign_join(t.positions(spark, sf), regions.region_table(spark, t.REGION_LAYERS, t.REGION_FILES))
     return out.select("seq", F.col("inside")[0].alias("layer0"), F.col("inside")[1].alias("layer1"))
 
 

@@ -7,6 +7,7 @@ row carries an array of the rules it matches, which is then exploded.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, labels
 from ..functions.times import as_timestamp, hhmm_utc, in_time_ranges
 from ..operators import folds, proximity, regions, sequence
+from ..operators.skew import dimension_join
 from ..operators.timeline import SLICE_S, running, timeline
 
 CONDITIONS = {
@@ -31,8 +33,15 @@ ORDER = [
     "exclude_aircraft_substrs", "callsign_prefix", "min_time", "max_time", "time_ranges", "regions", "transition_regions",
     "joined_region", "departed_region", "changed_regions",
 ]
-# An aircraft list up to this length becomes an IN expression.
-INLINE_LIST = 10_000
+# Keys sent only now and then; the last known value holds within a life.
+PERIODIC = ("category", "squawk", "emergency")
+# An aircraft list up to this length becomes an IN expression, a longer one a join.
+INLINE_LIST = 1_000
+# Report columns that conditions on the members of a pair, notes and outputs may read.
+MEMBER = ("tail", "flight_id", "seq", "hex", "life_no", "inside", "was_inside", "attrs", "lists", *PERIODIC, "db_flags", "on_ground",
+          "baro_rate", "gs", "track")
+# A check for close pairs runs this often and looks at reports up to this old.
+CHECK_S, FRESH_S = 5.0, 5
 EVENT_MARKER = "CSV OUTPUT FOR POSTPROCESSING: "
 
 
@@ -59,20 +68,39 @@ def validate(doc: dict) -> dict:
 
 
 class Rules:
-    """A validated document with the region layers it refers to."""
+    """A validated document with the region layers it refers to.
 
-    def __init__(self, doc: dict, layers: Sequence[Sequence[dict]] = (), files: Sequence[str] = (), expire_s: float = 180):
+    ``layers`` are lists of regions or a table with ``schema.REGION``; an aircraft list
+    is a list of tails or a DataFrame with a column ``tail``.  Neither has a limit:
+    what is too long for an expression is joined by ``prepare``, with the same result.
+    """
+
+    def __init__(self, doc: dict, layers: Sequence[Sequence[dict]] | DataFrame = (), files: Sequence[str] = (), expire_s: float = 180):
         self.doc = validate(doc)
         self.layers, self.files, self.expire_s = layers, list(files), expire_s
         self.lists = doc.get("aircraft_lists") or {}
+        self.joined = {n for n, v in self.lists.items() if isinstance(v, DataFrame) or len(v) > INLINE_LIST}
         self.rules = {n: b for n, b in (doc.get("rules") or {}).items() if (b["conditions"] or {}).get("enabled", True)}
 
     # -- conditions --------------------------------------------------------
-    def _listed(self, name: str, tail: Column) -> Column:
+    def _listed(self, name: str, sfx: str = "") -> Column:
+        if name in self.joined:
+            return F.coalesce(F.array_contains("lists" + sfx, name), F.lit(False))
         tails = self.lists[name]
-        if len(tails) > INLINE_LIST:
-            raise ValueError(f"aircraft list {name!r} has over {INLINE_LIST} entries: join it as a table instead")
-        return tail.isin(list(tails)) if tails else F.lit(False)
+        return F.col("tail" + sfx).isin(list(tails)) if tails else F.lit(False)
+
+    def with_lists(self, df: DataFrame) -> DataFrame:
+        """``lists``: the long aircraft lists a row's tail is on."""
+        if not self.joined:
+            return df
+        members = None
+        for name in sorted(self.joined):
+            tails = self.lists[name]
+            if not isinstance(tails, DataFrame):
+                tails = df.sparkSession.createDataFrame([(x,) for x in tails], "tail string")
+            part = tails.select(F.col("tail").cast("string").alias("tail"), F.lit(name).alias("_list"))
+            members = part if members is None else members.unionByName(part)
+        return dimension_join(df, members.groupBy("tail").agg(F.collect_set("_list").alias("lists")), ["tail"], "left")
 
     def condition(self, key: str, value, sfx: str = "") -> Column:
         """One condition as a predicate over report columns (suffixed for pairs)."""
@@ -87,9 +115,9 @@ class Rules:
         if key == "max_alt":
             return c("alt_baro") <= int(value)
         if key == "aircraft_list":
-            return self._listed(value, c("tail")) if value in self.lists else none
+            return self._listed(value, sfx) if value in self.lists else none
         if key == "exclude_aircraft_list":
-            return ~self._listed(value, c("tail")) if value in self.lists else none
+            return ~self._listed(value, sfx) if value in self.lists else none
         if key == "exclude_aircraft_substrs":
             out = F.lit(True)
             for part in value:
@@ -157,33 +185,63 @@ class Rules:
             return F.lit(True)
         if value not in self.lists:
             return F.lit(False)
-        return self._listed(value, F.col("tail1")) != self._listed(value, F.col("tail2"))
+        return self._listed(value, "1") != self._listed(value, "2")
 
     # -- evaluation --------------------------------------------------------
+    def _located(self, reports: DataFrame) -> DataFrame:
+        if isinstance(self.layers, DataFrame):
+            return regions.assign_join(reports, self.layers, layers=len(self.files) or None)
+        if not self.layers:
+            return reports.withColumn("inside", F.array(F.lit(None).cast("string")))
+        if sum(len(layer) for layer in self.layers) <= regions.INLINE_REGIONS:
+            return regions.assign_inline(reports, self.layers)
+        table = regions.region_table(reports.sparkSession, self.layers, self.files)
+        return regions.assign_join(reports, table, layers=len(self.layers))
+
+    def _asks_periodic(self) -> bool:
+        asked = {k if k != "has_attr" else v for b in self.rules.values() for k, v in (b["conditions"] or {}).items()}
+        return bool(asked & {*PERIODIC, "exclude_category"})
+
     def prepare(self, reports: DataFrame, width: float = SLICE_S) -> DataFrame:
-        """Add ``inside``, ``was_inside`` and ``life_no`` to reports (tail, now, seq, ...)."""
-        out = regions.assign_inline(reports, self.layers) if self.layers else reports.withColumn(
-            "inside", F.array(F.lit(None).cast("string")))
+        """Add ``inside``, ``was_inside`` and ``life_no`` to reports (tail, now, seq, ...).
+
+        Keys sent only now and then keep their last value within a life, where a rule
+        asks for one of them.
+        """
+        out = self.with_lists(self._located(reports))
         out = timeline(out, ["tail"], "now", ["seq"], lag=["inside"], gap=self.expire_s, width=width)
         same = F.col("now") - F.col("prev1.now") <= self.expire_s
         empty = F.transform("inside", lambda s: F.lit(None).cast("string"))
-        return (
+        out = (
             out.withColumn("was_inside", F.when(same, F.col("prev1.inside")).otherwise(empty))
             .withColumnRenamed("session_no", "life_no").drop("prev1")
         )
+        carried = [c for c in PERIODIC if c in out.columns]
+        return sequence.carry_forward(out, carried, width=width) if carried and self._asks_periodic() else out
 
     def _plain(self) -> list[str]:
         return [n for n, b in self.rules.items() if "proximity" not in (b["conditions"] or {})]
 
-    def _cooldown(self, name: str) -> tuple[str, int] | None:
+    def _pauses(self, name: str) -> tuple[float, float]:
+        """Seconds per aircraft and per rule; minus infinity where there is no pause."""
         cond = self.rules[name]["conditions"] or {}
-        per_tail, per_rule = cond.get("cooldown"), cond.get("rule_cooldown")
-        if per_rule is not None:
-            # a rule-wide pause at least as long as the per-aircraft one implies it
-            if per_tail is not None and int(per_tail * 60) > int(per_rule * 60):
-                raise ValueError(f"rule {name!r}: cooldown longer than rule_cooldown is not supported")
-            return "rule", int(per_rule * 60)
-        return None if per_tail is None else ("tail", int(per_tail * 60))
+        return tuple(-math.inf if cond.get(k) is None else float(int(cond[k] * 60)) for k in ("cooldown", "rule_cooldown"))
+
+    def _cooldown(self, name: str) -> tuple[str, float] | None:
+        per_tail, per_rule = self._pauses(name)
+        if max(per_tail, per_rule) < 0:
+            return None
+        # a rule-wide pause at least as long as the per-aircraft one implies it
+        if per_rule >= per_tail:
+            return "rule", per_rule
+        return ("tail", per_tail) if per_rule < 0 else ("both", per_tail)
+
+    def _paced(self, fired: DataFrame, names: Sequence[str], time: str, order: Sequence[str], actors, width: float) -> DataFrame:
+        """Firings of ``names`` with both pauses observed."""
+        waits = {n: self._pauses(n) for n in names}
+        secs = lambda i: F.coalesce(*[F.when(F.col("rule") == n, F.lit(w[i])) for n, w in waits.items()])
+        part = fired.where(F.col("rule").isin(list(waits))).withColumn("_pause", secs(0)).withColumn("_rule_pause", secs(1))
+        return folds.paced(part, ["rule"], time, order, actors, "_pause", "_rule_pause", width).drop("_pause", "_rule_pause")
 
     def firings(self, prepared: DataFrame, width: float = SLICE_S) -> DataFrame:
         """One row per (report, rule) that fires, after cooldowns."""
@@ -204,7 +262,54 @@ class Rules:
             part = fired.where(F.col("rule").isin(list(scoped))).withColumn("cooldown_s", secs)
             part = folds.cooldown(part, keys, "now", ["seq"], "cooldown_s", width).drop("cooldown_s")
             out = out.unionByName(part)
-        return out
+        both = [n for n, w in waits.items() if w and w[0] == "both"]
+        return out.unionByName(self._paced(fired, both, "now", ["seq"], [("tail", "now")], width)) if both else out
+
+    def pair_firings(self, prepared: DataFrame, checks: DataFrame | None = None, skip_nowhere: bool = True, width: float = SLICE_S) -> DataFrame:
+        """Firings of the proximity rules: the columns of a report (the aircraft that
+        looks), ``tail2`` and ``other`` (the one it sees), ``at`` (second of the check).
+
+        A check looks at the last report of each aircraft, up to five seconds old, and
+        runs at the seconds of ``checks`` (default: ``folds.checkpoints``).  Both members
+        must meet the conditions; the looking one must be in some region unless
+        ``skip_nowhere`` is off.  Each pair fires in both directions unless a pause
+        forbids it: both members must be out of the pause, and it is the looking one
+        whose pause starts.  Within a check aircraft look in the order of their tails.
+        """
+        position = {n: i for i, n in enumerate(self.rules)}
+        names = [n for n in self.rules if n not in self._plain()]
+        steps = sequence.flight_steps(prepared, carry=[])
+        fields = [c for c in (*MEMBER, "now", "lat", "lon", "alt_baro") if c in steps.columns or c in ("now", "lat", "lon", "alt_baro")]
+        checks = folds.checkpoints(prepared, "now", CHECK_S) if checks is None else checks
+        out = None
+        for name in names:
+            vertical, lateral = self.rules[name]["conditions"]["proximity"]
+            # positions are those of reports, so conditions hold or fail before the join
+            pieces = proximity.track_pieces(steps.where(self.predicate(name)), hold=FRESH_S, interpolate=False, keep=MEMBER)
+            rows = proximity.directed(proximity.near_pairs(pieces, float(lateral), float(vertical))).where(self.pair_condition(name))
+            if skip_nowhere:
+                rows = rows.where(F.exists("inside1", lambda s: s.isNotNull()))
+            rows = rows.select(
+                F.lit(name).alias("rule"), F.lit(position[name]).alias("rule_no"), F.col("sec").alias("at"), "tail2", "lateral_nm", "alt_sep_ft",
+                *[F.col(f"{c}1").alias(c) for c in fields], F.struct(*[F.col(f"{c}2").alias(c) for c in fields]).alias("other"))
+            out = rows if out is None else out.unionByName(rows)
+        if out is None:
+            return prepared.select("*", F.lit("").alias("rule"), F.lit(0).alias("rule_no"), F.lit(0).cast("bigint").alias("at"), F.lit("").alias("tail2"),
+                                   F.lit(0.0).alias("lateral_nm"), F.lit(0.0).alias("alt_sep_ft")).where(F.lit(False))
+        out = out.join(checks.select(F.col("sec").alias("at")).distinct(), "at", "left_semi")
+        paused = [n for n in names if self._cooldown(n)]
+        if not paused:
+            return out
+        out = out.withColumn("_now2", F.col("other.now"))
+        kept = self._paced(out, paused, "at", ["tail", "tail2"], [("tail", "now"), ("tail2", "_now2")], width)
+        return out.where(~F.col("rule").isin(paused)).unionByName(kept).drop("_now2")
+
+    def all_firings(self, prepared: DataFrame, checks: DataFrame | None = None, skip_nowhere: bool = True, width: float = SLICE_S) -> DataFrame:
+        """Firings of single and of pair rules together; ``tail2`` is null for single ones."""
+        plain = self.firings(prepared, width).withColumn("at", F.floor("now").cast("bigint")).withColumn("tail2", F.lit(None).cast("string"))
+        if len(self._plain()) == len(self.rules):
+            return plain
+        return plain.unionByName(self.pair_firings(prepared, checks, skip_nowhere, width), allowMissingColumns=True)
 
     def with_notes(self, fired: DataFrame, width: float = SLICE_S) -> DataFrame:
         """``note``: the aircraft's note before this firing (last one set in its life)."""
@@ -212,7 +317,8 @@ class Rules:
         if not notes:
             return fired.withColumn("note", F.lit(None).cast("string"))
         sets = F.coalesce(*[F.when(F.col("rule") == n, F.lit(str(v))) for n, v in notes.items()])
-        return running(fired, ["tail", "life_no"], "now", ["seq", "rule_no"], lasts={"note": sets}, inclusive=False, width=width)
+        time, order = ("at", ["now", "seq", "rule_no", "tail2"]) if "at" in fired.columns else ("now", ["seq", "rule_no"])
+        return running(fired, ["tail", "life_no"], time, order, lasts={"note": sets}, inclusive=False, width=width)
 
     def report(self, noted: DataFrame) -> DataFrame:
         """Counts per rule with a ``track`` action: in total (note null) and per note."""
@@ -223,9 +329,9 @@ class Rules:
         return total.unionByName(per_note)
 
     def proximity_firings(self, steps: DataFrame, name: str, first_only: bool = False, interpolate: bool = True, hold: int = 5,
-                          keep: Sequence[str] = ("tail", "flight_id", "seq")) -> DataFrame:
-        """Pairs satisfying a proximity rule at each second; both members must pass
-        the other conditions of the rule."""
+                          keep: Sequence[str] = MEMBER) -> DataFrame:
+        """Pairs satisfying a proximity rule at each second, before pauses; both members
+        must pass the other conditions of the rule."""
         vertical, lateral = self.rules[name]["conditions"]["proximity"]
         pieces = proximity.track_pieces(steps, hold=hold, interpolate=interpolate, keep=keep)
         rows = proximity.directed(proximity.near_pairs(pieces, float(lateral), float(vertical)))
@@ -280,6 +386,7 @@ def csv_lines(rules: Rules, fired: DataFrame, second_tail: str | None = None) ->
              for n, b in rules.rules.items() if "print_csv" in (b["actions"] or {})}
     rows = fired.where(F.col("rule").isin(list(kinds)))
     stamp = as_timestamp("now")
+    second_tail = second_tail or ("tail2" if "tail2" in fired.columns else None)
     tail2 = F.trim(F.col(second_tail)) if second_tail else F.lit("")
     line = F.concat(
         F.lit(EVENT_MARKER),
@@ -299,7 +406,11 @@ def printed(fired: DataFrame) -> DataFrame:
 
 
 class Engine:
-    """Rules bound to handlers: each handler gets a DataFrame, never single rows."""
+    """Rules bound to handlers: each handler gets a DataFrame, never single rows.
+
+    Firings of a pair rule (``Rules.all_firings``) carry both aircraft: the columns of
+    the one that looks, and ``tail2`` and ``other`` for the one it sees.
+    """
 
     def __init__(self, rules: Rules):
         self.rules = rules

@@ -40,7 +40,7 @@ def as_layers(regions: DataFrame, limit: int = 10_000) -> list[list[dict]]:
     """Regions as the plain layers the rule compiler takes; the count is checked."""
     rows = regions.limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"more than {limit} regions: join them as a table instead")
+        raise ValueError(f"more than {limit} regions: give the table itself to Rules")
     layers: list[list[dict]] = [[] for _ in range(max((r["layer"] for r in rows), default=-1) + 1)]
     for r in sorted(rows, key=lambda r: (r["layer"], r["idx"])):
         layers[r["layer"]].append({**r.asDict(), "ring": [(p["x"], p["y"]) for p in r["ring"]]})

@@ -13,7 +13,7 @@ def test_join_equals_inline_on_generated_regions(spark, sf):
     made = made.withColumn("layer", F.lit(0)).withColumn("file", F.lit("f")).withColumn("idx", F.col("idx") + F.ascii(F.substring("ident", 2, 1)) * 4)
     layers = as_layers(made.select("layer", "file", "idx", "name", "min_alt", "max_alt", "hdg0", "hdg1", "ring"))
     p = t.positions(spark, sf)
-    joined = {(r["seq"], r["inside"][0]) for r in regions.assign_join(p, made, ["seq"]).collect()}
+    joined = {(r["seq"], r["inside"][0]) for r in regions.assign_join(p, made).collect()}
     inline = {(r["seq"], r["inside"][0]) for r in regions.assign_inline(p, layers).collect()}
     assert joined == inline and len({x for _, x in inline}) > 2
 

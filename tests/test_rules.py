@@ -76,8 +76,9 @@ def test_cooldown(spark):
     assert fired(spark, {"cooldown": 1}, two) == [0, 1, 2]
     assert fired(spark, {"rule_cooldown": 1}, two) == [0, 2]
     assert fired(spark, {"rule_cooldown": 1, "cooldown": 0.5}, two) == [0, 2]
-    with pytest.raises(ValueError):
-        fired(spark, {"rule_cooldown": 1, "cooldown": 5}, two)
+    assert fired(spark, {"rule_cooldown": 1, "cooldown": 5}, two) == [0, 2]
+    more = [(t, GROUND, "a061d9"), (t + 70, GROUND, "a061d9"), (t + 80, GROUND, "a00002"), (t + 320, GROUND, "a061d9"), (t + 400, GROUND, "a00002")]
+    assert fired(spark, {"rule_cooldown": 1, "cooldown": 5}, more) == [0, 2, 3, 4]
 
 
 @pytest.mark.parametrize("conditions,extra,hit", [
