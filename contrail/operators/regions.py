@@ -122,6 +122,9 @@ def matches_any(inside, names: Sequence | None, files: Sequence[str] = ()) -> Co
     if not names:
         return nowhere
     tests = []
+    named = [str(e).lower() for e in names if e is not None and not str(e).startswith("~")]
+    if named:
+        tests.append(F.exists(slots, lambda s: F.coalesce(s.isin(named), F.lit(False))))
     for entry in names:
         if entry is None or entry == "~":
             tests.append(nowhere)
@@ -129,8 +132,6 @@ def matches_any(inside, names: Sequence | None, files: Sequence[str] = ()) -> Co
             if entry[1:] not in files:
                 raise ValueError(f"unknown region file in rule: {entry[1:]!r}")
             tests.append(F.get(slots, F.lit(list(files).index(entry[1:]))).isNull())
-        else:
-            tests.append(F.exists(slots, lambda s: s.eqNullSafe(F.lit(str(entry).lower()))))
     out = tests[0]
     for t in tests[1:]:
         out = out | t

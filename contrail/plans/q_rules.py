@@ -135,6 +135,63 @@ def carry_forward(spark, sf):
     return out.select("seq", "tail", "emergency")
 
 
+SPARSE = {"category": "seq % 7 < 2", "squawk": "seq % 5 = 0", "emergency": "seq % 3 = 0"}
+CARRIED = f"""WITH {P}, sparse AS (SELECT * REPLACE ({', '.join(f'CASE WHEN {w} THEN {c} END AS {c}' for c, w in SPARSE.items())}) FROM positions),
+  g AS (SELECT *, now - lag(now) OVER (PARTITION BY tail ORDER BY now, seq) AS gap FROM sparse),
+  l AS (SELECT *, sum(CASE WHEN gap > 180 THEN 1 ELSE 0 END) OVER (PARTITION BY tail ORDER BY now, seq) AS life FROM g),
+  carried AS (SELECT seq, tail, {', '.join(f'last_value({c} IGNORE NULLS) OVER (PARTITION BY tail, life ORDER BY now, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}' for c in SPARSE)} FROM l)
+  SELECT seq, tail FROM carried WHERE """
+
+
+def _register_carried(name: str, conditions: dict, where: str):
+    @query(name, CARRIED + where)
+    def run(spark, sf):
+        """Reports that leave periodic keys out: the rule sees the last ones sent."""
+        rows = t.positions(spark, sf).withColumns({c: F.when(F.expr(w), F.col(c)) for c, w in SPARSE.items()})
+        keys = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in SPARSE]))
+        engine = _engine(conditions)
+        return engine.firings(engine.prepare(rows.withColumn("attrs", keys))).select("seq", "tail")
+
+
+for _n, _c, _w in (
+    ("F12_carried_attr", {"has_attr": "category"}, "category IS NOT NULL"),
+    ("F13_carried_squawk", {"squawk": [7700, "4512"]}, "squawk IN ('7700', '4512')"),
+    ("F14_carried_emergency", {"emergency": "any"}, "emergency <> 'none'"),
+    ("F15_carried_category", {"category": ["A1", "A7"]}, "category IN ('A1', 'A7')"),
+    ("F15_carried_exclude", {"exclude_category": "A3"}, "coalesce(category <> 'A3', true)"),
+):
+    _register_carried(_n, _c, _w)
+
+
+@query("F3_long_list", f"WITH {P} SELECT seq, tail FROM positions WHERE CAST(substr(tail, 2) AS INTEGER) % 2 = 0")
+def long_list(spark, sf):
+    engine = R.Rules({"aircraft_lists": {"even": [f"N{i}" for i in range(0, 100_000, 2)]},
+                      "rules": {"rule": {"conditions": {"aircraft_list": "even"}, "actions": {"print": True}}}})
+    return engine.firings(engine.prepare(_reports(spark, sf))).select("seq", "tail")
+
+
+GRID = 32
+GRID_LAT, GRID_LON, GRID_STEP = 36.43317, -121.87713, 0.015625
+
+
+def _grid_layer() -> list[dict]:
+    def ring(i: int, j: int):
+        la, lo = GRID_LAT + i * GRID_STEP, GRID_LON + j * GRID_STEP
+        return [(lo, la), (lo + GRID_STEP, la), (lo + GRID_STEP, la + GRID_STEP), (lo, la + GRID_STEP)]
+
+    return [{"name": f"Cell {i} {j}", "min_alt": 0, "max_alt": 1300 + 200 * (j % 2), "hdg0": 0, "hdg1": 360, "ring": ring(i, j)} for i in range(GRID) for j in range(GRID)]
+
+
+@query("F8_thousand_regions", f"""WITH {P}, c AS (SELECT seq, alt_baro, CAST(floor((lat - CAST({GRID_LAT} AS DOUBLE)) / CAST({GRID_STEP} AS DOUBLE)) AS INTEGER) AS i,
+    CAST(floor((lon - CAST({GRID_LON} AS DOUBLE)) / CAST({GRID_STEP} AS DOUBLE)) AS INTEGER) AS j FROM positions)
+  SELECT seq, 'cell ' || i || ' ' || j AS region FROM c WHERE i BETWEEN 0 AND {GRID - 1} AND j BETWEEN 0 AND {GRID - 1} AND alt_baro <= 1300 + 200 * (j % 2) AND (i + j) % 3 = 0""")
+def thousand_regions(spark, sf):
+    layer = _grid_layer()
+    wanted = [f"cell {i} {j}" for i in range(GRID) for j in range(GRID) if (i + j) % 3 == 0]
+    engine = R.Rules({"rules": {"rule": {"conditions": {"regions": wanted}, "actions": {"print": True}}}}, [layer], ["grid.kml"])
+    return engine.firings(engine.prepare(_reports(spark, sf))).select("seq", F.col("inside")[0].alias("region"))
+
+
 # --- cooldown, notes, reports -------------------------------------------------------
 
 COOL = f"""WITH RECURSIVE {P}, m AS (SELECT {{key}} AS key, seq, now, row_number() OVER (PARTITION BY {{key}} ORDER BY now, seq) AS i FROM positions WHERE alt_baro >= 1200),
@@ -161,6 +218,20 @@ def rule_cooldown(spark, sf):
     return _cool({"rule_cooldown": 0.75})(spark, sf).select("seq")
 
 
+# Last firing of each of the 40 aircraft, as a list by aircraft number.
+NEVER = "list_transform(range(40), lambda x: CAST(-1e18 AS DOUBLE))"
+BOTH = f"""WITH RECURSIVE {P}, m AS (SELECT tail, a, seq, now, row_number() OVER (ORDER BY now, seq) AS i FROM positions WHERE alt_baro >= 1200),
+walk(i, fired, fires, quiet) AS (SELECT CAST(0 AS BIGINT), false, {NEVER}, CAST(-1e18 AS DOUBLE)
+  UNION ALL SELECT i, f, CASE WHEN f THEN list_concat(fires[1:a], [now], fires[a + 2:]) ELSE fires END, CASE WHEN f THEN now ELSE quiet END
+  FROM (SELECT m.i, m.a, m.now, w.fires, w.quiet, m.now - w.quiet >= 45 AND m.now - w.fires[m.a + 1] >= 150 AS f FROM walk w JOIN m ON m.i = w.i + 1))
+SELECT tail, seq FROM walk JOIN m USING (i) WHERE fired"""
+
+
+@query("T5_both_pauses", BOTH)
+def both_pauses(spark, sf):
+    return _cool({"cooldown": 2.5, "rule_cooldown": 0.75})(spark, sf).select("tail", "seq")
+
+
 DOC = {
     "aircraft_lists": LISTS,
     "rules": {
@@ -208,10 +279,10 @@ TEXT = "tail || ' ' || strftime(make_timestamp(CAST(now AS BIGINT) * 1000000), '
 NOW_IN = "'[' || coalesce(in0, '-') || ', ' || coalesce(in1, '-') || ']'"
 
 
-@query("K3_print_lines", f"WITH {FIRED} SELECT rule, tail, now, rule || ': ' || strftime(make_timestamp(CAST(now AS BIGINT) * 1000000), '%m/%d/%y %H:%M:%S') || ' ' || {TEXT} || ' [' || coalesce(was0, '-') || ', ' || coalesce(was1, '-') || ']->' || {NOW_IN} || ' ' || coalesce(note, '') AS line FROM noted WHERE rule = 'takeoff'")
+@query("K3_print_lines", f"WITH {FIRED} SELECT rule, tail, now, rule || ': ' || strftime(make_timestamp(CAST(now AS BIGINT) * 1000000), '%m/%d/%y %H:%M:%S') || ' ' || {TEXT} || ' [' || coalesce(was0, '-') || ', ' || coalesce(was1, '-') || ']->' || {NOW_IN} || ' ' || coalesce(note, '') AS line FROM noted")
 def print_lines(spark, sf):
     d, f = _fired(spark, sf)
-    return R.printed(d.with_notes(f)).where("rule = 'takeoff'")
+    return R.printed(d.with_notes(f))
 
 
 @query("K4_webhook_alerts", f"WITH {FIRED} SELECT rule, tail, now, 'page' AS channel, 'desk' AS recipient, 'Rule fleet: ' || {TEXT} || ' ' || {NOW_IN} AS message FROM fired WHERE rule = 'fleet'")
@@ -276,3 +347,49 @@ def checkpoints(spark, sf):
     p = t.positions(spark, sf).withColumn("at", F.timestamp_seconds("now"))
     out = p.groupBy(F.window("at", "5 seconds").alias("w")).agg(F.count(F.lit(1)).alias("reports"), F.countDistinct("tail").alias("aircraft"))
     return out.select(F.unix_timestamp("w.start").alias("window_start"), "reports", "aircraft")
+
+
+CHECKS = """secs AS (SELECT sec, row_number() OVER (ORDER BY sec) AS k FROM (SELECT DISTINCT CAST(floor(now) AS BIGINT) AS sec FROM positions)),
+ticks AS (SELECT sec, k, sec AS last FROM secs WHERE k = 1
+  UNION ALL SELECT s.sec, s.k, CASE WHEN s.sec - c.last >= 5 THEN s.sec ELSE c.last END FROM ticks c JOIN secs s ON s.k = c.k + 1),
+checks AS (SELECT sec FROM ticks WHERE last = sec AND k > 1)"""
+
+
+@query("T4_data_checkpoints", f"WITH RECURSIVE {P}, {CHECKS} SELECT sec FROM checks")
+def data_checkpoints(spark, sf):
+    from ..operators import folds
+
+    return folds.checkpoints(t.positions(spark, sf))
+
+
+PAIR_RULE = {"conditions": {"proximity": [600, 1.5], "regions": ["Ground", "Pattern"], "min_gs": 85, "squawk": [1200, 7600], "cooldown": 1},
+             "actions": {"print_csv": "close", "track": True, "callback": "pair"}}
+PAIRED = f"""WITH RECURSIVE {t.REGIONS_SQL}, {CHECKS}, nx AS (SELECT *, lead(now) OVER (PARTITION BY tail ORDER BY now, seq) AS nx FROM prepared),
+good AS (SELECT * FROM nx WHERE (coalesce(in0 IN ('ground', 'pattern'), false) OR coalesce(in1 IN ('ground', 'pattern'), false)) AND gs >= 85 AND squawk IN ('1200', '7600')),
+held AS (SELECT unnest(range(CAST(now AS BIGINT), CAST(least(now + 5, coalesce(nx - 1, now + 5)) AS BIGINT) + 1)) AS sec, * FROM good),
+met AS (SELECT sec, x.tail, y.tail AS tail2, x.a, y.a AS a2, x.now, y.now AS now2, x.seq, y.seq AS seq2, x.alt_baro, row_number() OVER (ORDER BY sec, x.tail, y.tail) AS i
+  FROM held x JOIN held y USING (sec) JOIN checks USING (sec)
+  WHERE x.tail <> y.tail AND abs(x.alt_baro - y.alt_baro) < 600 AND {t.haversine_sql('x.lat', 'x.lon', 'y.lat', 'y.lon')} < 1.5),
+walk(i, fired, fires) AS (SELECT CAST(0 AS BIGINT), false, {NEVER}
+  UNION ALL SELECT i, f, CASE WHEN f THEN list_concat(fires[1:a], [now], fires[a + 2:]) ELSE fires END
+  FROM (SELECT m.i, m.a, m.now, w.fires, m.now - w.fires[m.a + 1] >= 60 AND m.now2 - w.fires[m.a2 + 1] >= 60 AS f FROM walk w JOIN met m ON m.i = w.i + 1)),
+pair_fired AS (SELECT met.* FROM walk JOIN met USING (i) WHERE fired)"""
+
+
+def _paired(spark, sf):
+    d = R.Rules({"rules": {"near": PAIR_RULE}}, t.REGION_LAYERS, t.REGION_FILES)
+    return d, d.all_firings(d.prepare(_reports(spark, sf)))
+
+
+@query("J1_pair_rule", PAIRED + " SELECT 'near' AS rule, sec AS at, tail, tail2, seq, seq2 FROM pair_fired")
+def pair_rule(spark, sf):
+    return _paired(spark, sf)[1].select("rule", "at", "tail", "tail2", "seq", F.col("other.seq").alias("seq2"))
+
+
+@query("K2_pair_csv_lines", PAIRED + " SELECT tail, tail2, now, alt_baro, 'close' AS kind FROM pair_fired")
+def pair_csv_lines(spark, sf):
+    from ..sources.lines import event_lines
+
+    d, f = _paired(spark, sf)
+    parsed = event_lines(R.csv_lines(d, f))
+    return parsed.select("tail", F.col("fields")[7].alias("tail2"), "now", F.col("altitude").cast("bigint").alias("alt_baro"), F.col("fields")[12].alias("kind"))
