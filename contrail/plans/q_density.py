@@ -212,17 +212,45 @@ def airport_regions(spark, sf):
 
 
 @query("G9_airport_rules", f"""WITH {t.RUNWAYS_SQL}, f AS (SELECT * FROM runways WHERE le_heading IS NOT NULL)
-  SELECT ident, unnest(['takeoff_popup', 'landing', 'vicinity_traffic', 'region_change', 'prox']) AS rule, unnest([
-    '{{"transition_regions":["Ground","~"]}}', '{{"transition_regions":["RWY' || le_ident || ' Approach","Ground"]}}',
+  SELECT ident, unnest(['takeoff', 'takeoff_popup', 'landing', 'vicinity_traffic', 'region_change', 'prox']) AS rule, unnest([
+    '{{"latlongring":[10.0,' || lat || ',' || lon || '],"transition_regions":["Ground","RWY' || le_ident || ' Departure"]}}', '{{"transition_regions":["Ground","~"]}}', '{{"transition_regions":["RWY' || le_ident || ' Approach","Ground"]}}',
     '{{"regions":["RWY' || le_ident || ' Departure","RWY' || le_ident || ' Approach","Vicinity","Ground"],"cooldown":10}}', '{{"changed_regions":"strict"}}',
     '{{"min_alt":' || CAST(elev + 500 AS BIGINT) || ',"max_alt":' || CAST(elev + 10000 AS BIGINT) || ',"regions":["Vicinity"],"proximity":[400.0,0.3]}}']) AS conditions FROM f""")
 def airport_rules(spark, sf):
-    return regions.airport_rules(_field(spark, sf)).where("rule <> 'takeoff'")
-
-
-@query("G8_assign_generated_regions")
+    return regions.airport_rules(_field(spark, sf))
+
+
+def _corner(base: str) -> str:
+    """Wedge corners as (k, lat, lon): base and far end, left and right of heading ``h``."""
+    far = _point("lat0", "lon0", "len", "h")
+    left, right = "(h - 90)", "(h + 90)"
+    spots = [_point("lat0", "lon0", f"({base} / 2)", left), _point(*far, "(far / 2)", left), _point(*far, "(far / 2)", right), _point("lat0", "lon0", f"({base} / 2)", right)]
+    return ", ".join(f"{{'k': {k}, 'y': {la}, 'x': {lo}}}" for k, (la, lo) in enumerate([*spots, spots[0]]))
+
+
+_ring_at = _point("lat", "lon", "radius", "(k * 10.0)")
+GENERATED = f"""{t.RUNWAYS_SQL}, {t.POSITIONS_SQL}, f AS (SELECT * FROM runways WHERE le_heading IS NOT NULL),
+wedge AS (SELECT ident, ordinal * 4 AS idx, 'RWY' || le_ident || ' Departure' AS name, elev - 500 AS low, elev + 3000 AS high, {_R.format(h='le_heading', s='-', d=25)} AS hdg0, {_R.format(h='le_heading', s='+', d=25)} AS hdg1,
+    he_lat AS lat0, he_lon AS lon0, le_heading AS h, 3.0 AS len, 0.15 AS base, 0.75 AS far FROM f
+  UNION ALL SELECT ident, ordinal * 4 + 1, 'RWY' || le_ident || ' Approach', elev - 500, elev + 5000, {_R.format(h='le_heading', s='-', d=30)}, {_R.format(h='le_heading', s='+', d=30)},
+    le_lat, le_lon, (le_heading + 180) % 360, 5.0, width_ft * 4 / 6076, 1.0 FROM f),
+circle AS (SELECT ident, ordinal * 4 + 2 AS idx, 'Ground' AS name, elev - 500 AS low, elev + 500 AS high, lat, lon, length_ft / 6076 / 2 + 0.3 AS radius FROM f
+  UNION ALL SELECT ident, ordinal * 4 + 3, 'Vicinity', elev - 500, elev + 10000, lat, lon, 10.0 FROM f),
+made AS (SELECT ident, idx, name, low, high, hdg0, hdg1, unnest([{_corner('base')}]) AS p FROM wedge
+  UNION ALL SELECT ident, idx, name, low, high, 0.0, 360.0, {{'k': k, 'y': {_ring_at[0]}, 'x': {_ring_at[1]}}} FROM (SELECT *, CAST(unnest(range(37)) AS INTEGER) AS k FROM circle)),
+spots AS (SELECT idx, lower(ident || ' ' || name) AS name, low, high, hdg0, hdg1, p.k AS k, p.x AS x, p.y AS y FROM made),
+edge AS (SELECT a.*, b.x AS x2, b.y AS y2 FROM spots a JOIN spots b ON a.idx = b.idx AND b.k = a.k + 1),
+crossed AS (SELECT seq, e.idx, e.name FROM positions p JOIN edge e ON p.alt_baro BETWEEN e.low AND e.high
+    AND CASE WHEN hdg0 <= hdg1 THEN p.track BETWEEN hdg0 AND hdg1 ELSE p.track >= hdg0 OR p.track <= hdg1 END
+    AND (e.y > p.lat) <> (e.y2 > p.lat) AND p.lon < (e.x2 - e.x) * (p.lat - e.y) / (e.y2 - e.y) + e.x
+  GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1),
+first AS (SELECT seq, arg_min(name, idx) AS region FROM crossed GROUP BY 1)"""
+
+
+@query("G8_assign_generated_regions", f"WITH {GENERATED} SELECT region, count(*) AS n FROM positions LEFT JOIN first USING (seq) GROUP BY 1")
 def assign_generated(spark, sf):
     r = regions.airport_regions(_field(spark, sf))
-    r = r.withColumn("layer", F.lit(0)).withColumn("idx", F.col("idx") + F.abs(F.hash("ident")) % 1000 * 4).withColumn("file", F.col("ident"))
+    ordinal = F.ascii(F.substring("ident", 2, 1)) - 65
+    r = r.withColumn("layer", F.lit(0)).withColumn("idx", F.col("idx") + ordinal * 4).withColumn("name", F.concat_ws(" ", "ident", "name")).withColumn("file", F.col("ident"))
     out = regions.assign_join(t.positions(spark, sf), r)
     return out.groupBy(F.col("inside")[0].alias("region")).agg(F.count(F.lit(1)).alias("n"))

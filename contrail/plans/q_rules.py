@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import regions, sequence
+from ..operators import folds, regions, sequence
 from . import rules as R
 from . import tables as t
 from .registry import query
@@ -357,8 +357,6 @@ checks AS (SELECT sec FROM ticks WHERE last = sec AND k > 1)"""
 
 @query("T4_data_checkpoints", f"WITH RECURSIVE {P}, {CHECKS} SELECT sec FROM checks")
 def data_checkpoints(spark, sf):
-    from ..operators import folds
-
     return folds.checkpoints(t.positions(spark, sf))
 
 
@@ -378,7 +376,8 @@ pair_fired AS (SELECT met.* FROM walk JOIN met USING (i) WHERE fired)"""
 
 def _paired(spark, sf):
     d = R.Rules({"rules": {"near": PAIR_RULE}}, t.REGION_LAYERS, t.REGION_FILES)
-    return d, d.all_firings(d.prepare(_reports(spark, sf)))
+    reports = _reports(spark, sf)
+    return d, d.all_firings(d.prepare(reports), folds.checkpoints(reports))
 
 
 @query("J1_pair_rule", PAIRED + " SELECT 'near' AS rule, sec AS at, tail, tail2, seq, seq2 FROM pair_fired")

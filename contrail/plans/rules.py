@@ -18,6 +18,7 @@ from ..functions.times import as_timestamp, hhmm_utc, in_time_ranges
 from ..operators import folds, proximity, regions, sequence
 from ..operators.skew import dimension_join
 from ..operators.timeline import SLICE_S, running, timeline
+from ..session import stage
 
 CONDITIONS = {
     "proximity", "aircraft_list", "exclude_aircraft_list", "one_in_aircraft_list", "exclude_aircraft_substrs", "min_alt", "max_alt",
@@ -270,7 +271,8 @@ class Rules:
         looks), ``tail2`` and ``other`` (the one it sees), ``at`` (second of the check).
 
         A check looks at the last report of each aircraft, up to five seconds old, and
-        runs at the seconds of ``checks`` (default: ``folds.checkpoints``).  Both members
+        runs at the seconds of ``checks`` (default: ``folds.checkpoints`` of ``prepared``;
+        those of the raw reports are the same and cheaper).  Both members
         must meet the conditions; the looking one must be in some region unless
         ``skip_nowhere`` is off.  Each pair fires in both directions unless a pause
         forbids it: both members must be out of the pause, and it is the looking one
@@ -279,6 +281,8 @@ class Rules:
         position = {n: i for i, n in enumerate(self.rules)}
         names = [n for n in self.rules if n not in self._plain()]
         steps = sequence.flight_steps(prepared, carry=[])
+        if len(names) > 1:
+            steps = stage(steps, "steps")
         fields = [c for c in (*MEMBER, "now", "lat", "lon", "alt_baro") if c in steps.columns or c in ("now", "lat", "lon", "alt_baro")]
         checks = folds.checkpoints(prepared, "now", CHECK_S) if checks is None else checks
         out = None
@@ -286,7 +290,9 @@ class Rules:
             vertical, lateral = self.rules[name]["conditions"]["proximity"]
             # positions are those of reports, so conditions hold or fail before the join
             pieces = proximity.track_pieces(steps.where(self.predicate(name)), hold=FRESH_S, interpolate=False, keep=MEMBER)
-            rows = proximity.directed(proximity.near_pairs(pieces, float(lateral), float(vertical))).where(self.pair_condition(name))
+            # both sides of the join read the pieces, both directions the pairs
+            pairs = stage(proximity.near_pairs(stage(pieces, "pieces"), float(lateral), float(vertical)), "pairs")
+            rows = proximity.directed(pairs).where(self.pair_condition(name))
             if skip_nowhere:
                 rows = rows.where(F.exists("inside1", lambda s: s.isNotNull()))
             rows = rows.select(
