@@ -79,17 +79,10 @@ def busyness_summary(cube: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
 def shard_by_airport(reports: DataFrame, airports: DataFrame, radius_nm: float = 10.0) -> DataFrame:
     """Each report once per airport within the radius (adds icao, elev, ap_lat, ap_lon).
 
-    ``airports`` may carry its own ``radius_nm`` per row; the join then uses the
-    largest and filters afterwards.
+    ``airports`` may carry its own ``radius_nm`` per row.  Airports at the same place
+    each get their shard.
     """
-    own = "radius_nm" in airports.columns
-    reach = radius_nm
-    if own:
-        reach = float(airports.agg(F.max(F.coalesce("radius_nm", F.lit(radius_nm)))).first()[0] or radius_nm)
-    near = nearest_airports(reports, airports, reports.columns, reach)
-    if own:
-        limit = airports.select("ident", F.coalesce("radius_nm", F.lit(radius_nm)).alias("_r"))
-        near = dimension_join(near, limit, ["ident"]).where(F.col("distance_nm") <= F.col("_r")).drop("_r")
+    near = nearest_airports(reports, airports, reports.columns, radius_nm, merge=False)
     return near.select(*reports.columns, F.col("ident").alias("icao"), F.col("airport_elev").alias("elev"),
                        F.col("airport_lat").alias("ap_lat"), F.col("airport_lon").alias("ap_lon"), "distance_nm")
 

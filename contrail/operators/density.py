@@ -72,6 +72,14 @@ def segment_tiles(segments: DataFrame, elevations: DataFrame | None = None, max_
     return rows.where(F.col("u0") <= F.col("u1"))
 
 
+def segment_tiles_agl(segments: DataFrame, airports: DataFrame, zoom: int, max_agl: int = ABOVE_FT) -> DataFrame:
+    """``segment_tiles`` with the height filter: every crossed tile gets the elevation
+    of its nearest airport, also tiles without a report of their own."""
+    crossed = stage(segment_tiles(segments), "crossed")
+    elevations = tile_elevations(crossed.select("tx", "ty").distinct(), airports, zoom).select("tx", "ty", "elev")
+    return dimension_join(crossed, elevations, ["tx", "ty"]).where(F.col("alt").between(F.col("elev") + BELOW_FT, F.col("elev") + max_agl))
+
+
 def segment_pixels(segments: DataFrame, width: int = 2) -> DataFrame:
     """World pixels along each segment, one step per pixel of its longer axis.
 

@@ -261,24 +261,27 @@ def airborne(events: DataFrame, airports: DataFrame, event_id: list[str] = EVENT
 AIRPORT_CELL_DEG = 0.25
 
 
-def nearest_airports(points: DataFrame, airports: DataFrame, row_id: list[str], radius_nm: float = NEAR_AIRPORT_NM) -> DataFrame:
+def nearest_airports(points: DataFrame, airports: DataFrame, row_id: list[str], radius_nm: float = NEAR_AIRPORT_NM, merge: bool = True) -> DataFrame:
     """All (row, airport) pairs within ``radius_nm``: airports are copied to the grid
     cells their circle touches, points meet them by cell.  ``row_id`` lists the
-    point columns to keep."""
-    unique = airports.groupBy(F.round("lat", 4).alias("_a"), F.round("lon", 4).alias("_o")).agg(
-        F.min(F.struct("ordinal", "ident", "lat", "lon", "elev")).alias("p")).select("p.*")
-    dy = radius_nm / geo.NM_PER_DEGREE
+    point columns to keep.  Airports at the same place (four decimals) count as one,
+    the first, unless ``merge`` is off.  A column ``radius_nm`` of an airport, where
+    not null, replaces the radius."""
+    own = F.coalesce("radius_nm", F.lit(float(radius_nm))) if "radius_nm" in airports.columns else F.lit(float(radius_nm))
+    dim = airports.select("ordinal", "ident", "lat", "lon", "elev", own.alias("reach_nm"))
+    if merge:
+        dim = dim.groupBy(F.round("lat", 4).alias("_a"), F.round("lon", 4).alias("_o")).agg(F.min(F.struct(*dim.columns)).alias("p")).select("p.*")
+    dy = F.col("reach_nm") / geo.NM_PER_DEGREE
     dx = geo.lon_reach(dy, "lat")
-    dim = unique
-    for axis, col, reach in (("cy", "lat", F.lit(dy)), ("cx", "lon", dx)):
+    for axis, col, reach in (("cy", "lat", dy), ("cx", "lon", dx)):
         dim = dim.withColumn(axis, F.explode(F.sequence(
             F.floor((F.col(col) - reach) / AIRPORT_CELL_DEG), F.floor((F.col(col) + reach) / AIRPORT_CELL_DEG))))
-    dim = dim.select("cy", "cx", F.col("lat").alias("airport_lat"), F.col("lon").alias("airport_lon"), F.col("elev").alias("airport_elev"), "ident", "ordinal")
+    dim = dim.select("cy", "cx", F.col("lat").alias("airport_lat"), F.col("lon").alias("airport_lon"), F.col("elev").alias("airport_elev"), "ident", "ordinal", "reach_nm")
     probe = points.select(*dict.fromkeys([*row_id, "lat", "lon"])).withColumn("cy", F.floor(F.col("lat") / AIRPORT_CELL_DEG)).withColumn(
         "cx", F.floor(F.col("lon") / AIRPORT_CELL_DEG))
     met = dimension_join(probe, dim, ["cy", "cx"])
     met = met.withColumn("distance_nm", geo.equirect_nm("airport_lat", "airport_lon", "lat", "lon"))
-    return met.where(F.col("distance_nm") <= radius_nm).drop("cy", "cx")
+    return met.where(F.col("distance_nm") <= F.col("reach_nm")).drop("cy", "cx", "reach_nm")
 
 
 def deduplicate(events: DataFrame) -> DataFrame:

@@ -174,7 +174,10 @@ def running(
         base = base.withColumn(f"_x_{name}", expr)
     w = Window.partitionBy(*part).orderBy(time, *order)
     back = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    ahead = w.rowsBetween(0 if inclusive else 1, Window.unboundedFollowing)
+    # looking ahead is looking back in the opposite order: a frame that only grows at
+    # its end costs one step a row, one that shrinks at its start the whole rest
+    falling = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in (time, *order)])
+    ahead = falling.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
 
     position = F.struct(time, *order)
     aggs = [F.sum(f"_x_{n}").alias(f"_s_{n}") for n in sums]
@@ -182,12 +185,13 @@ def running(
     aggs += [F.min_by(f"_x_{n}", F.when(F.col(f"_x_{n}").isNotNull(), position)).alias(f"_s_{n}") for n in nexts]
     summary = base.groupBy(*part).agg(*aggs)
     by_key = Window.partitionBy(*keys).orderBy(SLICE)
-    earlier, later = by_key.rowsBetween(Window.unboundedPreceding, -1), by_key.rowsBetween(1, Window.unboundedFollowing)
+    earlier = by_key.rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys).orderBy(F.col(SLICE).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
         *part,
         *[F.sum(f"_s_{n}").over(earlier).alias(f"_b_{n}") for n in sums],
         *[F.last(f"_s_{n}", ignorenulls=True).over(earlier).alias(f"_b_{n}") for n in lasts],
-        *[F.first(f"_s_{n}", ignorenulls=True).over(later).alias(f"_b_{n}") for n in nexts],
+        *[F.last(f"_s_{n}", ignorenulls=True).over(later).alias(f"_b_{n}") for n in nexts],
     )
     local = base
     for n in sums:
@@ -195,7 +199,7 @@ def running(
     for n in lasts:
         local = local.withColumn(f"_w_{n}", F.last(f"_x_{n}", ignorenulls=True).over(back))
     for n in nexts:
-        local = local.withColumn(f"_w_{n}", F.first(f"_x_{n}", ignorenulls=True).over(ahead))
+        local = local.withColumn(f"_w_{n}", F.last(f"_x_{n}", ignorenulls=True).over(ahead))
     out = _join_back(local, carry, part)
     for n in sums:
         out = out.withColumn(n, F.coalesce(F.col(f"_w_{n}"), F.lit(0)) + F.coalesce(F.col(f"_b_{n}"), F.lit(0)))

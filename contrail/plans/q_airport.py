@@ -93,6 +93,12 @@ def shard_override(spark, sf):
     return airport.shard_by_airport(t.positions(spark, sf), a).groupBy("icao").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum"))
 
 
+@query("J5_twin_airports", f"""WITH {SHARD} SELECT icao || suffix AS icao, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM sharded, (VALUES ('a'), ('b')) v(suffix) GROUP BY 1""")
+def twin_airports(spark, sf):
+    twice = t.airports(spark, sf).withColumn("ident", F.explode(F.array(F.concat("ident", F.lit("a")), F.concat("ident", F.lit("b")))))
+    return airport.shard_by_airport(t.positions(spark, sf), twice).groupBy("icao").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum"))
+
+
 @query("J6_airport_cells", f"""WITH {t.AIRPORTS_SQL}, cells AS (
   SELECT ident, unnest(range(CAST(floor(lat - 5 / 60.0) AS BIGINT), CAST(floor(lat + 5 / 60.0) AS BIGINT) + 1)) AS cell_lat, lon, lat FROM airports)
   SELECT ident, cell_lat, unnest(range(CAST(floor(lon - 5 / (60.0 * cos(radians(lat)))) AS BIGINT), CAST(floor(lon + 5 / (60.0 * cos(radians(lat)))) AS BIGINT) + 1)) AS cell_lon FROM cells""")

@@ -72,19 +72,17 @@ def segment_tiles(spark, sf):
     return density.segment_tiles(_segments(spark, sf)).select("hex", "seq", "tx", "ty", F.round("u0", 6).alias("u0"), F.round("u1", 6).alias("u1"))
 
 
-@query("G2_segment_tiles_agl", SEGMENTS + f""", {t.AIRPORTS_SQL}, tl AS (SELECT DISTINCT tx, ty FROM pix), tc AS (
+@query("G2_segment_tiles_agl", SEGMENTS + f""", {t.AIRPORTS_SQL}, spread AS (SELECT *, unnest(range(least(y0, y1) // 256, greatest(y0, y1) // 256 + 1)) AS ty FROM (
+  SELECT *, unnest(range(least(x0, x1) // 256, greatest(x0, x1) // 256 + 1)) AS tx FROM segments)),
+  tl AS (SELECT DISTINCT tx, ty FROM spread), tc AS (
   SELECT tx, ty, (degrees(atan(sinh(pi() * (1 - 2.0 * ty / 2048)))) + degrees(atan(sinh(pi() * (1 - 2.0 * (ty + 1) / 2048))))) / 2 AS clat, ((tx / 2048.0 * 360 - 180) + ((tx + 1) / 2048.0 * 360 - 180)) / 2 AS clon FROM tl),
   te AS (SELECT tx, ty, elev FROM (SELECT tx, ty, a.elev, row_number() OVER (PARTITION BY tx, ty ORDER BY pow(clat - a.lat, 2) + pow(clon - a.lon, 2), a.ordinal) AS r FROM tc, airports a) WHERE r = 1),
-  spread AS (SELECT *, unnest(range(least(y0, y1) // 256, greatest(y0, y1) // 256 + 1)) AS ty FROM (
-  SELECT *, unnest(range(least(x0, x1) // 256, greatest(x0, x1) // 256 + 1)) AS tx FROM segments)),
   clipped AS (SELECT s.*, greatest(0.0, {_xa.replace('tx', 's.tx')}, {_ya.replace('ty', 's.ty')}) AS u0, least(1.0, {_xb.replace('tx', 's.tx')}, {_yb.replace('ty', 's.ty')}) AS u1
     FROM spread s JOIN te ON te.tx = s.tx AND te.ty = s.ty WHERE alt BETWEEN elev - 200 AND elev + 500)
   SELECT tx, ty, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM clipped WHERE u0 <= u1 GROUP BY 1, 2""")
 def segment_tiles_agl(spark, sf):
-    seg = _segments(spark, sf)
-    px = t.positions(spark, sf).withColumn("_t", tiles.tile_pixel("lat", "lon", F.lit(float(Z)))).select("_t.tx", "_t.ty").distinct()
-    elev = density.tile_elevations(px, t.airports(spark, sf), Z).select("tx", "ty", "elev")
-    return density.segment_tiles(seg, elev, 500).groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum"))
+    out = density.segment_tiles_agl(_segments(spark, sf), t.airports(spark, sf), Z, 500)
+    return out.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum"))
 
 
 PIXELS = SEGMENTS + """, stepped AS (SELECT *, greatest(abs(x1 - x0), abs(y1 - y0)) AS n, unnest(range(0, greatest(abs(x1 - x0), abs(y1 - y0)) + 1)) AS i FROM segments),
