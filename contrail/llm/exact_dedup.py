@@ -33,10 +33,11 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number the runs of equal texts in a sorted partition."""
     part, run, last, sha, lead = TaskContext.get().partitionId(), -1, None, "", None
     for batch in batches:
-        norm, ids, chars = batch.column(0), batch.column(1), batch.column(2)
-        runs, shas, leads = [], [], []
+        norm, ids = batch.column(0), batch.column(1)
+        runs, shas, leads, firsts = [], [], [], []
         for text, doc in zip(norm, ids.to_pylist()):
             text = text.as_buffer().to_pybytes()
+            firsts.append(text != last)
             if text != last:
                 run, last, sha, lead = run + 1, text, hashlib.sha256(text).hexdigest(), doc
             runs.append(run)
@@ -44,8 +45,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             leads.append(lead)
         n = len(runs)
         yield pa.RecordBatch.from_arrays(
-            [ids, chars, pa.array([part] * n, pa.int32()), pa.array(runs, pa.int64()), pa.array(leads, ids.type), pa.array(shas, pa.string())],
-            names=["_id", "_chars", "_part", "_run", "_lead", "_sha"])
+            [ids, pa.array(firsts, pa.bool_()), pa.array([part] * n, pa.int32()), pa.array(runs, pa.int64()), pa.array(leads, ids.type), pa.array(shas, pa.string())],
+            names=["_id", "_begins", "_part", "_run", "_lead", "_sha"])
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,8 +56,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     * Of equal texts the row with the most code points stays, then the smallest id; null
       ids come last. Null and empty texts are equal to each other.
-    * Rows that repeat an id are members of their own: each counts in ``group_size``, and
-      all rows bearing the kept id with the longest text are marked ``kept``.
+    * Rows that repeat an id are members of their own: each counts in ``group_size``, and of
+      those that bear the kept id with the longest text one is marked ``kept``, so every group
+      has exactly one kept row. The id may be a struct, compared field by field.
     * An empty table gives an empty result; other columns of ``docs`` are not read.
 
     A text is shuffled once. Across partition borders texts are compared by SHA-256.
@@ -66,12 +68,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = rows.withColumns({"_head": F.substring("_norm", 1, SPLITTER_CHARS), "_hash": F.xxhash64("_norm")})
     spread = keyed.repartitionByRange(*[x for i, x in enumerate(order) if i != 2]).sortWithinPartitions(*order)
     kind = docs.schema[id_col].dataType.simpleString()
-    found = spread.select(F.col("_norm").cast("binary"), "_id", "_chars").mapInArrow(
-        _neighbours, f"_id {kind}, _chars int, _part int, _run bigint, _lead {kind}, _sha string")
+    found = spread.select(F.col("_norm").cast("binary"), "_id").mapInArrow(
+        _neighbours, f"_id {kind}, _begins boolean, _part int, _run bigint, _lead {kind}, _sha string")
     members = stage(found, "exact-members")
 
     runs = members.groupBy("_part", "_run").agg(
-        F.count(F.lit(1)).alias("_n"), F.max("_sha").alias("_sha"), F.max("_lead").alias("_lead"), F.max("_chars").alias("_most"))
+        F.count(F.lit(1)).alias("_n"), F.max("_sha").alias("_sha"), F.max("_lead").alias("_lead"))
     runs = runs.select("*", F.col("_part").alias("_rpart"), F.col("_run").alias("_rrun"))
     # One row per partition: its first and last run. A first run that continues the partition
     # before belongs to the last run that began anew.
@@ -87,11 +89,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     touched = links.select("_tpart", "_trun").distinct()
     chained = runs.join(touched, (F.col("_rpart") == F.col("_tpart")) & (F.col("_rrun") == F.col("_trun")), "left_semi")
     heads = chained.groupBy("_rpart", "_rrun").agg(
-        F.sum("_n").alias("_size"), F.min_by("_lead", F.struct("_part", "_run")).alias("_keep"), F.max("_most").alias("_longest"))
+        F.sum("_n").alias("_size"), F.min_by("_lead", F.struct("_part", "_run")).alias("_keep"))
     runs = runs.join(heads, ["_rpart", "_rrun"], "left").select(
         "_part", "_run", F.coalesce("_size", "_n").alias("_size"), F.when(F.col("_size").isNull(), F.col("_lead")).otherwise(F.col("_keep")).alias("_keep"),
-        F.coalesce("_longest", "_most").alias("_longest"))
+        ((F.col("_part") == F.col("_rpart")) & (F.col("_run") == F.col("_rrun"))).alias("_anew"))
     out = members.join(runs, ["_part", "_run"])
     return out.select(
         F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"),
-        (F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_chars") == F.col("_longest"))).alias("kept"), F.col("_sha").alias("text_sha256"))
+        (F.col("_begins") & F.col("_anew")).alias("kept"), F.col("_sha").alias("text_sha256"))

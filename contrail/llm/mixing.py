@@ -68,6 +68,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix",
+    row_col: str | None = None,
 ) -> DataFrame:
     """How many words of every document a mix takes.
 
@@ -80,13 +81,16 @@ def mix_sources(
     * Null sources are one source, the last. Rows that repeat an id and a text draw the same
       key and stand side by side; they count and are taken row by row.
     * Ties of the key go by id, nulls last. Reruns give the same result.
+    * ``row_col`` names a column of unique row numbers: it comes first in the result, and says
+      which of the rows that tie in key, id and size is taken first.
     * An empty table gives an empty result. Other columns are not read.
 
     Texts are read once and never shuffled. The prefix sums run in two levels, over about
     sqrt(n) buckets of a source's keys and inside each of them, so no task holds a source.
     """
     size = words(F.col(text_col))
-    base = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_given"), F.col(source_col).isNull().alias("_none"),
+    row = [] if row_col is None else [F.col("_row")]
+    base = docs.select(*[F.col(c).alias("_row") for c in [row_col] if c is not None], F.col(id_col).alias("_id"), F.col(source_col).alias("_given"), F.col(source_col).isNull().alias("_none"),
                        F.coalesce(F.col(source_col).cast("string"), F.lit(_NONE)).alias("_source"), size.alias("_size"), quality(F.col(text_col), size).alias("_quality"))
     base = base.withColumn("_key", -F.log(uniform(F.col("_id"), seed)) / F.col("_quality"))
     base = stage(base, "mix-sizes")
@@ -105,9 +109,9 @@ def mix_sources(
     sums = full.groupBy(*key, "_bucket").agg(F.sum("_size").alias("_sum"))
     below = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_below", F.coalesce(F.sum("_sum").over(below), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*key, "_bucket").orderBy("_key", F.col("_id").asc_nulls_last(), "_size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*key, "_bucket").orderBy("_key", F.col("_id").asc_nulls_last(), "_size", *row).rowsBetween(Window.unboundedPreceding, -1)
     part = full.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(sums, [*key, "_bucket"])
     rest = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_left") - F.col("_below") - F.col("_inside")))
     return part.select(
-        F.col("_id").alias(id_col), F.col("_given").alias(source_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
+        *[c.alias(row_col) for c in row], F.col("_id").alias(id_col), F.col("_given").alias(source_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"), (F.col("_epochs") * F.col("_size") + rest).cast("long").alias("taken"), F.col("_quality").alias("quality"))

@@ -6,7 +6,7 @@ keeps of ``docs``. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrail.llm.common import BYTES_AT_ONCE, ROWS_AT_ONCE
@@ -33,25 +33,41 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return said.where(~F.col("_said.rejected")).drop("_said")
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with unique row numbers ``_row``, written once: operators decide about rows, and the decision
+    finds its row again whatever ids repeat or miss."""
+    return stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def _named() -> Column:
+    """A name for each row, in the order of the ids, nulls last, then of the row numbers."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+
+
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts."""
+    """One row of each group of equal texts: the longest, then the smallest id, then the first row."""
     _bounded(spark)
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
+    rows = _numbered(docs)
+    kept = exact_dedup(rows.select(_named().alias("name"), "text"), "name").where("kept").select(F.col("name.row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").drop("_row")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component of near copies."""
+    """One row of each component of near copies: the smallest id, then the first row. Components are
+    found among rows, so rows that repeat an id meet only through their texts."""
     _bounded(spark)
-    kept = near_duplicates(docs).where("component_id = doc_id").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
+    rows = _numbered(docs)
+    found = near_duplicates(rows, "_row").select("_row", "component_id").join(rows.select("_row", "doc_id"), "_row")
+    kept = found.groupBy("component_id").agg(F.min(_named()).alias("name")).select(F.col("name.row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").drop("_row")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many rows of a document as the mix takes epochs of it; where the budget ends inside a
-    document, that row holds the words that are left."""
-    plan = mix_sources(docs).where("taken > 0").select("doc_id", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    both = docs.join(plan, "doc_id")
+    document, that row holds the words that are left. Rows that repeat an id are taken row by row."""
+    numbered = _numbered(docs)
+    plan = mix_sources(numbered, row_col="_row").where("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    both = numbered.join(plan, "_row")
     part = F.least(F.col("_size"), F.col("_taken") - F.col("_epoch") * F.col("_size"))
     rows = both.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.floor((F.col("_taken") - 1) / F.col("_size")).cast("int"))))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), part.cast("int")), "")

@@ -1,8 +1,12 @@
 """The pipeline's stages take effect one after another and keep clean documents."""
 
+import re
+from collections import Counter
+
 import corpus_pipeline as P
 from pyspark.sql import functions as F
 
+from contrail.llm.exact_dedup import exact_dedup
 from contrail.session import stage
 
 
@@ -24,3 +28,35 @@ def test_stages(spark, tmp_path):
     size = lambda d: d.select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0]
     assert abs(size(mix) - 1.5 * size(kept)) <= 3 and mix.columns == kept.columns
     assert seen["sentencepiece"].where("not round_trip").count() == 0 and ids["sentencepiece"] == ids["mixing"]
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+FOX = " ".join(f"word{i}" for i in range(60))
+SEA = " ".join(f"sea{i}" for i in range(70))
+
+
+def staged(spark, rows, *steps):
+    docs = stage(spark.createDataFrame(rows, COLUMNS), "docs")
+    for step in steps:
+        docs = stage(step(spark, docs, ""), "step")
+    return docs
+
+
+def test_rows_that_repeat_an_id(spark):
+    row = lambda i, text: (i, text, "en", "s", len(text))
+    # one row ten times; id 5 with two texts, of which FOX's copy loses against the longer one of 4
+    rows = [row(1, SEA)] * 10 + [row(4, FOX + "  "), row(5, FOX), row(5, "other text " + SEA[::-1])]
+    once = [row(1, SEA), row(4, FOX + "  "), row(5, "other text " + SEA[::-1])]
+    marked = exact_dedup(spark.createDataFrame(rows, COLUMNS)).where("kept").collect()
+    assert sorted(r.doc_id for r in marked) == [1, 4, 5]
+    exact = staged(spark, rows, P.without_copies)
+    assert sorted(map(tuple, exact.collect())) == sorted(once)
+    # near copies under one id: one of them stays, and the unrelated text of the same id, too
+    near = staged(spark, once + [row(1, SEA + " end"), row(1, SEA + " end"), row(4, "far away " + FOX[::-1])], P.without_near_copies)
+    assert sorted(r.text[:4] for r in near.collect()) == sorted(["sea0", "word", "othe", "far "])
+    # the mix takes rows, not ids: 1.5 times the words, no text more than twice
+    mix = staged(spark, [row(7, FOX)] * 6 + [row(7, SEA)] * 6, P.mixed)
+    words = [re.findall(r"\S+", r.text) for r in mix.collect()]
+    assert sum(map(len, words)) == 1.5 * 6 * (60 + 70)
+    assert all(n <= 12 for n in Counter(w[0] for w in words).values())
+    assert all(r.n_chars == len(r.text) for r in mix.collect())
