@@ -1,7 +1,8 @@
 """A training corpus from raw documents: five stages, each a written table.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns what it
-keeps of ``docs``. All but the last return the columns of documents.
+keeps of ``docs``. All but the last return the columns of documents. Rows with a null doc_id are
+documents like others, kept or dropped by their texts; where ids decide, they come last.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ def _bounded(spark: SparkSession) -> None:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is recognised; the dictionaries come from this stage's own documents."""
+    """Keep documents whose language is recognised; the dictionaries come from this stage's own
+    documents, of those with an id."""
     _bounded(spark)
     books = dictionaries(docs.where(~held_out(F.col("doc_id"))))
     said = docs.withColumn("_said", language(F.col("text"), books))
@@ -45,7 +47,8 @@ def _named() -> Column:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts: the longest, then the smallest id, then the first row."""
+    """One row of each group of equal texts: the longest, then the smallest id (null last), then the
+    first row. A group whose ids are all null keeps a row, too."""
     _bounded(spark)
     rows = _numbered(docs)
     kept = exact_dedup(rows.select(_named().alias("name"), "text"), "name").where("kept").select(F.col("name.row").alias("_row"))
@@ -53,8 +56,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies: the smallest id, then the first row. Components are
-    found among rows, so rows that repeat an id meet only through their texts."""
+    """One row of each component of near copies: the smallest id (null last), then the first row.
+    Components are found among rows, so rows that repeat an id, or have none, meet only through their texts."""
     _bounded(spark)
     rows = _numbered(docs)
     found = near_duplicates(rows, "_row").select("_row", "component_id").join(rows.select("_row", "doc_id"), "_row")
@@ -64,7 +67,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many rows of a document as the mix takes epochs of it; where the budget ends inside a
-    document, that row holds the words that are left. Rows that repeat an id are taken row by row."""
+    document, that row holds the words that are left. Rows that repeat an id are taken row by row;
+    rows without an id draw one key together, and are taken row by row, too."""
     numbered = _numbered(docs)
     plan = mix_sources(numbered, row_col="_row").where("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     both = numbered.join(plan, "_row")

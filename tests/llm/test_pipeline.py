@@ -60,3 +60,19 @@ def test_rows_that_repeat_an_id(spark):
     assert sum(map(len, words)) == 1.5 * 6 * (60 + 70)
     assert all(n <= 12 for n in Counter(w[0] for w in words).values())
     assert all(r.n_chars == len(r.text) for r in mix.collect())
+
+
+def test_rows_without_an_id(spark):
+    row = lambda i, text: (i, text, "en", "s", len(text))
+    # alone; the longest copy of 2; a null id loses a tie; null ids only
+    rows = [row(None, SEA), row(None, FOX + "  "), row(2, FOX), row(None, "tie here"), row(3, "tie here"), row(None, "a b c"), row(None, "a b c")]
+    exact = staged(spark, rows, P.without_copies)
+    assert sorted(map(str, exact.collect())) == sorted(map(str, spark.createDataFrame([rows[0], rows[1], rows[4], rows[5]], COLUMNS).collect()))
+    near = staged(spark, [row(None, SEA), row(9, SEA + " end"), row(None, FOX), row(None, FOX + " end")], P.without_near_copies).collect()
+    assert sorted((r.doc_id is None, r.text[:4]) for r in near) == [(False, "sea0"), (True, "word")]
+    mix = staged(spark, [row(None, FOX), row(None, SEA), row(1, "more " + FOX)], P.mixed).collect()
+    assert sum(len(r.text.split()) for r in mix) == int(1.5 * (60 + 70 + 61)) and any(r.doc_id is None for r in mix)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").limit(40)
+    lost = stage(docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id"))), "docs")
+    assert P.known_language(spark, lost, "").where("doc_id is null").count() > 0
+    assert P.tokens(spark, lost, "").where("doc_id is null").count() == lost.where("doc_id is null").count() > 0
