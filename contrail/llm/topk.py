@@ -46,10 +46,13 @@ def block_topk(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, quer
     ids, vectors = ids[order], vectors[order]
     same = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel()
     _, first, group = np.unique(same, return_index=True, return_inverse=True)
-    # Equal vectors are scanned once; the smallest k + 1 ids of each can matter.
+    # Equal vectors are scanned once; the smallest k + 1 distinct ids of each can matter.
     by_group = np.argsort(group, kind="stable")
+    new = np.ones(len(ids), bool)
+    new[1:] = (np.diff(group[by_group]) != 0) | (np.diff(ids[by_group]) != 0)
+    by_group = by_group[new]
     starts = np.searchsorted(group[by_group], np.arange(len(first)))
-    ends = np.append(starts[1:], len(ids))
+    ends = np.append(starts[1:], len(by_group))
     distinct = vectors[first]
     shift = max(0, int(np.abs(distinct).max(initial=0)).bit_length() - CELL_BITS)
     cells = distinct >> shift
@@ -60,7 +63,8 @@ def block_topk(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, quer
     scan = np.ascontiguousarray(cells.T.astype(kind))
     width = (1 << shift) - 1
     out_q, out_v, out_s = [], [], []
-    keep = min(k + 1, len(distinct))
+    # So many vectors have k ids beside the query's own, also where ids have several vectors.
+    keep = min(k + 1 + len(by_group) - len(np.unique(ids)), len(distinct))
     for at in range(0, len(queries), AT_ONCE):
         some = queries[at:at + AT_ONCE]
         bounds = some.astype(kind) @ scan
@@ -81,9 +85,8 @@ def block_topk(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, quer
                     hit = scores >= -best[k - 1][0]
                     look, scores = look[hit], scores[hit]
                 for g, score in zip(look.tolist(), scores.tolist()):
-                    mine = dict.fromkeys(i for i in ids[by_group[starts[g]:ends[g]][:k + 1]].tolist() if i != own)
-                    best.extend((-score, i) for i in mine)
-                best = sorted(best)[:k]
+                    best.extend((-score, i) for i in ids[by_group[starts[g]:ends[g]][:k + 1]].tolist() if i != own)
+                best = sorted(set(best))[:k]
             out_q += [own] * len(best)
             out_v += [i for _, i in best]
             out_s += [-s for s, _ in best]
@@ -98,7 +101,8 @@ def topk(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id
     * A row never matches a query of its own id. Ties go to the smaller id.
     * Null vectors, vectors with a null or non-finite component, empty vectors and null ids take
       no part. Vectors of unequal length are never compared.
-    * Rows that repeat an id and a vector count once, as candidates and as queries.
+    * Rows that repeat an id and a vector count once, as candidates and as queries; an id with
+      several vectors has a row for each different score.
     * Fewer candidates than k give fewer rows; an empty table gives an empty result.
     * Products must fit 64 bits. Other columns are not read.
 

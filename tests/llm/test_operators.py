@@ -147,6 +147,24 @@ def test_topk(spark):
     assert topk(df.where("false"), df.where("false")).count() == 0
 
 
+def test_topk_of_repeated_rows(spark):
+    one, low = [1.0, 0.5], [0.5, 0.25]
+    # a row more than k + 1 times beside equal vectors of larger ids; the query's own row, too
+    data = [(7, one)] * 15 + [(0, one)] * 15 + [(i, one) for i in (9, 11)] + [(i, low) for i in range(20, 32)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").coalesce(1)
+    got = topk(df, df.where("vec_id = 0")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [7, 9, 11, *range(20, 27)] and [r["rank"] for r in got] == list(range(1, 11))
+    rng = np.random.default_rng(2)
+    v = rng.integers(-300, 300, (40, 8))
+    ids, vectors = np.repeat(np.arange(40), 13), np.repeat(v, 13, axis=0)
+    ids[:200] = 5  # an id with many vectors, each of them repeated, of which other ids have copies
+    vectors[300:] = v[np.arange(220) % 9]
+    for own in (5, 30):
+        query = v[own:own + 1]
+        _, found, scores = block_topk(ids, vectors, np.array([own]), query, 10)
+        assert list(zip((-scores).tolist(), found.tolist())) == sorted({(-int(x @ query[0]), i) for x, i in zip(vectors, ids.tolist()) if i != own})[:10]
+
+
 def test_urls(spark):
     urls = [(1, "http://A.example.com/en/7x?q"), (2, "https://example.com/en/1"), (3, None), (4, "no scheme"), (5, "http://notexample.net/de/8"), (6, "http://example.net/de/8#f"), (7, "x://com"), (1, "http://org/es/")]
     pages = spark.createDataFrame(urls, "page_id long, url string")
