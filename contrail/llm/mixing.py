@@ -85,33 +85,34 @@ def mix_sources(
       which of the rows that tie in key, id and size is taken first.
     * An empty table gives an empty result. Other columns are not read.
 
-    Texts are read once and never shuffled. The prefix sums run in two levels, over about
-    sqrt(n) buckets of a source's keys and inside each of them, so no task holds a source.
+    Texts are read once and never shuffled. The prefix sums run in two levels, over ranges of
+    the rows in order and inside each of them. Sampled splitters end with the row number, so
+    ranges are even whatever the qualities, and equal keys are split: no task holds a source.
     """
     size = words(F.col(text_col))
-    row = [] if row_col is None else [F.col("_row")]
-    base = docs.select(*[F.col(c).alias("_row") for c in [row_col] if c is not None], F.col(id_col).alias("_id"), F.col(source_col).alias("_given"), F.col(source_col).isNull().alias("_none"),
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    base = docs.select(row.alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_given"), F.col(source_col).isNull().alias("_none"),
                        F.coalesce(F.col(source_col).cast("string"), F.lit(_NONE)).alias("_source"), size.alias("_size"), quality(F.col(text_col), size).alias("_quality"))
     base = base.withColumn("_key", -F.log(uniform(F.col("_id"), seed)) / F.col("_quality"))
     base = stage(base, "mix-sizes")
     key = ["_none", "_source"]
-    sizes = base.groupBy(*key).agg(F.sum("_size").alias("_size"), F.count(F.lit(1)).alias("_docs"))
-    goal = targets(sizes.select(*key, "_size"), weights, share, most)
-    goal = goal.join(sizes.select(*key, "_docs"), key)
+    order = ["_key", F.col("_id").asc_nulls_last(), "_size", "_row"]
+    ranges = stage(base.repartitionByRange(*key, *order).withColumn("_range", F.spark_partition_id()), "mix-ranges")
+    sizes = base.groupBy(*key).agg(F.sum("_size").alias("_size"))
+    goal = targets(sizes, weights, share, most)
     spent = F.col("_target").cast("long")
     epochs = F.when(F.col("_source_size") > 0, F.floor(spent / F.col("_source_size"))).otherwise(0).cast("long")
-    goal = goal.withColumns({"_epochs": epochs, "_buckets": F.ceil(F.sqrt("_docs"))}).withColumn("_left", spent - F.col("_epochs") * F.col("_source_size"))
+    goal = goal.withColumn("_epochs", epochs).withColumn("_left", spent - F.col("_epochs") * F.col("_source_size"))
     # One row per source, written so that the join goes by its size: broadcast below the session's
     # threshold, else a shuffle join whose hot sources adaptive execution can split.
-    goal = stage(goal.drop("_docs"), "mix-goals")
-    full = base.join(goal, key)
-    full = full.withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key"))) * F.col("_buckets")))
-    sums = full.groupBy(*key, "_bucket").agg(F.sum("_size").alias("_sum"))
-    below = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    goal = stage(goal, "mix-goals")
+    full = ranges.join(goal, key)
+    sums = ranges.groupBy(*key, "_range").agg(F.sum("_size").alias("_sum"))
+    below = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_below", F.coalesce(F.sum("_sum").over(below), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*key, "_bucket").orderBy("_key", F.col("_id").asc_nulls_last(), "_size", *row).rowsBetween(Window.unboundedPreceding, -1)
-    part = full.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(sums, [*key, "_bucket"])
+    inside = Window.partitionBy(*key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    part = full.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(sums, [*key, "_range"])
     rest = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_left") - F.col("_below") - F.col("_inside")))
     return part.select(
-        *[c.alias(row_col) for c in row], F.col("_id").alias(id_col), F.col("_given").alias(source_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
+        *[F.col("_row").alias(c) for c in [row_col] if c is not None], F.col("_id").alias(id_col), F.col("_given").alias(source_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"), (F.col("_epochs") * F.col("_size") + rest).cast("long").alias("taken"), F.col("_quality").alias("quality"))

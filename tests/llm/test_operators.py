@@ -9,6 +9,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+from contrail.llm import mixing
 from contrail.llm import queries as Q
 from contrail.llm import token_counts as tc
 from contrail.llm.exact_dedup import exact_dedup
@@ -96,6 +97,22 @@ def test_mixing(docs):
     assert all(int(target) == taken for target, taken in by.values())
 
 
+def test_mixing_spreads_noise_and_repeated_ids(spark, monkeypatch):
+    noisy = [(i if i % 2 else None, "a # # # # # # # # b" if i % 3 else "a b c", "s") for i in range(4000)]
+    docs = spark.createDataFrame(noisy, "doc_id long, text string, source string")
+    seen, written = {}, mixing.stage
+    monkeypatch.setattr(mixing, "stage", lambda df, name: seen.setdefault(name, written(df, name)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so small a table is one range
+    try:
+        got = mix_sources(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(got) == 4000 and sum(r.taken for r in got) == int(got[0].target)
+    # the ranges follow each other in order, and none holds much more than its share, though null ids share two keys
+    ranges = seen["mix-ranges"].groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("low"), F.max("_key").alias("high")).orderBy("_range").collect()
+    assert all(a.high <= b.low for a, b in zip(ranges, ranges[1:])) and len(ranges) > 1 and max(r.n for r in ranges) < 2000
+
+
 def test_licences(spark):
     assert evaluate("MIT OR GPL-3.0-only AND Apache-2.0")[0] == 1 and evaluate("(MIT OR GPL-3.0-only) AND GPL-2.0-only WITH Classpath-exception-2.0")[0] == 2
     for bad in ("", "MIT OR", "(MIT", "MIT)", "AND MIT", "MIT Apache-2.0"):
