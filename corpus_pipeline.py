@@ -31,52 +31,61 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     documents, of those with an id."""
     _bounded(spark)
     books = dictionaries(docs.where(~held_out(F.col("doc_id"))))
-    said = docs.withColumn("_said", language(F.col("text"), books))
-    return said.where(~F.col("_said.rejected")).drop("_said")
+    said = _free(docs, "_said")
+    return docs.withColumn(said, language(F.col("text"), books)).where(~F.col(f"{said}.rejected")).drop(said)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with unique row numbers ``_row``, written once: operators decide about rows, and the decision
-    finds its row again whatever ids repeat or miss."""
-    return stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as keep it apart from the columns of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def _named() -> Column:
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with unique row numbers, written once, and their column's name: operators decide about rows,
+    and the decision finds its row again whatever ids repeat or miss."""
+    row = _free(docs, "_row")
+    return stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
+def _named(row: str) -> Column:
     """A name for each row, in the order of the ids, nulls last, then of the row numbers."""
-    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: the longest, then the smallest id (null last), then the
     first row. A group whose ids are all null keeps a row, too."""
     _bounded(spark)
-    rows = _numbered(docs)
-    kept = exact_dedup(rows.select(_named().alias("name"), "text"), "name").where("kept").select(F.col("name.row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").drop("_row")
+    rows, row = _numbered(docs)
+    kept = exact_dedup(rows.select(_named(row).alias("name"), "text"), "name").where("kept").select(F.col("name.row").alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies: the smallest id (null last), then the first row.
     Components are found among rows, so rows that repeat an id, or have none, meet only through their texts."""
     _bounded(spark)
-    rows = _numbered(docs)
-    found = near_duplicates(rows, "_row").select("_row", "component_id").join(rows.select("_row", "doc_id"), "_row")
-    kept = found.groupBy("component_id").agg(F.min(_named()).alias("name")).select(F.col("name.row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").drop("_row")
+    rows, row = _numbered(docs)
+    found = near_duplicates(rows, row).select(row, "component_id").join(rows.select(row, "doc_id"), row)
+    kept = found.groupBy("component_id").agg(F.min(_named(row)).alias("name")).select(F.col("name.row").alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many rows of a document as the mix takes epochs of it; where the budget ends inside a
     document, that row holds the words that are left. Rows that repeat an id are taken row by row;
     rows without an id draw one key together, and are taken row by row, too."""
-    numbered = _numbered(docs)
-    plan = mix_sources(numbered, row_col="_row").where("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    both = numbered.join(plan, "_row")
-    part = F.least(F.col("_size"), F.col("_taken") - F.col("_epoch") * F.col("_size"))
-    rows = both.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.floor((F.col("_taken") - 1) / F.col("_size")).cast("int"))))
+    numbered, row = _numbered(docs)
+    size, taken, epoch, text = (_free(docs, name) for name in ("_size", "_taken", "_epoch", "_text"))
+    plan = mix_sources(numbered, row_col=row).where("taken > 0").select(row, F.col("size").alias(size), F.col("taken").alias(taken))
+    part = F.least(F.col(size), F.col(taken) - F.col(epoch) * F.col(size))
+    rows = numbered.join(plan, row).withColumn(epoch, F.explode(F.sequence(F.lit(0), F.floor((F.col(taken) - 1) / F.col(size)).cast("int"))))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), part.cast("int")), "")
-    rows = rows.withColumn("_text", F.when(part < F.col("_size"), cut).otherwise(F.col("text")))
-    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    rows = rows.withColumn(text, F.when(part < F.col(size), cut).otherwise(F.col("text")))
+    new = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
     return rows.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 

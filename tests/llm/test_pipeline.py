@@ -76,3 +76,14 @@ def test_rows_without_an_id(spark):
     lost = stage(docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id"))), "docs")
     assert P.known_language(spark, lost, "").where("doc_id is null").count() > 0
     assert P.tokens(spark, lost, "").where("doc_id is null").count() == lost.where("doc_id is null").count() > 0
+
+
+def test_columns_that_bear_helpers_names(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").limit(30)
+    extra = {c: F.concat(F.lit(c), F.col("doc_id")) for c in ("_said", "_ROW", "_row_", "_size", "_taken", "_epoch", "_text", "component_id", "name", "row")}
+    docs = stage(docs.withColumns(extra), "docs")
+    for _, step in P.STAGES[:-1]:
+        out = stage(step(spark, docs, ""), "step")
+        assert out.columns == docs.columns
+        assert out.count() > 0 and all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in extra)
+        docs = out
