@@ -19,6 +19,9 @@ from contrail.llm.pieces import encode_documents, load
 from contrail.llm.queries import PIECES
 from contrail.session import stage
 
+#: A document of at most this share of its source's target is never cut.
+WHOLE = 0.01
+
 
 def _bounded(spark: SparkSession) -> None:
     """Executors hold a JVM and two Python workers: rows of whole texts go between them in small batches."""
@@ -75,12 +78,16 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many rows of a document as the mix takes epochs of it; where the budget ends inside a
-    document, that row holds the words that are left. Rows that repeat an id are taken row by row;
-    rows without an id draw one key together, and are taken row by row, too."""
+    """As many rows of a document as the mix takes epochs of it. The document inside which a source's
+    budget ends is taken whole if half of it or more fits, else left, where it has at most ``WHOLE`` of the
+    target's words; a larger one would miss the target, so that row holds the words that are left. Rows that
+    repeat an id are taken row by row; rows without an id draw one key together, and are taken row by row, too."""
     numbered, row = _numbered(docs)
     size, taken, epoch, text = (_free(docs, name) for name in ("_size", "_taken", "_epoch", "_text"))
-    plan = mix_sources(numbered, row_col=row).where("taken > 0").select(row, F.col("size").alias(size), F.col("taken").alias(taken))
+    rest = F.col("taken") % F.col("size")
+    near = F.col("taken") - rest + F.when(2 * rest >= F.col("size"), F.col("size")).otherwise(0)
+    plan = mix_sources(numbered, row_col=row).where("size > 0").withColumn("taken", F.when(F.col("size") <= WHOLE * F.col("target"), near).otherwise(F.col("taken")))
+    plan = plan.where("taken > 0").select(row, F.col("size").alias(size), F.col("taken").alias(taken))
     part = F.least(F.col(size), F.col(taken) - F.col(epoch) * F.col(size))
     rows = numbered.join(plan, row).withColumn(epoch, F.explode(F.sequence(F.lit(0), F.floor((F.col(taken) - 1) / F.col(size)).cast("int"))))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), part.cast("int")), "")

@@ -87,3 +87,9 @@ def test_columns_that_bear_helpers_names(spark):
         assert out.columns == docs.columns
         assert out.count() > 0 and all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in extra)
         docs = out
+
+
+def test_texts_of_the_mix_are_whole(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(7)), "en", "s", 1) for i in range(401)]
+    texts = [r.text for r in staged(spark, rows, P.mixed).collect()]
+    assert set(texts) <= {r[1] for r in rows} and abs(sum(len(t.split()) for t in texts) - 1.5 * 7 * 401) <= 4
