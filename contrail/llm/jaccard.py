@@ -218,7 +218,7 @@ def digests(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 # ---- first pass: sizes, digests, signatures that no other set has
 
-PROFILE = "_id long, _n long, _c1 long, _c2 long, _own long, _low long"
+PROFILE = "_id long, _mark long, _n long, _c1 long, _c2 long, _own long, _low long"
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,8 +229,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(c1)
             filled = [np.bincount(Signatures(hashes, offsets, role).set, minlength=n) if len(hashes) else np.zeros(n, np.int64) for role in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a).cast(pa.int64()), *map(pa.array, (np.diff(offsets), c1, c2, *(f.astype(np.int64) for f in filled)))],
-                names=["_id", "_n", "_c1", "_c2", "_own", "_low"])
+                [*(batch.column(k).slice(a, b - a).cast(pa.int64()) for k in (0, 2)), *map(pa.array, (np.diff(offsets), c1, c2, *(f.astype(np.int64) for f in filled)))],
+                names=["_id", "_mark", "_n", "_c1", "_c2", "_own", "_low"])
 
 
 BLOBS = "_bucket int, _sets binary, _of binary, _keys binary"
@@ -743,8 +743,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    profile = stage(base.select("_id", "_text").mapInArrow(_profile, PROFILE), "sets")
-    classes = profile.where("_id is not null and _n > 0").groupBy("_c1", "_c2", "_n").agg(F.min("_id").alias("_rep"), F.max("_own").alias("_own"), F.max("_low").alias("_low"))
+    marked = base.withColumn("_mark", F.xxhash64("_text"))
+    profile = stage(marked.mapInArrow(_profile, PROFILE), "sets")
+    # A class has a number of its own: an id may stand on texts of several classes. One text of it is found by id and mark.
+    classes = profile.where("_id is not null and _n > 0").groupBy("_c1", "_c2", "_n").agg(
+        F.min(F.struct("_id", "_mark")).alias("_text_of"), F.max("_own").alias("_own"), F.max("_low").alias("_low"))
+    classes = stage(classes.select(F.monotonically_increasing_id().alias("_rep"), "_c1", "_c2", "_n", "_text_of._id", "_text_of._mark", "_own", "_low"), "classes")
     entries = profile.agg(F.sum(F.col("_own") + F.col("_low"))).first()[0] or 0
     buckets = max(partitions(spark), -(-entries // BUCKET))
 
@@ -757,12 +761,12 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     role0 = (F.col("_own") - F.col("_s0")) < least + F.when(n <= SMALL, 0).otherwise(F.floor(n / 21) + 1)
     role1 = (F.col("_low") > 0) & ((F.col("_low") - F.col("_s1")) < F.floor((n + F.floor(n * 4 / 3)) / 7) + 1)
     live = classes.join(shared, "_c1").withColumns({"_role0": role0, "_role1": role1}).where("_role0 or _role1")
-    live = stage(live.select(F.col("_rep").alias("_id"), "_c1", "_role0", "_role1", "_keys", "_counts"), "live")
-    texts = base
+    live = stage(live.select("_rep", "_id", "_mark", "_c1", "_role0", "_role1", "_keys", "_counts"), "live")
+    texts = marked
     if live.count() <= FEW_IDS:  # the ids keep other texts out of the shuffle; beyond, the join does it alone
-        texts = base.join(F.broadcast(live.select("_id")), "_id", "left_semi")
-    texts = texts.join(live, "_id").select("_id", "_text", "_c1", "_role0", "_role1", "_keys", "_counts", F.xxhash64("_text").alias("_mark"))
-    texts = texts.dropDuplicates(["_id", "_mark"]).drop("_mark")  # rows that repeat an id and its text
+        texts = marked.join(F.broadcast(live.select("_id")), "_id", "left_semi")
+    texts = texts.join(live, ["_id", "_mark"]).dropDuplicates(["_id", "_mark", "_rep"])  # rows that repeat an id and its text
+    texts = texts.select("_rep", "_text", "_c1", "_role0", "_role1", "_keys", "_counts")
     # The sets meet many narrow tables by id: written in buckets, they need not move again.
     name, parts = f"sets_{uuid.uuid4().hex}", partitions(spark)
     texts.mapInArrow(_live_sets, LIVE).repartition(parts, "_rep").write.bucketBy(parts, "_rep").sortBy("_rep").saveAsTable(name)
@@ -810,7 +814,11 @@ def _join_sets(profile: DataFrame, classes: DataFrame, live: DataFrame, buckets:
         lone = more.where("_ra is null").select(F.col("_a").alias("_node")).unionByName(more.where("_rb is null").select(F.col("_b").alias("_node"))).distinct()
         roots = roots.unionByName(lone.select("_node", F.col("_node").alias("_root")))
         roots = roots.join(top, "_root", "left").select("_node", F.coalesce("_top", "_root").alias("_root"))
+    # Only now are components named by ids.
+    ids = classes.select(F.col("_rep").alias("_node"), F.col("_id").alias("_least"))
+    least = roots.join(ids, "_node").groupBy("_root").agg(F.min("_least").alias("_component"))
+    roots = roots.join(least, "_root").select("_node", "_component")
     named = classes.join(roots, F.col("_rep") == F.col("_node"), "left").select(
-        F.col("_c1").alias("_k1"), F.col("_c2").alias("_k2"), F.col("_n").alias("_kn"), F.coalesce("_root", "_rep").alias("_component"))
+        F.col("_c1").alias("_k1"), F.col("_c2").alias("_k2"), F.col("_n").alias("_kn"), F.coalesce("_component", "_id").alias("_component"))
     out = profile.join(named, (F.col("_c1") == F.col("_k1")) & (F.col("_c2") == F.col("_k2")) & (F.col("_n") == F.col("_kn")), "left")
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id")).alias("component_id"))

@@ -87,6 +87,14 @@ def test_near_duplicates(docs):
         assert r.component_id is None if r.doc_id is None else (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), root[r.doc_id])
 
 
+def test_near_duplicates_of_one_id_with_two_texts(spark):
+    fox, sea = (" ".join(f"{w}{i}" for i in range(80)) for w in ("fox", "sea"))
+    rows = [(5, fox), (5, sea), (5, sea), (2, fox + " end"), (9, sea + " end"), (7, "own words of five and six")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # the texts of 5 are in one component each, named by its smallest id
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(2, 2), (5, 2), (5, 5), (5, 5), (7, 7), (9, 5)]
+
+
 def test_mixing(docs):
     got = mix_sources(docs).collect()
     assert len(got) == len(rows()) and all(0 <= r.taken <= 2 * r.size for r in got)
