@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .conversations import damaged, digests, repair
 from .exact_dedup import exact_dedup
 from .jaccard import near_duplicates
 from .language import dictionaries, held_out, identify
 from .licenses import license_scan
 from .line_dedup import line_dedup
+from .middle import fill_in_middle, restore
 from .mixing import mix_sources
 from .pieces import encode_documents, load
+from .sharding import ring_shards
 from .token_counts import count_tokens, ranks
 from .topk import topk
 from .url_filter import url_verdicts
@@ -71,8 +74,35 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Cheapest repair of damaged conversations: a row for every conversation, those that lost all rows too."""
+    given = table(spark, folder, "conversations")
+    done = repair(damaged(given))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    said = [F.struct("conv_id").alias("_k"), "*"]
+    every = given.select("conv_id").distinct().select(*said)
+    out = every.join(done.summary.select(*said).drop("conv_id"), "_k", "left").join(digests(done.rows).select(*said).drop("conv_id"), "_k", "left")
+    return out.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as an example with its middle last, by digest, and the text rebuilt from it."""
+    made = fill_in_middle(table(spark, folder, "documents"))
+    return made.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(restore(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"))
+
+
+def op13_ring_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place in 40 shards, exactly full: bounded loads without slack."""
+    placed = ring_shards(table(spark, folder, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("home").alias("home_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_token_counts, op2_line_dedup, op3_exact_topk, op4_license_scan, op5_sentencepiece, op6_mix_sources, op7_url_filter, op8_language_id, op9_jaccard_join, op10_exact_dedup)}
+    op1_token_counts, op2_line_dedup, op3_exact_topk, op4_license_scan, op5_sentencepiece, op6_mix_sources, op7_url_filter, op8_language_id, op9_jaccard_join, op10_exact_dedup,
+    op11_conversation_repair, op12_fill_in_middle, op13_ring_shards)}
 
 _SPACES = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -131,4 +161,14 @@ WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS chars, translate(coalesc
 g AS (SELECT *, sha256(norm) AS text_sha256 FROM n)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER w = 1 AS kept, text_sha256
 FROM g WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id)""",
+    "op12_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT *, ('0x' || substr(x, 1, 8))::BIGINT AS h1, ('0x' || substr(x, 9, 8))::BIGINT AS h2, ('0x' || substr(x, 17, 8))::BIGINT AS h3, ('0x' || substr(x, 25, 8))::BIGINT AS h4 FROM d),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p""",
 }
