@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +12,11 @@ from ..session import task_count
 from .sequence import FLIGHT_GAP_S, HOLD_S, interpolated, second_of
 from .timeline import SLICE_S, running
 
-# Join cell: one minute by 0.05 degrees by 1000 ft.  A step between two reports of
-# a flight is at most 60 s long, so it touches few cells.
+# Join cell: one minute by 0.05 degrees by 1000 ft.
 CELL_S = 60
 CELL_DEG = 0.05
 CELL_FT = 1000.0
+GRID = (("lat", CELL_DEG), ("lon", CELL_DEG), ("alt_baro", CELL_FT))
 
 
 def track_pieces(steps: DataFrame, hold: int = 0, interpolate: bool = True, keep: Sequence[str] = ()) -> DataFrame:
@@ -45,11 +45,49 @@ def track_pieces(steps: DataFrame, hold: int = 0, interpolate: bool = True, keep
     return out.select(*dict.fromkeys(names), "_p.*").where(F.col("s0") <= F.col("s1"))
 
 
+def _place(at: Column, field: str) -> Column:
+    """Of a piece's straight line at a time; the report itself at its last second."""
+    p, q = F.col("p"), F.col("q")
+    span = q["now"] - p["now"]
+    line = p[field] + (at - p["now"]) / span * (q[field] - p[field])
+    return F.when((span <= 0) | (at == second_of(q["now"])), q[field]).otherwise(line).cast("double")
+
+
+def _crossing(begin: Column, a: Column, pace: Column, size: float) -> Callable[[Column], Column]:
+    """The first whole second at or behind cell border ``k`` on the way from ``a``."""
+    return lambda k: F.ceil(begin + (k * size - a) * pace)
+
+
+def _cut(pieces: DataFrame) -> DataFrame:
+    """Pieces cut at the seconds in which their line enters another cell.
+
+    Each axis gives the times at which the line crosses its cell borders; all of them in order
+    are the way of the line through the grid.  Only whole seconds are compared later, so a cut
+    falls on one, and a piece faster than a cell a second, as after a wrong position, is cut at
+    every second: it takes one place a second, however far it jumps.
+    """
+    s0, s1 = F.col("s0"), F.col("s1")
+    none = F.array().cast("array<bigint>")
+    first, last = F.floor(s0 / CELL_S), F.floor(s1 / CELL_S)
+    ways, still = [F.when(first < last, F.transform(F.sequence(first + 1, last), lambda k: k * CELL_S)).otherwise(none)], first == last
+    for field, size in GRID:
+        a, b = _place(s0, field), _place(s1, field)
+        lo, hi = (F.floor(f(a, b) / size) for f in (F.least, F.greatest))
+        times = F.transform(F.sequence(lo + 1, hi), _crossing(s0, a, (s1 - s0) / (b - a), size))
+        ways.append(F.when(lo == hi, none).when(hi - lo > s1 - s0, F.sequence(s0, s1)).otherwise(times))
+        still = still & (lo == hi)
+    begins = F.array_sort(F.array_distinct(F.concat(F.array(s0), F.filter(F.concat(*ways), lambda t: (t > s0) & (t <= s1)))))
+    rest = [c for c in pieces.columns if c not in ("s0", "s1")]
+    out = pieces.withColumn("_begins", F.when(still, F.array(s0)).otherwise(begins))
+    out = out.select(*rest, "s1", "_begins", F.posexplode("_begins").alias("_i", "s0"))
+    return out.select(*rest, "s0", F.coalesce(F.get("_begins", F.col("_i") + 1) - 1, "s1").alias("s1"))
+
+
 def _spread(pieces: DataFrame, reach_deg: Column, reach_lon: Column, reach_ft: Column) -> DataFrame:
-    """Copy each piece to the cells its box (grown by the reach) touches."""
+    """Copy each cut piece to the cells that its places (grown by the reach) touch."""
     out = pieces
-    for name, field, size, reach in (("y", "lat", CELL_DEG, reach_deg), ("x", "lon", CELL_DEG, reach_lon), ("z", "alt_baro", CELL_FT, reach_ft)):
-        a, b = F.col(f"p.{field}").cast("double"), F.col(f"q.{field}").cast("double")
+    for (field, size), name, reach in zip(GRID, "yxz", (reach_deg, reach_lon, reach_ft)):
+        a, b = _place(F.col("s0"), field), _place(F.col("s1"), field)
         out = out.withColumn(f"{name}0", F.floor((F.least(a, b) - reach) / size)).withColumn(
             f"{name}1", F.floor((F.greatest(a, b) + reach) / size))
     out = out.withColumn("t0", F.floor(F.col("s0") / CELL_S)).withColumn("t1", F.floor(F.col("s1") / CELL_S))
@@ -115,7 +153,8 @@ def _close_seconds(lateral_nm: float, vertical_ft: float, lo: Column, hi: Column
 def near_pairs(pieces: DataFrame, lateral_nm: float, vertical_ft: float) -> DataFrame:
     """Unordered aircraft pairs closer than both limits, per whole second.
 
-    Two pieces meet in a cell that both touch; a pair of pieces sharing several
+    Pieces are cut along their lines, which leaves each second of a pair in one pair of
+    cut pieces.  Two of them meet in a cell that both touch; a pair of pieces sharing several
     cells is evaluated only in the lowest shared one, so no distinct is needed.
     Seconds are generated after the join, and only those within reach, so the
     join shuffles reports, not one row per second.  The reach in longitude follows
@@ -125,8 +164,9 @@ def near_pairs(pieces: DataFrame, lateral_nm: float, vertical_ft: float) -> Data
     top = F.greatest(*[F.abs(F.col(f"{e}.lat").cast("double")) for e in "pq"])
     dx = geo.lon_reach(dy, top)
     cells = ["ct", "cy", "cx", "cz"]
+    pieces = _cut(pieces)
     names = pieces.columns
-    left = _spread(pieces, F.lit(dy), dx, F.lit(vertical_ft)).select(F.struct(*names, *[f"{a}0" for a in "tyxz"]).alias("a"), *cells)
+    left = _spread(pieces, F.lit(dy), dx, F.lit(vertical_ft + 2.0)).select(F.struct(*names, *[f"{a}0" for a in "tyxz"]).alias("a"), *cells)
     right = _spread(pieces, F.lit(0.0), F.lit(0.0), F.lit(0.0)).select(F.struct(*names, *[f"{a}0" for a in "tyxz"]).alias("b"), *cells)
     lowest = F.lit(True)
     for axis in "tyxz":

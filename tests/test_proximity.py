@@ -66,6 +66,38 @@ def test_near_pairs_equal_brute_force(spark, fractional, hold):
     assert {(r["sec"], r["tail1"], r["tail2"]) for r in got.collect()} == brute(rows, 1.0, 500.0, hold)
 
 
+def jumps(rnd):
+    """Aircraft that now and then report from degrees away, and come back."""
+    rows = []
+    for i, r in enumerate(fly(rnd, True)):
+        far = rnd.random() < 0.15
+        rows.append((*r[:4], r[4] + (rnd.uniform(-30, 30) if far else 0), r[5] + (rnd.uniform(-60, 60) if far else 0), r[6] + (20_000 if far else 0), *r[7:]))
+    return rows
+
+
+@pytest.mark.parametrize("hold", [0, 5])
+def test_near_pairs_of_jumping_tracks(spark, hold):
+    rows = jumps(random.Random(11)) + [(f"J{i}", "j", 1000 + 100 * i + k, 1000.0 + 20 * k, 40.0 + 2.0 * k, -119.0 + 3.0 * k + i * 1e-3, 3000, 100.0, 90.0, "A1") for i in range(2) for k in range(20)]
+    steps = sequence.flight_steps(spark.createDataFrame(rows, SCHEMA))
+    got = proximity.near_pairs(proximity.track_pieces(steps, hold=hold), 1.0, 500.0)
+    expected = brute(rows, 1.0, 500.0, hold)
+    assert {(r["sec"], r["tail1"], r["tail2"]) for r in got.collect()} == expected and any(t1 == "J0" for _, t1, _ in expected)
+
+
+def test_a_jump_is_copied_along_its_line_only(spark):
+    rows = [("N1", "h", 0, 1000.0, -20.0, -150.0, 0, 100.0, 90.0, "A1"), ("N1", "h", 1, 1060.0, 40.0, -30.0, 40_000, 100.0, 90.0, "A1"),
+            ("N2", "i", 2, 1000.0, 40.0, -119.0, 3000, 100.0, 90.0, "A1"), ("N2", "i", 3, 1059.0, 40.13, -119.07, 3900, 100.0, 90.0, "A1")]
+    cut = proximity._cut(proximity.track_pieces(sequence.flight_steps(spark.createDataFrame(rows, SCHEMA))))
+    none = F.lit(0.0)
+    copies = {r["tail"]: r["count"] for r in proximity._spread(cut, none, none, none).groupBy("tail").count().collect()}
+    assert copies["N1"] <= 62  # one place a second, where the box would have 1,200 x 2,400 x 40 cells
+    assert copies["N2"] <= 10  # the cells of a slow line: 3 of latitude, 2 of longitude, 2 minutes
+    seconds = sorted(s for r in cut.collect() if r.tail == "N1" for s in range(r.s0, r.s1 + 1))
+    assert seconds == list(range(1000, 1061))
+    grown = proximity._spread(cut, F.lit(0.02), F.lit(0.03), F.lit(1000.0)).where("tail = 'N1'").count()
+    assert grown <= 62 * 2 * 2 * 3
+
+
 def test_interpolation_fills_every_second(spark):
     rows = [("N1", "h", i, float(t), 40.0 + t * 1e-4, -119.0, 3000, 100.0, 90.0, "A1") for i, t in enumerate((1000, 1005, 1040))]
     out = sequence.resample(sequence.flight_steps(spark.createDataFrame(rows, SCHEMA))).collect()
