@@ -9,17 +9,26 @@ composition is the encoding:
 * Merge (BPE) models have no additive scores: a greedy merge order decides. But a row of pieces
   is a merge result exactly if each neighbouring pair is the merge result of its own string.
   So a pair weighs 0 if that holds and infinity else, and one path of finite weight is left.
-  Up to every position exactly one piece ends a finite path, so a state is a position.
+  Up to every position exactly one piece ends a finite path, so a state is a position, and the
+  finite path of a string is found depth first, longest piece first: a position from which no
+  finite path goes on is left for good.
 
 Strings are cut where no piece can reach across: before marks, round line ends and after
-letters. Each string between cuts is composed once and remembered; the memory is bounded.
+letters. Each string between cuts is composed once and remembered as its numbers and its bytes;
+the memory is bounded, and outlives the tasks of a worker.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
+import struct
+from array import array
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from typing import Any
+
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +37,8 @@ MARK = "▁"
 # Piece kinds of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
-#: Strings and pairs remembered by a task.
-REMEMBER = 200_000
+#: Strings remembered by a worker, in two generations of half as many; pairs likewise.
+REMEMBER = 400_000
 #: A string between cuts that is longer is composed without being remembered.
 LONGEST = 64
 INFINITY = float("inf")
@@ -61,12 +70,29 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
         at += size
 
 
+class Recent(dict):
+    """What was asked for lately. Two generations: a full young one becomes the old one, whose
+    entries come back when asked for and are forgotten otherwise."""
+
+    def __init__(self, size: int, make: Callable[[Any], Any]):
+        super().__init__()
+        self.half, self.make, self.old = max(1, size // 2), make, {}
+
+    def __missing__(self, key: Any) -> Any:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class Transducer:
     """The compiled model; ``encode`` and ``decode`` are each other's inverse on texts without the mark."""
 
     def __init__(self, model: bytes):
-        import struct
-
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
@@ -95,8 +121,11 @@ class Transducer:
         self.cut = self._cuts()
         self.spelled = [bytes([int(p[1:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else " \u2047 ".encode() if kind == UNKNOWN else p.encode()
                         for p, kind in zip(self.pieces, self.kinds)]
-        self.known: dict[str, list[int]] = {}
-        self.pairs: dict[int, bool] = {}
+        self.parts, self.pairs = Recent(REMEMBER, self._part), Recent(REMEMBER, self._pair)
+        self.longest = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            self.longest.add_word(piece, (i, len(piece)))
+        self.longest.make_automaton()
         self.trie: dict = {}
         for piece, i in self.ids.items():
             node = self.trie
@@ -165,15 +194,12 @@ class Transducer:
 
     def accepts(self, left: int, right: int) -> bool:
         """Whether merging the two pieces' string leaves exactly them; ``left`` is -1 at the beginning."""
-        key = left << 32 | right
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= REMEMBER:
-                self.pairs.clear()
-            size = len(self.pieces)
-            a, b = ("" if x < 0 else self.pieces[x] if x < size else chr(x - size) for x in (left, right))
-            found = self.pairs[key] = self._stays(a, b) if a else self.merged(b) == [b]
-        return found
+        return self.pairs[left, right]
+
+    def _pair(self, key: tuple[int, int]) -> bool:
+        size = len(self.pieces)
+        a, b = ("" if x < 0 else self.pieces[x] if x < size else chr(x - size) for x in key)
+        return self._stays(a, b) if a else self.merged(b) == [b]
 
     def _stays(self, left: str, right: str) -> bool:
         a, b = self.edges(left), self.edges(right)
@@ -193,40 +219,72 @@ class Transducer:
             else:
                 j += 1
 
+    def along(self, text: str, start: int) -> list[tuple[int, int]]:
+        """(end, piece) of the pieces that go on from ``start``, the shortest first; a character
+        without a piece is its code point above the number of pieces."""
+        out, node, at, n = [], self.trie, start, len(text)
+        while at < n:
+            node = node.get(text[at])
+            at += 1
+            if node is None:
+                break
+            found = node.get("")
+            if found is not None:
+                out.append((at, found))
+        if not out or out[0][0] > start + 1:
+            out.insert(0, (start + 1, len(self.pieces) + ord(text[start])))
+        return out
+
     def path(self, text: str) -> list[int]:
-        """Shortest path through the composition with ``text``: piece numbers, and for a character
-        without a piece its code point above the number of pieces."""
-        n, size, top, merges = len(text), len(self.pieces), self.trie, self.algorithm == MERGES
+        """Shortest path through the composition with ``text``: pieces as in ``along``."""
+        return self._finite(text) if self.algorithm == MERGES else self._least(text)
+
+    def _finite(self, text: str) -> list[int]:
+        """The path of weight 0 through the pairs. Most often the longest piece is right from the beginning on."""
+        n, pairs, left, at = len(text), self.pairs, -1, 0
+        out: list[int] = []
+        starts: list[int] = []
+        tried: list[list[tuple[int, int]] | None] = []  # what is left to try at each of them, if that is known
+        if self.ids:
+            for end, (found, width) in self.longest.iter_long(text):
+                if end + 1 - width != at or not pairs[left, found]:
+                    break
+                starts.append(at)
+                out.append(found)
+                tried.append(None)
+                left, at = found, end + 1
+        dead: set[int] = set()
+        options = self.along(text, at) if at < n else []
+        while at < n:
+            while options:
+                end, found = options.pop()
+                if end not in dead and pairs[left, found]:
+                    starts.append(at)
+                    out.append(found)
+                    tried.append(options)
+                    at, left = end, found
+                    if at < n:
+                        options = self.along(text, at)
+                    break
+            else:
+                dead.add(at)
+                stop, at, options = at, starts.pop(), tried.pop()
+                out.pop()
+                left = out[-1] if out else -1
+                if options is None:
+                    options = [x for x in self.along(text, at) if x[0] < stop]
+        return out
+
+    def _least(self, text: str) -> list[int]:
+        """The path of the least sum of costs; of equal ones, the longer piece."""
+        n, size = len(text), len(self.pieces)
         cost, back, width = [INFINITY] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         cost[0] = 0.0
         for start in range(n):
-            left, so_far = back[start], cost[start]
-            node = top
-            at = start
-            while True:  # along the trie of pieces, as far as the text goes with it
-                if at == n:
-                    break
-                node = node.get(text[at])
-                at += 1
-                if node is None:
-                    if at > start + 1:
-                        break
-                    found = size + ord(text[start])
-                else:
-                    found = node.get("")
-                    if found is None:
-                        if at > start + 1:
-                            continue
-                        found = size + ord(text[start])
-                if merges:
-                    if cost[at] and self.accepts(left, found):
-                        cost[at], back[at], width[at] = 0.0, found, at - start
-                else:
-                    new = so_far + (self.fallback_cost if found >= size else -self.scores[found])
-                    if new < cost[at] or new == cost[at] and at - start > width[at]:
-                        cost[at], back[at], width[at] = new, found, at - start
-                if node is None:
-                    break
+            for at, found in self.along(text, start):
+                new = cost[start] + (self.fallback_cost if found >= size else -self.scores[found])
+                if new < cost[at] or new == cost[at] and at - start > width[at]:
+                    cost[at], back[at], width[at] = new, found, at - start
         out, end = [], n
         while end:
             out.append(back[end])
@@ -245,41 +303,69 @@ class Transducer:
                 out.append(self.unknown)
         return out
 
+    def _part(self, text: str) -> tuple[bytes, bytes]:
+        """A string between cuts: its numbers, four bytes each, and the bytes that they spell."""
+        numbers = self._numbers(text)
+        return array("i", numbers).tobytes(), b"".join(map(self.spelled.__getitem__, numbers))
+
+    def both(self, text: str) -> tuple[bytes, bytes]:
+        """The numbers of a text, four bytes each, and the bytes that they spell."""
+        strings = self.cut.findall(self.normalise(text))
+        if max(map(len, strings), default=0) <= LONGEST:
+            found = list(map(self.parts.__getitem__, strings))
+        else:
+            found = [self.parts[x] if len(x) <= LONGEST else self._part(x) for x in strings]
+        if not self.bytes:  # unknown characters in a row are one, across cuts, too
+            return self._unknown_once(found)
+        return b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
+
+    def _unknown_once(self, found: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+        numbers: list[int] = []
+        for raw, _ in found:
+            more = array("i", raw)
+            numbers.extend(more[1:] if numbers and more and numbers[-1] == more[0] == self.unknown else more)
+        return array("i", numbers).tobytes(), b"".join(map(self.spelled.__getitem__, numbers))
+
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.known
-        for part in self.cut.findall(self.normalise(text)):
-            found = known.get(part)
-            if found is None:
-                found = self._numbers(part)
-                if len(part) <= LONGEST:
-                    if len(known) >= REMEMBER:
-                        known.clear()
-                    known[part] = found
-            out += found
-        return out
+        return array("i", self.both(text)[0]).tolist()
 
-    def decode(self, numbers: list[int]) -> str:
-        """Pieces joined, byte pieces as UTF-8, marks as white space, the mark in front dropped."""
-        raw = b"".join(map(self.spelled.__getitem__, numbers))
+    def said(self, raw: bytes) -> str:
+        """The text of spelled bytes: UTF-8, marks as white space, the mark in front dropped."""
         text = raw.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.dummy and text.startswith(" ") else text
 
+    def decode(self, numbers: list[int]) -> str:
+        """Pieces joined, byte pieces as UTF-8."""
+        return self.said(b"".join(map(self.spelled.__getitem__, numbers)))
+
+
+@lru_cache(maxsize=2)
+def machine_of(model: bytes) -> Transducer:
+    """Compiled once in a worker, whose tasks share what it remembers."""
+    return Transducer(model)
+
 
 def load(path: str) -> bytes:
     with open(path, "rb") as model:
         return model.read()
 
 
+def _lists(raw: list[bytes | None]) -> pa.ListArray:
+    """Lists of numbers from their bytes, as one flat array."""
+    ends = np.zeros(len(raw) + 1, np.int32)
+    np.cumsum([0 if x is None else len(x) // 4 for x in raw], out=ends[1:])
+    values = np.frombuffer(b"".join([x for x in raw if x is not None]), np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()), mask=pa.array([x is None for x in raw], pa.bool_()))
+
+
 def _encode_all(batches: Iterator[pa.Array], model: bytes) -> Iterator[pa.Array]:
-    machine = Transducer(model)
+    machine = machine_of(model)
     for texts in batches:
-        out = [None if x is None else machine.encode(x) for x in (t.as_py() for t in texts)]
-        yield pa.array(out, pa.list_(pa.int32()))
+        yield _lists([None if x is None else machine.both(x)[0] for x in (t.as_py() for t in texts)])
 
 
 def _decode_all(batches: Iterator[pa.Array], model: bytes) -> Iterator[pa.Array]:
-    machine = Transducer(model)
+    machine = machine_of(model)
     for rows in batches:
         out = [None if x is None else machine.decode([i for i in x if i is not None]) for x in (r.as_py() for r in rows)]
         yield pa.array(out, pa.string())
@@ -311,17 +397,15 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
       result; other columns are not read.
     """
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        machine = Transducer(model)
+        machine = machine_of(model)
         for texts in batches:
-            out = []
+            raw, same = [], []
             for text in texts:
-                raw = text.as_py()
-                if raw is None:
-                    out.append({"tokens": None, "round_trip": None})
-                    continue
-                tokens = machine.encode(raw)
-                out.append({"tokens": tokens, "round_trip": machine.decode(tokens) == raw})
-            yield pa.array(out, pa.struct([("tokens", pa.list_(pa.int32())), ("round_trip", pa.bool_())]))
+                text = text.as_py()
+                numbers, spelled = (None, None) if text is None else machine.both(text)
+                raw.append(numbers)
+                same.append(None if text is None else machine.said(spelled) == text)
+            yield pa.StructArray.from_arrays([_lists(raw), pa.array(same, pa.bool_())], names=["tokens", "round_trip"])
 
     said = docs.select(F.col(id_col).alias("_id"), F.arrow_udf(both, "struct<tokens:array<int>,round_trip:boolean>")(F.col(text_col)).alias("_e"))
     return said.select(F.col("_id").alias(id_col), F.col("_e.tokens").alias("tokens"), F.when(F.col("_e.tokens").isNull(), 0).otherwise(F.size("_e.tokens")).cast("long").alias("n_tokens"),

@@ -3,14 +3,17 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from contrail.llm import conversations as cv
 from contrail.llm import middle as md
+from contrail.llm import pieces
 from contrail.llm import queries as Q
 from contrail.llm import sharding as sh
 
@@ -261,3 +264,63 @@ def test_bytes_are_even_whatever_the_sizes(spark):
         with pytest.raises(ValueError):
             sh.ring_shards(docs, 3, **bad)
 
+
+
+def wire(*fields):
+    """A message of the protocol-buffer wire format."""
+    def number(n):
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    out = b""
+    for key, value in fields:
+        if isinstance(value, float):
+            out += number(key << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, bytes):
+            out += number(key << 3 | 2) + number(len(value)) + value
+        else:
+            out += number(key << 3) + number(value)
+    return out
+
+
+def unigram_model(byte_fallback, seed=1):
+    """Pieces and scores drawn by hand; nothing is trained."""
+    pick = random.Random(seed)
+    words = {"".join(pick.choice("abcdeé▁" if k == 0 else "abcdeé") for k in range(pick.randint(1, 5))) for _ in range(300)} | set("abcdeé▁")
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    pieces += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if byte_fallback else []
+    pieces += [(w, -pick.uniform(1, 12), 1) for w in sorted(words)]
+    parts = [(1, wire((1, p.encode()), (2, s), (3, kind))) for p, s, kind in pieces]
+    trainer = wire((3, 1), (4, len(pieces)), (35, int(byte_fallback)), (40, 0), (41, 1), (42, 2), (43, (1 << 64) - 1))
+    return wire(*parts, (2, trainer), (3, wire((1, b"identity"), (3, 1), (4, 0), (5, 1))))
+
+
+@pytest.mark.parametrize("byte_fallback", [False, True])
+def test_unigram_models(byte_fallback):
+    model = unigram_model(byte_fallback)
+    mine, theirs = pieces.Transducer(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    pick = random.Random(7)
+    for _ in range(1500):
+        text = "".join(pick.choice("abcdeé abcde  xß日\n") for _ in range(pick.randint(0, 40)))
+        assert mine.encode(text) == theirs.encode(text), text
+
+
+def test_pieces_of_long_texts_and_of_a_small_memory(spark, monkeypatch):
+    model = pieces.load(Q.PIECES)
+    theirs = sentencepiece.SentencePieceProcessor(model_proto=model)
+    monkeypatch.setattr(pieces, "REMEMBER", 50)
+    mine, pick = pieces.Transducer(model), random.Random(8)
+    words = ["".join(pick.choice("etaoinshrdlu") for _ in range(pick.randint(1, 12))) for _ in range(400)]
+    text = " ".join(pick.choice(words) + pick.choice(["", ".", ",\n", "'s"]) for _ in range(6000))
+    assert mine.encode(text) == theirs.encode(text) and len(mine.parts) <= 50
+    for odd in ("a" * 3000, "ab" * 2000, "日本" * 800, " " * 3000, "\n" * 3000, "=" * 2000, "1" * 999):
+        assert mine.encode(odd) == theirs.encode(odd)
+        assert mine.decode(mine.encode(odd)) == odd
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None), (3, ""), (4, "x" * 200_000 + " " * 200_000)], "doc_id long, text string")
+    got = pieces.encode_documents(docs, model).collect()
+    assert [r.tokens for r in got if r.doc_id == 1] == [theirs.encode(text)] * 2
+    assert [(r.tokens, r.n_tokens, r.round_trip) for r in got if r.doc_id in (2, 3)] == [(None, 0, None), ([], 0, True)]
+    assert all(r.round_trip for r in got if r.doc_id == 4)
