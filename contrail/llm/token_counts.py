@@ -8,6 +8,7 @@ a token across a border goes where the rule says.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 RULES = ("first", "last", "most")
 #: Pattern of the rank files' vocabulary, as their description states it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of white space from this length on go round the pattern, whose matcher keeps a stack as deep as the run.
+LONG_RUN = 10_000
+#: The white space of the pattern's \\s.
+_BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 COUNTS = "struct<n_tokens:bigint,outside:bigint,crossing:bigint,sections:array<struct<start:bigint,end:bigint,n:bigint>>>"
-CUT = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("n", pa.int64())])
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -29,9 +33,24 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def encoded(encoder: tiktoken.Encoding, text: str) -> list[int]:
+    """The tokens of a text, with white space of any length.
+
+    The pattern makes one piece of a run of white space but for its last character, which goes with
+    what follows; at the end of the text, of the whole run. Long runs are handed on as that piece.
+    """
+    out, at = [], 0
+    for run in re.finditer(f"[{_BLANK}]{{{LONG_RUN},}}", text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += encoder.encode_ordinary(text[at:run.start()])
+        out += encoder._encode_single_piece(text[run.start():end])
+        at = end
+    return out + encoder.encode_ordinary(text[at:]) if at else encoder.encode_ordinary(text)
+
+
 def _spans(encoder: tiktoken.Encoding, lengths: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
     """First character and the one after the last of every token; tokens that share a character overlap."""
-    ids = np.asarray(encoder.encode_ordinary(text), np.int64)
+    ids = np.asarray(encoded(encoder, text), np.int64)
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     ends = np.cumsum(lengths[ids])
     starts = ends - lengths[ids]
@@ -68,27 +87,35 @@ def _count(batches: Iterator[tuple[pa.Array, pa.Array]], vocabulary: dict[bytes,
     lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
     for token, rank in vocabulary.items():
         lengths[rank] = len(token)
-    shape = pa.struct([("n_tokens", pa.int64()), ("outside", pa.int64()), ("crossing", pa.int64()), ("sections", pa.list_(CUT))])
     for texts, cuts in batches:
-        out = []
+        totals, sections = [], []
         for text, cut in zip(texts, cuts):
             text = text.as_py() or ""
-            cut = line_cuts(text) if lines else cut.as_py() or []
-            starts, ends = (np.array([c[k] for c in cut], np.int64) for k in ("start", "end"))
+            starts, ends = line_cuts(text) if lines else _pairs(cut)
             order = np.lexsort((ends, starts))
             first, after = _spans(encoder, lengths, text) if text else (np.array([], np.int64),) * 2
             got, outside, crossing = attribute(first, after, starts[order], ends[order], rule)
-            counts = np.zeros(len(cut), np.int64)
+            counts = np.zeros(len(starts), np.int64)
             counts[order] = got
-            out.append({"n_tokens": len(first), "outside": outside, "crossing": crossing, "sections": [c | {"n": n} for c, n in zip(cut, counts.tolist())]})
-        yield pa.array(out, shape)
+            totals.append((len(first), outside, crossing))
+            sections.append(np.stack([starts, ends, counts]))
+        flat = np.concatenate([np.zeros((3, 0), np.int64), *sections], axis=1)
+        begins = np.cumsum([0, *[x.shape[1] for x in sections]]).astype(np.int32)
+        each = pa.ListArray.from_arrays(pa.array(begins), pa.StructArray.from_arrays([pa.array(x) for x in flat], names=["start", "end", "n"]))
+        columns = [pa.array(x) for x in np.array(totals, np.int64).reshape(-1, 3).T]
+        yield pa.StructArray.from_arrays([*columns, each], names=["n_tokens", "outside", "crossing", "sections"])
+
+
+def _pairs(cut: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    given = cut.as_py() or []
+    return tuple(np.array([c[k] for c in given], np.int64) for k in ("start", "end"))
 
 
-def line_cuts(text: str) -> list[dict[str, int]]:
-    """One section per line, its ``\\n`` included, so the sections cover the text."""
-    ends = np.cumsum([len(x) + 1 for x in text.split("\n")]).tolist()
+def line_cuts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of every line, its ``\\n`` included, so the sections cover the text."""
+    ends = np.cumsum([len(x) + 1 for x in text.split("\n")])
     ends[-1] -= 1
-    return [{"start": a, "end": b} for a, b in zip([0, *ends], ends)]
+    return np.concatenate([[0], ends[:-1]]), ends
 
 
 def fields_as_sections(fields: Sequence[Column], separator: str = "\n") -> tuple[Column, Column]:
@@ -115,6 +142,7 @@ def count_tokens(docs: DataFrame, vocabulary: dict[bytes, int], text: Column, se
       character, ``last`` to that of its last, ``most`` to the section with most of its
       characters, the first of equals. A character's bytes may be split over tokens: each
       such token covers the whole character.
+    * Texts of any length are encoded whole, runs of white space of any length too (``encoded``).
     * Null and empty texts have no tokens; their sections count 0. A document without
       sections gives one row with null section, start, end and n_tokens.
     * Null ids and repeated rows are counted like others. Other columns are not read.
