@@ -28,11 +28,28 @@ NOTICES = {
 TAG = "spdx license identifier"
 # How far a licence binds, from free to closed.
 DUTY = {"public": 0, "permissive": 1, "weak": 2, "strong": 3, "limited": 4, "closed": 5}
-FAMILIES = [
-    ("cc0", "public"), ("unlicense", "public"), ("0bsd", "public"), ("public-domain", "public"), ("mit", "permissive"), ("apache", "permissive"), ("bsd", "permissive"),
-    ("isc", "permissive"), ("bsl", "permissive"), ("zlib", "permissive"), ("python", "permissive"), ("lgpl", "weak"), ("mpl", "weak"), ("epl", "weak"), ("cddl", "weak"),
-    ("agpl", "strong"), ("gpl", "strong"), ("cc-by-nc", "limited"), ("cc-by-nd", "limited"), ("cc-by-sa", "strong"), ("cc-by", "permissive"), ("proprietary", "closed"),
-]
+# What the notices' labels bind to.
+LABELS = {
+    "apache": "permissive", "bsd": "permissive", "bsl": "permissive", "cc-by": "permissive", "isc": "permissive", "mit": "permissive", "cc0": "public",
+    "public-domain": "public", "unlicense": "public", "epl": "weak", "lgpl": "weak", "mpl": "weak", "agpl": "strong", "cc-by-sa": "strong", "gpl": "strong",
+    "cc-by-nc": "limited", "cc-by-nd": "limited", "proprietary": "closed",
+}
+# Identifiers by family: whole names in lower case, versions as patterns.
+_GNU, _CC = "(-only|-or-later)?", r"-(1\.0|2\.0|2\.5|3\.0|4\.0)"
+FAMILIES = {kind: re.compile("|".join(names)) for kind, names in {
+    "public": ["0bsd", r"cc0-1\.0", "unlicense", r"pddl-1\.0", "wtfpl"],
+    "permissive": [
+        r"afl-(1\.1|1\.2|2\.0|2\.1|3\.0)", r"apache-(1\.0|1\.1|2\.0)", r"artistic-2\.0", r"blueoak-1\.0\.0", "bsd-[1-4]-clause(-[a-z0-9-]+)?", r"bsl-1\.0", "cc-by" + _CC, "curl",
+        r"ecl-[12]\.0", "ftl", "hpnd", "ijg", "isc", r"libpng(-2\.0)?", "mit(-0|-cmu|-feh|-modern-variant)?", r"mulanpsl-[12]\.0", "ncsa", "openssl", r"php-3\.01?", "postgresql",
+        r"psf-2\.0", r"python-2\.0(\.1)?", "ruby", "tcl", r"unicode-3\.0", r"upl-1\.0", "vim", "w3c", "x11", "zlib", r"zpl-(1\.1|2\.0|2\.1)"],
+    "weak": [r"artistic-1\.0(-perl|-cl8)?", r"cddl-1\.[01]", r"cpl-1\.0", r"epl-[12]\.0", r"eupl-1\.[0-2]", r"ipl-1\.0", r"lgpl-(2\.0|2\.1|3\.0)" + _GNU, r"mpl-(1\.0|1\.1|2\.0)", "ms-pl", "ms-rl"],
+    "strong": [r"agpl-[13]\.0" + _GNU, "cc-by-sa" + _CC, r"gfdl-1\.[1-3]" + _GNU, r"gpl-[123]\.0" + _GNU, r"osl-(1\.0|1\.1|2\.0|2\.1|3\.0)", r"qpl-1\.0", "sleepycat", r"sspl-1\.0"],
+    "limited": [r"busl-1\.1", "cc-by-(nc|nd|nc-nd|nc-sa)" + _CC, r"elastic-2\.0"],
+    "closed": ["(documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+", "noassertion", "none"],
+}.items()}
+EXCEPTIONS = re.compile(
+    r"autoconf-exception-(2\.0|3\.0)|bison-exception-2\.2|bootloader-exception|classpath-exception-2\.0|font-exception-2\.0|gcc-exception-(2\.0|3\.1)|gpl-cc-1\.0|"
+    r"libtool-exception|linux-syscall-note|llvm-exception|openvpn-openssl-exception|qt-gpl-exception-1\.0|swift-exception|universal-foss-exception-1\.0|wxwindows-exception-3\.1")
 RANK = {"OR": 1, "AND": 2, "WITH": 3}
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 _TAG_LINE = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)", re.I)
@@ -78,25 +95,45 @@ def postfix(text: str) -> list[str]:
     return out + wait[::-1]
 
 
+class UnknownName(BadExpression):
+    pass
+
+
 def duty(name: str) -> int:
-    name = name.lower()
-    return next((DUTY[kind] for start, kind in FAMILIES if name.startswith(start)), DUTY["closed"])
+    """How far an identifier binds; a trailing + allows later versions and changes nothing here."""
+    name = name.lower().removesuffix("+")
+    for kind, names in FAMILIES.items():
+        if names.fullmatch(name):
+            return DUTY[kind]
+    raise UnknownName(name)
 
 
 def evaluate(text: str) -> tuple[int, list[str]]:
-    """Value of an expression and the licences it names: OR lets one choose the freest,
-    AND binds to the strictest, WITH lightens a strong copyleft by one step."""
-    stack: list[tuple[int, list[str]]] = []
+    """Value of an expression and the licences it names: OR lets one choose the freest, AND binds to
+    the strictest, WITH and an exception lighten a strong copyleft by one step. Names are whole
+    identifiers; an exception stands behind WITH and nowhere else."""
+    names: list[str] = []
+    stack: list[int | str] = []  # a name waits for its value, since it may be an exception
+
+    def value(x: int | str) -> int:
+        if isinstance(x, str):
+            names.append(x.lower())
+            return duty(x)
+        return x
+
     for token in postfix(text):
         if token not in RANK:
-            stack.append((duty(token), [token.lower()]))
+            stack.append(token)
             continue
         right, left = stack.pop(), stack.pop()
         if token == "WITH":
-            stack.append((DUTY["weak"] if left[0] == DUTY["strong"] else left[0], left[1]))
+            if not isinstance(left, str) or not isinstance(right, str) or not EXCEPTIONS.fullmatch(right.lower()):
+                raise BadExpression(text)
+            found = value(left)
+            stack.append(DUTY["weak"] if found == DUTY["strong"] else found)
         else:
-            stack.append(((min if token == "OR" else max)(left[0], right[0]), left[1] + right[1]))
-    return stack[0]
+            stack.append((min if token == "OR" else max)(value(left), value(right)))
+    return value(stack[0]), names
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -131,12 +168,15 @@ def scan(text: str | None, machine: ahocorasick.Automaton) -> dict:
             out["n_base"] += 1
             out["first_word"] = start if out["first_word"] is None else min(start, out["first_word"])
             out["last_word"] = start if out["last_word"] is None else max(start, out["last_word"])
-        strictest = max(strictest, 0.5 + duty(label) / 20)
+        strictest = max(strictest, 0.5 + DUTY[LABELS[label]] / 20)
     if any(phrase == TAG for _, (phrase, _) in hits):
         for given in _TAG_LINE.findall(raw):
             given = re.split(r"\*/|-->|#", given)[0].strip()
             try:
                 value, names = evaluate(given)
+            except UnknownName:
+                labels.add("spdx-unknown")
+                continue
             except BadExpression:
                 labels.add("spdx-invalid")
                 continue
@@ -174,8 +214,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
       in lower case; a place is where a phrase's words stand one after another, and places
       may overlap. Word positions begin at 0.
     * ``labels`` holds base labels, labels of further notices, and ``spdx:`` with each licence
-      of a valid expression; an expression that cannot be parsed gives ``spdx-invalid``.
+      of a valid expression; an expression that cannot be parsed gives ``spdx-invalid``, one with
+      a name that is no identifier ``spdx-unknown``, and neither adds to the score.
     * The score is 0 without any finding, else grows with how far the strictest finding binds.
+    * Texts and expressions of any length are read whole, in linear time.
     * Null and empty texts have no words and null positions. Repeated rows and null ids are
       scanned like others. Other columns are not read.
     """
