@@ -7,15 +7,15 @@ fewest bytes wins; a narrow margin over the second is a rejection.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Training reads at most this many documents of a language, each with at most so many code points.
-SAMPLE_DOCS = 400
+#: A dictionary is made of at most so many blocks of a language's texts, of at most so many code points each.
+SAMPLE_BLOCKS = 400
 SAMPLE_CHARS = 1000
 #: Bytes of a block: long ones would be compressed by their own beginning.
 BLOCK = 2048
@@ -30,20 +30,24 @@ ANSWER = "struct<lang:string,score:double,margin:double,rejected:boolean>"
 def dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """One dictionary per language of the labelled rows.
 
-    Reads every row, and keeps of each language the SAMPLE_DOCS rows with the smallest hash of
-    id and text among those whose low hash bits fall under a threshold, cut to SAMPLE_CHARS: at most 400,000 code points a language reach the
-    driver. Rows with a null language or text are left out.
+    Whole texts are cut into blocks of SAMPLE_CHARS, and of each language the SAMPLE_BLOCKS blocks
+    with the smallest hash of id, text and place are taken, wherever they stand: at most 400,000
+    code points a language reach the driver. Rows with a null language or text are left out.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
-        F.col(lang_col).alias("_lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_h"), F.substring(text_col, 1, SAMPLE_CHARS).alias("_text"))
+        F.col(lang_col).alias("_lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_row"), F.col(text_col).alias("_text"),
+        F.ceil(F.length(text_col) / SAMPLE_CHARS).cast("int").alias("_n"))
     # A threshold of the hash leaves about four times the sample, whatever the number of rows and tasks.
-    many = {r["_lang"]: min(1.0, 4 * SAMPLE_DOCS / r["count"]) for r in rows.groupBy("_lang").count().collect()}
+    many = {r["_lang"]: min(1.0, 4 * SAMPLE_BLOCKS / r["n"]) for r in rows.groupBy("_lang").agg(F.sum("_n").alias("n")).collect()}
     if not many:
         return {}
     share = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])[F.col("_lang")]
-    rows = rows.where(F.pmod(F.col("_h"), F.lit(1 << 32)) < share * float(1 << 32))
+    low = lambda k: F.pmod(F.xxhash64(F.col("_row"), k), F.lit(1 << 32))
+    picked = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda k: low(k) < F.col("_share") * float(1 << 32))
+    rows = rows.withColumn("_share", share).withColumn("_block", F.explode(picked)).withColumn("_h", F.xxhash64("_row", "_block"))
+    rows = rows.select("_lang", "_h", F.substring(F.col("_text"), F.col("_block") * SAMPLE_CHARS + 1, F.lit(SAMPLE_CHARS)).alias("_text"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_text"))
-    kept = rows.withColumn("_rank", rank).where(F.col("_rank") <= SAMPLE_DOCS).orderBy("_lang", F.desc("_rank")).collect()
+    kept = rows.withColumn("_rank", rank).where(F.col("_rank") <= SAMPLE_BLOCKS).orderBy("_lang", F.desc("_rank")).collect()
     books: dict[str, list[str]] = {}
     for row in kept:
         books.setdefault(row._lang, []).append(row._text)
@@ -55,14 +59,16 @@ def _plain(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_PLAIN).split())
 
 
+def _packer(book: bytes, level: int) -> Callable[[bytes], bytes]:
+    data = zstandard.ZstdCompressionDict(book, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    data.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+
+
 def _classify(batches: Iterator[pa.Array], books: dict[str, bytes], margin: float) -> Iterator[pa.Array]:
     langs = sorted(books)
-    makers = []
     vocabularies = [set(books[lang].split()) for lang in langs]
-    for lang in langs:
-        data = zstandard.ZstdCompressionDict(books[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        data.precompute_compress(level=LEVEL)
-        makers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+    packers = [_packer(books[lang], LEVEL) for lang in langs]
     for batch in batches:
         out = []
         for text in batch:
@@ -72,7 +78,7 @@ def _classify(batches: Iterator[pa.Array], books: dict[str, bytes], margin: floa
                 continue
             data = memoryview(_plain(raw))
             blocks = [data[i:i + BLOCK] for i in range(0, len(data), BLOCK)]
-            sizes = [sum(len(pack(b)) for b in blocks) for pack in makers]
+            sizes = [sum(len(pack(b)) for b in blocks) for pack in packers]
             least = min(sizes)
             close = [i for i in range(len(langs)) if sizes[i] == least]
             if len(close) > 1:  # as happens to texts of a few words: whole words that the dictionaries hold decide
@@ -94,15 +100,18 @@ def language(text: Column, books: dict[str, bytes], margin: float = MARGIN) -> C
 
     * Null texts, texts without a letter, and any text when no language was learned: ``und``,
       score 0, rejected.
-    * The whole text counts, in blocks, as lower-case words with one space between. Of equal sizes, the language whose
-      dictionary holds more of the text's words wins, with that lead for a margin; then the one
-      with the larger dictionary and the first by name, with score 0 and rejected.
+    * The whole text counts, whatever its length, in blocks, as lower-case words with one space between. Of
+      equal sizes, which texts too short for a match have, the language whose dictionary holds more of
+      the text's words wins, with that lead for a margin; then the one with the larger dictionary and
+      the first by name, with score 0 and rejected.
     * The score grows with the margin, and is one half at the rejection threshold.
 
-    The dictionaries travel with the function: their size is bounded by the sample's.
+    The dictionaries, whose size the sample bounds, are broadcast.
     """
+    held = SparkSession.active().sparkContext.broadcast(books)
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return _classify(batches, books, margin)
+        return _classify(batches, held.value, margin)
 
     return F.arrow_udf(run, ANSWER)(text)
 
