@@ -72,11 +72,15 @@ def segment_tiles(spark, sf):
     return density.segment_tiles(_segments(spark, sf)).select("hex", "seq", "tx", "ty", F.round("u0", 6).alias("u0"), F.round("u1", 6).alias("u1"))
 
 
+# The elevation of every tile that a query names in ``tl``.
+ELEVATIONS = """tc AS (
+  SELECT tx, ty, (degrees(atan(sinh(pi() * (1 - 2.0 * ty / 2048)))) + degrees(atan(sinh(pi() * (1 - 2.0 * (ty + 1) / 2048))))) / 2 AS clat, ((tx / 2048.0 * 360 - 180) + ((tx + 1) / 2048.0 * 360 - 180)) / 2 AS clon FROM tl),
+  te AS (SELECT tx, ty, elev FROM (SELECT tx, ty, a.elev, row_number() OVER (PARTITION BY tx, ty ORDER BY pow(clat - a.lat, 2) + pow(clon - a.lon, 2), a.ordinal) AS r FROM tc, airports a) WHERE r = 1)"""
+
+
 @query("G2_segment_tiles_agl", SEGMENTS + f""", {t.AIRPORTS_SQL}, spread AS (SELECT *, unnest(range(least(y0, y1) // 256, greatest(y0, y1) // 256 + 1)) AS ty FROM (
   SELECT *, unnest(range(least(x0, x1) // 256, greatest(x0, x1) // 256 + 1)) AS tx FROM segments)),
-  tl AS (SELECT DISTINCT tx, ty FROM spread), tc AS (
-  SELECT tx, ty, (degrees(atan(sinh(pi() * (1 - 2.0 * ty / 2048)))) + degrees(atan(sinh(pi() * (1 - 2.0 * (ty + 1) / 2048))))) / 2 AS clat, ((tx / 2048.0 * 360 - 180) + ((tx + 1) / 2048.0 * 360 - 180)) / 2 AS clon FROM tl),
-  te AS (SELECT tx, ty, elev FROM (SELECT tx, ty, a.elev, row_number() OVER (PARTITION BY tx, ty ORDER BY pow(clat - a.lat, 2) + pow(clon - a.lon, 2), a.ordinal) AS r FROM tc, airports a) WHERE r = 1),
+  tl AS (SELECT DISTINCT tx, ty FROM spread), {ELEVATIONS},
   clipped AS (SELECT s.*, greatest(0.0, {_xa.replace('tx', 's.tx')}, {_ya.replace('ty', 's.ty')}) AS u0, least(1.0, {_xb.replace('tx', 's.tx')}, {_yb.replace('ty', 's.ty')}) AS u1
     FROM spread s JOIN te ON te.tx = s.tx AND te.ty = s.ty WHERE alt BETWEEN elev - 200 AND elev + 500)
   SELECT tx, ty, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM clipped WHERE u0 <= u1 GROUP BY 1, 2""")
@@ -93,7 +97,7 @@ density AS (SELECT wx // 256 AS tx, wy // 256 AS ty, wx % 256 AS px, wy % 256 AS
 
 
 def _density(spark, sf):
-    return density.pixel_density(density.segment_pixels(_segments(spark, sf)), Z)
+    return density.traffic_density(_segments(spark, sf), Z)
 
 
 @query("G3_segment_pixels", PIXELS + " SELECT hex, count(*) AS n, CAST(sum(wx) AS BIGINT) AS sx, CAST(sum(wy) AS BIGINT) AS sy FROM thick GROUP BY 1")
@@ -111,6 +115,21 @@ def density_by_tile(spark, sf):
     return _density(spark, sf).groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("pixels"), F.sum("cnt").alias("flights"), F.max("cnt").alias("busiest"))
 
 
+AGL_PIXELS = PIXELS.replace("SELECT hex, flight_no, lx", "SELECT hex, flight_no, alt, lx") + f""", {t.AIRPORTS_SQL}, tl AS (SELECT DISTINCT wx // 256 AS tx, wy // 256 AS ty FROM thick), {ELEVATIONS},
+low AS (SELECT p.wx // 256 AS tx, p.wy // 256 AS ty, wx % 256 AS px, wy % 256 AS py, least(count(DISTINCT hex || ':' || flight_no), 65535) AS cnt FROM thick p JOIN te ON te.tx = p.wx // 256 AND te.ty = p.wy // 256
+  WHERE alt BETWEEN elev - 200 AND elev + 500 GROUP BY 1, 2, 3, 4)"""
+
+
+@query("A14_pixel_density_agl", AGL_PIXELS + " SELECT tx, ty, px, py, cnt FROM low")
+def pixel_density_agl(spark, sf):
+    return density.traffic_density(_segments(spark, sf), Z, t.airports(spark, sf), 500).drop("z")
+
+
+@query("G4_pixel_density_by_tile_agl", AGL_PIXELS + " SELECT tx, ty, count(*) AS pixels, CAST(sum(cnt) AS BIGINT) AS flights, max(cnt) AS busiest FROM low GROUP BY 1, 2")
+def density_by_tile_agl(spark, sf):
+    return pixel_density_agl(spark, sf).groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("pixels"), F.sum("cnt").alias("flights"), F.max("cnt").alias("busiest"))
+
+
 COLOR = """norm AS (SELECT *, least(ln(1 + cnt) / ln(1 + 40), 1.0) AS nm FROM density), band AS (SELECT *, trunc((1.0 - nm) * 9 + 0.5) / 9.0 AS fr FROM norm),
 colored AS (SELECT tx, ty, px, py, cnt, CAST(trunc(nm * nm * 255.0) AS INTEGER) AS a,
   CAST(trunc(CASE WHEN fr < 0.5 THEN 128.0 * (1.0 - fr / 0.5) ELSE 150.0 * ((fr - 0.5) / 0.5) END * 0.9 + 0.5) AS INTEGER) AS r,
@@ -135,12 +154,12 @@ def _level(src: str, dst: str, z: int) -> str:
   FROM {src} WHERE a > {fl} GROUP BY 1, 2, 3, 4))"""
 
 
-_LEVELS = ", ".join(_level("colored" if z == 10 else f"z{z + 1}", f"z{z}", z) for z in range(10, 4, -1))
+_LEVELS = ", ".join(_level("colored" if z == 10 else f"z{z + 1}", f"z{z}", z) for z in range(10, 2, -1))
 
 
-@query("G5_zoom_pyramid", f"{PIXELS}, {COLOR}, {_LEVELS} " + " UNION ALL ".join(f"SELECT * FROM z{z}" for z in range(10, 4, -1)))
+@query("G5_zoom_pyramid", f"{PIXELS}, {COLOR}, {_LEVELS} " + " UNION ALL ".join(f"SELECT * FROM z{z}" for z in range(10, 2, -1)))
 def zoom_pyramid(spark, sf):
-    return density.pyramid(density.colored(_density(spark, sf)), Z, 5)
+    return density.pyramid(density.colored(_density(spark, sf)), Z)
 
 
 @query("G6_overlay_alpha", f"{PIXELS}, {COLOR} SELECT overlay, count(*) AS pixels FROM (SELECT CASE WHEN a < 20 THEN 0 ELSE least(255, a // 32 * 32 + 31) END AS overlay FROM (SELECT least(255, a * 4) AS a FROM colored) WHERE a >= 55 OR a < 20) GROUP BY 1")
