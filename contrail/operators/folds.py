@@ -1,11 +1,11 @@
 """Greedy folds: cooldown, heading decimation, closest-approach replacement.
 
-Each fold walks a key's rows in order and keeps a row depending on the last kept
-one.  That is sequential, yet a key may be too large for one task, so the walk is
+Cooldowns follow pointers from firing to firing (``_entered``). Each of the other folds
+walks a key's rows in order and keeps a row depending on the last kept one.  That is sequential, yet a key may be too large for one task, so the walk is
 split like this:
 
 1. per (key, slice): describe the slice as a function of the state it receives.
-   All three folds allow a short description, because the incoming state only
+   The folds allow a short description, because the incoming state only
    decides which row of the slice is kept first; after that row the walk is
    fixed.
 2. per key: run the state through the descriptions in slice order.  This reads a
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage, task_count
-from .timeline import SLICE_S, SLICE, sliced
+from .timeline import SLICE_S, SLICE, running, sliced
 
 LIMITS = "array<array<double>>"
 
@@ -136,48 +136,94 @@ def _keep(df: DataFrame, positions: DataFrame, on: list[str]) -> DataFrame:
 
 # --- cooldown -------------------------------------------------------------
 
+def _last_fired(t: np.ndarray, wait: float) -> np.ndarray:
+    """Of rising times: the last one fired when the walk fires at each of them."""
+    n = len(t)
+    after = np.searchsorted(t, t + wait, side="left")
+    to = np.where(after < n, after, np.arange(n))
+    while True:  # every round doubles the steps that a pointer stands for
+        further = to[to]
+        if (further == to).all():
+            return t[to]
+        to = further
+
+
+def _entered(nodes: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """Slices that the walk of each key fires in: ``keys, _slice, _from``, the time from which it may fire there.
+
+    A node stands for the times of a slice up to ``_upto`` that end in the same last firing,
+    ``_final``; the next firing is the first time ``_wait`` later, wherever it is. So nodes point at
+    nodes, and the walk is the path from a key's first one. Paths are followed by pointer doubling:
+    in round k the nodes known reach 2 ** k steps further, and pointers are composed with
+    themselves, so rounds grow with the logarithm of the longest path.
+    """
+    node = nodes.select(*keys, F.col("_upto").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_of"))
+    ask = nodes.select(*keys, (F.col("_final") + F.col("_wait")).alias("_at"), F.lit(0).alias("_kind"), F.col("_upto").alias("_of"))
+    asked = running(node.unionByName(ask), keys, "_at", ["_kind", "_of"], nexts={"_next": F.when(F.col("_kind") == 1, F.col("_at"))}, inclusive=False, width=width)
+    jumps = stage(asked.where("_kind = 0 and _next is not null").select(*keys, F.col("_of").alias("_at"), "_next", F.col("_at").alias("_from")), "jumps")
+    known = nodes.groupBy(*keys).agg(F.min("_upto").alias("_at")).withColumn("_from", F.lit(float("-inf")))
+    more = not jumps.isEmpty()
+    known = stage(known, "known") if more else known
+    while more:
+        step = stage(known.select(*keys, "_at").join(jumps, [*keys, "_at"]).select(*keys, F.col("_next").alias("_at"), "_from"), "known")
+        more = not step.isEmpty()
+        if more:
+            known = known.unionByName(step)
+            further = jumps.select(*keys, F.col("_at").alias("_next"), F.col("_next").alias("_next2"), F.col("_from").alias("_from2"))
+            jumps = stage(jumps.join(further, [*keys, "_next"]).select(*keys, "_at", F.col("_next2").alias("_next"), F.col("_from2").alias("_from")), "jumps")
+    return known.select(*keys, F.floor(F.col("_at") / F.lit(float(width))).alias(SLICE), "_from")
+
+
 def cooldown(df: DataFrame, keys: Sequence[str], time: str = "now", order: Sequence[str] = ("seq",), seconds: str = "cooldown_s",
              width: float = SLICE_S) -> DataFrame:
-    """Rows at least ``seconds`` (a column, constant per key) after the last fired row."""
+    """Rows at least ``seconds`` (a column, constant per key) after the last fired row.
 
-    def nexts(v):
-        t, cd = v[time], v[seconds]
-        return t, cd[0], np.searchsorted(t, t + cd[0], side="left")
-
-    def describe(v):
-        # rows (latest threshold served, resulting last fire), rising
-        t, cd, nxt = nexts(v)
-        n = len(t)
-        if cd <= 0:
-            return [(cd, 0.0), (np.inf, t[-1])]
-        final = np.empty(n)
-        for i in range(n - 1, -1, -1):
-            final[i] = t[i] if nxt[i] >= n else final[nxt[i]]
-        last = np.append(final[1:] != final[:-1], True)
-        return [(cd, 0.0), *zip(t[last], final[last])]
+    Slices are summed up as nodes and walked from where the path of the key enters them; no
+    task holds more than a slice, whatever the share of a key and the length of the pause.
+    """
+    keys = list(keys)
+    position = [*keys, time, *order]
+    base = sliced(df.select(*dict.fromkeys([*position, seconds])), time, width)
+    fields = {f.name: f.dataType.simpleString() for f in base.schema.fields}
+    part = [*keys, SLICE]
+    ddl = lambda names: ", ".join(f"`{c}` {fields[c]}" for c in names)
+    n = task_count(df)
+    base = base.repartition(n, *part)
 
-    def advance(state, desc):
-        cd = desc[0][0]
-        threshold = -np.inf if state is None else state[0] + cd
-        for upto, final in desc[1:]:
-            if threshold <= upto:
-                return [final]
-        return state
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, bounds in _groups(batches, part):
+            out = []
+            for lo, hi in zip(bounds, bounds[1:]):
+                t, wait = np.unique(pdf[time].to_numpy("float64")[lo:hi]), float(pdf[seconds].iloc[lo])
+                if wait <= 0:
+                    continue
+                final = _last_fired(t, wait)
+                last = np.append(final[1:] != final[:-1], True)
+                out.append(pdf.iloc[[lo] * int(last.sum())][keys].assign(_upto=t[last], _final=final[last], _wait=wait))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    nodes = base.sortWithinPartitions(*part, time).mapInPandas(summed, f"{ddl(keys)}, _upto double, _final double, _wait double")
+    entered = _entered(stage(nodes, "nodes"), keys, width)
+    joined = base.join(entered.withColumnsRenamed({c: f"_c_{c}" for c in part}), _all_equal(base, part), "left").drop(*[f"_c_{c}" for c in part])
+    joined = joined.where(F.col("_from").isNotNull() | (F.col(seconds) <= 0))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, bounds in _groups(batches, part):
+            times, chosen = pdf[time].to_numpy("float64"), np.zeros(len(pdf), dtype=bool)
+            for lo, hi in zip(bounds, bounds[1:]):
+                t, wait = times[lo:hi], float(pdf[seconds].iloc[lo])
+                if wait <= 0:
+                    chosen[lo:hi] = True
+                    continue
+                i = int(np.searchsorted(t, pdf["_from"].iloc[lo], side="left"))
+                while i < len(t):
+                    chosen[lo + i] = True
+                    i = int(np.searchsorted(t, t[i] + wait, side="left"))
+            yield pdf.loc[chosen, position]
 
-    def walk(v, state, final_slice):
-        t, cd, nxt = nexts(v)
-        fired = np.zeros(len(t), dtype=bool)
-        if cd <= 0:
-            fired[:] = True
-            return fired
-        i = 0 if state is None else int(np.searchsorted(t, state[0] + cd, side="left"))
-        while i < len(t):
-            fired[i] = True
-            i = nxt[i]
-        return fired
-
-    fired = _split_fold(df, keys, time, order, [time, seconds], width, describe, advance, walk)
-    return _keep(df, fired, [*keys, time, *order])
+    fired = joined.repartition(n, *part).sortWithinPartitions(*part, time, *order).mapInPandas(walk, ddl(position))
+    return _keep(df, fired, position)
 
 
 def checkpoints(df: DataFrame, time: str = "now", interval: float = 5.0) -> DataFrame:

@@ -28,6 +28,26 @@ def test_cooldown(spark, width, cd):
     assert got == exp
 
 
+def test_cooldown_of_one_long_path_takes_logarithmic_rounds(spark, monkeypatch):
+    """A rule's matches at every second of three days, pause one hour, slices of ten minutes."""
+    rounds, written = [], folds.stage
+    monkeypatch.setattr(folds, "stage", lambda df, name: rounds.append(name) or written(df, name))
+    df = spark.range(259_200).select(F.lit("rule").alias("key"), F.col("id").cast("double").alias("now"), F.col("id").alias("seq"), F.lit(3600.0).alias("cooldown_s"))
+    got = sorted(r["seq"] for r in folds.cooldown(df, ["key"], "now", ["seq"], "cooldown_s", 600.0).collect())
+    assert got == list(range(0, 259_200, 3600))  # 72 firings
+    assert rounds.count("jumps") <= 9
+
+
+def test_cooldown_keys_of_several_pauses(spark):
+    rows = [(k, float(t), t, cd) for k, cd in (("none", 0.0), ("short", 3.0), ("long", 50.0)) for t in range(100)] + [("short", 99.0, 100, 3.0)]
+    df = spark.createDataFrame(rows, "key string, now double, seq long, cooldown_s double")
+    got = {}
+    for r in folds.cooldown(df, ["key"], width=10.0).collect():
+        got.setdefault(r.key, []).append(r.seq)
+    assert {k: sorted(v) for k, v in got.items()} == {"none": list(range(100)), "short": list(range(0, 100, 3)), "long": [0, 50]}
+    assert folds.cooldown(df.where("false"), ["key"]).count() == 0
+
+
 @pytest.mark.parametrize("width", [4.0, 37.0, 1e9])
 @pytest.mark.parametrize("step", [1, 6, 40])
 def test_decimate(spark, width, step):
