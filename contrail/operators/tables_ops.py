@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from .timeline import numbered
 
 
-def every_nth(df: DataFrame, order: Sequence[str], slice_on: str, max_rows: int, width: float | None = None) -> DataFrame:
+def every_nth(df: DataFrame, order: Sequence[str], max_rows: int) -> DataFrame:
     """Every n-th row in ``order`` with n = max(1, rows // max_rows)."""
     total = df.agg(F.count(F.lit(1)).alias("n"))
     step = total.select(F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("n") / max_rows)).alias("s")).scalar()
-    return numbered(df, order, slice_on, width).where(F.col("row_no") % step == 0).drop("row_no")
+    return numbered(df, order).where(F.col("row_no") % step == 0).drop("row_no")
 
 
-def evenly_spaced(df: DataFrame, order: Sequence[str], slice_on: str, k: int, width: float | None = None) -> DataFrame:
+def evenly_spaced(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
     """The rows numbered int(i * n / k) for i < k; all rows when there are at most k.
 
     Row r is chosen iff the i that could select it does: no rank table is joined.
@@ -30,7 +30,7 @@ def evenly_spaced(df: DataFrame, order: Sequence[str], slice_on: str, k: int, wi
         j = i + d
         chosen = chosen | ((j >= 0) & (j < F.lit(k)) & (F.floor(j * step) == F.col("row_no")))
     every = total.select(F.col("n") <= k).scalar()
-    return numbered(df, order, slice_on, width).where(every | chosen).drop("row_no")
+    return numbered(df, order).where(every | chosen).drop("row_no")
 
 
 # --- profiles and counts ------------------------------------------------------

@@ -15,6 +15,8 @@ The summary has one row per slice, so a key costs (time span / width) rows at
 level 2 however many reports it has.  The join reuses the partitioning of level
 1, so the wide side is shuffled once; AQE turns it into a broadcast join when the
 measured summary is small.  Keys must not be null.
+
+An order over all rows has no key: ``ranged`` cuts it at sampled borders instead.
 """
 
 from __future__ import annotations
@@ -24,11 +26,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 HOUR = 3600.0
 DAY = 86400.0
 # Default slice: ten minutes.  One aircraft sends about a thousand reports in it.
 SLICE_S = 600.0
 SLICE = "_slice"
+RANGE = "_range"
 # Rows one task should order at most.
 SLICE_ROWS = 2_000_000
 
@@ -54,15 +59,6 @@ def fitted_width(df: DataFrame, keys: Sequence[str], time: str, width: float = S
     return width if fullest <= rows else max(width * rows / fullest, 1.0)
 
 
-def global_width(df: DataFrame, column: str, rows: int = SLICE_ROWS) -> float:
-    """A slice width for ordering all rows by ``column``: about ``rows`` per slice."""
-    value = _epoch(df, column)
-    low, high, n = df.agg(F.min(value), F.max(value), F.count(F.lit(1))).first()
-    if not n or high <= low:
-        return 1.0
-    return max((high - low) / max(n / rows, 1.0), 1e-6) * 1.000001
-
-
 def _join_back(local: DataFrame, carry: DataFrame, part: list[str]) -> DataFrame:
     cond = None
     right = carry
@@ -209,12 +205,36 @@ def running(
     return out.drop(SLICE, *[f"_{p}_{n}" for n in names for p in "xwb"])
 
 
-def numbered(df: DataFrame, order: Sequence[str], slice_on: str, width: float | None = None, name: str = "row_no") -> DataFrame:
-    """Global 0-based row numbers in ``order`` without a single-task window.
+def ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows written in even ranges of ``order``: ``_range`` numbers the ranges, ``_at`` a range's rows from 0.
 
-    ``slice_on`` is the numeric or time column that leads the order; rows are
-    counted per slice of it, with about two million rows in a slice by default.
+    The borders are quantiles of a bounded sample, so a stray value widens no range, and they end
+    with the row as it is read, so rows with equal values are split as well.
     """
-    width = global_width(df, slice_on) if width is None else width
-    out = running(df, [], slice_on, [c for c in order if c != slice_on], sums={name: F.lit(1).cast("bigint")}, width=width)
-    return out.withColumn(name, F.col(name) - 1)
+    names = list(order)
+    read = df.withColumn("_row", F.monotonically_increasing_id())
+    placed = read.repartitionByRange(*names, "_row").sortWithinPartitions(*names, "_row").withColumn("_n", F.monotonically_increasing_id())
+    # the upper bits of a row's number are its partition's
+    placed = placed.withColumn(RANGE, F.shiftright("_n", 33)).withColumn("_at", F.col("_n") - F.shiftleft(RANGE, 33))
+    return stage(placed.drop("_row", "_n"), "ranges")
+
+
+def prefixed(df: DataFrame, order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """Sums over all rows up to each one, it included, in ``order``: within its range, and one row for each range before."""
+    rows = ranged(df, order).withColumns({f"_x_{n}": v for n, v in sums.items()})
+    inside = Window.partitionBy(RANGE).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(RANGE).agg(*[F.sum(f"_x_{n}").alias(f"_s_{n}") for n in sums])
+    totals = totals.select(RANGE, *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    out = rows.withColumns({n: F.sum(f"_x_{n}").over(inside) for n in sums}).join(totals, RANGE)
+    out = out.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in sums})
+    return out.drop(RANGE, "_at", *[f"_{p}_{n}" for n in sums for p in "xb"])
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:
+    """Global 0-based row numbers in ``order``, without a window over rows: a row's place in its range and the
+    sizes of the ranges before."""
+    rows = ranged(df, order)
+    before = F.sum("_rows").over(Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = rows.groupBy(RANGE).agg(F.count(F.lit(1)).alias("_rows")).select(RANGE, F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(sizes, RANGE).withColumn(name, F.col("_before") + F.col("_at")).drop(RANGE, "_at", "_before")

@@ -148,7 +148,7 @@ def heartbeats(spark, sf):
 def every_nth(spark, sf):
     from ..operators.tables_ops import every_nth as op
 
-    return op(t.table(spark, sf, "events"), ["ts", "event_id"], "ts", 700).select("event_id")
+    return op(t.table(spark, sf, "events"), ["ts", "event_id"], 700).select("event_id")
 
 
 @query("O3_evenly_spaced", """SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n FROM events)
@@ -156,7 +156,7 @@ def every_nth(spark, sf):
 def evenly_spaced(spark, sf):
     from ..operators.tables_ops import evenly_spaced as op
 
-    return op(t.table(spark, sf, "events"), ["ts", "event_id"], "ts", 500).select("event_id")
+    return op(t.table(spark, sf, "events"), ["ts", "event_id"], 500).select("event_id")
 
 
 @query("O2_running_total", f"WITH {P} SELECT seq, CAST(sum(alt_baro) OVER (ORDER BY now, seq) AS BIGINT) AS running_alt FROM positions")
@@ -168,4 +168,4 @@ def running_total(spark, sf):
 @query("O1_global_sort", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_no FROM events")
 def global_sort(spark, sf):
     e = t.table(spark, sf, "events").select("event_id", "ts")
-    return numbered(e, ["ts", "event_id"], "ts").select("event_id", F.col("row_no")).orderBy("row_no")
+    return numbered(e, ["ts", "event_id"]).select("event_id", F.col("row_no")).orderBy("row_no")

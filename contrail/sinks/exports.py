@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators.timeline import running
+from ..operators.timeline import prefixed
 
 
 def geojson(events: DataFrame, row_id: str = "event_id") -> DataFrame:
@@ -30,13 +30,13 @@ def track_lines(events: DataFrame, row_id: str = "event_id") -> DataFrame:
     return events.select(row_id, F.to_json(F.struct(text("track1"), text("track2"))).alias("line"))
 
 
-def byte_index(lines: DataFrame, row_id: str = "event_id", slice_rows: float = 1_000_000.0) -> DataFrame:
+def byte_index(lines: DataFrame, row_id: str = "event_id") -> DataFrame:
     """Offset and length of each line in the file that holds them in ``row_id`` order.
 
-    A prefix sum over id ranges: totals per range first, so no task sees all lines.
+    A prefix sum over even ranges of the lines, so no task sees all of them, whatever the ids.
     """
     sized = lines.withColumn("length_bytes", (F.octet_length("line") + 1).cast("bigint"))
-    out = running(sized, [], row_id, [], sums={"offset_bytes": F.col("length_bytes")}, width=slice_rows)
+    out = prefixed(sized, [row_id], {"offset_bytes": F.col("length_bytes")})
     return out.withColumn("offset_bytes", F.col("offset_bytes") - F.col("length_bytes"))
 
 

@@ -100,4 +100,4 @@ def select_dates(df: DataFrame, start: str, stop: str, days: str = "all", column
 def scan_lines(spark: SparkSession, path: str) -> DataFrame:
     """Small text file with line numbers."""
     rows = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id().cast("double"))
-    return numbered(rows, ["_id"], "_id", 1e6, "seq").drop("_id")
+    return numbered(rows, ["_id"], "seq").drop("_id")

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from contrail.operators.skew import exact_rank, salted_join
-from contrail.operators.timeline import fitted_width, numbered, running, timeline
+from contrail.operators.timeline import fitted_width, numbered, prefixed, ranged, running, timeline
 
 
 @pytest.fixture(scope="module")
@@ -47,14 +47,30 @@ def test_running(rows, width, inclusive):
     assert as_set(got.select("seq", "s", "l", "n")) == as_set(exp)
 
 
-def test_numbered_and_width(rows):
-    got = numbered(rows, ["now", "seq"], "now", width=50.0)
+def test_numbered_prefixed_and_width(rows):
     exp = rows.select("seq", (F.row_number().over(Window.orderBy("now", "seq")) - 1).cast("bigint").alias("row_no"))
-    assert as_set(got.select("seq", "row_no")) == as_set(exp)
-    assert as_set(numbered(rows, ["now", "seq"], "now").select("seq", "row_no")) == as_set(exp)
+    assert as_set(numbered(rows, ["now", "seq"]).select("seq", "row_no")) == as_set(exp)
+    sums = rows.select("seq", F.sum("v").over(Window.orderBy("now", "seq").rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    assert as_set(prefixed(rows, ["now", "seq"], {"s": F.col("v")}).select("seq", "s")) == as_set(sums)
+    assert numbered(rows.where("false"), ["now"]).count() == prefixed(rows.where("false"), ["now"], {"s": F.col("v")}).count() == 0
     assert fitted_width(rows, ["key"], "now", 1e6, rows=100) < 1e6
 
 
+def test_a_stray_time_and_equal_times_leave_ranges_even(spark):
+    """One row at time 0, the others within a minute decades later, half of them at one instant."""
+    df = spark.range(20_000).select(F.col("id").alias("seq"), F.when(F.col("id") == 0, 0.0).when(F.col("id") % 2 == 0, 1.7e9).otherwise(1.7e9 + F.col("id") / 400).alias("now"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so small a table is one range
+    try:
+        sizes = {r["_range"]: r["count"] for r in ranged(df, ["now"]).groupBy("_range").count().collect()}
+        firsts = ranged(df, ["now"]).groupBy("_range").agg(F.min("now").alias("lo"), F.max("now").alias("hi")).orderBy("_range").collect()
+        got = numbered(df, ["now", "seq"]).orderBy("row_no").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) == 4 and max(sizes.values()) < 2 * 20_000 / 4
+    assert all(a.hi <= b.lo for a, b in zip(firsts, firsts[1:]))
+    assert [r.row_no for r in got] == list(range(20_000)) and [(r.now, r.seq) for r in got] == sorted((r.now, r.seq) for r in got)
+
+
 def test_salted_join_equals_join(rows, spark):
     dim = spark.createDataFrame([("hot", 1), ("k1", 2), ("other", 3)], "key string, d int")
     for how in ("inner", "left"):
