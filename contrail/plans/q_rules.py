@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import folds, regions, sequence
+from ..session import stage
 from . import rules as R
 from . import tables as t
 from .registry import query
@@ -314,6 +315,37 @@ def emit_matching(spark, sf):
     return back.select("rule", rec.alias("r")).select("rule", "r.seq", "r.hex")
 
 
+OPS = f"""{FIRED}, ops AS (SELECT tail, now, 'Takeoff' AS operation, false AS is_local FROM noted WHERE rule = 'takeoff'
+  UNION ALL SELECT tail, now, 'Landing', note IS NOT NULL FROM noted WHERE rule = 'entry'),
+known AS (SELECT 'N' || (100 + c_custkey) AS tail, 'id-' || c_custkey AS aircraft_id FROM customer WHERE c_custkey % 3 <> 0)"""
+
+
+def _ops_tables(spark, sf):
+    """Operations in three batches, the second delivered twice, through the aircraft table."""
+    from ..sinks.commit_log import OpsSink, scratch_keyed
+    from ..sinks.rule_outputs import operations as op
+
+    d, f = _fired(spark, sf)
+    rows = stage(op(d.with_notes(f), takeoffs=["takeoff"], landings=["entry"]), "all-operations")
+    aircraft, ops = scratch_keyed(spark, "aircraft", ["tail"], 8), scratch_keyed(spark, "ops", ["tail", "now", "operation"], 16)
+    key = F.col("c_custkey")
+    aircraft.merge(t.table(spark, sf, "customer").where(key % 3 != 0).select(F.concat(F.lit("N"), (100 + key).cast("string")).alias("tail"), F.concat(F.lit("id-"), key.cast("string")).alias("aircraft_id")))
+    sink = OpsSink(ops, aircraft)
+    for epoch in (0, 1, 1, 2):
+        sink.add(rows.where(F.pmod(F.floor("now"), F.lit(3)) == epoch), "ops", epoch)
+    return ops, aircraft
+
+
+@query("K6_ops_table", f"WITH {OPS} SELECT DISTINCT coalesce(aircraft_id, 'new-' || tail) AS aircraft_id, tail, now, operation, is_local FROM ops LEFT JOIN known USING (tail)")
+def ops_table(spark, sf):
+    return _ops_tables(spark, sf)[0].read().select("aircraft_id", "tail", "now", "operation", "is_local")
+
+
+@query("K6_aircraft_table", f"WITH {OPS} SELECT tail, aircraft_id FROM known UNION ALL SELECT DISTINCT tail, 'new-' || tail FROM ops WHERE tail NOT IN (SELECT tail FROM known)")
+def aircraft_table(spark, sf):
+    return _ops_tables(spark, sf)[1].read().select("tail", "aircraft_id")
+
+
 @query("K6_operations", f"""WITH {FIRED} SELECT tail, now, 'Takeoff' AS operation, false AS is_local FROM noted WHERE rule = 'takeoff'
   UNION ALL SELECT tail, now, 'Landing', note IS NOT NULL FROM noted WHERE rule = 'entry'""")
 def operations(spark, sf):

@@ -227,14 +227,14 @@ def decimated_export(spark, sf):
        "a AS (SELECT los_id, max(v) AS v, arg_max(quality, v) AS quality FROM first GROUP BY 1), b AS (SELECT los_id, max(v) AS v, arg_max(quality, v) AS quality FROM second GROUP BY 1) "
        "SELECT * FROM b UNION ALL SELECT * FROM a WHERE los_id NOT IN (SELECT los_id FROM b)")
 def event_upsert(spark, sf):
-    from ..sinks.rule_outputs import scratch_table
+    from ..sinks.commit_log import scratch_keyed
 
     e = F.col("event_id")
     rows = _ev(spark, sf)
-    table = scratch_table(spark, "los")
+    table = scratch_keyed(spark, "los", ["los_id"], 16)
     part = lambda odd, m: rows.where(e % 2 == odd).select(F.concat(F.lit("id"), (e % m).cast("string")).alias("los_id"), e.alias("v"), "quality")
-    table.merge(part(0, 997), ["los_id"], newest="v")
-    table.merge(part(1, 499), ["los_id"], newest="v")
+    table.merge(part(0, 997), newest="v")
+    table.merge(part(1, 499), newest="v")
     return table.read()
 
 

@@ -32,7 +32,7 @@ def operations(noted: DataFrame, takeoffs: Sequence[str], landings: Sequence[str
 
 
 class TableSink:
-    """A Parquet table kept in versions below a root folder.
+    """A small Parquet table kept in versions below a root folder; for large ones see ``commit_log.KeyedTable``.
 
     Each write adds a complete version and then points to it, so readers never see
     half a write and a failed job leaves the previous version in place.
@@ -82,12 +82,15 @@ class TableSink:
         self.write(new if old is None else upsert(old, new, keys))
 
 
-def batch_handler(handler: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """Adapter for ``foreachBatch``: a failing handler is reported, not fatal."""
+def batch_handler(handler: Callable[[DataFrame], None], required: bool = False) -> Callable[[DataFrame, int], None]:
+    """Adapter for ``foreachBatch``. A failing alert is reported and the stream goes on; a handler that is
+    ``required``, as one that writes a table, fails the batch, which Spark then delivers again."""
     def run(df: DataFrame, epoch: int) -> None:
         try:
             handler(df)
-        except Exception as error:  # delivery must not stop the stream
+        except Exception as error:
+            if required:
+                raise
             print(f"handler failed in batch {epoch}: {error}")
 
     return run
