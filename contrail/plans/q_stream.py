@@ -27,6 +27,43 @@ def report_stream(spark, sf):
     return stateful.run_available(_stream(spark, sf).select("seq", "tail", "now", "alt_baro"), "reports")
 
 
+@query("S3_json_stream", f"WITH {t.POSITIONS_SQL} SELECT seq, now, hex, round(lat, 6) AS lat, round(lon, 6) AS lon, CASE WHEN seq % 7 = 0 THEN 0 ELSE alt_baro END AS alt_baro, gs, squawk, seq % 7 = 0 AS on_ground FROM positions WHERE seq % 50 <> 49")
+def json_stream(spark, sf):
+    """Newline JSON, some lines cut off, as a stream of text files."""
+    from .q_sources import _json_lines
+
+    path = scratch_path(spark, "json-lines")
+    _json_lines(spark, sf).select("value").write.text(path)
+    out = stateful.run_available(sources.report_stream(spark, "text", path=path).drop("attrs"), "json-reports")
+    return out.withColumn("seq", (F.col("now") - t.EPOCH0).cast("bigint")).select(
+        "seq", "now", "hex", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "alt_baro", "gs", "squawk", "on_ground")
+
+
+# Reports that come out of order: some seconds, or most of a minute, after they were sent.
+DELAYED = f"""{t.POSITIONS_SQL}, sent AS (SELECT tail, seq, now - CASE WHEN seq % 17 = 0 THEN 45.0 WHEN seq % 5 = 0 THEN 6.0 ELSE 0.0 END AS sent_at FROM positions),
+judged AS (SELECT *, coalesce(sent_at < max(sent_at) OVER (PARTITION BY tail ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 10, false) AS late, max(sent_at) OVER (PARTITION BY tail) AS high FROM sent)"""
+
+
+def _reordered(spark, sf, name):
+    p = t.positions_from(sources.table_stream(spark, sf, "events.parquet"))
+    behind = F.when(F.col("seq") % 17 == 0, 45.0).when(F.col("seq") % 5 == 0, 6.0).otherwise(0.0)
+    return stateful.run_available(stateful.reorder(p.withColumn("now", F.col("now") - behind)), name)
+
+
+@query("T7_late_reports", f"WITH {DELAYED} SELECT tail, seq, sent_at FROM judged WHERE late")
+def late_reports(spark, sf):
+    return _reordered(spark, sf, "late").where("kind = 'late'").select("tail", "seq", F.col("now").alias("sent_at"))
+
+
+@query("T7_reports_on_time", f"""WITH {DELAYED} SELECT tail, count(*) AS n, count(*) FILTER (WHERE late) AS late, count(*) FILTER (WHERE NOT late AND sent_at <= high - 10) AS on_time,
+  CAST(sum(CASE WHEN NOT late AND sent_at <= high - 10 THEN seq ELSE 0 END) AS BIGINT) AS seq_sum FROM judged GROUP BY 1""")
+def reports_on_time(spark, sf):
+    """All rows of an aircraft are late, on time, or held at the end; ``n`` counts the given ones."""
+    kinds = _reordered(spark, sf, "on-time").groupBy("tail").agg(
+        F.count_if(F.col("kind") == "late").alias("late"), F.count_if(F.col("kind") == "on_time").alias("on_time"), F.sum(F.when(F.col("kind") == "on_time", F.col("seq")).otherwise(0)).alias("seq_sum"))
+    return t.positions(spark, sf).groupBy("tail").agg(F.count(F.lit(1)).alias("n")).join(kinds, "tail").select("tail", "n", "late", "on_time", "seq_sum")
+
+
 @query("T1_tracker_state", f"WITH {t.REGIONS_SQL}, l AS (SELECT *, min(now) OVER (PARTITION BY tail, life_no) AS life_start FROM prepared) SELECT seq, tail, life_start, was0, was1, in0, in1 FROM l")
 def tracker_state(spark, sf):
     rows = _tracked(spark, sf, "track").where("kind = 'report'")

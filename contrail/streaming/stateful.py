@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +69,40 @@ def track(reports: DataFrame, expire_s: float = EXPIRE_S) -> DataFrame:
         step, TRACK_SCHEMA, "start double, last double, seq bigint, inside array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+REORDER_SCHEMA = "tail string, kind string, seq bigint, now double"
+
+
+def reorder(reports: DataFrame, delay_s: float = 10.0) -> DataFrame:
+    """Reports (tail, now, seq) in the order of time, and those that came too late, counted apart.
+
+    A buffer holds each aircraft's reports until its latest one is ``delay_s`` past them; they
+    leave it in order, kind 'on_time'. A report ``delay_s`` or more behind the latest that came
+    before it (in the order of ``seq``) can't be put in order any more: it leaves at once as
+    'late'. So every report is late, on time, or still held; an aircraft's last reports stay held
+    until it reports again. Buffers hold ``delay_s`` of one aircraft. No watermark is set, since
+    Spark would drop late rows uncounted, and no timer of processing time, with which a run over
+    what is available would never end.
+    """
+    def step(key, batches, state: GroupState):
+        high, now, seq = state.get if state.exists else (-np.inf, [], [])
+        rows = _sorted(batches, ["seq"])
+        came, number = rows["now"].to_numpy("float64"), rows["seq"].to_numpy("int64")
+        before = np.maximum.accumulate(np.append(high, came))[:-1]
+        late = came < before - delay_s
+        high = max(high, float(came.max()))
+        held_now, held_seq = np.append(now, came[~late]), np.append(np.array(seq, np.int64), number[~late])
+        order = np.lexsort((held_seq, held_now))
+        held_now, held_seq = held_now[order], held_seq[order]
+        ready = int(np.searchsorted(held_now, high - delay_s, side="right"))
+        kinds = ["late"] * int(late.sum()) + ["on_time"] * ready
+        seqs, nows = [*number[late].tolist(), *held_seq[:ready].tolist()], [*came[late].tolist(), *held_now[:ready].tolist()]
+        state.update((high, held_now[ready:].tolist(), held_seq[ready:].tolist()))
+        yield pd.DataFrame({"tail": [key[0]] * len(kinds), "kind": kinds, "seq": seqs, "now": nows})
+
+    return reports.select("tail", "now", "seq").groupBy("tail").applyInPandasWithState(
+        step, REORDER_SCHEMA, "high double, now array<double>, seq array<bigint>", "append", GroupStateTimeout.NoTimeout)
+
+
 LIFECYCLE_SCHEMA = "tail1 string, tail2 string, kind string, create_time double, last_time double, cpa_time double, lateral_nm double, alt_sep_ft double, hits bigint"
 
 

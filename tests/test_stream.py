@@ -1,5 +1,7 @@
 """Streams over several micro-batches equal the batch operators."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +90,28 @@ def test_resampled_invariants(spark, sf):
     rows = sequence.resample(steps)
     assert rows.count() == rows.select("sec", "tail").distinct().count()
     assert rows.where("not resampled").count() == steps.count()
+
+
+def test_reorder_over_many_batches(spark, tmp_path):
+    """Rows late + on time + held = all rows, whatever the batches; on-time rows leave in order."""
+    import random
+
+    rnd, rows, t = random.Random(3), [], {}
+    for seq in range(900):
+        tail = rnd.choice(["N1", "N1", "N2"])
+        t[tail] = t.get(tail, 100.0) + rnd.choice([0, 1, 2])
+        rows.append((tail, t[tail] - rnd.choice([0, 0, 0, 3, 8, 40]), seq))
+    for i in range(3):
+        spark.createDataFrame(rows[300 * i:300 * i + 300], "tail string, now double, seq long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if i < 2:
+            time.sleep(1.1)  # files are taken in the order of their times
+    stream = sources.table_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+    out = stateful.run_available(stateful.reorder(stream, 10.0), "reordered").collect()
+    high, late, final = {}, set(), {}
+    for tail, now, seq in rows:
+        if now < high.get(tail, -1e9) - 10:
+            late.add(seq)
+        high[tail] = max(high.get(tail, -1e9), now)
+    on_time = {seq for tail, now, seq in rows if seq not in late and now <= high[tail] - 10}
+    assert late and {r.seq for r in out if r.kind == "late"} == late
+    assert sorted(r.seq for r in out if r.kind == "on_time") == sorted(on_time)
