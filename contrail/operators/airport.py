@@ -76,6 +76,9 @@ def busyness_summary(cube: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
 
 # --- receiver coverage ------------------------------------------------------
 
+TRACK = ["icao", "date", "hex"]
+
+
 def shard_by_airport(reports: DataFrame, airports: DataFrame, radius_nm: float = 10.0) -> DataFrame:
     """Each report once per airport within the radius (adds icao, elev, ap_lat, ap_lon).
 
@@ -87,40 +90,71 @@ def shard_by_airport(reports: DataFrame, airports: DataFrame, radius_nm: float =
                        F.col("airport_lat").alias("ap_lat"), F.col("airport_lon").alias("ap_lon"), "distance_nm")
 
 
-def coverage_tracks(points: DataFrame, width: float = SLICE_S) -> DataFrame:
-    """One row per (icao, date, hex) with at least three points and what it did.
+def airport_cells(airports: DataFrame, radius_nm: float = 5.0) -> DataFrame:
+    """Every airport once per one-degree cell that its box of ``radius_nm`` touches (cell_lat, cell_lon);
+    ``airports`` may carry its own ``radius_nm`` per row."""
+    reach = F.coalesce("radius_nm", F.lit(radius_nm)) if "radius_nm" in airports.columns else F.lit(radius_nm)
+    rows = airports.withColumn("_b", geo.bounds("lat", "lon", reach))
+    rows = rows.withColumn("cell_lat", F.explode(F.sequence(F.floor("_b.south"), F.floor("_b.north"))))
+    return rows.withColumn("cell_lon", F.explode(F.sequence(F.floor("_b.west"), F.floor("_b.east")))).drop("_b")
+
+
+def airport_points(shards: DataFrame, airports: DataFrame, radius_nm: float = 5.0) -> DataFrame:
+    """Reports of grid shards (cell_lat, cell_lon, lat, lon) within the radius of each airport, once per airport.
+
+    Airports find their reports by cell, so only folders of cells that an airport touches are
+    read: the join's keys prune the partitions of the shards.
+    """
+    kept = shards.columns
+    near = airport_cells(airports.select(*[c for c in airports.columns if c in ("ident", "lat", "lon", "elev", "radius_nm")]), radius_nm)
+    near = near.select("cell_lat", "cell_lon", F.col("ident").alias("icao"), "elev", F.col("lat").alias("ap_lat"), F.col("lon").alias("ap_lon"),
+                       (F.coalesce("radius_nm", F.lit(radius_nm)) if "radius_nm" in near.columns else F.lit(radius_nm)).alias("_reach"))
+    rows = dimension_join(shards, near, ["cell_lat", "cell_lon"]).withColumn("distance_nm", geo.equirect_nm("ap_lat", "ap_lon", "lat", "lon"))
+    return rows.where(F.col("distance_nm") <= F.col("_reach")).select(*kept, "icao", "elev", "ap_lat", "ap_lon", "distance_nm")
+
+
+def coverage_steps(points: DataFrame, width: float = SLICE_S) -> DataFrame:
+    """Reports with what coverage asks of them, and of the one before in their track; written, since tracks
+    and gaps both read them.
 
     ``points``: icao, date, hex, now, seq, lat, lon, alt_baro, elev, ap_lat, ap_lon.
     """
     alt, elev = F.col("alt_baro"), F.col("elev")
     inside = geo.equirect_nm("ap_lat", "ap_lon", "lat", "lon") <= RING_NM
-    rows = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).withColumn("inside", inside)
-    keys = ["icao", "date", "hex"]
-    rows = timeline(rows, keys, "now", ["seq"], lag=["inside"], width=width)
-    return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("points"),
-        F.count_if(F.col("prev1.inside") != F.col("inside")).alias("transitions"),
-        F.bool_or(F.coalesce(F.col("inside") & alt.between(elev + CORRIDOR_LOW_FT, elev + CORRIDOR_HIGH_FT), F.lit(False))).alias("in_corridor"),
-        F.bool_or(F.coalesce(F.col("inside") & (alt < elev + CORRIDOR_LOW_FT), F.lit(False))).alias("descended"),
-        F.bool_or(F.coalesce(alt <= elev + SURFACE_FT, F.lit(False))).alias("surface"),
-    )
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    rows = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).withColumn("inside", inside).select(
+        *TRACK, "now", "seq", "inside", yes(F.col("inside") & alt.between(elev + CORRIDOR_LOW_FT, elev + CORRIDOR_HIGH_FT)).alias("in_corridor"),
+        yes(F.col("inside") & (alt < elev + CORRIDOR_LOW_FT)).alias("descended"), yes(alt <= elev + SURFACE_FT).alias("surface"))
+    rows = timeline(stage(rows, "coverage-points"), TRACK, "now", ["seq"], lag=["inside"], width=width)
+    return stage(rows.withColumn("gap", F.col("now") - F.col("prev1.now")).withColumn("flip", F.coalesce(F.col("prev1.inside") != F.col("inside"), F.lit(False))).drop("prev1", "now", "seq", "inside"), "coverage-steps")
+
+
+def coverage_tracks(points: DataFrame, width: float = SLICE_S) -> DataFrame:
+    """One row per (icao, date, hex) and what it did."""
+    return _tracks(coverage_steps(points, width))
+
+
+def _tracks(steps: DataFrame) -> DataFrame:
+    return steps.groupBy(*TRACK).agg(
+        F.count(F.lit(1)).alias("points"), F.count_if("flip").alias("transitions"), *[F.bool_or(c).alias(c) for c in ("in_corridor", "descended", "surface")])
 
 
 def coverage_gaps(points: DataFrame, width: float = SLICE_S) -> DataFrame:
     """Gaps of up to 300 s between reports of tracks with at least three points."""
-    keys = ["icao", "date", "hex"]
-    rows = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    big = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 3).drop("_n")
-    out = timeline(rows.select(*keys, "now", "seq"), keys, "now", ["seq"], width=width)
-    gaps = out.withColumn("gap", F.col("now") - F.col("prev1.now")).where((F.col("gap") > 0) & (F.col("gap") <= MAX_GAP_S))
+    return _gaps(coverage_steps(points, width))
+
+
+def _gaps(steps: DataFrame) -> DataFrame:
+    big = steps.groupBy(*TRACK).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 3).drop("_n")
+    gaps = steps.where((F.col("gap") > 0) & (F.col("gap") <= MAX_GAP_S))
     # distinct gaps per track first: the join then moves counts, not reports
-    counted = gaps.groupBy(*keys, "gap").agg(F.count(F.lit(1)).alias("times"))
-    return counted.join(big, keys)
+    return gaps.groupBy(*TRACK, "gap").agg(F.count(F.lit(1)).alias("times")).join(big, TRACK)
 
 
 def coverage_quality(points: DataFrame, width: float = SLICE_S) -> DataFrame:
     """Per (icao, date): completed, lost and passing tracks, loss rate, gap statistics."""
-    t = coverage_tracks(points, width)
+    steps = coverage_steps(points, width)
+    t = _tracks(steps)
     long = F.col("points") >= 3
     passing = long & F.col("in_corridor") & ((F.col("transitions") >= 2) | ~F.col("descended"))
     landing = long & F.col("in_corridor") & (F.col("transitions") < 2) & F.col("descended")
@@ -129,7 +163,7 @@ def coverage_quality(points: DataFrame, width: float = SLICE_S) -> DataFrame:
         F.count_if(landing & ~F.col("surface")).alias("lost"), F.count_if(passing).alias("through"))
     low = F.col("completed") + F.col("lost")
     per = per.withColumn("low_alt_tracks", low).withColumn("lost_rate", F.when(low > 0, F.col("lost") / low))
-    gaps = gap_percentiles(coverage_gaps(points, width), ["icao", "date"])
+    gaps = gap_percentiles(_gaps(steps), ["icao", "date"])
     return per.join(gaps, ["icao", "date"], "left").withColumn("total_gaps", F.coalesce("total_gaps", F.lit(0).cast("bigint")))
 
 
@@ -210,6 +244,22 @@ def field_centers(anchors: DataFrame) -> DataFrame:
 APPROACH = ["icao", "hex", "visit", "piece"]
 
 
+def approach_reports(points: DataFrame, ceiling_ft: float = CORRIDOR_HIGH_FT) -> DataFrame:
+    """Reports that may vote for a runway: inside the ring and no more than ``ceiling_ft`` above the field.
+
+    ``points`` as from ``shard_by_airport``; reports without a position or height don't vote."""
+    height = F.col("alt_baro") - F.col("elev")
+    return points.where((geo.equirect_nm("ap_lat", "ap_lon", "lat", "lon") <= RING_NM) & (height <= ceiling_ft))
+
+
+def usage_from_reports(points: DataFrame, runways: DataFrame, width: float = SLICE_S) -> DataFrame:
+    """Runway usage of reports by airport: those low enough, split into approaches, each with its vote."""
+    anchors = stage(runway_anchors(runways), "anchors")
+    low = approach_reports(points).select("icao", "hex", "now", "seq", "lat", "lon")
+    pieces = stage(split_approaches(low, field_centers(anchors), width), "approaches")
+    return runway_usage(runway_votes(final_runs(pieces, anchors, width)))
+
+
 def split_approaches(points: DataFrame, centers: DataFrame, width: float = SLICE_S) -> DataFrame:
     """Number the approaches of each aircraft: by silences above 600 s, then by field
     overpasses (within 0.4 nm, and out beyond 1.0 nm again).

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.times import seconds_of_day
+from ..session import stage
 from .timeline import HOUR, SLICE_S, running, timeline
 
 # Fixed values.
@@ -205,3 +206,19 @@ def gap_marks(df: DataFrame, keys: Sequence[str], time: str = "sec", order: Sequ
     made = F.when(F.col("resampled"), F.col(time))
     long_run = F.max(made).over(run) - F.min(made).over(run) > threshold
     return out.withColumn("in_gap", F.col("_jump") | (F.col("resampled") & F.coalesce(long_run, F.lit(False)))).drop("_run", "_jump")
+
+
+def heartbeats(reports: DataFrame, every: int = 20, time: str = "now", width: float = SLICE_S) -> DataFrame:
+    """Beats (``sec``) that keep a clock running through silence: every ``every``-th second from the first
+    report to the last, where no aircraft reports.
+
+    Distinct seconds are found first; a gap between two of them gives its beats, so what is made
+    is the beats and not the seconds.
+    """
+    secs = reports.select(second_of(F.col(time)).alias("sec")).where("sec is not null").distinct()
+    secs = stage(secs, "seconds")
+    ahead = running(secs, [], "sec", [], nexts={"_next": F.col("sec")}, inclusive=False, width=width)
+    first = secs.agg(F.min("sec")).scalar()
+    beat = first + F.ceil((F.col("sec") + 1 - first) / every).cast("bigint") * every
+    gaps = ahead.withColumn("_beat", beat).where(F.col("_beat") < F.col("_next"))
+    return gaps.select(F.explode(F.sequence("_beat", F.col("_next") - 1, F.lit(every).cast("bigint"))).alias("sec"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .timeline import numbered
 
+# Cells of the areas that runs are extrapolated to, and the seconds of a shard pass if none was measured.
+AREAS = {"CONUS": 1560, "Global": 3000}
+FALLBACK_SHARD_S = 90.0
+
 
 def every_nth(df: DataFrame, order: Sequence[str], max_rows: int) -> DataFrame:
     """Every n-th row in ``order`` with n = max(1, rows // max_rows)."""
@@ -194,6 +198,32 @@ def run_statistics(per_day: DataFrame) -> DataFrame:
         F.round(F.avg("records"), 4).alias("mean_records"))
 
 
+def pipeline_totals(per_day: DataFrame, cells: int, fallback_shard_s: float = FALLBACK_SHARD_S) -> DataFrame:
+    """One row over the days of a run: totals, means per day, and rates per cell and day.
+
+    ``per_day``: date, shard_kb, shard_s, analyze_s, events, errors. A day without shard time and
+    errors was skipped; the mean shard time is that of the others, or the fallback if there are none.
+    """
+    skipped = F.count_if((F.col("shard_s") == 0) & (F.col("errors") == 0))
+    sums = {c: F.sum(c) for c in ("shard_kb", "shard_s", "analyze_s", "events", "errors")}
+    out = per_day.agg(F.count(F.lit(1)).alias("days"), skipped.alias("skipped"), *[F.coalesce(v, F.lit(0)).alias(f"total_{c}") for c, v in sums.items()])
+    mean = lambda c: F.when(F.col("days") > 0, F.col(f"total_{c}") / F.col("days")).otherwise(0.0)
+    out = out.withColumns({f"avg_{c}": mean(c) for c in ("shard_kb", "analyze_s", "events")})
+    return out.withColumns({
+        "measured_shard_s": F.when(F.col("skipped") < F.col("days"), F.col("total_shard_s") / (F.col("days") - F.col("skipped"))).otherwise(F.lit(float(fallback_shard_s))),
+        **{f"{c}_per_cell": F.col(f"avg_{c}") / max(cells, 1) for c in ("shard_kb", "analyze_s", "events")}})
+
+
+def extrapolated(totals: DataFrame, areas: dict[str, int] = AREAS, cores: Sequence[int] = (8, 32)) -> DataFrame:
+    """What the measured rates come to for larger areas: one row per area with its number of cells."""
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("area"), F.lit(c).alias("cells")) for n, c in areas.items()]))
+    out = totals.select("*", rows.alias("_a")).select("*", "_a.*")
+    serial = F.col("analyze_s_per_cell") * F.col("cells") / 60
+    return out.select(
+        "area", "cells", (F.col("measured_shard_s") / 60).alias("shard_min_day"), serial.alias("analyze_min_day"), *[(serial / n).alias(f"analyze_min_{n}_cores") for n in cores],
+        (F.col("shard_kb_per_cell") * F.col("cells") / 1024 * 30 / 1024).alias("shard_gb_30_days"))
+
+
 # --- joins ----------------------------------------------------------------------
 
 def lookup_or_insert(ops: DataFrame, aircraft: DataFrame, key: str = "tail") -> tuple[DataFrame, DataFrame]:
@@ -205,28 +235,37 @@ def lookup_or_insert(ops: DataFrame, aircraft: DataFrame, key: str = "tail") ->
     return salted_join(ops, known, [key], "left"), missing
 
 
-def registration_notes(flights: DataFrame, aircraft: DataFrame, pilots: DataFrame, key: str = "tail") -> DataFrame:
+# The pieces of a registration note.
+NOTE = {"none": "* No Reg ", "arrivals": "Arrivals=", "ban": "*BANNED ", "many": "* >2 arrivals ", "notes": "*Notes ", "bxa": "BxA"}
+
+
+def registration(found: Column, of: Callable[[str], Column]) -> tuple[Column, Column]:
+    """Note and warning of a flight; ``of`` names a column of its aircraft, ``found`` says whether there is one."""
+    yes = lambda c: F.coalesce(of(c), F.lit(False))
+    piece = lambda test, text: F.when(test, F.lit(NOTE[text])).otherwise("")
+    unregistered = ~yes("registered") & ~yes("is_bxa") & ~yes("medevac")
+    note = F.concat(
+        F.when(of("arrivals").isNotNull(), F.concat(F.lit(NOTE["arrivals"]), of("arrivals").cast("string"), F.lit(" "))).otherwise(""),
+        piece(yes("ban"), "ban"), piece(~yes("is_bxa") & F.coalesce(of("arrivals") > 2, F.lit(False)), "many"),
+        piece(unregistered, "none"), piece(yes("notes"), "notes"), piece(yes("is_bxa"), "bxa"))
+    return F.when(found, note).otherwise(NOTE["none"]), ~found | yes("ban") | unregistered
+
+
+def registration_notes(flights: DataFrame, aircraft: DataFrame, pilots: DataFrame, key: str = "tail",
+                       logic: Callable[[Column, Callable[[str], Column]], tuple[Column, Column]] = registration) -> DataFrame:
     """Note string, warning, pilot label (7 characters) and code per flight.
 
-    ``aircraft``: tail, arrivals, ban, registered, is_bxa, medevac, notes, lead_pilot;
+    ``logic`` makes note and warning of the aircraft's columns; the default is ``registration``, which
+    needs arrivals, ban, registered, is_bxa, medevac, notes. ``aircraft`` has tail and lead_pilot besides;
     ``pilots``: pilot_id, alias, name, code.
     """
     from .skew import salted_join
 
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    piece = lambda test, text: F.when(test, F.lit(text)).otherwise("")
-    a = aircraft.withColumn("_found", F.lit(True))
-    rows = salted_join(salted_join(flights, a, [key], "left").withColumnRenamed("lead_pilot", "pilot_id"), pilots, ["pilot_id"], "left")
-    found = F.coalesce("_found", F.lit(False))
-    unregistered = ~yes("registered") & ~yes("is_bxa") & ~yes("medevac")
-    note = F.concat(
-        F.when(F.col("arrivals").isNotNull(), F.concat(F.lit("Arrivals="), F.col("arrivals").cast("string"), F.lit(" "))).otherwise(""),
-        piece(yes("ban"), "*BANNED "), piece(~yes("is_bxa") & F.coalesce(F.col("arrivals") > 2, F.lit(False)), "* >2 arrivals "),
-        piece(unregistered, "* No Reg "), piece(yes("notes"), "*Notes "), piece(yes("is_bxa"), "BxA"))
+    a = aircraft.select(key, F.col("lead_pilot").alias("pilot_id"), F.struct(*aircraft.columns).alias("_aircraft"))
+    rows = salted_join(salted_join(flights, a, [key], "left"), pilots, ["pilot_id"], "left")
+    note, warning = logic(F.col("_aircraft").isNotNull(), lambda c: F.col(f"_aircraft.{c}"))
     who = F.when(F.coalesce("alias", F.lit("")) != "", F.col("alias")).otherwise(F.col("name"))
-    return rows.select(
-        *flights.columns, F.when(found, note).otherwise("* No Reg ").alias("note"), (~found | yes("ban") | unregistered).alias("warning"),
-        F.substring(who, 1, 7).alias("pilot_label"), F.col("code").alias("code_label"))
+    return rows.select(*flights.columns, note.alias("note"), warning.alias("warning"), F.substring(who, 1, 7).alias("pilot_label"), F.col("code").alias("code_label"))
 
 
 COMPARED = ["quality", "lateral_nm", "alt_sep_ft", "duration_s"]

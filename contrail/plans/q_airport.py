@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, weather
 from ..operators import airport
 from ..operators.los import nearest_airports
+from ..session import scratch_path
 from . import tables as t
 from .registry import query
 
@@ -103,10 +104,17 @@ def twin_airports(spark, sf):
   SELECT ident, unnest(range(CAST(floor(lat - 5 / 60.0) AS BIGINT), CAST(floor(lat + 5 / 60.0) AS BIGINT) + 1)) AS cell_lat, lon, lat FROM airports)
   SELECT ident, cell_lat, unnest(range(CAST(floor(lon - 5 / (60.0 * cos(radians(lat)))) AS BIGINT), CAST(floor(lon + 5 / (60.0 * cos(radians(lat)))) AS BIGINT) + 1)) AS cell_lon FROM cells""")
 def airport_cells(spark, sf):
-    box = geo.bounds("lat", "lon", F.lit(5.0))
-    a = t.airports(spark, sf).withColumn("b", box)
-    a = a.withColumn("cell_lat", F.explode(F.sequence(F.floor("b.south"), F.floor("b.north"))))
-    return a.withColumn("cell_lon", F.explode(F.sequence(F.floor("b.west"), F.floor("b.east")))).select("ident", "cell_lat", "cell_lon")
+    return airport.airport_cells(t.airports(spark, sf)).select("ident", "cell_lat", "cell_lon")
+
+
+@query("J6_airport_points", f"WITH {SHARD} SELECT icao, seq, round(d, 6) AS distance_nm FROM sharded WHERE d <= 5")
+def airport_points(spark, sf):
+    """Grid shards read back by the cells of each airport's box."""
+    path = scratch_path(spark, "cell-shards")
+    p = t.positions(spark, sf).select("seq", "lat", "lon", F.floor("lat").cast("int").alias("cell_lat"), F.floor("lon").cast("int").alias("cell_lon"))
+    p.write.partitionBy("cell_lat", "cell_lon").parquet(path)
+    out = airport.airport_points(spark.read.parquet(path), t.airports(spark, sf))
+    return out.select("icao", "seq", F.round("distance_nm", 6).alias("distance_nm"))
 
 
 @query("F25_agl_band", f"WITH {SHARD} SELECT icao, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM sharded WHERE alt_baro IS NULL OR alt_baro BETWEEN elev - 200 AND elev + 400 GROUP BY 1")
@@ -277,6 +285,19 @@ def runway_usage(spark, sf):
     return airport.runway_usage(airport.runway_votes(_runs(spark, sf)))
 
 
+# The same aircraft, of which only reports up to 1500 ft above the field vote.
+LOW_FINALS = FINALS.replace("(e.event_id // 25) % 2 * 0)", "(e.event_id // 25) % 2 * 0 WHERE (e.event_id * 7) % 3000 <= 1500)")
+
+
+@query("A7_usage_from_reports", LOW_FINALS + """, n AS (SELECT icao, runway, count(*) AS votes FROM votes GROUP BY 1, 2)
+  SELECT icao, runway, votes, CAST(round_even(100.0 * votes / sum(votes) OVER (PARTITION BY icao), 0) AS BIGINT) AS pct FROM n""")
+def usage_from_reports(spark, sf):
+    pts, a = _flown(spark, sf)
+    field = airport.field_centers(a).select("icao", F.col("field_lat").alias("ap_lat"), F.col("field_lon").alias("ap_lon"), F.lit(100).alias("elev"))
+    pts = pts.join(F.broadcast(field), "icao").withColumn("alt_baro", 100 + F.col("seq") * 7 % 3000)
+    return airport.usage_from_reports(pts, t.runways(spark, sf))
+
+
 WINDS = f"""WITH {t.RUNWAYS_SQL}, winds AS (
   SELECT event_id, 'K' || chr(CAST(65 + event_id % 25 AS INTEGER)) || 'XX' AS ident, CASE WHEN event_id % 6 = 0 THEN 'VRB05KT' WHEN event_id % 6 = 1 THEN '00000KT'
     ELSE lpad(CAST((event_id * 10) % 360 AS VARCHAR), 3, '0') || lpad(CAST(event_id % 30 AS VARCHAR), 2, '0') || CASE WHEN event_id % 4 = 0 THEN 'G35' ELSE '' END || 'KT' END AS raw FROM events),

@@ -143,6 +143,15 @@ def heartbeats(spark, sf):
     return g.where(start <= stop).select("tail", F.explode(F.sequence(start, stop, F.lit(20).cast("bigint"))).alias("beat"))
 
 
+@query("T6_clock_beats", f"""WITH {P}, s AS (SELECT DISTINCT CAST(floor(now) AS BIGINT) AS sec FROM positions WHERE seq % 300 < 37 OR seq % 7 = 0 AND seq % 300 < 60),
+  r AS (SELECT min(sec) AS lo, max(sec) AS hi FROM s), k AS (SELECT lo + 20 * i AS sec, hi FROM (SELECT lo, hi, unnest(range(0, (hi - lo) // 20 + 1)) AS i FROM r))
+  SELECT k.sec FROM k WHERE k.sec < hi AND k.sec NOT IN (SELECT sec FROM s)""")
+def clock_beats(spark, sf):
+    """Beats through the seconds in which no aircraft reports."""
+    p = t.positions(spark, sf).where("seq % 300 < 37 OR seq % 7 = 0 AND seq % 300 < 60")
+    return sequence.heartbeats(p)
+
+
 @query("O2_every_nth", """SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n FROM events)
   WHERE i % greatest(1, n // 700) = 0""")
 def every_nth(spark, sf):

@@ -154,6 +154,35 @@ def run_statistics(spark, sf):
     return ops.run_statistics(d)
 
 
+DAYS = """d AS (SELECT CAST(ts AS DATE) AS date, CAST(sum(event_id % 50) AS BIGINT) AS shard_kb, CAST(CASE WHEN day(ts) % 4 = 0 THEN 0 ELSE 60 + day(ts) END AS BIGINT) AS shard_s,
+  CAST(sum(event_id % 7) AS BIGINT) AS analyze_s, count(*) AS events, CAST(max(CASE WHEN user_id = 7 THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM events GROUP BY 1, day(ts)),
+t AS (SELECT count(*) AS days, count(*) FILTER (WHERE shard_s = 0 AND errors = 0) AS skipped, CAST(sum(shard_kb) AS BIGINT) AS total_shard_kb, CAST(sum(shard_s) AS BIGINT) AS total_shard_s,
+  CAST(sum(analyze_s) AS BIGINT) AS total_analyze_s, CAST(sum(events) AS BIGINT) AS total_events, CAST(sum(errors) AS BIGINT) AS total_errors FROM d),
+m AS (SELECT *, CASE WHEN skipped < days THEN total_shard_s / (days - skipped) ELSE 90.0 END AS measured, total_analyze_s / days / 12 AS ac, total_shard_kb / days / 12 AS kc, total_events / days / 12 AS ec FROM t)"""
+
+
+def _totals(spark, sf):
+    day = F.dayofmonth("ts")
+    d = t.table(spark, sf, "events").groupBy(F.to_date("ts").alias("date"), day.alias("_d")).agg(
+        F.sum(F.col("event_id") % 50).alias("shard_kb"), F.first(F.when(day % 4 == 0, 0).otherwise(60 + day)).cast("long").alias("shard_s"),
+        F.sum(F.col("event_id") % 7).alias("analyze_s"), F.count(F.lit(1)).alias("events"), F.max(F.when(F.col("user_id") == 7, 1).otherwise(0)).cast("long").alias("errors"))
+    return ops.pipeline_totals(d.drop("_d"), cells=12)
+
+
+@query("A20_pipeline_totals", f"""WITH {DAYS} SELECT days, skipped, total_shard_kb, total_shard_s, total_analyze_s, total_events, total_errors, round(measured, 4) AS measured_shard_s,
+  round(ac, 4) AS analyze_s_per_cell, round(kc, 4) AS shard_kb_per_cell, round(ec, 4) AS events_per_cell FROM m""")
+def pipeline_totals(spark, sf):
+    rates = ("measured_shard_s", "analyze_s_per_cell", "shard_kb_per_cell", "events_per_cell")
+    return _totals(spark, sf).select("days", "skipped", *[f"total_{c}" for c in ("shard_kb", "shard_s", "analyze_s", "events", "errors")], *[F.round(c, 4).alias(c) for c in rates])
+
+
+@query("A20_extrapolation", f"""WITH {DAYS} SELECT area, cells, round(measured / 60, 4) AS shard_min_day, round(ac * cells / 60, 4) AS analyze_min_day, round(ac * cells / 60 / 8, 4) AS analyze_min_8_cores,
+  round(ac * cells / 60 / 32, 4) AS analyze_min_32_cores, round(kc * cells / 1024 * 30 / 1024, 4) AS shard_gb_30_days FROM m, (VALUES ('CONUS', 1560), ('Global', 3000)) v(area, cells)""")
+def extrapolation(spark, sf):
+    out = ops.extrapolated(_totals(spark, sf))
+    return out.select("area", "cells", *[F.round(c, 4).alias(c) for c in out.columns[2:]])
+
+
 # --- joins ------------------------------------------------------------------------
 
 KNOWN = "known AS (SELECT c_custkey AS user_id, 'id-' || c_custkey AS aircraft_id FROM customer WHERE c_custkey % 3 <> 0)"
@@ -188,16 +217,31 @@ NOTES = """WITH a AS (SELECT 'T' || c_custkey AS tail, CASE WHEN c_custkey % 4 <
     substr(CASE WHEN alias <> '' THEN alias ELSE name END, 1, 7) AS pilot_label, code AS code_label FROM j"""
 
 
-@query("J12_registration_notes", NOTES)
-def registration_notes(spark, sf):
+def _registered(spark, sf):
     c, n = F.col("c_custkey"), F.col("n_nationkey")
     a = t.table(spark, sf, "customer").where(c % 10 != 9).select(
         F.concat(F.lit("T"), c.cast("string")).alias("tail"), F.when(c % 4 != 1, c % 5).alias("arrivals"), (c % 11 == 0).alias("ban"), (c % 3 == 0).alias("registered"),
         (c % 7 == 0).alias("is_bxa"), (c % 13 == 0).alias("medevac"), (c % 5 == 0).alias("notes"), F.col("c_nationkey").alias("lead_pilot"))
     p = t.table(spark, sf, "nation").where("n_nationkey < 20").select(
         n.alias("pilot_id"), F.when(n % 2 == 0, F.concat(F.lit("Ace "), "n_name")).otherwise("").alias("alias"), F.col("n_name").alias("name"), F.concat(F.lit("P"), n.cast("string")).alias("code"))
-    f = _ops_rows(spark, sf).select("tail").distinct()
-    return ops.registration_notes(f, a, p)
+    return _ops_rows(spark, sf).select("tail").distinct(), a, p
+
+
+@query("J12_registration_notes", NOTES)
+def registration_notes(spark, sf):
+    return ops.registration_notes(*_registered(spark, sf))
+
+
+@query("D6u_registration_logic", NOTES[:NOTES.index("  SELECT 'T' || user_id AS tail")] + """  SELECT 'T' || user_id AS tail, CASE WHEN NOT found THEN 'visitor' WHEN medevac THEN 'medevac' ELSE 'seen ' || coalesce(arrivals, 0) END AS note,
+  coalesce(ban, false) AND NOT coalesce(medevac, false) AS warning, substr(CASE WHEN alias <> '' THEN alias ELSE name END, 1, 7) AS pilot_label, code AS code_label FROM j""")
+def registration_logic(spark, sf):
+    """A logic of the user's own instead of the default one."""
+    def own(found, of):
+        medevac = F.coalesce(of("medevac"), F.lit(False))
+        seen = F.concat(F.lit("seen "), F.coalesce(of("arrivals"), F.lit(0)).cast("string"))
+        return F.when(~found, "visitor").when(medevac, "medevac").otherwise(seen), F.coalesce(of("ban"), F.lit(False)) & ~medevac
+
+    return ops.registration_notes(*_registered(spark, sf), logic=own)
 
 
 # Two event sets that differ in some rows and values.
