@@ -91,41 +91,39 @@ def _members(events: DataFrame) -> DataFrame:
     return events.withColumn("_m", F.explode(sides)).select("*", "_m.*").drop("_m")
 
 
-def window_counts(events: DataFrame, steps: DataFrame) -> DataFrame:
-    """Real reports near the closest approach and, for short events, during the event.
+def window_features(events: DataFrame, steps: DataFrame, spans: DataFrame) -> DataFrame:
+    """What an event's reports say, from one look-up of each flight's reports near it.
 
-    Both look at bounded windows, so events and reports meet per flight and
-    minute; no flight is read as a whole.
+    ``near1, near2``: real reports near the closest approach; ``during1, during2``: those during the
+    event, if it is short; ``initial_sep_nm``: distance at the start of the common track (not before
+    cpa - 120 s), null if a flight has no report near it. The windows are bounded, so events and
+    reports meet per flight and minute; no flight is read as a whole.
     """
-    m = _members(events)
-    short = F.col("duration_s") <= MODERATE_S
-    start = F.least(F.col("cpa_time") - CPA_WINDOW_S, F.when(short, F.col("create_time")).otherwise(F.col("cpa_time")))
-    stop = F.greatest(F.col("cpa_time") + CPA_WINDOW_S, F.when(short, F.col("last_time")).otherwise(F.col("cpa_time")))
+    e = events
+    for i in (1, 2):
+        e = e.join(spans.select(F.col("flight_id").alias(f"flight_id{i}"), F.col("start").alias(f"start{i}")), f"flight_id{i}", "left")
+    cpa, t0 = F.col("cpa_time"), F.col("_t0")
+    m = _members(e.withColumn("_t0", F.greatest("start1", "start2", cpa - BEFORE_CPA_S)).withColumn("_short", F.col("duration_s") <= MODERATE_S))
+    start = F.least(cpa - CPA_WINDOW_S, F.when(F.col("_short"), F.col("create_time")), t0 - MATCH_S)
+    stop = F.greatest(cpa + CPA_WINDOW_S, F.when(F.col("_short"), F.col("last_time")), t0 + MATCH_S)
     m = m.withColumn("_b", F.explode(F.sequence(F.floor(start / LOOKUP_S), F.floor(stop / LOOKUP_S))))
-    m = m.select(*EVENT_KEYS, "side", "flight_id", "_b", "create_time", "last_time", "cpa_time",
-                 F.col("lat").alias("elat"), F.col("lon").alias("elon"), short.alias("_short"))
-    reports = steps.select("flight_id", F.floor(F.col("now") / LOOKUP_S).alias("_b"), "now", F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
-    near = (F.abs(F.col("now") - F.col("cpa_time")) <= CPA_WINDOW_S) & (geo.haversine_nm("rlat", "rlon", "elat", "elon") <= CPA_RADIUS_NM)
-    during = F.col("_short") & F.col("now").between(F.col("create_time"), F.col("last_time"))
-    per = m.join(reports, ["flight_id", "_b"]).groupBy(*EVENT_KEYS).agg(*[
-        F.count_if((F.col("side") == i) & test).alias(f"{name}{i}") for name, test in (("near", near), ("during", during)) for i in (1, 2)])
-    return per
+    m = m.select(*EVENT_KEYS, "side", "flight_id", "_b", "create_time", "last_time", "cpa_time", "_t0", "_short", F.col("lat").alias("elat"), F.col("lon").alias("elon"))
+    reports = steps.select("flight_id", F.floor(F.col("now") / LOOKUP_S).alias("_b"), "now", "seq", F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
+    now, off = F.col("now"), F.abs(F.col("now") - t0)
+    near = (F.abs(now - cpa) <= CPA_WINDOW_S) & (geo.haversine_nm("rlat", "rlon", "elat", "elon") <= CPA_RADIUS_NM)
+    during = F.col("_short") & now.between(F.col("create_time"), F.col("last_time"))
+    counts = [F.count_if((F.col("side") == i) & test).alias(f"{name}{i}") for name, test in (("near", near), ("during", during)) for i in (1, 2)]
+    first = [F.min_by(F.struct("rlat", "rlon"), F.when((F.col("side") == i) & (off <= MATCH_S), F.struct(off, "now", "seq"))).alias(f"_n{i}") for i in (1, 2)]
+    per = m.join(reports, ["flight_id", "_b"]).groupBy(*EVENT_KEYS).agg(*counts, *first)
+    return per.withColumn("initial_sep_nm", geo.haversine_nm("_n1.rlat", "_n1.rlon", "_n2.rlat", "_n2.rlon")).drop("_n1", "_n2")
+
+
+def window_counts(events: DataFrame, steps: DataFrame) -> DataFrame:
+    return window_features(events, steps, flight_summary(steps)).drop("initial_sep_nm")
 
 
 def initial_separation(events: DataFrame, steps: DataFrame, spans: DataFrame) -> DataFrame:
-    """Distance at the start of the common track (not before cpa - 120 s)."""
-    e = events.join(spans.select(F.col("flight_id").alias("flight_id1"), F.col("start").alias("start1")), "flight_id1", "left").join(
-        spans.select(F.col("flight_id").alias("flight_id2"), F.col("start").alias("start2")), "flight_id2", "left")
-    e = e.withColumn("t0", F.greatest("start1", "start2", F.col("cpa_time") - BEFORE_CPA_S))
-    m = _members(e).withColumn("_b", F.explode(F.sequence(
-        F.floor((F.col("t0") - MATCH_S) / LOOKUP_S), F.floor((F.col("t0") + MATCH_S) / LOOKUP_S))))
-    reports = steps.select("flight_id", F.floor(F.col("now") / LOOKUP_S).alias("_b"), "now", "seq", F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
-    off = F.abs(F.col("now") - F.col("t0"))
-    best = m.select(*EVENT_KEYS, "side", "flight_id", "_b", "t0").join(reports, ["flight_id", "_b"]).where(off <= MATCH_S)
-    best = best.groupBy(*EVENT_KEYS).agg(*[
-        F.min_by(F.when(F.col("side") == i, F.struct("rlat", "rlon")), F.when(F.col("side") == i, F.struct(off, "now", "seq"))).alias(f"n{i}")
-        for i in (1, 2)])
-    return best.select(*EVENT_KEYS, geo.haversine_nm("n1.rlat", "n1.rlon", "n2.rlat", "n2.rlon").alias("initial_sep_nm"))
+    return window_features(events, steps, spans).select(*EVENT_KEYS, "initial_sep_nm")
 
 
 def proximity_ratio(events: DataFrame, steps: DataFrame, spans: DataFrame, width: float = SLICE_S) -> DataFrame:
@@ -156,7 +154,7 @@ def proximity_ratio(events: DataFrame, steps: DataFrame, spans: DataFrame, width
 
 def features(events: DataFrame, steps: DataFrame) -> DataFrame:
     """Everything the score reads, one row per event."""
-    spans = flight_summary(steps)
+    spans = stage(flight_summary(steps), "spans")  # read six times below
     out = events
     for i in (1, 2):
         one = spans.select(
@@ -166,8 +164,7 @@ def features(events: DataFrame, steps: DataFrame) -> DataFrame:
     closed = F.col("last_time") + CLOSE_S
     for i in (1, 2):
         out = out.withColumn(f"track_s{i}", F.least(F.col(f"stop{i}"), closed) - F.col(f"start{i}"))
-    out = out.join(window_counts(events, steps), EVENT_KEYS, "left").fillna(0, ["near1", "near2", "during1", "during2"])
-    out = out.join(initial_separation(events, steps, spans), EVENT_KEYS, "left")
+    out = out.join(window_features(events, steps, spans), EVENT_KEYS, "left").fillna(0, ["near1", "near2", "during1", "during2"])
     return out.join(proximity_ratio(events, steps, spans), ["flight_id1", "flight_id2"], "left")
 
 
@@ -231,6 +228,13 @@ def score(feats: DataFrame) -> DataFrame:
     return out.withColumn("quality", F.col("_v.q")).withColumn("quality_explanation", F.concat("_v.why", suffix)).drop("_v")
 
 
+def steps_near(events: DataFrame, steps: DataFrame) -> DataFrame:
+    """Steps that can touch the track window of an event: of its flights, by minute. Only they need to be resampled."""
+    lo, hi = F.floor("cpa_time") - BEFORE_CPA_S, F.floor("cpa_time") + AFTER_CPA_S + sequence.FLIGHT_GAP_S
+    asked = _members(events).select("flight_id", F.explode(F.sequence(F.floor(lo / LOOKUP_S), F.floor(hi / LOOKUP_S))).alias("_b")).distinct()
+    return steps.withColumn("_b", F.floor(F.col("now") / LOOKUP_S)).join(asked, ["flight_id", "_b"], "left_semi").drop("_b")
+
+
 def tracks(events: DataFrame, resampled: DataFrame) -> DataFrame:
     """``track1`` and ``track2``: points from 120 s before to 60 s after the closest
     approach, at most one per second each."""
@@ -332,7 +336,8 @@ def los_events(reports: DataFrame, airports: DataFrame | None = None, with_track
         events = airborne(events, airports)
     scored = score(features(events, steps))
     if with_tracks:
-        scored = tracks(scored, sequence.resample(steps))
+        scored = stage(scored, "scored")  # the tracks read it twice
+        scored = tracks(scored, sequence.resample(steps_near(scored, steps)))
     else:
         none = F.lit(None).cast("array<struct<t:bigint,lat:double,lon:double,alt_ft:bigint,resampled:int>>")
         scored = scored.withColumn("track1", none).withColumn("track2", none)

@@ -117,11 +117,11 @@ def event_teleport(spark, sf):
     return spans.select("flight_id", F.col("teleport.now").alias("at"), F.round("teleport.kt", 3).alias("speed_kt"))
 
 
-@query("W19_window_counts", FEATURES + " SELECT tail1, tail2, event_no, near1, near2 FROM feats")
+@query("W19_window_counts", FEATURES + " SELECT tail1, tail2, event_no, near1, near2, coalesce(during1, 0) AS during1, coalesce(during2, 0) AS during2 FROM feats")
 def window_counts(spark, sf):
     steps, events = _events(spark, sf)
-    got = events.select("tail1", "tail2", "event_no").join(los.window_counts(events, steps), los.EVENT_KEYS, "left").fillna(0, ["near1", "near2"])
-    return got.select("tail1", "tail2", "event_no", "near1", "near2")
+    got = events.select("tail1", "tail2", "event_no").join(los.window_counts(events, steps), los.EVENT_KEYS, "left").fillna(0, ["near1", "near2", "during1", "during2"])
+    return got.select("tail1", "tail2", "event_no", "near1", "near2", "during1", "during2")
 
 
 @query("W20_initial_separation", FEATURES + " SELECT tail1, tail2, event_no, round(initial_sep_nm, 6) AS initial_sep_nm FROM feats WHERE initial_sep_nm IS NOT NULL")
@@ -162,15 +162,17 @@ def event_quality(spark, sf):
 
 
 @query("W22_event_tracks", EVENTS + f""", m AS (
-  SELECT tail1, tail2, event_no, i AS side, CASE WHEN i = 1 THEN flight_id1 ELSE flight_id2 END AS flight_id, CAST(cpa_time AS BIGINT) AS c FROM events0, (VALUES (1), (2)) v(i)),
-  n AS (SELECT m.*, (SELECT count(*) FROM resampled r WHERE r.flight_id = m.flight_id AND r.sec BETWEEN c - 120 AND c + 60) AS k,
-    (SELECT min(sec) FROM resampled r WHERE r.flight_id = m.flight_id AND r.sec BETWEEN c - 120 AND c + 60) AS t0 FROM m)
-  SELECT a.tail1, a.tail2, a.event_no, a.k AS n1, b.k AS n2, a.t0 AS t1, b.t0 AS t2 FROM n a JOIN n b ON a.side = 1 AND b.side = 2 AND a.tail1 = b.tail1 AND a.tail2 = b.tail2 AND a.event_no = b.event_no""")
+  SELECT tail1, tail2, event_no, i AS side, CASE WHEN i = 1 THEN flight_id1 ELSE flight_id2 END AS flight_id, CAST(cpa_time AS BIGINT) AS c FROM events0, (VALUES (1), (2)) v(i))
+  SELECT tail1, tail2, event_no, side, r.sec, round(r.lat, 6) AS lat, round(r.lon, 6) AS lon, CAST(r.alt_baro AS BIGINT) AS alt_ft, CAST(r.resampled AS INTEGER) AS resampled
+  FROM m JOIN resampled r ON r.flight_id = m.flight_id AND r.sec BETWEEN c - 120 AND c + 60""")
 def event_tracks(spark, sf):
+    """Every point of both tracks of every event."""
     steps, events = _events(spark, sf)
-    out = los.tracks(events, sequence.resample(steps))
-    return out.select("tail1", "tail2", "event_no", F.size("track1").cast("bigint").alias("n1"), F.size("track2").cast("bigint").alias("n2"),
-                      F.col("track1")[0]["t"].alias("t1"), F.col("track2")[0]["t"].alias("t2"))
+    out = los.tracks(events, sequence.resample(los.steps_near(events, steps)))
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"track{i}").alias("track")) for i in (1, 2)])).alias("s")
+    points = out.select(*los.EVENT_KEYS, sides).select(*los.EVENT_KEYS, "s.side", F.explode("s.track").alias("p"))
+    return points.select(*los.EVENT_KEYS, "side", F.col("p.t").alias("sec"), F.round("p.lat", 6).alias("lat"), F.round("p.lon", 6).alias("lon"),
+                         F.col("p.alt_ft").cast("bigint").alias("alt_ft"), F.col("p.resampled").alias("resampled"))
 
 
 # Raw reports held for up to five seconds, checked at every whole second.
