@@ -15,7 +15,7 @@ composition is the encoding:
 
 Strings are cut where no piece can reach across: before marks, round line ends and after
 letters. Each string between cuts is composed once and remembered as its numbers and its bytes;
-the memory is bounded, and outlives the tasks of a worker.
+the memory is bounded and goes with the task.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import re
 import struct
 from array import array
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from typing import Any
 
@@ -37,10 +38,12 @@ MARK = "▁"
 # Piece kinds of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
-#: Strings remembered by a worker, in two generations of half as many; pairs likewise.
-REMEMBER = 400_000
+#: Strings remembered by a task, in two generations of half as many, and pairs by a worker.
+REMEMBER = 200_000
 #: A string between cuts that is longer is composed without being remembered.
 LONGEST = 64
+#: Characters of a text that are cut at once, about.
+STRETCH = 1 << 16
 INFINITY = float("inf")
 
 
@@ -83,11 +86,15 @@ class Recent(dict):
         if found is None:
             found = self.make(key)
         if len(self) >= self.half:
-            self.old = dict(self)
+            self.old = dict(self)  # the entries themselves are shared
             self.clear()
         self[key] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class Transducer:
     """The compiled model; ``encode`` and ``decode`` are each other's inverse on texts without the mark."""
@@ -122,6 +129,7 @@ class Transducer:
         self.spelled = [bytes([int(p[1:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else " \u2047 ".encode() if kind == UNKNOWN else p.encode()
                         for p, kind in zip(self.pieces, self.kinds)]
         self.parts, self.pairs = Recent(REMEMBER, self._part), Recent(REMEMBER, self._pair)
+        self.marked = self.cut.pattern != "(?s:.+)"
         self.longest = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             self.longest.add_word(piece, (i, len(piece)))
@@ -308,23 +316,43 @@ class Transducer:
         numbers = self._numbers(text)
         return array("i", numbers).tobytes(), b"".join(map(self.spelled.__getitem__, numbers))
 
+    def _stretches(self, text: str) -> Iterator[str]:
+        """A normalised text in stretches of about STRETCH, each ending where strings are cut: before a mark
+        that begins a run. What a text needs beside its result doesn't grow with its length."""
+        at = 0
+        while self.marked and len(text) - at > STRETCH:
+            end = text.find(MARK, at + STRETCH)
+            while 0 < end and text[end - 1] == MARK:
+                end = text.find(MARK, end + 1)
+            if end < 0:
+                break
+            yield text[at:end]
+            at = end
+        if at < len(text):
+            yield text[at:] if at else text
+
     def both(self, text: str) -> tuple[bytes, bytes]:
         """The numbers of a text, four bytes each, and the bytes that they spell."""
-        strings = self.cut.findall(self.normalise(text))
-        if max(map(len, strings), default=0) <= LONGEST:
-            found = list(map(self.parts.__getitem__, strings))
-        else:
-            found = [self.parts[x] if len(x) <= LONGEST else self._part(x) for x in strings]
+        numbers, spelled = [], []
+        for stretch in self._stretches(self.normalise(text)):
+            strings = self.cut.findall(stretch)
+            if max(map(len, strings), default=0) <= LONGEST:
+                found = list(map(self.parts.__getitem__, strings))
+            else:
+                found = [self.parts[x] if len(x) <= LONGEST else self._part(x) for x in strings]
+            numbers.append(b"".join([x[0] for x in found]) if self.bytes else self._unknown_once(found))
+            spelled.append(b"".join([x[1] for x in found]))
         if not self.bytes:  # unknown characters in a row are one, across cuts, too
-            return self._unknown_once(found)
-        return b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
+            whole = self._unknown_once([(x, b"") for x in numbers])
+            return whole, b"".join(map(self.spelled.__getitem__, array("i", whole)))
+        return b"".join(numbers), b"".join(spelled)
 
-    def _unknown_once(self, found: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+    def _unknown_once(self, found: list[tuple[bytes, bytes]]) -> bytes:
         numbers: list[int] = []
         for raw, _ in found:
             more = array("i", raw)
             numbers.extend(more[1:] if numbers and more and numbers[-1] == more[0] == self.unknown else more)
-        return array("i", numbers).tobytes(), b"".join(map(self.spelled.__getitem__, numbers))
+        return array("i", numbers).tobytes()
 
     def encode(self, text: str) -> list[int]:
         return array("i", self.both(text)[0]).tolist()
@@ -341,10 +369,20 @@ class Transducer:
 
 @lru_cache(maxsize=2)
 def machine_of(model: bytes) -> Transducer:
-    """Compiled once in a worker, whose tasks share what it remembers."""
+    """Compiled once in a worker. Its tasks share the model and its pairs, whose number the model bounds."""
     return Transducer(model)
 
 
+@contextmanager
+def at_work(model: bytes) -> Iterator[Transducer]:
+    """The machine for one task: strings are forgotten behind it, so that other work finds the memory free."""
+    machine = machine_of(model)
+    try:
+        yield machine
+    finally:
+        machine.parts.forget()
+
+
 def load(path: str) -> bytes:
     with open(path, "rb") as model:
         return model.read()
@@ -359,9 +397,9 @@ def _lists(raw: list[bytes | None]) -> pa.ListArray:
 
 
 def _encode_all(batches: Iterator[pa.Array], model: bytes) -> Iterator[pa.Array]:
-    machine = machine_of(model)
-    for texts in batches:
-        yield _lists([None if x is None else machine.both(x)[0] for x in (t.as_py() for t in texts)])
+    with at_work(model) as machine:
+        for texts in batches:
+            yield _lists([None if x is None else machine.both(x)[0] for x in (t.as_py() for t in texts)])
 
 
 def _decode_all(batches: Iterator[pa.Array], model: bytes) -> Iterator[pa.Array]:
@@ -397,15 +435,15 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
       result; other columns are not read.
     """
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        machine = machine_of(model)
-        for texts in batches:
-            raw, same = [], []
-            for text in texts:
-                text = text.as_py()
-                numbers, spelled = (None, None) if text is None else machine.both(text)
-                raw.append(numbers)
-                same.append(None if text is None else machine.said(spelled) == text)
-            yield pa.StructArray.from_arrays([_lists(raw), pa.array(same, pa.bool_())], names=["tokens", "round_trip"])
+        with at_work(model) as machine:
+            for texts in batches:
+                raw, same = [], []
+                for text in texts:
+                    text = text.as_py()
+                    numbers, spelled = (None, None) if text is None else machine.both(text)
+                    raw.append(numbers)
+                    same.append(None if text is None else machine.said(spelled) == text)
+                yield pa.StructArray.from_arrays([_lists(raw), pa.array(same, pa.bool_())], names=["tokens", "round_trip"])
 
     said = docs.select(F.col(id_col).alias("_id"), F.arrow_udf(both, "struct<tokens:array<int>,round_trip:boolean>")(F.col(text_col)).alias("_e"))
     return said.select(F.col("_id").alias(id_col), F.col("_e.tokens").alias("tokens"), F.when(F.col("_e.tokens").isNull(), 0).otherwise(F.size("_e.tokens")).cast("long").alias("n_tokens"),

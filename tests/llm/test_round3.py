@@ -312,6 +312,7 @@ def test_pieces_of_long_texts_and_of_a_small_memory(spark, monkeypatch):
     model = pieces.load(Q.PIECES)
     theirs = sentencepiece.SentencePieceProcessor(model_proto=model)
     monkeypatch.setattr(pieces, "REMEMBER", 50)
+    monkeypatch.setattr(pieces, "STRETCH", 100)
     mine, pick = pieces.Transducer(model), random.Random(8)
     words = ["".join(pick.choice("etaoinshrdlu") for _ in range(pick.randint(1, 12))) for _ in range(400)]
     text = " ".join(pick.choice(words) + pick.choice(["", ".", ",\n", "'s"]) for _ in range(6000))
