@@ -25,8 +25,11 @@ def test_stages(spark, tmp_path):
     assert ids["exact_dedup"] == [i for i in range(24) if i != 3] + [102, 103]  # the longer of equal texts stays
     assert 103 not in ids["ngram_jaccard_join"] and 4 in ids["ngram_jaccard_join"]
     kept, mix = seen["ngram_jaccard_join"], seen["mixing"]
+    # texts are whole: a source misses its share of 150 % of all words by half a document at most
     size = lambda d: d.select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0]
-    assert abs(size(mix) - 1.5 * size(kept)) <= 3 and mix.columns == kept.columns
+    longest = max(len(r.text.split()) for r in kept.select("text").collect())
+    assert abs(size(mix) - 1.5 * size(kept)) <= 3 * longest / 2 + 3 and mix.columns == kept.columns
+    assert {r.text for r in mix.collect()} <= {r.text for r in kept.collect()}
     assert seen["sentencepiece"].where("not round_trip").count() == 0 and ids["sentencepiece"] == ids["mixing"]
 
 
@@ -57,7 +60,7 @@ def test_rows_that_repeat_an_id(spark):
     # the mix takes rows, not ids: 1.5 times the words, no text more than twice
     mix = staged(spark, [row(7, FOX)] * 6 + [row(7, SEA)] * 6, P.mixed)
     words = [re.findall(r"\S+", r.text) for r in mix.collect()]
-    assert sum(map(len, words)) == 1.5 * 6 * (60 + 70)
+    assert abs(sum(map(len, words)) - 1.5 * 6 * (60 + 70)) <= 70 / 2  # one source, whole texts
     assert all(n <= 12 for n in Counter(w[0] for w in words).values())
     assert all(r.n_chars == len(r.text) for r in mix.collect())
 
@@ -71,7 +74,7 @@ def test_rows_without_an_id(spark):
     near = staged(spark, [row(None, SEA), row(9, SEA + " end"), row(None, FOX), row(None, FOX + " end")], P.without_near_copies).collect()
     assert sorted((r.doc_id is None, r.text[:4]) for r in near) == [(False, "sea0"), (True, "word")]
     mix = staged(spark, [row(None, FOX), row(None, SEA), row(1, "more " + FOX)], P.mixed).collect()
-    assert sum(len(r.text.split()) for r in mix) == int(1.5 * (60 + 70 + 61)) and any(r.doc_id is None for r in mix)
+    assert abs(sum(len(r.text.split()) for r in mix) - 1.5 * (60 + 70 + 61)) <= 70 / 2 and any(r.doc_id is None for r in mix)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").limit(40)
     lost = stage(docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id"))), "docs")
     assert P.known_language(spark, lost, "").where("doc_id is null").count() > 0
@@ -93,3 +96,32 @@ def test_texts_of_the_mix_are_whole(spark):
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(7)), "en", "s", 1) for i in range(401)]
     texts = [r.text for r in staged(spark, rows, P.mixed).collect()]
     assert set(texts) <= {r[1] for r in rows} and abs(sum(len(t.split()) for t in texts) - 1.5 * 7 * 401) <= 4
+
+
+def test_rows_are_named_by_their_place_in_files(spark, tmp_path):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("_ROW"), F.lit("x").alias("_metadata"))
+    docs.repartition(7).write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    rows, row = P._numbered(read)
+    names = {r.doc_id: r[row] for r in rows.collect()}
+    assert row not in read.columns and len(set(names.values())) == 3000
+    # the same names however the files are split and whatever is read of them
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        again, row = P._numbered(spark.read.parquet(str(tmp_path / "d")).where("doc_id % 3 = 1"))
+        assert {r.doc_id: r[row] for r in again.collect()} == {i: n for i, n in names.items() if i % 3 == 1}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_one_huge_document_is_whole_or_absent(spark):
+    rows = [(0, " ".join(["w"] * 5000), "en", "s", 1)] + [(i, f"a{i} b c", "en", "s", 1) for i in range(1, 50)]
+    texts = Counter(r.text for r in staged(spark, rows, P.mixed).collect())
+    assert set(texts) <= {r[1] for r in rows} and max(texts.values()) <= 2
+
+
+def test_empty_tables_pass_every_stage(spark):
+    docs = stage(spark.createDataFrame([], COLUMNS), "none")
+    for _, step in P.STAGES:
+        docs = stage(step(spark, docs, ""), "step")
+        assert docs.count() == 0
