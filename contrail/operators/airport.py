@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import geo, idents, weather
 from ..functions.times import day_type
 from ..session import stage
+from .automata import longest_runs, visits_and_pieces
 from .los import nearest_airports
 from .skew import dimension_join, exact_rank
-from .timeline import SLICE_S, running, timeline
+from .timeline import SLICE, SLICE_S, timeline
 
 # Fixed values.
 BAND_BELOW_FT, BAND_ABOVE_FT = -200, 4000
@@ -256,43 +257,32 @@ def usage_from_reports(points: DataFrame, runways: DataFrame, width: float = SLI
     """Runway usage of reports by airport: those low enough, split into approaches, each with its vote."""
     anchors = stage(runway_anchors(runways), "anchors")
     low = approach_reports(points).select("icao", "hex", "now", "seq", "lat", "lon")
-    pieces = stage(split_approaches(low, field_centers(anchors), width), "approaches")
-    return runway_usage(runway_votes(final_runs(pieces, anchors, width)))
+    return runway_usage(runway_votes(final_runs(split_approaches(low, field_centers(anchors), width), anchors)))
 
 
 def split_approaches(points: DataFrame, centers: DataFrame, width: float = SLICE_S) -> DataFrame:
-    """Number the approaches of each aircraft: by silences above 600 s, then by field
-    overpasses (within 0.4 nm, and out beyond 1.0 nm again).
+    """Number the approaches of each aircraft: by silences above 600 s (``visit``), then by field
+    overpasses, within 0.4 nm and out beyond 1.0 nm again (``piece``).
 
-    The row that cuts still belongs to the approach it ends.
+    The row that cuts still belongs to the approach it ends.  ``before`` is the report before
+    in the same approach.
     """
-    rows = timeline(points, ["icao", "hex"], "now", ["seq"], gap=VISIT_GAP_S, width=width).withColumnRenamed("session_no", "visit").drop("prev1")
-    rows = dimension_join(rows, centers, ["icao"])
-    d = geo.equirect_nm("field_lat", "field_lon", "lat", "lon")
-    rows = rows.withColumn("_mark", F.when(d < NEAR_FIELD_NM, "near").when(d > FAR_FIELD_NM, "far"))
-    keys = ["icao", "hex", "visit"]
-    rows = stage(rows.drop("field_lat", "field_lon"), "visits")
-    rows = running(rows, keys, "now", ["seq"], lasts={"_seen": F.col("_mark")}, inclusive=False, width=width)
-    cut = (F.col("_mark") == "far") & (F.col("_seen") == "near")
-    rows = rows.withColumn("_cut", F.coalesce(cut, F.lit(False)).cast("bigint")).drop("_seen", "_mark")
-    return running(rows, keys, "now", ["seq"], sums={"piece": F.col("_cut")}, inclusive=False, width=width).drop("_cut")
-
-
-def final_runs(pieces: DataFrame, anchors: DataFrame, width: float = SLICE_S) -> DataFrame:
-    """Longest stretch each approach stays established on each runway's final."""
-    seg = timeline(pieces, APPROACH, "now", ["seq"], lag=["lat", "lon"], width=width).where(F.col("prev1").isNotNull())
-    moved = (F.col("prev1.lat") != F.col("lat")) | (F.col("prev1.lon") != F.col("lon"))
-    seg = seg.where(moved).select(*APPROACH, "now", "seq", "lat", "lon", F.col("prev1.lat").alias("lat0"), F.col("prev1.lon").alias("lon0"))
+    rows = dimension_join(points, centers, ["icao"])
+    rows = rows.withColumn("_d", geo.equirect_nm("field_lat", "field_lon", "lat", "lon")).drop("field_lat", "field_lon")
+    return visits_and_pieces(
+        rows, ["icao", "hex"], "now", ["seq"], F.col("_d") < NEAR_FIELD_NM, F.col("_d") > FAR_FIELD_NM, VISIT_GAP_S, ["lat", "lon"], width).drop("_d")
+
+
+def final_runs(pieces: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Longest stretch each approach of ``split_approaches`` stays established on each runway's final."""
+    seg = pieces.where((F.col("before.lat") != F.col("lat")) | (F.col("before.lon") != F.col("lon")))
+    seg = seg.select(*APPROACH, SLICE, "now", "seq", "lat", "lon", F.col("before.lat").alias("lat0"), F.col("before.lon").alias("lon0"))
     seg = dimension_join(seg, anchors, ["icao"])
     box = lambda la, lo: geo.in_approach_box(la, lo, "rwy_lat", "rwy_lon", "heading")
     course = geo.bearing_deg("lat0", "lon0", "lat", "lon")
     ok = box("lat0", "lon0") & box("lat", "lon") & (geo.circular_diff(course, "heading") <= FINAL_TOLERANCE_DEG)
     seg = seg.withColumn("_ok", ok).withColumn("_d", F.when(ok, geo.equirect_nm("lat0", "lon0", "lat", "lon")).otherwise(0.0))
-    keys = [*APPROACH, "runway"]
-    seg = seg.select(*keys, "ordinal", "end_no", "now", "seq", "_ok", "_d")
-    seg = running(seg, keys, "now", ["seq"], sums={"_island": F.when(F.col("_ok"), 0).otherwise(1)}, width=width)
-    runs = seg.groupBy(*keys, "ordinal", "end_no", "_island").agg(F.sum("_d").alias("run_nm"))
-    return runs.groupBy(*keys, "ordinal", "end_no").agg(F.max("run_nm").alias("run_nm"))
+    return longest_runs(seg, [*APPROACH, "runway", "ordinal", "end_no"], "now", ["seq"], "_ok", "_d").withColumnRenamed("run", "run_nm")
 
 
 def runway_votes(runs: DataFrame) -> DataFrame:
