@@ -137,6 +137,24 @@ def point_in_ring(lat, lon, ring) -> Column:
     return (hits % 2) == 1
 
 
+def ring_edges(ring) -> Column:
+    """The edges of a ring as ARRAY<STRUCT<a, b>>, the one that closes it included."""
+    r = _c(ring)
+    return F.transform(r, lambda p, i: F.struct(p.alias("a"), F.get(r, F.pmod(i + 1, F.size(r))).alias("b")))
+
+
+def odd_crossings(lat, lon, edges) -> Column:
+    """The test of ``point_in_ring`` on edges.  Those that end west of the point, or above or below it, count nothing."""
+    y, x = _c(lat), _c(lon)
+
+    def crosses(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        at = (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]
+        return F.when(((a["y"] > y) != (b["y"] > y)) & (x < at), 1).otherwise(0)
+
+    return F.aggregate(_c(edges), F.lit(0), lambda acc, e: acc + crosses(e)) % 2 == 1
+
+
 def ring_box(ring) -> Column:
     r = _c(ring)
     xs, ys = F.transform(r, lambda p: p["x"]), F.transform(r, lambda p: p["y"])

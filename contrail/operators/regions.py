@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..schema import REGION
+from ..session import stage
 from .skew import dimension_join
 
 # Up to this many regions are compiled into the row expression itself.
 INLINE_REGIONS = 64
-REGION_CELL_DEG = 0.25
+# Sides of the cells of a cover, in degrees, each a quarter of the one before (powers of two, so borders are exact).
+COVER_SIDES = (16.0, 4.0, 1.0, 0.25, 0.0625)
+# A region's finest cells are such that its box is no more than this many wide or high, so a cover
+# has at most (28 + 2) ** 2 = 900 cells (360 x 180 degrees have 288 of the coarsest).
+COVER_SPAN = 28
+TOUCH_EPS = 1e-9
 
 # Fixed values of generated airport regions (nm, ft, degrees).
 DEPARTURE_NM, APPROACH_NM, VICINITY_NM, GROUND_MARGIN_NM = 3.0, 5.0, 10.0, 0.3
@@ -48,10 +54,6 @@ def assign_inline(df: DataFrame, layers: Sequence[Sequence[dict]], name: str = "
     return df.withColumn(name, F.array(*slots))
 
 
-def _cells(lo: Column, hi: Column) -> Column:
-    return F.sequence(F.floor(lo / REGION_CELL_DEG), F.floor(hi / REGION_CELL_DEG))
-
-
 def region_table(spark: SparkSession, layers: Sequence[Sequence[dict]], files: Sequence[str] = ()) -> DataFrame:
     """Layers of a rule document as a table with ``schema.REGION``."""
     names = [*files, *[f"layer{i}" for i in range(len(files), len(layers))]]
@@ -60,35 +62,99 @@ def region_table(spark: SparkSession, layers: Sequence[Sequence[dict]], files: S
     return spark.createDataFrame(rows, REGION)
 
 
+def _side(level: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in COVER_SIDES]), level + 1)
+
+
+def _touches(e: Column, west: Column, east: Column, south: Column, north: Column) -> Column:
+    """Does an edge come within ``TOUCH_EPS`` of a cell?  Boxes first, then the cell's corners beside the edge's line."""
+    a, b = e["a"], e["b"]
+    side = lambda x, y: (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
+    corners = [side(x, y) for x in (west, east) for y in (south, north)]
+    return (
+        (F.greatest(a["x"], b["x"]) >= west - TOUCH_EPS) & (F.least(a["x"], b["x"]) <= east + TOUCH_EPS)
+        & (F.greatest(a["y"], b["y"]) >= south - TOUCH_EPS) & (F.least(a["y"], b["y"]) <= north + TOUCH_EPS)
+        & (F.least(*corners) <= TOUCH_EPS) & (F.greatest(*corners) >= -TOUCH_EPS))
+
+
+def region_cover(regions: DataFrame) -> DataFrame:
+    """Cells that cover each region (adds level, cy, cx, edges): large ones inside, small ones along its border.
+
+    A cell that no edge touches lies wholly inside or outside; of a cell that one touches, the
+    sixteen parts are looked at, two levels deep.  ``edges`` is null in an inner cell, whose
+    points need no ring; a border cell holds the edges that can count for a point in it.
+    At most 900 cells a region, whatever its size.  A region without a ring has none.
+    """
+    kept = [c for c in regions.columns if c != "ring"]
+    rows = regions.withColumns({"_edges": geo.ring_edges("ring"), "_box": geo.ring_box("ring")})
+    extent = F.greatest(F.col("_box.east") - F.col("_box.west"), F.col("_box.north") - F.col("_box.south"))
+    finest = F.lit(0)
+    for level, side in enumerate(COVER_SIDES):
+        finest = F.when(extent <= side * COVER_SPAN, level).otherwise(finest)
+    rows = rows.withColumn("_finest", finest).withColumn("level", F.greatest(F.col("_finest") - 2, F.lit(0)))
+    at = lambda c: F.floor(F.col(f"_box.{c}") / _side(F.col("level")))
+    rows = rows.withColumn("cy", F.explode(F.sequence(at("south"), at("north")))).withColumn("cx", F.explode(F.sequence(at("west"), at("east"))))
+    rows = rows.withColumn("_kind", F.lit(None).cast("int"))
+
+    size = _side(F.col("level"))
+    spot = F.array(F.struct(
+        (F.col("cx") * size).alias("w"), ((F.col("cx") + 1) * size).alias("e"), (F.col("cy") * size).alias("s"), ((F.col("cy") + 1) * size).alias("n")))
+    w, e, s, n = (F.col(f"_at.{c}") for c in "wesn")
+    rows = rows.select(*kept, "_edges", "_finest", "level", "cy", "cx", "_kind")
+    for step in range(3):
+        # exploded, so that a cell's sides are worked out once and not for each edge
+        rows = rows.withColumn("_at", F.explode(spot))
+        met = F.exists("_edges", lambda x: _touches(x, w, e, s, n))
+        kind = F.when(met, 1).when(geo.odd_crossings((s + n) / 2, (w + e) / 2, "_edges"), 2).otherwise(0)
+        rows = rows.withColumn("_kind", F.coalesce("_kind", kind)).where(F.col("_kind") > 0)
+        if step == 2:
+            break
+        itself = F.array(F.struct("level", "cy", "cx", F.col("_kind").alias("kind")))
+        parts = F.array(*[F.struct((F.col("level") + 1).alias("level"), (F.col("cy") * 4 + i).alias("cy"), (F.col("cx") * 4 + j).alias("cx"), F.lit(None).cast("int").alias("kind"))
+                          for i in range(4) for j in range(4)])
+        rows = rows.withColumn("_c", F.explode(F.when((F.col("_kind") == 1) & (F.col("level") < F.col("_finest")), parts).otherwise(itself)))
+        rows = rows.select(*kept, "_edges", "_finest", "_c.level", "_c.cy", "_c.cx", F.col("_c.kind").alias("_kind"))
+    counts = lambda x: (
+        (F.greatest(x["a"]["y"], x["b"]["y"]) >= s) & (F.least(x["a"]["y"], x["b"]["y"]) <= n) & (F.greatest(x["a"]["x"], x["b"]["x"]) >= w - TOUCH_EPS))
+    return rows.select(*kept, "level", "cy", "cx", F.when(F.col("_kind") == 1, F.filter("_edges", counts)).alias("edges"))
+
+
 def assign_join(df: DataFrame, regions: DataFrame, name: str = "inside", layers: int | None = None) -> DataFrame:
     """Same result for any number of regions (a table with ``schema.REGION``).
 
-    Regions are copied to the grid cells of their box and gathered into one list per
-    cell, in matching order.  A report meets the list of its cell and takes the first
-    match per layer, so reports are not shuffled while the lists fit a broadcast.
+    Regions become covers of cells (``region_cover``), gathered into one list per cell.  A report
+    meets the list of its cell on each level in use (five at most) and takes the first match per
+    layer.  While the lists of a level fit a broadcast, reports are not shuffled for it.
     ``layers`` is the number of layers (counted from the table when not given).
     """
-    dim = regions.withColumn("box", geo.ring_box("ring"))
-    dim = dim.withColumn("cy", F.explode(_cells(F.col("box.south"), F.col("box.north"))))
-    dim = dim.withColumn("cx", F.explode(_cells(F.col("box.west"), F.col("box.east"))))
-    dim = dim.select("cy", "cx", F.struct("layer", "idx", F.lower("name").alias("name"), "min_alt", "max_alt", "hdg0", "hdg1", "ring").alias("r"))
-    cells = dim.groupBy(F.col("cy").alias("_cy"), F.col("cx").alias("_cx")).agg(F.array_sort(F.collect_list("r")).alias("_regions"))
-    pts = df.withColumn("_cy", F.floor(F.col("lat") / REGION_CELL_DEG)).withColumn("_cx", F.floor(F.col("lon") / REGION_CELL_DEG))
+    cover = region_cover(regions.withColumn("name", F.lower("name")))
+    r = F.struct("layer", "idx", "name", "min_alt", "max_alt", "hdg0", "hdg1", "edges")
+    cells = stage(cover.groupBy("level", F.col("cy").alias("_cy"), F.col("cx").alias("_cx")).agg(F.collect_list(r).alias("_list")), "cover")
+    used = sorted(x["level"] for x in cells.select("level").distinct().collect())
+    met = df
+    for level in used:
+        side = COVER_SIDES[level]
+        met = met.withColumn("_cy", F.floor(F.col("lat") / side)).withColumn("_cx", F.floor(F.col("lon") / side))
+        there = cells.where(F.col("level") == level).select("_cy", "_cx", F.col("_list").alias(f"_l{level}"))
+        met = dimension_join(met, there, ["_cy", "_cx"], "left").drop("_cy", "_cx")
 
     def hit(r: Column) -> Column:
         return (
             F.col("alt_baro").between(r["min_alt"], r["max_alt"])
-            & geo.point_in_ring("lat", "lon", r["ring"])
+            & (r["edges"].isNull() | geo.odd_crossings("lat", "lon", r["edges"]))
             & geo.heading_between("track", r["hdg0"], r["hdg1"])
         )
 
     def first(layer: int) -> Column:
-        return F.get(F.filter("_regions", lambda r: (r["layer"] == layer) & hit(r)), F.lit(0))["name"]
+        """Of the first match on each level, the first in the layer."""
+        tops = [F.array_min(F.transform(F.filter(f"_l{x}", lambda r: (r["layer"] == layer) & hit(r)), lambda r: F.struct(r["idx"], r["name"]))) for x in used]
+        if not tops:
+            return F.lit(None).cast("string")
+        return (F.least(*tops) if len(tops) > 1 else tops[0])["name"]
 
     if layers is None:
         layers = int(regions.agg(F.max("layer")).first()[0] or 0) + 1
-    met = dimension_join(pts, cells, ["_cy", "_cx"], "left")
-    return met.withColumn(name, F.array(*[first(i) for i in range(layers)])).drop("_cy", "_cx", "_regions")
+    return met.withColumn(name, F.array(*[first(i) for i in range(layers)])).drop(*[f"_l{x}" for x in used])
 
 
 def in_any_region(layers: Sequence[Sequence[dict]], rings: Sequence[Sequence[float]] = ()) -> Column:
