@@ -424,3 +424,73 @@ def pair_csv_lines(spark, sf):
     d, f = _paired(spark, sf)
     parsed = event_lines(R.csv_lines(d, f))
     return parsed.select("tail", F.col("fields")[7].alias("tail2"), "now", F.col("altitude").cast("bigint").alias("alt_baro"), F.col("fields")[12].alias("kind"))
+
+
+# --- handlers ----------------------------------------------------------------
+
+class _Kept:
+    """What handlers were given, written below one folder each."""
+
+    def __init__(self, spark):
+        from ..session import scratch_path
+
+        self.spark, self.path = spark, scratch_path(spark, "handled")
+
+    def as_(self, name: str, *columns):
+        return lambda df: df.select(*columns).write.mode("append").parquet(f"{self.path}/handler={name}")
+
+    def read(self):
+        return self.spark.read.option("basePath", self.path).parquet(self.path)
+
+
+@query("D1u_callbacks", f"""WITH {FIRED} SELECT 'by_rule' AS handler, rule, tail, seq FROM fired WHERE rule = 'takeoff'
+  UNION ALL SELECT 'by_callback', rule, tail, seq FROM fired WHERE rule = 'fleet' UNION ALL SELECT 'second', rule, tail, seq FROM fired WHERE rule = 'takeoff'""")
+def callbacks(spark, sf):
+    """Handlers bound to a rule, to a callback's name, and two to one rule."""
+    d, f = _fired(spark, sf)
+    kept = _Kept(spark)
+    row = ("rule", "tail", "seq")
+    R.Engine(d).on("takeoff", kept.as_("by_rule", *row)).on("seen", kept.as_("by_callback", *row)).on("takeoff", kept.as_("second", *row)).dispatch(stage(f, "fired"))
+    return kept.read().select("handler", *row)
+
+
+@query("D2u_expire_callback", f"""WITH {t.REGIONS_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY tail, life_no ORDER BY now DESC, seq DESC) AS back FROM prepared)
+  SELECT tail, seq, now FROM l WHERE back = 1 AND alt_baro >= 1200 AND now + 180 < (SELECT max(now) FROM positions)""")
+def expire_callback(spark, sf):
+    """The last report of each life that has ended, where it meets the rule."""
+    rules = R.Rules({"rules": {"left_high": {"conditions": {"min_alt": 1200}, "actions": {"expire_callback": "gone"}}}}, t.REGION_LAYERS, t.REGION_FILES)
+    prepared = rules.prepare(_reports(spark, sf))
+    last = prepared.groupBy("tail", "life_no").agg(F.max_by(F.struct(*[c for c in prepared.columns if c not in ("tail", "life_no")]), F.struct("now", "seq")).alias("r"))
+    end = t.positions(spark, sf).agg(F.max("now").alias("end"))
+    kept = _Kept(spark)
+    R.Engine(rules).on_expire("gone", kept.as_("gone", "tail", "seq", "now")).dispatch_expired(
+        last.select("tail", "life_no", "r.*").where(F.col("now") + rules.expire_s < end.scalar()))
+    return kept.read().select("tail", "seq", "now")
+
+
+@query("D3u_webhook_handlers", f"""WITH {FIRED} SELECT 'page' AS channel, 'desk' AS recipient, rule, tail, now, 'Rule fleet: ' || {TEXT} || ' ' || {NOW_IN} AS first_line FROM fired WHERE rule = 'fleet'
+  UNION ALL SELECT 'slack', 'tower', rule, tail, now, 'Rule entry matched for: ' || {TEXT} || ' [' || coalesce(was0, '-') || ', ' || coalesce(was1, '-') || ']->' || {NOW_IN} FROM fired WHERE rule = 'entry'""")
+def webhook_handlers(spark, sf):
+    """Every channel's alerts, as its handler gets them; the links of the lines below are X20's."""
+    d, f = _fired(spark, sf)
+    kept = _Kept(spark)
+    row = ("channel", "recipient", "rule", "tail", "now", F.substring_index("message", "\n", 1).alias("first_line"))
+    R.Engine(d).channel("slack", kept.as_("slack", *row)).channel("page", kept.as_("page", *row)).dispatch(stage(f, "fired"))
+    return kept.read().drop("handler")
+
+
+@query("D4u_second_handler", f"WITH {t.RESAMPLED_SQL} SELECT sec, count(*) AS points, count(DISTINCT tail) AS aircraft FROM resampled GROUP BY 1")
+def second_handler(spark, sf):
+    kept = _Kept(spark)
+    points = sequence.resample(sequence.flight_steps(sequence.prefilter(t.positions(spark, sf))))
+    R.Engine(_doc()).on_seconds(kept.as_("seconds", "sec", "points", "aircraft")).dispatch_resampled(points)
+    return kept.read().drop("handler")
+
+
+@query("D5u_point_handler", f"WITH {t.RESAMPLED_SQL} SELECT sec, tail, flight_id, resampled, round(lat, 6) AS lat, round(lon, 6) AS lon, alt_baro FROM resampled")
+def point_handler(spark, sf):
+    kept = _Kept(spark)
+    points = sequence.resample(sequence.flight_steps(sequence.prefilter(t.positions(spark, sf))))
+    R.Engine(_doc()).on_points(kept.as_(
+        "points", "sec", "tail", "flight_id", "resampled", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "alt_baro")).dispatch_resampled(points)
+    return kept.read().drop("handler")

@@ -423,6 +423,8 @@ class Engine:
         self.handlers: dict[str, list[Callable[[DataFrame], None]]] = {}
         self.channels: dict[str, Callable[[DataFrame], None]] = {}
         self.expire_handlers: dict[str, Callable[[DataFrame], None]] = {}
+        self.point_handlers: list[Callable[[DataFrame], None]] = []
+        self.second_handlers: list[Callable[[DataFrame], None]] = []
 
     def on(self, rule_or_callback: str, handler: Callable[[DataFrame], None]) -> Engine:
         self.handlers.setdefault(rule_or_callback, []).append(handler)
@@ -436,6 +438,25 @@ class Engine:
         self.channels[name] = handler
         return self
 
+    def on_points(self, handler: Callable[[DataFrame], None]) -> Engine:
+        """``handler`` gets the resampled points, one row per aircraft and second."""
+        self.point_handlers.append(handler)
+        return self
+
+    def on_seconds(self, handler: Callable[[DataFrame], None]) -> Engine:
+        """``handler`` gets one row per second that has points: sec, points, aircraft."""
+        self.second_handlers.append(handler)
+        return self
+
+    def dispatch_resampled(self, points: DataFrame) -> None:
+        """``points``: output of ``sequence.resample``; stage it when more than one handler reads it."""
+        for handler in self.point_handlers:
+            handler(points)
+        if self.second_handlers:
+            seconds = points.groupBy("sec").agg(F.count(F.lit(1)).alias("points"), F.countDistinct("tail").alias("aircraft"))
+            for handler in self.second_handlers:
+                handler(seconds)
+
     def dispatch(self, fired: DataFrame) -> None:
         for name, body in self.rules.rules.items():
             wanted = [name, (body["actions"] or {}).get("callback")]
