@@ -61,11 +61,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
       has exactly one kept row. The id may be a struct, compared field by field.
     * An empty table gives an empty result; other columns of ``docs`` are not read.
 
-    A text is shuffled once. Across partition borders texts are compared by SHA-256.
+    A text is shuffled once. Range borders are cut by its first characters and its SHA-256, and across
+    them texts are compared by SHA-256.
     """
     rows = docs.select(squeezed(F.col(text_col)).alias("_norm"), F.col(id_col).alias("_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("_chars"))
     order = [F.col("_head"), F.col("_hash"), F.col("_norm"), F.col("_chars").desc(), F.col("_id").asc_nulls_last()]
-    keyed = rows.withColumns({"_head": F.substring("_norm", 1, SPLITTER_CHARS), "_hash": F.xxhash64("_norm")})
+    keyed = rows.withColumns({"_head": F.substring("_norm", 1, SPLITTER_CHARS), "_hash": F.sha2(F.col("_norm").cast("binary"), 256)})
     spread = keyed.repartitionByRange(*[x for i, x in enumerate(order) if i != 2]).sortWithinPartitions(*order)
     kind = docs.schema[id_col].dataType.simpleString()
     found = spread.select(F.col("_norm").cast("binary"), "_id").mapInArrow(
