@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, partitions
 
-#: Rows of a range, about, and sampled keys per range.
+#: Rows of a range, about, and sampled keys per range.  Beyond ``MOST_RANGES`` ranges each gets
+#: longer instead, so the driver samples some 400,000 keys at most and broadcasts 20,000 of them.
 RANGE_ROWS = 200_000
 SAMPLES = 20
+MOST_RANGES = 20_000
 LEAST_ID = -(1 << 63)
 
 
@@ -85,6 +87,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", ur
       An empty rule host fits every URL.
     * URLs that no rule fits get ``default`` and a null rule; null URLs and URLs without
       ``://`` have an empty host and path.
+    * Rules of equal total length that fit one URL: the one with the longer host wins.
     * Rules with a null field are left out. Null ids and repeated rows are judged like others.
     * An empty table on either side works. Other columns are not read.
 
@@ -99,7 +102,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", ur
     given = given.withColumn("_key", reversed_host(F.col("_host")))
 
     n = urls.count()
-    parts = max(partitions(spark), -(-n // RANGE_ROWS))
+    parts = min(max(partitions(spark), -(-n // RANGE_ROWS)), MOST_RANGES)
     # As many keys as SAMPLES times the ranges, about, whatever the size of the table.
     share = min(1.0, SAMPLES * parts / max(n, 1))
     sample = sorted((r[0], r[1], r[2]) for r in urls.select("_key", "_path", F.coalesce(wide, F.lit(LEAST_ID))).sample(share, seed=7).collect())
