@@ -179,23 +179,27 @@ def checkpoint_windows(reports: DataFrame, seconds: int = 5, key: Column | None
 def fresh_pairs(a: DataFrame, b: DataFrame, lateral_nm: float, vertical_ft: float, max_age_s: int = 5, cell_deg: float = 0.05) -> DataFrame:
     """Reports of two streams at most ``max_age_s`` apart in time and within both limits.
 
-    A stream-stream interval join on grid cells (one side copied to the cells in its
-    reach, which follows from its latitude): both sides carry watermarks, so state older than the interval is dropped.
+    A stream-stream interval join on grid cells and stretches of time (one side copied to the cells in its
+    reach, which follows from its latitude, and to the stretches in its interval): a report meets those of its time
+    only, whatever a batch holds. Both sides carry watermarks, so state older than the interval is dropped.
     """
     dy = lateral_nm / geo.NM_PER_DEGREE * 1.01
+    stretch = 4 * max_age_s * 1_000_000
 
     def side(df: DataFrame, n: int) -> DataFrame:
         return df.select(
             F.col("tail").alias(f"tail{n}"), F.col("seq").alias(f"seq{n}"), F.col("event_time").alias(f"time{n}"),
             F.col("lat").alias(f"lat{n}"), F.col("lon").alias(f"lon{n}"), F.col("alt_baro").alias(f"alt{n}"),
-            F.floor(F.col("lat") / cell_deg).alias(f"cy{n}"), F.floor(F.col("lon") / cell_deg).alias(f"cx{n}"))
+            F.floor(F.col("lat") / cell_deg).alias(f"cy{n}"), F.floor(F.col("lon") / cell_deg).alias(f"cx{n}"),
+            F.floor(F.unix_micros("event_time") / stretch).alias(f"ct{n}"))
 
-    near = side(b, 2)
+    near, age = side(b, 2), max_age_s * 1_000_000
+    near = near.withColumn("ct2", F.explode(F.sequence(*[F.floor((F.unix_micros("time2") + d) / stretch) for d in (-age, age)])))
     for c, place, reach in (("cy2", "lat2", F.lit(dy)), ("cx2", "lon2", geo.lon_reach(dy, "lat2"))):
         near = near.withColumn(c, F.explode(F.sequence(F.floor((F.col(place) - reach) / cell_deg), F.floor((F.col(place) + reach) / cell_deg))))
     span = F.expr(f"interval {max_age_s} seconds")
     cond = (
-        (F.col("cy1") == F.col("cy2")) & (F.col("cx1") == F.col("cx2")) & (F.col("tail1") < F.col("tail2"))
+        (F.col("cy1") == F.col("cy2")) & (F.col("cx1") == F.col("cx2")) & (F.col("ct1") == F.col("ct2")) & (F.col("tail1") < F.col("tail2"))
         & (F.col("time2") >= F.col("time1") - span) & (F.col("time2") <= F.col("time1") + span)
         & (F.abs(F.col("alt1") - F.col("alt2")) < vertical_ft) & (geo.haversine_nm("lat1", "lon1", "lat2", "lon2") < lateral_nm))
     return side(a, 1).join(near, cond, "inner").select("tail1", "seq1", "tail2", "seq2")
