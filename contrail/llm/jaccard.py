@@ -52,6 +52,8 @@ BATCH_SETS = 16_384
 #: Runs of more members than this are met in blocks of about MET_ROWS members, not as pairs.
 LONG_RUN = 16
 MET_ROWS = 1024
+#: Links that a task joins at once.
+LINKS_AT_ONCE = 250_000
 
 U = np.uint64
 # Odd constants of a generator, not of meaning: they make the hash functions.
@@ -691,15 +693,43 @@ def verified(pairs: DataFrame, live: DataFrame) -> DataFrame:
     return near.join(x, "_a").join(y, "_b").select("_a", "_b", "_x", "_y").mapInArrow(_linked, PAIRS)
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links as stars, a bounded number at once: each node with the smallest one that these links join it to."""
+    held: list[np.ndarray] = []
+
+    def stars() -> pa.RecordBatch:
+        nodes, place = np.unique(np.concatenate(held), return_inverse=True)
+        a, b = place.reshape(-1, 2).T
+        root = np.arange(len(nodes))
+        while (apart := root[a] != root[b]).any():
+            x, y = root[a[apart]], root[b[apart]]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (up := root[root]).tobytes() != root.tobytes():
+                root = up
+        far = root != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], names=["_a", "_b"])
+
+    for batch in batches:
+        held.append(np.stack([batch.column(k).to_numpy() for k in (0, 1)], axis=1))
+        if sum(map(len, held)) >= LINKS_AT_ONCE:
+            yield stars()
+            held = []
+    if held:
+        yield stars()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``_node, _root``: the smallest node of each connected component, for nodes with an edge.
 
-    Large and small stars in turn (Kiveris and others): each node hands its neighbours on to
-    the smallest one, until every node hangs on its root. Rounds grow with the logarithm of
-    the longest path; each is cut off as a written table.
+    Tasks first join what their own links join. Then large and small stars in turn (Kiveris and
+    others): each node hands its neighbours on to the smallest one, until every node hangs on its
+    root. Rounds grow with the logarithm of the longest path; each is cut off as a written table.
     """
     edges = stage(edges.select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).where("_a <> _b").distinct(), "links")
-    while True:
+    tasks = max(1, -(-edges.count() // LINKS_AT_ONCE))
+    edges = stage(edges.coalesce(tasks).mapInArrow(_joined, PAIRS), "links")
+    done = tasks == 1  # one task's stars are whole
+    while not done:
         both = edges.unionByName(edges.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
         least = both.groupBy("_a").agg(F.least(F.min("_b"), F.col("_a")).alias("_m"))
         large = both.join(least, "_a").where(F.col("_b") > F.col("_a")).select(F.col("_b").alias("_a"), F.col("_m").alias("_b")).where("_a <> _b")
@@ -707,14 +737,11 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("_a").agg(F.min("_b").alias("_m"))
         small = large.join(down, "_a")
         small = small.select(F.col("_b").alias("_a"), F.col("_m").alias("_b")).where("_a <> _b").unionByName(down.select("_a", F.col("_m").alias("_b")))
-        new = stage(small.distinct(), "links")
-        roots = new.groupBy("_a").agg(F.count(F.lit(1)).alias("_n"))
+        edges = stage(small.distinct(), "links")
+        roots = edges.groupBy("_a").agg(F.count(F.lit(1)).alias("_n"))
         # Done when every node has one edge and no root is a node: the graph is stars.
-        tangled = roots.where("_n > 1").select("_a").unionByName(new.select(F.col("_b").alias("_a")).join(roots.select("_a"), "_a", "left_semi"))
+        tangled = roots.where("_n > 1").select("_a").unionByName(edges.select(F.col("_b").alias("_a")).join(roots.select("_a"), "_a", "left_semi"))
         done = tangled.isEmpty()
-        edges = new
-        if done:
-            break
     return edges.select(F.col("_a").alias("_node"), F.col("_b").alias("_root")).unionByName(edges.select(F.col("_b").alias("_node"), F.col("_b").alias("_root")).distinct())
 
 
@@ -799,8 +826,7 @@ def _join_sets(profile: DataFrame, classes: DataFrame, live: DataFrame, buckets:
         return rows.mapInArrow(lambda it: _lookups(it, buckets, spots), BLOBS).groupBy("_bucket")
 
     stars = looked_up(units.withColumn("_root", F.col("_rep"))).applyInArrow(_stars, PAIRS).distinct()
-    first = stage(verified(stars, live), "pairs")
-    roots = components(first)
+    roots = components(verified(stars, live))
     known = roots.select(F.col("_node").alias("_rep"), "_root")
     ranked = units.join(known, "_rep", "left").withColumn("_root", F.coalesce("_root", "_rep"))
     cross = stage(looked_up(ranked).applyInArrow(_cross, CROSS).distinct(), "cross")
