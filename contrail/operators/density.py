@@ -23,8 +23,8 @@ PYRAMID_GAMMA = {10: 0.9, 9: 0.75, 8: 0.6, 7: 0.5, 6: 0.4, 5: 0.3, 4: 0.25, 3: 0
 PYRAMID_FLOOR = {10: 0, 9: 8, 8: 12, 7: 14, 6: 15, 5: 15, 4: 15, 3: 15}
 ALPHA_MIN, ALPHA_LEVELS = 55, 8
 EVENT_RADIUS_PX = {7: 0.67, 8: 0.67, 9: 1.33, 10: 2.0, 11: 4.0}
-# Segments that one task draws of a tile, and at once.
-DRAW_ROWS, DRAW_AT_ONCE = 200_000, 20_000
+# Segments that one task draws of a tile, steps along them in all and at once, and marks that it holds unmerged.
+DRAW_ROWS, DRAW_STEPS, DRAW_AT_ONCE, MARKS_HELD = 200_000, 1_000_000, 100_000, 2_000_000
 # Points that a task adds to its grid at once.
 POINTS_AT_ONCE = 4096
 EVENT_TILE_QUALITIES = ["vhigh", "high", "medium"]
@@ -97,22 +97,26 @@ def traffic_density(segments: DataFrame, zoom: int, airports: DataFrame | None =
 
     Segments go to the tiles they cross, and those outside the band are gone before a pixel
     is drawn. A task draws the segments of one tile, or, of a busy tile, those of a share of
-    its flights: flights are whole in a share, so counts of shares add up. What is shuffled is
-    segments, and then one count for each pixel and share.
+    its flights: flights are whole in a share, so counts of shares add up. Shares are cut by the
+    steps to draw, not by segments, however long these are. What is shuffled is segments, and
+    then one count for each pixel and share.
     """
     parts = segment_tiles(segments, margin=width) if airports is None else segment_tiles_agl(segments, airports, zoom, max_agl, width)
     # an aircraft that stands still repeats its segments: they are one before they meet
-    parts = stage(parts.select("tx", "ty", F.xxhash64(key, "flight_no").alias("flight"), "x0", "y0", "x1", "y1").distinct(), "tile-parts")
-    busy = parts.groupBy("tx", "ty").agg(F.ceil(F.count(F.lit(1)) / DRAW_ROWS).alias("_shares")).where("_shares > 1")
+    longer = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))
+    steps = F.ceil(longer * (F.col("u1") - F.col("u0"))) + 1 + 2 * width
+    parts = stage(parts.select("tx", "ty", F.xxhash64(key, "flight_no").alias("flight"), "x0", "y0", "x1", "y1", steps.alias("steps")).distinct(), "tile-parts")
+    busy = parts.groupBy("tx", "ty").agg(F.ceil(F.greatest(F.count(F.lit(1)) / DRAW_ROWS, F.sum("steps") / DRAW_STEPS)).alias("_shares")).where("_shares > 1")
     dealt = dimension_join(parts, busy, ["tx", "ty"], "left").withColumn("_share", F.coalesce(F.pmod("flight", "_shares"), F.lit(0)).cast("int"))
 
     def draw(group: pa.Table) -> pa.Table:
         tx, ty = (group.column(c)[0].as_py() for c in ("tx", "ty"))
-        flight, x0, y0, x1, y1 = (group.column(c).to_numpy() for c in ("flight", "x0", "y0", "x1", "y1"))
+        flight, x0, y0, x1, y1, steps = (group.column(c).to_numpy() for c in ("flight", "x0", "y0", "x1", "y1", "steps"))
         flight = np.unique(flight, return_inverse=True)[1]
-        marks = []
-        for lo in range(0, len(flight), DRAW_AT_ONCE):
-            hi = lo + DRAW_AT_ONCE
+        marks, cuts = [], np.flatnonzero(np.diff(np.cumsum(steps) // DRAW_AT_ONCE)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(flight)]):
+            if sum(map(len, marks)) > MARKS_HELD:
+                marks = [np.unique(np.concatenate(marks))]
             x, y, which = line_pixels(x0[lo:hi], y0[lo:hi], x1[lo:hi], y1[lo:hi], width, tx * tiles.TILE, ty * tiles.TILE)
             own = (x >= 0) & (x < tiles.TILE) & (y >= 0) & (y < tiles.TILE)
             marks.append(np.unique(flight[lo:hi][which[own]] * tiles.TILE**2 + y[own] * tiles.TILE + x[own]))
@@ -172,10 +176,10 @@ def colored(pixels: DataFrame) -> DataFrame:
                                              tiles.density_alpha("cnt").alias("a")).drop("_c")
 
 
-def pyramid(px: DataFrame, source_zoom: int, min_zoom: int = 3, fold: int = 3) -> DataFrame:
+def pyramid(px: DataFrame, source_zoom: int, min_zoom: int = 3, fold: int = 2) -> DataFrame:
     """All parent zooms.  ``fold`` zooms are made in one task from the pixels below a common
     ancestor tile, so rows are shuffled once for each ``fold`` zooms; only the coarsest of
-    them, 64 times fewer pixels, goes on."""
+    them, 16 times fewer pixels, goes on. A task holds the pixels of 16 tiles, a million, at most."""
     levels, cur, zoom = None, px.select("tx", "ty", "px", "py", "r", "g", "b", "a"), source_zoom
     while zoom > min_zoom:
         depth = min(fold, zoom - min_zoom)
@@ -206,20 +210,23 @@ def _halved(v: dict[str, np.ndarray], floor: int, gamma: float) -> dict[str, np.
 
     Absent pixels count as transparent, so sums divide by four.
     """
-    v = {c: x[v["a"] > floor] for c, x in v.items()}
-    half, side = tiles.TILE // 2, 2 * tiles.TILE
-    x, y = v["tx"] * side + v["px"], v["ty"] * side + v["py"]  # a tile's pixels lie together
-    key = np.stack([v["tx"] // 2, v["ty"] // 2, v["tx"] % 2 * half + v["px"] // 2, v["ty"] % 2 * half + v["py"] // 2])
-    order = np.lexsort((x, y, *key[::-1]))
-    key, alpha = key[:, order], v["a"][order] / 255.0
-    begins = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))) if key.shape[1] else np.zeros(0, np.int64)
+    keep = v["a"] > floor
+    x, y = ((v[t][keep] * tiles.TILE + v[p][keep]) for t, p in (("tx", "px"), ("ty", "py")))
+    # the pixel above and the place in it, as one number
+    key = ((x >> 1) << 32 | y >> 1) << 2 | (y & 1) << 1 | x & 1
+    del x, y
+    order = np.argsort(key)
+    key = key[order] >> 2
+    alpha = v["a"][keep][order] / 255.0
+    begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     mean = lambda w: np.add.reduceat(w, begins) / 4 if len(begins) else np.zeros(0)
     a = mean(alpha)
     safe = np.where(a > 1.0 / 255.0, a, 1.0)
     # 1e-9 keeps sums that are whole up to rounding from truncating one lower
     byte = lambda w: np.floor(np.clip(w, 0.0, 255.0) + 1e-9).astype(np.int64)
-    out = dict(zip(("tx", "ty", "px", "py"), key[:, begins]))
-    out |= {c: byte(mean(v[c][order] * alpha) / safe) for c in "rgb"}
+    x, y = key[begins] >> 32, key[begins] & 0xFFFFFFFF
+    out = {"tx": x // tiles.TILE, "ty": y // tiles.TILE, "px": x % tiles.TILE, "py": y % tiles.TILE}
+    out |= {c: byte(mean(v[c][keep][order] * alpha) / safe) for c in "rgb"}
     return out | {"a": byte(np.power(a, gamma) * 255.0)}
 
 
