@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +45,36 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> It
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def release() -> None:
+    """Give memory that is free back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(step: Callable) -> Callable:
+    """A step over batches whose worker holds no freed memory while it waits for the next task, up to a minute
+    and beside the executor's next stage."""
+    @functools.wraps(step)
+    def run(batches: Iterator[pa.RecordBatch], *rest) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches, *rest)
+        finally:
+            release()
+
+    return run
+
+
+def released_group(step: Callable) -> Callable:
+    """The same for a step over one group."""
+    @functools.wraps(step)
+    def run(table: pa.Table, *rest) -> pa.Table:
+        try:
+            return step(table, *rest)
+        finally:
+            release()
+
+    return run

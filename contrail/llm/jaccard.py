@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from contrail.session import stage
 
-from .common import partitions, small_batches
+from .common import partitions, released, released_group, small_batches
 
 SHINGLE = 5
 SMALL = 64
@@ -223,6 +223,7 @@ def digests(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 PROFILE = "_id long, _mark long, _n long, _c1 long, _c2 long, _own long, _low long"
 
 
+@released
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size, digests and number of non-empty segments in both roles of each text's set."""
     for batch in batches:
@@ -257,6 +258,7 @@ def _rows(made: list[dict], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
 _BLOB = {"_bucket": pa.int32(), "_sets": pa.binary(), "_of": pa.binary(), "_keys": pa.binary()}
 
 
+@released
 def _all_signatures(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Blobs of all exact signatures, of several chunks at a time."""
     held: list[tuple] = []
@@ -329,6 +331,7 @@ def _gathered(table: pa.Table) -> pa.Table:
         "_counts": pa.array([counts[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())})
 
 
+@released_group
 def _shared(table: pa.Table, groups: int) -> pa.Table:
     """Of one bucket, the signatures that several sets have, and how many."""
     sets, keys, flags = _entries(table)
@@ -401,6 +404,7 @@ def _numbers_of(keys: bytes | None, counts: bytes | None, wanted: np.ndarray) ->
     return np.where(have[place] == (wanted & LOW), number[place], 0).astype(float)
 
 
+@released
 def _live_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The whole set of each live text, if the text still is the expected one: the number of other sets at
     each segment, bits for the shared ones of the next band, and the spots whose second units it may want."""
@@ -445,6 +449,7 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray,
 ALLOTTED = "_rep long, _once binary, _twice binary, _spots array<bigint>"
 
 
+@released
 def _allotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bit per segment for a unit on a shared one, and for a second unit on an own one; the spots of the latter."""
     for batch in batches:
@@ -495,6 +500,7 @@ def _ask(new: np.ndarray, sets: np.ndarray, keys: list, of: list) -> None:
     of.append(sets.astype(np.int64) << 2 | PROBE)
 
 
+@released
 def _questions(batches: Iterator[pa.RecordBatch], buckets: int, spots: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Blobs to learn what second units would find in sets that lack one shingle, of sets that want to know."""
     for batch in batches:
@@ -506,6 +512,7 @@ def _questions(batches: Iterator[pa.RecordBatch], buckets: int, spots: np.ndarra
             yield _rows(list(_blobs(part.column(0).to_numpy(), np.concatenate(of), np.concatenate(keys), buckets)), _BLOB)
 
 
+@released_group
 def _answers(table: pa.Table, groups: int) -> pa.Table:
     """For each set that asks in a bucket, the signatures that others index there, and how many."""
     sets, keys, flags = _entries(table)
@@ -518,6 +525,7 @@ def _answers(table: pa.Table, groups: int) -> pa.Table:
     return _to_groups(sets[hit], flags[hit], keys[hit], found[hit], groups)
 
 
+@released
 def _lookups(batches: Iterator[pa.RecordBatch], buckets: int, spots: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Blobs of the live sets: indexed and looked-up signatures."""
     for batch in batches:
@@ -553,6 +561,7 @@ def _runs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return sets, flags, begin[held], end[held]
 
 
+@released_group
 def _stars(table: pa.Table) -> pa.Table:
     """Distinct pairs of each run's smallest member with the others, if their sizes allow a link."""
     sets, _, begin, end = _runs(table)
@@ -567,6 +576,7 @@ def _stars(table: pa.Table) -> pa.Table:
 CROSS = "_group long, _a long, _b long"
 
 
+@released_group
 def _cross(table: pa.Table) -> pa.Table:
     """Of runs whose members are not all joined yet: pairs of members that are not, or, of long runs,
     no pairs but rows (component of the smallest member, member, whether it looks up)."""
@@ -593,6 +603,7 @@ def _cross(table: pa.Table) -> pa.Table:
         "_a": np.concatenate((two[:, 0], three[:, 1])), "_b": np.concatenate((two[:, 1], three[:, 2]))})
 
 
+@released_group
 def _met(block: pa.Table) -> pa.Table:
     """Links between sets that look up and sets of other components, both in blocks: one link for
     each asking set and component. Overlaps are counted by an index of the shingles."""
@@ -646,6 +657,7 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (4 * a >= 3 * b) & (4 * b >= 3 * a)
 
 
+@released
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose whole sets reach the similarity."""
     for batch in batches:
@@ -664,6 +676,7 @@ SKETCH_BITS = 2048
 SKETCHED = "_rep long, _n long, _sketch binary"
 
 
+@released
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parity of the number of shingles that hash to each bit: where two sketches differ, the sets do."""
     for batch in batches:
@@ -672,6 +685,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], names=["_rep", "_n", "_sketch"])
 
 
+@released
 def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sketches differ in no more bits than linked sets can differ in shingles."""
     for batch in batches:
@@ -693,6 +707,7 @@ def verified(pairs: DataFrame, live: DataFrame) -> DataFrame:
     return near.join(x, "_a").join(y, "_b").select("_a", "_b", "_x", "_y").mapInArrow(_linked, PAIRS)
 
 
+@released
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links as stars, a bounded number at once: each node with the smallest one that these links join it to."""
     held: list[np.ndarray] = []

@@ -5,7 +5,7 @@ import glob
 import numpy as np
 import pytest
 
-from contrail.llm import jaccard
+from contrail.llm import common, jaccard
 from contrail.session import shared_dir
 
 
@@ -39,3 +39,18 @@ def test_components_join_what_a_task_holds(spark, monkeypatch, at_once):
 
 def test_components_of_no_links(spark):
     assert jaccard.components(spark.createDataFrame([], "_a long, _b long")).collect() == []
+
+
+def test_free_memory_goes_back():
+    """pipeline: a worker that waits keeps no memory of the task behind it."""
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    def step(batches):
+        blocks, _held = [np.ones(8000) for _ in range(2000)], held.append(np.ones(8000))
+        yield from batches
+
+    held, before = [], resident()
+    assert list(common.released(step)([1, 2])) == [1, 2]
+    assert resident() - before < 64 << 20
