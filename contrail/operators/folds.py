@@ -29,6 +29,8 @@ from ..session import stage, task_count
 from .timeline import SLICE_S, SLICE, running, sliced
 
 LIMITS = "array<array<double>>"
+# Slices that a walk with coupled pauses goes through before it hands its state on, at least.
+STRETCH_SLICES = 64
 
 
 def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
@@ -246,11 +248,12 @@ def paced(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], a
     are walked in (time, order), which must be unique within a key.
 
     What a slice does depends on every actor's last firing, so it has no short
-    description.  Slices are therefore walked in parallel from an assumed state, and
-    those whose predecessor ends in another state than assumed are walked again, until
-    none is left.  A state holds only firings still within a pause, so quiet stretches
-    settle in one round; rounds never exceed the slices of a key.  Slices that keep
-    disagreeing are as sequential as the rule itself.
+    description.  Stretches of consecutive slices are therefore walked in parallel from an
+    assumed state, and those whose predecessor ends in another state than assumed are walked
+    again, up to the slice that ends as it did before, until none is left.  A state holds only
+    firings still within a pause.  Walks from two states meet after some slices, and a stretch is
+    long against that, so rounds stay few whatever the length of the data.  A task holds one slice
+    at a time.  Walks that never meet are as sequential as the rule itself.
     """
     keys = list(keys)
     position = [*keys, time, *order]
@@ -261,57 +264,94 @@ def paced(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], a
     ddl = lambda names: ", ".join(f"`{c}` {fields[c]}" for c in names)
     n = task_count(df)
     late = 60.0  # a row's actors may have been heard this much before the row
-
-    def pace(pdf: pd.DataFrame) -> tuple[np.ndarray, dict]:
-        who, at = pdf["_who"].iloc[0], pdf["_at"].iloc[0]
-        last = {} if who is None else dict(zip(who, at))
-        wait, wait_all = float(pdf[pause].iloc[0]), float(pdf[key_pause].iloc[0])
-        names = [pdf[a].to_list() for a, _ in actors]
-        times = [pdf[t].to_list() for _, t in actors]
-        fired = np.zeros(len(pdf), dtype=bool)
-        for i in range(len(pdf)):
+    slices = stage(base.select(*part).distinct(), "paced")
+    long = max(STRETCH_SLICES, -(-slices.count() // (4 * n)))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(SLICE)) - 1
+    slices = slices.withColumn("_stretch", F.floor(place / long))
+
+    def pace(columns: list[list], lo: int, hi: int, last: dict, wait: float, wait_all: float) -> list[int]:
+        """Rows lo..hi that fire; ``last`` is left as the walk leaves it."""
+        fired, quiet = [], last.get("", -np.inf)
+        own, at = columns[0], columns[1]
+        for i in range(lo, hi):
             ready = True
-            for name, when in zip(names, times):
-                if isinstance(name[i], str):
-                    ready &= when[i] - last.get(name[i], -np.inf) >= wait and when[i] - last.get("", -np.inf) >= wait_all
+            for name, when in zip(columns[::2], columns[1::2]):
+                who = name[i]
+                if isinstance(who, str) and (when[i] - quiet < wait_all or when[i] - last.get(who, -np.inf) < wait):
+                    ready = False
+                    break
             if ready:
-                fired[i] = True
-                last[names[0][i]] = last[""] = times[0][i]
-        end = (pdf[SLICE].iloc[0] + 1) * width - late
-        return fired, {k: v for k, v in last.items() if end - v < (wait if k else wait_all)}
+                fired.append(i)
+                last[own[i]] = quiet = at[i]
+        if fired:
+            last[""] = quiet
+        return fired
+
+    def actor_lists(pdf: pd.DataFrame) -> list[list]:
+        return [pdf[c].to_list() for a in actors for c in a]
+
+    def state_of(who, at) -> dict:
+        return {} if who is None else dict(zip(who, at))
 
     def leave(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stretch, last, met = None, {}, False
         for pdf, bounds in _groups(batches, part):
-            ends = [pace(pdf.iloc[lo:hi])[1] for lo, hi in zip(bounds, bounds[1:])]
-            out = pdf.iloc[bounds[:-1]][[*part, "_who", "_at"]].reset_index(drop=True)
-            out["_who2"] = [sorted(e) or None for e in ends]
-            out["_at2"] = [[e[k] for k in sorted(e)] or None for e in ends]
-            yield out
+            columns, out = actor_lists(pdf), []
+            heads = pdf.iloc[bounds[:-1]]
+            heads = heads[[*part, "_stretch", "_who", "_at", "_who0", "_at0", pause, key_pause]].reset_index(drop=True)
+            for g, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+                h = heads.loc[g]
+                if (own := (*h[keys], h["_stretch"])) != stretch:
+                    stretch, last, met = own, state_of(h["_who"], h["_at"]), False
+                if met:
+                    continue
+                wait, wait_all = float(h[pause]), float(h[key_pause])
+                before = dict(last)
+                pace(columns, lo, hi, last, wait, wait_all)
+                end = (h[SLICE] + 1) * width - late
+                last = {k: v for k, v in last.items() if end - v < (wait if k else wait_all)}
+                met = h["_who0"] is not None and last == state_of(h["_who0"], h["_at0"])
+                out.append((*h[part], h["_stretch"], *listed(before), *listed(last)))
+            if out:
+                yield pd.DataFrame(out, columns=[*part, "_stretch", "_who", "_at", "_who2", "_at2"])
+
+    def listed(state: dict) -> tuple[list, list]:
+        return sorted(state), [state[k] for k in sorted(state)]
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, bounds in _groups(batches, part):
-            chosen = np.concatenate([pace(pdf.iloc[lo:hi])[0] for lo, hi in zip(bounds, bounds[1:])])
-            yield pdf.loc[chosen, position]
+            columns, chosen = actor_lists(pdf), []
+            for lo, hi in zip(bounds, bounds[1:]):
+                h = pdf.iloc[lo]
+                chosen += pace(columns, lo, hi, state_of(h["_who"], h["_at"]), float(h[pause]), float(h[key_pause]))
+            yield pdf.iloc[chosen][position]
 
-    state = "_who array<string>, _at array<double>"
-    walked = f"{ddl(part)}, {state}, _who2 array<string>, _at2 array<double>"
+    walked = f"{ddl(part)}, _stretch bigint, _who array<string>, _at array<double>, _who2 array<string>, _at2 array<double>"
 
-    def entered(states: DataFrame) -> DataFrame:
+    def entered(states: DataFrame, whole: list[str]) -> DataFrame:
         right = states.withColumnsRenamed({c: f"_c_{c}" for c in part})
-        return base.join(right, _all_equal(base, part)).drop(*[f"_c_{c}" for c in part]).repartition(n, *part).sortWithinPartitions(*part, *sort)
+        rows = base.join(right, _all_equal(base, part)).drop(*[f"_c_{c}" for c in part])
+        return rows.repartition(n, *whole).sortWithinPartitions(*whole, *part, *sort)
 
-    todo = base.select(*part).distinct().select("*", F.lit(None).cast("array<string>").alias("_who"), F.lit(None).cast("array<double>").alias("_at"))
+    names, numbers = (F.array().cast(f"array<{kind}>") for kind in ("string", "double"))
+    todo = slices.select(*keys, "_stretch").distinct().select("*", names.alias("_who"), numbers.alias("_at"))
     done = None
     while True:
-        fresh = entered(todo).mapInPandas(leave, walked)
-        done = stage(fresh if done is None else done.join(todo.select(*part), part, "left_anti").unionByName(fresh), "paced")
+        asked = slices.join(todo, [*keys, "_stretch"])
+        if done is None:
+            asked = asked.withColumn("_who0", F.lit(None).cast("array<string>")).withColumn("_at0", F.lit(None).cast("array<double>"))
+        else:
+            asked = asked.join(done.select(*part, F.col("_who2").alias("_who0"), F.col("_at2").alias("_at0")), part)
+        fresh = stage(entered(asked, [*keys, "_stretch"]).mapInPandas(leave, walked), "paced")
+        done = fresh if done is None else stage(done.join(fresh.select(*part), part, "left_anti").unionByName(fresh), "paced")
         before = Window.partitionBy(*keys).orderBy(SLICE)
-        seen = done.select(*part, "_who", "_at", F.lag("_who2").over(before).alias("_who1"), F.lag("_at2").over(before).alias("_at1"))
-        wrong = ~(F.col("_who").eqNullSafe(F.col("_who1")) & F.col("_at").eqNullSafe(F.col("_at1")))
-        todo = stage(seen.where(wrong).select(*part, F.col("_who1").alias("_who"), F.col("_at1").alias("_at")), "paced")
+        left = lambda c, none: F.coalesce(F.lag(c).over(before), none)
+        seen = done.select("*", left("_who2", names).alias("_who1"), left("_at2", numbers).alias("_at1"))
+        wrong = (F.col("_who") != F.col("_who1")) | (F.col("_at") != F.col("_at1"))
+        todo = stage(seen.where(wrong).select(*keys, "_stretch", F.col("_who1").alias("_who"), F.col("_at1").alias("_at")), "paced")
         if todo.isEmpty():
             break
-    fired = entered(done.select(*part, "_who", "_at")).mapInPandas(choose, ddl(position))
+    fired = entered(done.select(*part, "_who", "_at"), part).mapInPandas(choose, ddl(position))
     return _keep(df, fired, position)
 
 
