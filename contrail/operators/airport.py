@@ -13,7 +13,7 @@ from ..session import stage
 from .automata import longest_runs, visits_and_pieces
 from .los import nearest_airports
 from .skew import dimension_join, exact_rank
-from .timeline import SLICE, SLICE_S, timeline
+from .timeline import SLICE, SLICE_S, sliced
 
 # Fixed values.
 BAND_BELOW_FT, BAND_ABOVE_FT = -200, 4000
@@ -115,8 +115,9 @@ def airport_points(shards: DataFrame, airports: DataFrame, radius_nm: float = 5.
 
 
 def coverage_steps(points: DataFrame, width: float = SLICE_S) -> DataFrame:
-    """Reports with what coverage asks of them, and of the one before in their track; written, since tracks
-    and gaps both read them.
+    """What coverage asks of reports, and of the one before in their track, counted within slices of time: a row for each
+    slice of a track (``in_slice``), which holds what its neighbours need, and one for each (icao, date, gap).
+    Written, since tracks and gaps both read it; reports are shuffled once.
 
     ``points``: icao, date, hex, now, seq, lat, lon, alt_baro, elev, ap_lat, ap_lon.
     """
@@ -126,8 +127,28 @@ def coverage_steps(points: DataFrame, width: float = SLICE_S) -> DataFrame:
     rows = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).withColumn("inside", inside).select(
         *TRACK, "now", "seq", "inside", yes(F.col("inside") & alt.between(elev + CORRIDOR_LOW_FT, elev + CORRIDOR_HIGH_FT)).alias("in_corridor"),
         yes(F.col("inside") & (alt < elev + CORRIDOR_LOW_FT)).alias("descended"), yes(alt <= elev + SURFACE_FT).alias("surface"))
-    rows = timeline(stage(rows, "coverage-points"), TRACK, "now", ["seq"], lag=["inside"], width=width)
-    return stage(rows.withColumn("gap", F.col("now") - F.col("prev1.now")).withColumn("flip", F.coalesce(F.col("prev1.inside") != F.col("inside"), F.lit(False))).drop("prev1", "now", "seq", "inside"), "coverage-steps")
+    # sorted by a number first: of two slices it tells the order without comparing keys
+    rows = sliced(rows, "now", width).withColumn("_key", F.xxhash64(*TRACK, SLICE))
+    w = Window.partitionBy("_key", *TRACK, SLICE).orderBy("now", "seq")
+    rows = rows.withColumn("_now1", F.lag("now").over(w)).withColumn("_in1", F.lag("inside").over(w)).withColumn("_more", F.lead(F.lit(1)).over(w))
+    rows = rows.withColumn("gap", _gap(F.col("now") - F.col("_now1"))).withColumn("_gap", F.col("gap"))
+    per = rows.groupingSets([[*TRACK, SLICE], ["icao", "date", "gap"]], *TRACK, SLICE, "gap").agg(
+        (F.grouping("hex") == 0).alias("in_slice"), F.count(F.lit(1)).alias("times"), F.count_if(F.col("_in1") != F.col("inside")).alias("flips"),
+        *[F.bool_or(c).alias(c) for c in ("in_corridor", "descended", "surface")], F.max("_gap").alias("widest"),
+        F.min("now").alias("first_now"), F.max("now").alias("last_now"),
+        F.bool_or(F.when(F.col("_now1").isNull(), F.col("inside"))).alias("first_in"), F.bool_or(F.when(F.col("_more").isNull(), F.col("inside"))).alias("last_in"))
+    return stage(per, "coverage-steps")
+
+
+def _gap(seconds: Column) -> Column:
+    return F.when((seconds > 0) & (seconds <= MAX_GAP_S), seconds)
+
+
+def _edges(steps: DataFrame) -> DataFrame:
+    """Slices of tracks, with the gap and the change between a slice and the one before."""
+    w = Window.partitionBy(*TRACK).orderBy(SLICE)
+    slices = steps.where("in_slice").withColumn("gap", _gap(F.col("first_now") - F.lag("last_now").over(w)))
+    return slices.withColumn("flip", F.coalesce(F.lag("last_in").over(w) != F.col("first_in"), F.lit(False)))
 
 
 def coverage_tracks(points: DataFrame, width: float = SLICE_S) -> DataFrame:
@@ -136,20 +157,22 @@ def coverage_tracks(points: DataFrame, width: float = SLICE_S) -> DataFrame:
 
 
 def _tracks(steps: DataFrame) -> DataFrame:
-    return steps.groupBy(*TRACK).agg(
-        F.count(F.lit(1)).alias("points"), F.count_if("flip").alias("transitions"), *[F.bool_or(c).alias(c) for c in ("in_corridor", "descended", "surface")])
+    return _edges(steps).groupBy(*TRACK).agg(
+        F.sum("times").alias("points"), (F.sum("flips") + F.count_if("flip")).alias("transitions"), F.max(F.greatest("gap", "widest")).alias("widest"),
+        *[F.bool_or(c).alias(c) for c in ("in_corridor", "descended", "surface")])
 
 
 def coverage_gaps(points: DataFrame, width: float = SLICE_S) -> DataFrame:
-    """Gaps of up to 300 s between reports of tracks with at least three points."""
+    """Gaps of up to 300 s between reports of tracks with at least three points, counted per icao and date."""
     return _gaps(coverage_steps(points, width))
 
 
 def _gaps(steps: DataFrame) -> DataFrame:
-    big = steps.groupBy(*TRACK).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 3).drop("_n")
-    gaps = steps.where((F.col("gap") > 0) & (F.col("gap") <= MAX_GAP_S))
-    # distinct gaps per track first: the join then moves counts, not reports
-    return gaps.groupBy(*TRACK, "gap").agg(F.count(F.lit(1)).alias("times")).join(big, TRACK)
+    row = lambda df, n: df.where(F.col("gap").isNotNull()).select("icao", "date", "gap", n.alias("times"))
+    inner, edges = row(steps.where("not in_slice"), F.col("times")), row(_edges(steps), F.lit(1).cast("bigint"))
+    # a track of two points has one gap at most, its widest
+    short = row(_tracks(steps).where("points = 2").withColumn("gap", F.col("widest")), F.lit(-1).cast("bigint"))
+    return inner.unionByName(edges).unionByName(short).groupBy("icao", "date", "gap").agg(F.sum("times").alias("times")).where("times > 0")
 
 
 def coverage_quality(points: DataFrame, width: float = SLICE_S) -> DataFrame:

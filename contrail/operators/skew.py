@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 # A key is hot when it holds at least this share of the rows, so at most
 # 1 / HOT_SHARE keys can be hot and their list always fits a broadcast.
 HOT_SHARE = 1.0 / 256
@@ -52,7 +54,8 @@ def exact_rank(
     groups, counts = list(groups), "_times"
     each = F.count(F.lit(1)) if weight is None else F.sum(weight)
     vals = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(each.alias(counts))
-    vals = vals.withColumn("_bk", F.floor(F.col(value) / F.lit(float(bucket))))
+    # the histogram and the ranks both read them
+    vals = stage(vals.withColumn("_bk", F.floor(F.col(value) / F.lit(float(bucket)))), "values")
     hist = vals.groupBy(*groups, "_bk").agg(F.sum(counts).alias("_c"))
     w = Window.partitionBy(*groups).orderBy("_bk")
     hist = (
