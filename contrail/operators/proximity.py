@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..session import task_count
+from ..session import stage, task_count
 from .sequence import FLIGHT_GAP_S, HOLD_S, interpolated, second_of
 from .timeline import SLICE_S, running
 
@@ -79,7 +80,7 @@ def _cut(pieces: DataFrame) -> DataFrame:
     begins = F.array_sort(F.array_distinct(F.concat(F.array(s0), F.filter(F.concat(*ways), lambda t: (t > s0) & (t <= s1)))))
     rest = [c for c in pieces.columns if c not in ("s0", "s1")]
     out = pieces.withColumn("_begins", F.when(still, F.array(s0)).otherwise(begins))
-    out = out.select(*rest, "s1", "_begins", F.posexplode("_begins").alias("_i", "s0"))
+    out = out.select(*rest, "s1", "_begins", F.posexplode_outer("_begins").alias("_i", "s0"))
     return out.select(*rest, "s0", F.coalesce(F.get("_begins", F.col("_i") + 1) - 1, "s1").alias("s1"))
 
 
@@ -91,63 +92,73 @@ def _spread(pieces: DataFrame, reach_deg: Column, reach_lon: Column, reach_ft: C
         out = out.withColumn(f"{name}0", F.floor((F.least(a, b) - reach) / size)).withColumn(
             f"{name}1", F.floor((F.greatest(a, b) + reach) / size))
     out = out.withColumn("t0", F.floor(F.col("s0") / CELL_S)).withColumn("t1", F.floor(F.col("s1") / CELL_S))
-    for axis in "tyxz":
-        out = out.withColumn(f"c{axis}", F.explode(F.sequence(f"{axis}0", f"{axis}1")))
-    return out
+    # one number for each cell of the box, taken apart again
+    lengths = {axis: F.col(f"{axis}1") - F.col(f"{axis}0") + 1 for axis in "tyxz"}
+    out = out.withColumn("_k", F.explode_outer(F.sequence(F.lit(0).cast("bigint"), math.prod(lengths.values()) - 1))).where("_k is not null")
+    for axis, n in lengths.items():
+        out = out.withColumn(f"c{axis}", F.col(f"{axis}0") + F.col("_k") % n).withColumn("_k", ((F.col("_k") - F.col("_k") % n) / n).cast("bigint"))
+    return out.drop("_k")
 
 
 def _at(side: str, sec: Column) -> dict[str, Column]:
     p, q = F.col(f"{side}.p"), F.col(f"{side}.q")
     real = (p["now"] == q["now"]) | (sec == second_of(q["now"]))
-    mid = interpolated(p, {c: q[c] for c in ("lat", "lon", "alt_baro", "gs", "track")}, q["now"], sec)
+    mid = interpolated(p, {c: q[c] for c in ("lat", "lon", "alt_baro")}, q["now"], sec)
     out = {c: F.when(real, q[c]).otherwise(mid[c]) for c in ("lat", "lon", "alt_baro")}
     out["now"] = F.when(real, q["now"]).otherwise(sec.cast("double"))
     return out
 
 
-def _close_seconds(lateral_nm: float, vertical_ft: float, lo: Column, hi: Column) -> Column:
-    """Whole seconds of lo..hi at which two linear pieces can be in reach.
+def _close_seconds(met: DataFrame, lateral_nm: float, vertical_ft: float) -> DataFrame:
+    """Whole seconds (``sec``) at which two linear pieces, ``a`` and ``b``, can be in reach.
 
     Both aircraft move linearly, so their flat-earth offset does too, and the
     times within a radius are the span between two roots.  The radius carries a
     margin for the projection; the exact test follows.  The last second of a piece
     uses the report itself, which matters when its time is not whole.
+    Every step is a column of its own: an expression that holds the steps before it would work them out again. For the same
+    reason the seconds are exploded with ``explode_outer``: before a plain one Spark puts a filter that works its input out, too.
     """
     radius = lateral_nm * 1.02 + 0.005
-
-    def place(side: str, at: Column, field: str) -> Column:
-        p, q = F.col(f"{side}.p"), F.col(f"{side}.q")
-        span = q["now"] - p["now"]
-        f = F.when(span > 0, (at - p["now"]) / span).otherwise(0.0)
-        return p[field] + f * (q[field] - p[field])
-
-    top = F.greatest(*[F.abs(F.col(f"{s}.{e}.lat")) for s in "ab" for e in "pq"])
-    shrink = F.cos(F.radians(top)) * geo.NM_PER_DEGREE
-    a0, a1 = lo.cast("double"), hi.cast("double")
-    x0, x1 = ((place("a", t, "lon") - place("b", t, "lon")) * shrink for t in (a0, a1))
-    y0, y1 = ((place("a", t, "lat") - place("b", t, "lat")) * geo.NM_PER_DEGREE for t in (a0, a1))
-    z0, z1 = (place("a", t, "alt_baro") - place("b", t, "alt_baro") for t in (a0, a1))
-    apart = (F.least(z0, z1) > vertical_ft + 2) | (F.greatest(z0, z1) < -vertical_ft - 2)
-    v = F.struct(x0.alias("x"), y0.alias("y"), (x1 - x0).alias("dx"), (y1 - y0).alias("dy"))
-    qa = lambda u: u["dx"] * u["dx"] + u["dy"] * u["dy"]
-    qb = lambda u: u["x"] * u["dx"] + u["y"] * u["dy"]
-    qc = lambda u: u["x"] * u["x"] + u["y"] * u["y"] - radius * radius
-
-    def roots(u: Column) -> Column:
-        disc = qb(u) * qb(u) - qa(u) * qc(u)
-        still = qa(u) < 1e-12
-        first = F.when(still, 0.0).otherwise(F.greatest((-qb(u) - F.sqrt(disc)) / qa(u), F.lit(0.0)))
-        last = F.when(still, 1.0).otherwise(F.least((-qb(u) + F.sqrt(disc)) / qa(u), F.lit(1.0)))
-        meets = F.when(still, qc(u) <= 0).otherwise((disc >= 0) & (first <= last))
-        length = (hi - lo).cast("double")
-        return F.when(meets, F.sequence(
-            F.greatest(lo, lo + F.floor(first * length - 1e-6)), F.least(hi, lo + F.ceil(last * length + 1e-6))))
-
-    secs = F.element_at(F.transform(F.array(v), roots), 1)
-    whole = (F.col("a.q.now") == F.floor("a.q.now")) & (F.col("b.q.now") == F.floor("b.q.now"))
+    kept = met.columns
+    c = F.col
+    met = met.withColumns({"_lo": F.greatest("a.s0", "b.s0"), "_hi": F.least("a.s1", "b.s1")})
+    ends = {"0": c("_lo").cast("double"), "1": c("_hi").cast("double")}
+
+    def share(side: str, at: Column) -> Column:
+        begin, span = c(f"{side}.p.now"), c(f"{side}.q.now") - c(f"{side}.p.now")
+        return F.when(span > 0, (at - begin) / span).otherwise(0.0)
+
+    def place(side: str, end: str, field: str) -> Column:
+        return c(f"{side}.p.{field}") + c(f"_f{side}{end}") * (c(f"{side}.q.{field}") - c(f"{side}.p.{field}"))
+
+    def apart(end: str, field: str) -> Column:
+        return place("a", end, field) - place("b", end, field)
+
+    met = met.withColumns({f"_f{side}{end}": share(side, at) for side in "ab" for end, at in ends.items()})
+    top = F.greatest(*[F.abs(c(f"{s}.{e}.lat")) for s in "ab" for e in "pq"])
+    met = met.withColumn("_shrink", F.cos(F.radians(top)) * geo.NM_PER_DEGREE)
+    met = met.withColumns({f"_{x}{end}": apart(end, field) for x, field in (("x", "lon"), ("y", "lat"), ("z", "alt_baro")) for end in "01"})
+    met = met.withColumns({f"_x{end}": c(f"_x{end}") * c("_shrink") for end in "01"} | {f"_y{end}": c(f"_y{end}") * geo.NM_PER_DEGREE for end in "01"})
+    whole = (c("a.q.now") == F.floor("a.q.now")) & (c("b.q.now") == F.floor("b.q.now"))
+    high = (F.least("_z0", "_z1") > vertical_ft + 2) | (F.greatest("_z0", "_z1") < -vertical_ft - 2)
+    met = met.withColumns({"_whole": whole, "_high": F.coalesce(high, F.lit(False))})
+    met = met.withColumns({"_dx": c("_x1") - c("_x0"), "_dy": c("_y1") - c("_y0")})
+    met = met.withColumns({"_qa": c("_dx") * c("_dx") + c("_dy") * c("_dy"), "_qb": c("_x0") * c("_dx") + c("_y0") * c("_dy"),
+                           "_qc": c("_x0") * c("_x0") + c("_y0") * c("_y0") - radius * radius})
+    met = met.withColumns({"_disc": c("_qb") * c("_qb") - c("_qa") * c("_qc"), "_still": c("_qa") < 1e-12})
+    root = F.sqrt("_disc")
+    met = met.withColumns({
+        "_first": F.when(c("_still"), 0.0).otherwise(F.greatest((-c("_qb") - root) / c("_qa"), F.lit(0.0))),
+        "_last": F.when(c("_still"), 1.0).otherwise(F.least((-c("_qb") + root) / c("_qa"), F.lit(1.0)))})
+    meets = F.when(c("_still"), c("_qc") <= 0).otherwise((c("_disc") >= 0) & (c("_first") <= c("_last")))
+    met = met.withColumn("_meets", F.coalesce(meets, F.lit(False)) & ~(c("_whole") & c("_high")))
+    length = (c("_hi") - c("_lo")).cast("double")
+    secs = F.when(c("_meets"), F.sequence(
+        F.greatest(c("_lo"), c("_lo") + F.floor(c("_first") * length - 1e-6)), F.least(c("_hi"), c("_lo") + F.ceil(c("_last") * length + 1e-6))))
     none = F.array().cast("array<bigint>")
-    secs = F.coalesce(secs, none)
-    return F.when(whole & apart, none).when(whole, secs).otherwise(F.array_union(secs, F.array(hi)))
+    secs = F.when(c("_whole"), secs).otherwise(F.array_union(F.coalesce(secs, none), F.array("_hi")))
+    return met.select(*kept, F.explode_outer(secs).alias("sec")).where("sec is not null")
 
 
 def near_pairs(pieces: DataFrame, lateral_nm: float, vertical_ft: float) -> DataFrame:
@@ -164,7 +175,9 @@ def near_pairs(pieces: DataFrame, lateral_nm: float, vertical_ft: float) -> Data
     top = F.greatest(*[F.abs(F.col(f"{e}.lat").cast("double")) for e in "pq"])
     dx = geo.lon_reach(dy, top)
     cells = ["ct", "cy", "cx", "cz"]
-    pieces = _cut(pieces)
+    point = lambda e: F.struct(*[F.col(f"{e}.{c}").alias(c) for c in ("now", "lat", "lon", "alt_baro")])
+    # both sides of the join read them
+    pieces = stage(_cut(pieces.withColumns({"p": point("p"), "q": point("q")})), "cut-pieces")
     names = pieces.columns
     left = _spread(pieces, F.lit(dy), dx, F.lit(vertical_ft + 2.0)).select(F.struct(*names, *[f"{a}0" for a in "tyxz"]).alias("a"), *cells)
     right = _spread(pieces, F.lit(0.0), F.lit(0.0), F.lit(0.0)).select(F.struct(*names, *[f"{a}0" for a in "tyxz"]).alias("b"), *cells)
@@ -177,8 +190,7 @@ def near_pairs(pieces: DataFrame, lateral_nm: float, vertical_ft: float) -> Data
     met = left.repartition(n, *cells).join(right.repartition(n, *cells), cells).where(
         (F.col("a.tail") < F.col("b.tail")) & lowest
         & (F.col("a.s0") <= F.col("b.s1")) & (F.col("b.s0") <= F.col("a.s1")))
-    lo, hi = F.greatest("a.s0", "b.s0"), F.least("a.s1", "b.s1")
-    met = met.select("a", "b", F.explode(_close_seconds(lateral_nm, vertical_ft, lo, hi)).alias("sec"))
+    met = _close_seconds(met.select("a", "b"), lateral_nm, vertical_ft)
     sec = F.col("sec")
     one, two = _at("a", sec), _at("b", sec)
     ids = [c for c in names if c not in ("s0", "s1", "p", "q")]

@@ -116,15 +116,14 @@ def interpolated(prev: Column, cur: dict[str, Column], now: Column, at: Column)
     """Position at second ``at`` between two reports; altitude truncates to int
     and track follows the shorter arc."""
     f = (at.cast("double") - prev["now"]) / (now - prev["now"])
-    turn = cur["track"] - prev["track"]
-    turn = F.when(turn > 180, turn - 360).when(turn < -180, turn + 360).otherwise(turn)
-    return {
-        "lat": prev["lat"] + f * (cur["lat"] - prev["lat"]),
-        "lon": prev["lon"] + f * (cur["lon"] - prev["lon"]),
-        "alt_baro": (prev["alt_baro"] + f * (cur["alt_baro"] - prev["alt_baro"])).cast("bigint"),
-        "gs": prev["gs"] + f * (cur["gs"] - prev["gs"]),
-        "track": F.pmod(prev["track"] + f * turn, F.lit(360.0)),
-    }
+    out = {c: prev[c] + f * (cur[c] - prev[c]) for c in cur}
+    if "alt_baro" in cur:
+        out["alt_baro"] = out["alt_baro"].cast("bigint")
+    if "track" in cur:
+        turn = cur["track"] - prev["track"]
+        turn = F.when(turn > 180, turn - 360).when(turn < -180, turn + 360).otherwise(turn)
+        out["track"] = F.pmod(prev["track"] + f * turn, F.lit(360.0))
+    return out
 
 
 def resample(steps: DataFrame) -> DataFrame:
@@ -137,7 +136,8 @@ def resample(steps: DataFrame) -> DataFrame:
     first = second_of(F.col("prev.now")) + 1
     fill = (F.col("now") - F.col("prev.now") > 1) & (first < last)
     secs = F.when(fill, F.sequence(first, last)).otherwise(F.array(last))
-    rows = steps.withColumn("sec", F.explode(secs))
+    # never empty; before a plain explode Spark puts a filter that works the seconds out, too
+    rows = steps.withColumn("sec", F.explode_outer(secs))
     real = F.col("sec") == last
     cols = ("lat", "lon", "alt_baro", "gs", "track")
     mid = interpolated(F.col("prev"), {c: F.col(c) for c in cols}, F.col("now"), F.col("sec"))
