@@ -18,7 +18,7 @@ from ..functions.times import as_timestamp, hhmm_utc, in_time_ranges
 from ..operators import folds, proximity, regions, sequence
 from ..operators.skew import dimension_join
 from ..operators.timeline import SLICE_S, running, timeline
-from ..session import stage
+from ..session import stage, task_count
 
 CONDITIONS = {
     "proximity", "aircraft_list", "exclude_aircraft_list", "one_in_aircraft_list", "exclude_aircraft_substrs", "min_alt", "max_alt",
@@ -43,6 +43,8 @@ MEMBER = ("tail", "flight_id", "seq", "hex", "life_no", "inside", "was_inside",
           "baro_rate", "gs", "track")
 # A check for close pairs runs this often and looks at reports up to this old.
 CHECK_S, FRESH_S = 5.0, 5
+# Points that one task counts the aircraft of, about.
+SECOND_ROWS = 1_000_000
 EVENT_MARKER = "CSV OUTPUT FOR POSTPROCESSING: "
 
 
@@ -453,10 +455,19 @@ class Engine:
         for handler in self.point_handlers:
             handler(points)
         if self.second_handlers:
-            seconds = points.groupBy("sec").agg(F.count(F.lit(1)).alias("points"), F.countDistinct("tail").alias("aircraft"))
+            seconds = self._seconds(points)
             for handler in self.second_handlers:
                 handler(seconds)
 
+    @staticmethod
+    def _seconds(points: DataFrame) -> DataFrame:
+        """Points and aircraft of each second. What is counted is written first, so a task gets about ``SECOND_ROWS`` of it
+        however many there are; it is dealt by second once, for both counts."""
+        seen = stage(points.select("sec", "tail"), "seconds")
+        tasks = max(task_count(points), -(-seen.count() // SECOND_ROWS))
+        dealt = seen.repartition(tasks, "sec")
+        return dealt.groupBy("sec").agg(F.count(F.lit(1)).alias("points"), F.countDistinct("tail").alias("aircraft"))
+
     def dispatch(self, fired: DataFrame) -> None:
         for name, body in self.rules.rules.items():
             wanted = [name, (body["actions"] or {}).get("callback")]
