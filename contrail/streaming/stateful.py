@@ -37,32 +37,56 @@ def _arm(state: GroupState, due: float) -> None:
     state.setTimeoutTimestamp(max(int(due * 1000), state.getCurrentWatermarkMs() + 1))
 
 
+# Rows that leave a key's Python function at once.
+OUT_ROWS = 20_000
+
 TRACK_SCHEMA = "tail string, kind string, seq bigint, now double, life_start double, was_inside array<string>, inside array<string>"
 
 
 def track(reports: DataFrame, expire_s: float = EXPIRE_S) -> DataFrame:
     """Reports (tail, now, seq, inside, event_time) with the regions of the report
-    before, and one 'expired' row with the final state of every ended life."""
+    before, and one 'expired' row with the final state of every ended life.
+
+    A batch's reports of a key are held as numbers, with one list for each set of regions, and rows
+    leave in pieces, so a task holds some 20 bytes a report.
+    """
+    names = ["tail", "kind", "seq", "now", "life_start", "was_inside", "inside"]
+
     def step(key, batches, state: GroupState):
-        out = []
         if state.hasTimedOut:
             start, last, seq, inside = state.get
-            out.append((key[0], "expired", seq, last, start, None, list(inside)))
             state.remove()
-        else:
-            cur = state.get if state.exists else None
-            for r in _sorted(batches, ["now", "seq"]).itertuples(index=False):
-                inside = [None if x is None else str(x) for x in r.inside]
-                if cur is not None and r.now - cur[1] > expire_s:
+            yield pd.DataFrame([(key[0], "expired", seq, last, start, None, list(inside))], columns=names)
+            return
+        cur = state.get if state.exists else None
+        regions, numbers, parts = [], {}, []
+        for pdf in batches:
+            codes = np.empty(len(pdf), "int32")
+            for i, inside in enumerate(pdf["inside"]):
+                own = tuple(None if x is None else str(x) for x in inside)
+                if own not in numbers:
+                    numbers[own] = len(regions)
+                    regions.append(list(own))
+                codes[i] = numbers[own]
+            parts.append((pdf["now"].to_numpy("float64"), pdf["seq"].to_numpy("int64"), codes))
+        now, seq, codes = (np.concatenate([p[j] for p in parts]) for j in range(3))
+        del parts
+        order = np.lexsort((seq, now))
+        for lo in range(0, len(order), OUT_ROWS):
+            at, out = order[lo:lo + OUT_ROWS], []
+            for t, n, c in zip(now[at].tolist(), seq[at].tolist(), codes[at].tolist()):
+                inside = regions[c]
+                if cur is not None and t - cur[1] > expire_s:
                     out.append((key[0], "expired", cur[2], cur[1], cur[0], None, list(cur[3])))
                     cur = None
                 was = [None] * len(inside) if cur is None else list(cur[3])
-                start = float(r.now) if cur is None else cur[0]
-                out.append((key[0], "report", int(r.seq), float(r.now), start, was, inside))
-                cur = (start, float(r.now), int(r.seq), inside)
-            state.update(cur)
-            _arm(state, cur[1] + expire_s)
-        yield pd.DataFrame(out, columns=["tail", "kind", "seq", "now", "life_start", "was_inside", "inside"])
+                start = t if cur is None else cur[0]
+                out.append((key[0], "report", n, t, start, was, inside))
+                cur = (start, t, n, inside)
+            if lo + OUT_ROWS >= len(order):
+                state.update(cur)
+                _arm(state, cur[1] + expire_s)
+            yield pd.DataFrame(out, columns=names)
 
     rows = reports.select("tail", "seq", "now", "inside", "event_time")
     return rows.groupBy("tail").applyInPandasWithState(
