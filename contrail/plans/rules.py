@@ -44,7 +44,7 @@ MEMBER = ("tail", "flight_id", "seq", "hex", "life_no", "inside", "was_inside",
 # A check for close pairs runs this often and looks at reports up to this old.
 CHECK_S, FRESH_S = 5.0, 5
 # Points that one task counts the aircraft of, about.
-SECOND_ROWS = 1_000_000
+SECOND_ROWS = 2_000_000
 EVENT_MARKER = "CSV OUTPUT FOR POSTPROCESSING: "
 
 
