@@ -22,13 +22,16 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stage, task_count
+from ..session import stage, task_count, tasks_for
 from .timeline import SLICE_S, SLICE, running, sliced
 
 LIMITS = "array<array<double>>"
+# Rows that a task of heading decimation holds, about.
+TRACK_ROWS = 1_000_000
 # Slices that a walk with coupled pauses goes through before it hands its state on, at least.
 STRETCH_SLICES = 64
 
@@ -59,40 +62,46 @@ def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd
         yield held, np.array([0, len(held)])
 
 
+def _lists(slices: pa.StructArray, names: Sequence[str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Lists of numbers of a batch of slices, as flat arrays with the bounds that all of them share."""
+    lists = [slices.field(c) for c in names]
+    return {c: x.values.to_numpy(zero_copy_only=False) for c, x in zip(names, lists)}, lists[0].offsets.to_numpy()
+
+
 def _split_fold(
     df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], values: Sequence[str], width: float,
-    describe: Callable, advance: Callable, walk: Callable,
+    describe: Callable, advance: Callable, walk: Callable, tasks: int,
 ) -> DataFrame:
-    """Positions (keys, time, order) of the kept rows.
+    """The kept rows.
 
     ``describe(v) -> rows``, ``advance(state, rows) -> state``,
     ``walk(v, state, final) -> kept mask``.  ``v`` is a dict of numpy arrays in row
     order.  A state is a list of floats, or None before the first kept row;
-    ``walk`` also learns whether the slice is the key's last.
+    ``walk`` also learns whether the slice is the key's last.  Rows have four numbers.
+
+    Rows are shuffled once, into one array a slice, and stay in it: Python sees only the values
+    that the walk reads and answers with the places of the kept rows.
     """
     keys, values = list(keys), list(dict.fromkeys(values))
-    # only what the walk reads passes through Python
-    slim = list(dict.fromkeys([*keys, time, *order, *values]))
-    base = sliced(df.select(*slim), time, width)
+    part = [*keys, SLICE]
+    base = sliced(df, time, width)
     fields = {f.name: f.dataType.simpleString() for f in base.schema.fields}
-    part, sort = [*keys, SLICE], [time, *order]
     ddl = lambda names: ", ".join(f"`{c}` {fields[c]}" for c in names)
     # a fixed number of partitions: AQE would merge small ones and serialise the Python work
-    n = task_count(df)
-    base = base.repartition(n, *part)
+    record = F.struct(*dict.fromkeys([time, *order, *[c for c in df.columns if c not in keys]]))
+    slices = base.repartition(tasks, *part).groupBy(*part).agg(F.sort_array(F.collect_list(record)).alias("_rows"))
+    read = [F.col("_rows")[c].cast("array<double>").alias(f"_v{i}") for i, c in enumerate(values)]
+    names = [f"_v{i}" for i in range(len(values))]
 
-    def arrays(pdf: pd.DataFrame) -> dict:
-        return {c: pdf[c].to_numpy(dtype="float64") for c in values}
+    def arrays(flat: dict, lo: int, hi: int) -> dict:
+        return {c: flat[x][lo:hi] for c, x in zip(values, names)}
 
-    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, bounds in _groups(batches, part):
-            v = arrays(pdf)
-            out = pdf.iloc[bounds[:-1]][part].reset_index(drop=True)
-            out["_desc"] = [
-                [[float(x) for x in r] for r in describe({c: a[lo:hi] for c, a in v.items()})] for lo, hi in zip(bounds, bounds[1:])]
-            yield out
+    def summarise(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            flat, bounds = _lists(batch, names)
+            yield pa.array([[x for r in describe(arrays(flat, lo, hi)) for x in r] for lo, hi in zip(bounds, bounds[1:])], pa.list_(pa.float64()))
 
-    described = base.sortWithinPartitions(*part, *sort).mapInPandas(summarise, f"{ddl(part)}, _desc {LIMITS}")
+    described = slices.select(*part, F.arrow_udf(summarise, "array<double>")(F.struct(*read)).alias("_desc"))
 
     def thread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, bounds in _groups(batches, keys):
@@ -103,24 +112,27 @@ def _split_fold(
                 for i in range(lo, hi):
                     incoming.append(state)
                     final.append(i == hi - 1)
-                    state = advance(state, descs[i])
+                    state = advance(state, descs[i].reshape(-1, 4).tolist()) if i < hi - 1 else None
             yield pdf[part].assign(_state=incoming, _final=final)
 
-    states = described.repartition(n, *keys).sortWithinPartitions(*part).mapInPandas(
+    states = described.repartition(tasks, *keys).sortWithinPartitions(*part).mapInPandas(
         thread, f"{ddl(part)}, _state array<double>, _final boolean")
-    joined = base.join(states.withColumnsRenamed({c: f"_c_{c}" for c in part}), _all_equal(base, part), "left").drop(*[f"_c_{c}" for c in part])
-    position = [*keys, *sort]
+    # the states are the small side; arrays of rows need no sort
+    right = states.withColumnsRenamed({c: f"_c_{c}" for c in part}).hint("shuffle_hash")
+    joined = slices.join(right, _all_equal(slices, part), "left").drop(*[f"_c_{c}" for c in part])
 
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, bounds in _groups(batches, part):
-            v = arrays(pdf)
-            states, finals = pdf["_state"].iloc[bounds[:-1]].to_list(), pdf["_final"].iloc[bounds[:-1]].to_list()
-            chosen = np.concatenate([
-                walk({c: a[lo:hi] for c, a in v.items()}, None if state is None else list(state), bool(final))
-                for lo, hi, state, final in zip(bounds, bounds[1:], states, finals)])
-            yield pdf.loc[chosen, position]
+    def finish(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            flat, bounds = _lists(batch, names)
+            states, finals = batch.field("_state").to_pylist(), batch.field("_final").to_pylist()
+            chosen = [np.flatnonzero(walk(arrays(flat, lo, hi), state, bool(final))) for lo, hi, state, final in zip(bounds, bounds[1:], states, finals)]
+            ends = np.cumsum([0, *map(len, chosen)], dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *chosen]).astype(np.int32)))
 
-    return joined.repartition(n, *part).sortWithinPartitions(*part, *sort).mapInPandas(finish, ddl(position))
+    chosen = joined.select(*keys, "_rows", F.arrow_udf(finish, "array<int>")(F.struct(*read, "_state", "_final")).alias("_kept"))
+    # a filter on what Python returned would run it twice; a slice without kept rows gives one row of nulls
+    kept = chosen.select(*keys, F.inline_outer(F.transform("_kept", lambda i: F.get("_rows", i)))).where(F.col(time).isNotNull())
+    return kept.select(*df.columns)
 
 
 def _all_equal(df: DataFrame, cols: list[str]):
@@ -360,36 +372,44 @@ def paced(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], a
 def decimate(df: DataFrame, keys: Sequence[str], time: str = "sec", order: Sequence[str] = (), heading: str = "track",
              min_change: float = 10.0, width: float = SLICE_S) -> DataFrame:
     """Keep each track's first and last row, and rows whose heading differs by
-    ``min_change`` or more from the last kept heading."""
-
-    def last_kept(h, i):
-        cur = h[i]
-        for x in h[i + 1:]:
-            d = abs(x - cur)
-            if (360.0 - d if d > 180.0 else d) >= min_change:
-                cur = x
+    ``min_change`` or more from the last kept heading.
+
+    The rows are counted before, so that a task gets about ``TRACK_ROWS`` of them: put
+    ``session.stage`` before what makes them if that is expensive."""
+
+    def last_kept(h, i, known):
+        # walks that meet go on as one: ``known`` has the end of each row's
+        cur, seen = h[i], [i]
+        for j in range(i + 1, len(h)):
+            d = abs(h[j] - cur)
+            if d >= min_change and (d <= 180.0 or 360.0 - d >= min_change):
+                if j in known:
+                    cur = known[j]
+                    break
+                seen.append(j)
+                cur = h[j]
+        known.update(dict.fromkeys(seen, cur))
         return cur
 
     def describe(v):
         # Incoming headings still unmatched form one arc [a, b] around the first
         # heading; every row cuts its ends off.  Rows: (kind, a, b, result).
-        h = v[heading].tolist()
+        h, known = v[heading].tolist(), {}
         c, lo, hi = h[0], -min_change, min_change
-        rows, known = [(c, last_kept(h, 0), 0.0, 0.0)], {}
+        rows = [(c, last_kept(h, 0, known), 0.0, 0.0)]
         for i in range(1, len(h)):
             d = (h[i] - c + 180.0) % 360.0 - 180.0
             new_lo, new_hi = max(lo, d - min_change), min(hi, d + min_change)
             if new_lo > lo or new_hi < hi:
-                if i not in known:
-                    known[i] = last_kept(h, i)
+                result = known[i] if i in known else last_kept(h, i, known)
                 if new_lo >= new_hi:
-                    rows.append((lo, hi, known[i], 1.0))
+                    rows.append((lo, hi, result, 1.0))
                     lo = hi = 0.0
                     break
                 if new_lo > lo:
-                    rows.append((lo, new_lo, known[i], 1.0))
+                    rows.append((lo, new_lo, result, 1.0))
                 if new_hi < hi:
-                    rows.append((new_hi, hi, known[i], 1.0))
+                    rows.append((new_hi, hi, result, 1.0))
                 lo, hi = new_lo, new_hi
         return rows
 
@@ -409,17 +429,24 @@ def decimate(df: DataFrame, keys: Sequence[str], time: str = "sec", order: Seque
     def walk(v, state, final_slice):
         h = v[heading].tolist()
         kept = np.zeros(len(h), dtype=bool)
-        cur = None if state is None else state[0]
+        kept[0] = state is None
+        cur, rows = h[0] if state is None else state[0], []
         for i, x in enumerate(h):
-            d = 360.0 if cur is None else abs(x - cur)
-            if cur is None or (360.0 - d if d > 180.0 else d) >= min_change:
-                kept[i] = True
+            d = abs(x - cur)
+            if d >= min_change and (d <= 180.0 or 360.0 - d >= min_change):
+                rows.append(i)
                 cur = x
+        kept[rows] = True
         kept[-1] |= final_slice
         return kept
 
-    kept = _split_fold(df, keys, time, order, [heading], width, describe, advance, walk)
-    return _keep(df, kept, [*keys, time, *order])
+    position = [*keys, time, *order]
+    tasks = tasks_for(df, TRACK_ROWS)
+    if not any("map<" in kind for _, kind in df.dtypes):
+        return _split_fold(df, keys, time, order, [heading], width, describe, advance, walk, tasks)
+    # maps have no order, so their rows are fetched by position
+    kept = _split_fold(df.select(*dict.fromkeys([*position, heading])), keys, time, order, [heading], width, describe, advance, walk, tasks)
+    return _keep(df, kept, position)
 
 
 # --- closest approach -------------------------------------------------------
@@ -466,4 +493,6 @@ def closest_approach(df: DataFrame, keys: Sequence[str], time: str = "sec", orde
                 cur = (lat[i], alt[i])
         return adopted
 
-    return _split_fold(df, keys, time, order, [lateral, vertical], width, describe, advance, walk)
+    position = [*keys, time, *order]
+    slim = df.select(*dict.fromkeys([*position, lateral, vertical]))
+    return _split_fold(slim, keys, time, order, [lateral, vertical], width, describe, advance, walk, task_count(df)).select(*position)

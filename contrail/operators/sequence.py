@@ -108,6 +108,12 @@ def flight_steps(df: DataFrame, carry: Sequence[str] = ("category",), key: str =
     )
 
 
+def staged_steps(steps: DataFrame) -> DataFrame:
+    """``flight_steps`` output, what ``resample`` reads of it, written to the shared folder: for what reads the seconds
+    more than once."""
+    return stage(steps.select("tail", "flight_id", "hex", "seq", "now", "lat", "lon", "alt_baro", "gs", "track", "suspicious", "prev"), "steps")
+
+
 def second_of(c: Column) -> Column:
     return F.floor(c).cast("bigint")
 

@@ -120,7 +120,7 @@ walk AS (
 
 @query("W10_heading_decimation", DECIMATED + " SELECT flight_id, sec FROM walk WHERE kept OR i = n")
 def heading_decimation(spark, sf):
-    rows = sequence.resample(sequence.flight_steps(sequence.prefilter(t.positions(spark, sf))))
+    rows = sequence.resample(sequence.staged_steps(sequence.flight_steps(sequence.prefilter(t.positions(spark, sf)))))
     return folds.decimate(rows.select("flight_id", "sec", F.round("track", 6).alias("track")), ["flight_id"], width=600).select("flight_id", "sec")
 
 

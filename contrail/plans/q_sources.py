@@ -216,7 +216,7 @@ def track_export(spark, sf):
 
 @query("K14_decimated_export", DECIMATED + " SELECT flight_id, count(*) AS points, min(sec) AS first_sec FROM walk WHERE kept OR i = n GROUP BY 1")
 def decimated_export(spark, sf):
-    rows = sequence.resample(sequence.flight_steps(sequence.prefilter(t.positions(spark, sf))))
+    rows = sequence.resample(sequence.staged_steps(sequence.flight_steps(sequence.prefilter(t.positions(spark, sf)))))
     kept = folds.decimate(rows.select("flight_id", "sec", "lat", "lon", "alt_baro", F.round("track", 6).alias("track")), ["flight_id"])
     parts = exports.track_export(kept)
     n = F.size(F.from_json("line", "array<array<double>>"))

@@ -50,6 +50,11 @@ def task_count(df) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks_for(df, rows: int) -> int:
+    """Partition count at which a task gets about ``rows`` rows of ``df``, which is counted; at least ``task_count``."""
+    return max(task_count(df), -(-df.count() // rows))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, never reused path below the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
