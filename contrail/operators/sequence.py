@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.times import seconds_of_day
-from ..session import stage
-from .timeline import HOUR, SLICE_S, running, timeline
+from ..session import stage, tasks_for
+from .timeline import HOUR, SLICE, SLICE_S, _join_back, running, sliced, timeline
 
 # Fixed values.
 MAX_GAP_S = 300
@@ -26,6 +26,8 @@ TRIP_GAP_S = 120
 TRIP_MIN_POINTS = 5
 TRIP_ALT = (100, 18000)
 VISIT_GAP_S = 600
+# Rows that a task of gap_marks holds, about.
+MARK_ROWS = 1_000_000
 
 
 def report_gaps(df: DataFrame, key: str = "hex", time: str = "now", order: Sequence[str] = ("seq",), max_gap: float = MAX_GAP_S,
@@ -202,16 +204,37 @@ def gap_marks(df: DataFrame, keys: Sequence[str], time: str = "sec", order: Sequ
     """``in_gap``: member of an interpolated run longer than ``threshold`` seconds,
     or reached by a time step longer than it.
 
-    A run starts at a real report and is at most one interpolation gap long, so
-    the window over (keys, run) stays small for any key.
+    A run starts at a real report. Rows are counted, then shuffled once, by slice, in tasks of about ``MARK_ROWS``; put
+    ``session.stage`` before what makes them if that is expensive. Runs are measured in their slice; a slice's first
+    and last run, which may go on in others, are put together from one row a slice.
     """
-    out = timeline(df, keys, time, order, width=width)
-    out = out.withColumn("_jump", F.coalesce(F.col(time) - F.col(f"prev1.{time}") > threshold, F.lit(False))).drop("prev1")
-    out = running(out, keys, time, order, sums={"_run": F.when(F.col("resampled"), 0).otherwise(1)}, width=width)
-    run = Window.partitionBy(*keys, "_run")
+    part = [*keys, SLICE]
+    dealt = sliced(df, time, width).repartition(tasks_for(df, MARK_ROWS), *part)
     made = F.when(F.col("resampled"), F.col(time))
-    long_run = F.max(made).over(run) - F.min(made).over(run) > threshold
-    return out.withColumn("in_gap", F.col("_jump") | (F.col("resampled") & F.coalesce(long_run, F.lit(False)))).drop("_run", "_jump")
+    at = Window.partitionBy(*part).orderBy(time, *order)
+    real = F.sum(F.when(F.col("resampled"), 0).otherwise(1)).over(at.rowsBetween(Window.unboundedPreceding, 0))
+    local = dealt.withColumns({"_before": F.lag(time).over(at), "_run": real})
+    extent = F.struct(F.min(made).alias("lo"), F.max(made).alias("hi"))
+    runs = local.groupBy(*part, "_run").agg(extent.alias("_x"), F.max(time).alias("_t1"))
+    ends = runs.groupBy(*part).agg(
+        F.max("_t1").alias("_t1"), F.max("_run").alias("_runs"), F.max(F.when(F.col("_run") == 0, F.col("_x"))).alias("_first"), F.max_by("_x", "_run").alias("_last"))
+    by_key = Window.partitionBy(*keys).orderBy(SLICE)
+    earlier = by_key.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumns({"_ended": F.lag("_t1").over(by_key), "_no": F.coalesce(F.sum("_runs").over(earlier), F.lit(0))})
+    # the runs at both ends by their number within the key
+    piece = lambda no, x, first: F.struct(no.alias("no"), F.col(x)["lo"].alias("lo"), F.col(x)["hi"].alias("hi"), F.lit(first).alias("first"))
+    pieces = ends.select(*part, "_ended", "_runs", F.explode(F.array(
+        piece(F.col("_no"), "_first", True), piece(F.col("_no") + F.col("_runs"), "_last", False))).alias("_p"))
+    whole = Window.partitionBy(*keys, "_p.no")
+    pieces = pieces.withColumn("_x", F.max("_p.hi").over(whole) - F.min("_p.lo").over(whole))
+    carry = pieces.groupBy(*part).agg(
+        F.first("_ended").alias("_ended"), F.first("_runs").alias("_runs"),
+        F.max(F.when(F.col("_p.first"), F.col("_x"))).alias("_x0"), F.max(F.when(~F.col("_p.first"), F.col("_x"))).alias("_x1"))
+    run = Window.partitionBy(*part, "_run")
+    out = _join_back(local.withColumn("_x", F.max(made).over(run) - F.min(made).over(run)), carry, part)
+    jump = F.coalesce(F.col(time) - F.coalesce("_before", "_ended") > threshold, F.lit(False))
+    long_run = F.when(F.col("_run") == 0, F.col("_x0")).when(F.col("_run") == F.col("_runs"), F.col("_x1")).otherwise(F.col("_x")) > threshold
+    return out.withColumn("in_gap", jump | (F.col("resampled") & F.coalesce(long_run, F.lit(False)))).select(*df.columns, "in_gap")
 
 
 def heartbeats(reports: DataFrame, every: int = 20, time: str = "now", width: float = SLICE_S) -> DataFrame:
