@@ -11,11 +11,12 @@ composition is the encoding:
   So a pair weighs 0 if that holds and infinity else, and one path of finite weight is left.
   Up to every position exactly one piece ends a finite path, so a state is a position, and the
   finite path of a string is found depth first, longest piece first: a position from which no
-  finite path goes on is left for good.
+  finite path goes on is left for good. An automaton names the longest piece, and each piece the
+  next shorter one that it begins with.
 
 Strings are cut where no piece can reach across: before marks, round line ends and after
-letters. Each string between cuts is composed once and remembered as its numbers and its bytes;
-the memory is bounded and goes with the task.
+letters. Each string between cuts is composed once and remembered as its numbers; where these
+spell something else than the string, with those bytes. The memory is bounded and goes with the task.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from array import array
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from string import ascii_letters
 from typing import Any
 
 import ahocorasick
@@ -39,7 +41,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 #: Strings remembered by a task, in two generations of half as many, and pairs by a worker.
-REMEMBER = 200_000
+REMEMBER = 300_000
 #: A string between cuts that is longer is composed without being remembered.
 LONGEST = 64
 #: Characters of a text that are cut at once, about.
@@ -134,8 +136,16 @@ class Transducer:
         for piece, i in self.ids.items():
             self.longest.add_word(piece, (i, len(piece)))
         self.longest.make_automaton()
-        self.trie: dict = {}
+        self.reach = max(map(len, self.ids), default=0)
+        self.size = len(self.pieces)
+        self.span = self.size + 0x110000  # pieces, and characters without one
+        self.widths = [len(p) for p in self.pieces]
+        self.packed = [struct.pack("=i", i) for i in range(self.size)]
+        self.shorter = [-1] * len(self.pieces)
         for piece, i in self.ids.items():
+            self.shorter[i] = next((self.ids[piece[:k]] for k in range(len(piece) - 1, 0, -1) if piece[:k] in self.ids), -1)
+        self.trie: dict = {}
+        for piece, i in self.ids.items() if self.algorithm == UNIGRAM else ():
             node = self.trie
             for char in piece:
                 node = node.setdefault(char, {})
@@ -148,9 +158,10 @@ class Transducer:
         if any(re.search(f"[^{MARK}]{MARK}", p) or "\n" in p and len(p) > 1 for p in self.ids):
             return re.compile("(?s:.+)")
         joined = {p[i] for p in self.ids for i in range(len(p) - 1) if re.match(r"[^\W\d_](?![^\W\d_])", p[i:i + 2])}
+        plain = f"[{''.join(sorted({*ascii_letters} - joined)) or '^\\s\\S'}]"  # found faster than by their kind
         letter = rf"[^\W\d_{''.join(map(re.escape, sorted(joined)))}]"
         other = rf"(?:(?!{letter}|{MARK}|\n)(?s:.))"
-        return re.compile(f"\n|{MARK}+{other}*{letter}*|{other}+{letter}*|{letter}+")
+        return re.compile(f"\n|{MARK}+{other}*{plain}*{letter}*|{other}+{letter}*|{letter}+")
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -202,11 +213,12 @@ class Transducer:
 
     def accepts(self, left: int, right: int) -> bool:
         """Whether merging the two pieces' string leaves exactly them; ``left`` is -1 at the beginning."""
-        return self.pairs[left, right]
+        return self.pairs[(left + 1) * self.span + right]
 
-    def _pair(self, key: tuple[int, int]) -> bool:
+    def _pair(self, key: int) -> bool:
         size = len(self.pieces)
-        a, b = ("" if x < 0 else self.pieces[x] if x < size else chr(x - size) for x in key)
+        left, right = divmod(key, self.span)
+        a, b = ("" if x < 0 else self.pieces[x] if x < size else chr(x - size) for x in (left - 1, right))
         return self._stays(a, b) if a else self.merged(b) == [b]
 
     def _stays(self, left: str, right: str) -> bool:
@@ -249,39 +261,49 @@ class Transducer:
 
     def _finite(self, text: str) -> list[int]:
         """The path of weight 0 through the pairs. Most often the longest piece is right from the beginning on."""
-        n, pairs, left, at = len(text), self.pairs, -1, 0
+        n, size, span, reach = len(text), self.size, self.span, self.reach
+        pairs, widths, shorter, longest = self.pairs, self.widths, self.shorter, self.longest.iter_long
         out: list[int] = []
         starts: list[int] = []
-        tried: list[list[tuple[int, int]] | None] = []  # what is left to try at each of them, if that is known
-        if self.ids:
-            for end, (found, width) in self.longest.iter_long(text):
-                if end + 1 - width != at or not pairs[left, found]:
+        dead: set[int] = set()
+        at = row = 0  # row: where the pairs of the piece before are numbered from
+        found, width = -1, 0  # the piece to try at ``at``; -1 if none is left
+        if reach:
+            for end, (found, width) in longest(text):
+                if end + 1 - width != at or not pairs[row + found]:
                     break
                 starts.append(at)
                 out.append(found)
-                tried.append(None)
-                left, at = found, end + 1
-        dead: set[int] = set()
-        options = self.along(text, at) if at < n else []
-        while at < n:
-            while options:
-                end, found = options.pop()
-                if end not in dead and pairs[left, found]:
-                    starts.append(at)
-                    out.append(found)
-                    tried.append(options)
-                    at, left = end, found
-                    if at < n:
-                        options = self.along(text, at)
+                row, at = (found + 1) * span, end + 1
+        if at == n:
+            return out
+        ahead = end + 1 - width != at if width else True  # else it is known to fail
+        while True:
+            if ahead:  # the longest piece that goes on from here; without one, the character as in ``along``
+                found = size + ord(text[at])
+                for end, (piece, width) in longest(text[at:at + reach]) if reach else ():
+                    if end + 1 == width:
+                        found = piece
                     break
+                ahead = False
+                end = at + (widths[found] if found < size else 1)
+                ready = end not in dead and pairs[row + found]
             else:
-                dead.add(at)
-                stop, at, options = at, starts.pop(), tried.pop()
-                out.pop()
-                left = out[-1] if out else -1
-                if options is None:
-                    options = [x for x in self.along(text, at) if x[0] < stop]
-        return out
+                ready = False
+            while not ready:  # the next shorter piece, after the last one the character, after that the piece before
+                if found < size and (shorter[found] >= 0 or widths[found] > 1):
+                    found = shorter[found] if shorter[found] >= 0 else size + ord(text[at])
+                    end = at + (widths[found] if found < size else 1)
+                    ready = end not in dead and pairs[row + found]
+                else:
+                    dead.add(at)
+                    at, found = starts.pop(), out.pop()
+                    row = (out[-1] + 1) * span if out else 0
+            starts.append(at)
+            out.append(found)
+            row, at, ahead = (found + 1) * span, end, True
+            if at == n:
+                return out
 
     def _least(self, text: str) -> list[int]:
         """The path of the least sum of costs; of equal ones, the longer piece."""
@@ -299,10 +321,10 @@ class Transducer:
             end -= width[end]
         return out[::-1]
 
-    def _numbers(self, text: str) -> list[int]:
-        size = len(self.pieces)
+    def _numbers(self, path: list[int]) -> list[int]:
+        size = self.size
         out: list[int] = []
-        for found in self.path(text):
+        for found in path:
             if found < size:
                 out.append(found)
             elif self.bytes:
@@ -311,10 +333,14 @@ class Transducer:
                 out.append(self.unknown)
         return out
 
-    def _part(self, text: str) -> tuple[bytes, bytes]:
-        """A string between cuts: its numbers, four bytes each, and the bytes that they spell."""
-        numbers = self._numbers(text)
-        return array("i", numbers).tobytes(), b"".join(map(self.spelled.__getitem__, numbers))
+    def _part(self, text: str) -> bytes | tuple[bytes, bytes]:
+        """A string between cuts: its numbers, four bytes each; with the bytes that they spell if these are others than its own."""
+        path = self.path(text)
+        if max(path, default=0) < self.size and "".join([self.pieces[x] for x in path]) == text:
+            return b"".join([self.packed[x] for x in path])
+        numbers = self._numbers(path)
+        raw, spelled = array("i", numbers).tobytes(), b"".join(map(self.spelled.__getitem__, numbers))
+        return raw if spelled == text.encode("utf-8", "replace") else (raw, spelled)
 
     def _stretches(self, text: str) -> Iterator[str]:
         """A normalised text in stretches of about STRETCH, each ending where strings are cut: before a mark
@@ -340,17 +366,24 @@ class Transducer:
                 found = list(map(self.parts.__getitem__, strings))
             else:
                 found = [self.parts[x] if len(x) <= LONGEST else self._part(x) for x in strings]
-            numbers.append(b"".join([x[0] for x in found]) if self.bytes else self._unknown_once(found))
-            spelled.append(b"".join([x[1] for x in found]))
+            if not self.bytes:
+                numbers.append(self._unknown_once(found))
+                continue
+            try:
+                numbers.append(b"".join(found))
+                spelled.append("".join(strings).encode("utf-8", "replace"))
+            except TypeError:  # some string isn't what its numbers spell
+                numbers.append(b"".join([x[0] if type(x) is tuple else x for x in found]))
+                spelled.append(b"".join([x[1] if type(x) is tuple else y.encode("utf-8", "replace") for x, y in zip(found, strings)]))
         if not self.bytes:  # unknown characters in a row are one, across cuts, too
-            whole = self._unknown_once([(x, b"") for x in numbers])
+            whole = self._unknown_once(numbers)
             return whole, b"".join(map(self.spelled.__getitem__, array("i", whole)))
         return b"".join(numbers), b"".join(spelled)
 
-    def _unknown_once(self, found: list[tuple[bytes, bytes]]) -> bytes:
+    def _unknown_once(self, found: list[bytes | tuple[bytes, bytes]]) -> bytes:
         numbers: list[int] = []
-        for raw, _ in found:
-            more = array("i", raw)
+        for x in found:
+            more = array("i", x[0] if type(x) is tuple else x)
             numbers.extend(more[1:] if numbers and more and numbers[-1] == more[0] == self.unknown else more)
         return array("i", numbers).tobytes()
 
