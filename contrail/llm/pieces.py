@@ -40,8 +40,8 @@ MARK = "▁"
 # Piece kinds of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
-#: Strings remembered by a task, in two generations of half as many, and pairs by a worker.
-REMEMBER = 300_000
+#: Strings remembered by a task, in two generations of half as many; pairs by a worker, three quarters of that.
+REMEMBER = 400_000
 #: A string between cuts that is longer is composed without being remembered.
 LONGEST = 64
 #: Characters of a text that are cut at once, about.
@@ -77,16 +77,18 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 class Recent(dict):
     """What was asked for lately. Two generations: a full young one becomes the old one, whose
-    entries come back when asked for and are forgotten otherwise."""
+    entries come back when asked for and are forgotten otherwise. Keys over ``longest`` aren't kept."""
 
-    def __init__(self, size: int, make: Callable[[Any], Any]):
+    def __init__(self, size: int, make: Callable[[Any], Any], longest: int | None = None):
         super().__init__()
-        self.half, self.make, self.old = max(1, size // 2), make, {}
+        self.half, self.make, self.longest, self.old = max(1, size // 2), make, longest, {}
 
     def __missing__(self, key: Any) -> Any:
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
+            if self.longest is not None and len(key) > self.longest:
+                return found
         if len(self) >= self.half:
             self.old = dict(self)  # the entries themselves are shared
             self.clear()
@@ -130,7 +132,7 @@ class Transducer:
         self.cut = self._cuts()
         self.spelled = [bytes([int(p[1:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else " \u2047 ".encode() if kind == UNKNOWN else p.encode()
                         for p, kind in zip(self.pieces, self.kinds)]
-        self.parts, self.pairs = Recent(REMEMBER, self._part), Recent(REMEMBER, self._pair)
+        self.parts, self.pairs = Recent(REMEMBER, self._part, LONGEST), Recent(REMEMBER * 3 // 4, self._pair)
         self.marked = self.cut.pattern != "(?s:.+)"
         self.longest = ahocorasick.Automaton()
         for piece, i in self.ids.items():
@@ -158,10 +160,11 @@ class Transducer:
         if any(re.search(f"[^{MARK}]{MARK}", p) or "\n" in p and len(p) > 1 for p in self.ids):
             return re.compile("(?s:.+)")
         joined = {p[i] for p in self.ids for i in range(len(p) - 1) if re.match(r"[^\W\d_](?![^\W\d_])", p[i:i + 2])}
-        plain = f"[{''.join(sorted({*ascii_letters} - joined)) or '^\\s\\S'}]"  # found faster than by their kind
+        plain = f"[{''.join(sorted({*ascii_letters} - joined)) or '^\\s\\S'}]"
         letter = rf"[^\W\d_{''.join(map(re.escape, sorted(joined)))}]"
         other = rf"(?:(?!{letter}|{MARK}|\n)(?s:.))"
-        return re.compile(f"\n|{MARK}+{other}*{plain}*{letter}*|{other}+{letter}*|{letter}+")
+        # most are a mark and plain letters, which are found faster than by their kind
+        return re.compile(f"{MARK}{plain}++(?!{letter})|\n|{MARK}+{other}*{letter}*|{other}+{letter}*|{letter}+")
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -362,10 +365,7 @@ class Transducer:
         numbers, spelled = [], []
         for stretch in self._stretches(self.normalise(text)):
             strings = self.cut.findall(stretch)
-            if max(map(len, strings), default=0) <= LONGEST:
-                found = list(map(self.parts.__getitem__, strings))
-            else:
-                found = [self.parts[x] if len(x) <= LONGEST else self._part(x) for x in strings]
+            found = list(map(self.parts.__getitem__, strings))
             if not self.bytes:
                 numbers.append(self._unknown_once(found))
                 continue
