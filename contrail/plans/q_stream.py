@@ -13,8 +13,12 @@ from .registry import query
 DELAY = "10 seconds"
 
 
+def _timed(events):
+    return stateful.with_event_time(t.positions_from(events), "now", DELAY)
+
+
 def _stream(spark, sf):
-    return stateful.with_event_time(t.positions_from(sources.table_stream(spark, sf, "events.parquet")), "now", DELAY)
+    return _timed(sources.table_stream(spark, sf, "events.parquet"))
 
 
 def _tracked(spark, sf, name):
@@ -112,7 +116,9 @@ def event_lifecycle(spark, sf):
 @query("T8_stream_fresh_pairs", f"""WITH {t.POSITIONS_SQL} SELECT a.tail AS tail1, a.seq AS seq1, b.tail AS tail2, b.seq AS seq2 FROM positions a JOIN positions b
   ON b.seq BETWEEN a.seq - 5 AND a.seq + 5 AND a.tail < b.tail AND abs(a.alt_baro - b.alt_baro) < 400 WHERE {t.haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 1.5""")
 def stream_pairs(spark, sf):
-    return stateful.run_available(stateful.fresh_pairs(_stream(spark, sf), _stream(spark, sf), 1.5, 400.0), "pairs")
+    folder, files = sources.in_order(t.table(spark, sf, "events"), "event_id")
+    a, b = (_timed(sources.table_stream(spark, folder, files_per_trigger=files)) for _ in range(2))
+    return stateful.run_available(stateful.fresh_pairs(a, b, 1.5, 400.0), "pairs")
 
 
 @query("T10_run_counters", f"WITH {t.POSITIONS_SQL} SELECT count(*) AS reports, count(*) FILTER (WHERE on_ground) AS ground, CAST(sum(CASE WHEN alt_baro >= 1600 THEN 1 ELSE 0 END) AS BIGINT) AS high FROM positions")

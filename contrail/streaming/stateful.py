@@ -200,33 +200,130 @@ def checkpoint_windows(reports: DataFrame, seconds: int = 5, key: Column | None
     return reports.groupBy(*groups).agg(F.count(F.lit(1)).alias("reports"))
 
 
+PAIR_SCHEMA = "tail1 string, seq1 bigint, lat1 double, lon1 double, tail2 string, seq2 bigint, lat2 double, lon2 double"
+HELD = np.dtype([("side", "i1"), ("tail", "i4"), *[(c, "i8") for c in ("seq", "at", "ct", "y0", "y1", "x0", "x1")], *[(c, "f8") for c in ("lat", "lon", "alt")]])
+#: Cells a side of a block; keys that blocks of a stretch of time are dealt to (as many in each run, since state is by key).
+BLOCK_CELLS = 10
+BUCKETS = 256
+#: Copies of reports, and pairs of reports, that are looked at together.
+MEET_AT_ONCE = 200_000
+#: Degrees beyond which places share their cells, and what stands for a missing ``seq``.
+FARTHEST = 1e4
+NO_SEQ = -(2**63)
+
+
+def _shares(counts: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of rows whose counts add up to ``most`` or less (or single rows): a row's place once for each number below its count."""
+    ends, lo = np.cumsum(counts), 0
+    while lo < len(counts):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + most, side="right")))
+        row = np.repeat(np.arange(lo, hi), counts[lo:hi])
+        yield row, np.arange(ends[hi - 1] - before) - (ends[row] - counts[row] - before)
+        lo = hi
+
+
+def _meetings(a: np.ndarray, b: np.ndarray, age: int, stretch: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in ``a`` and ``b`` of reports at most ``age`` apart, where the cell of the one is in the reach of the other."""
+    if not len(a) or not len(b):
+        return
+    first = min(int(a["ct"].min()), int(b["ct"].min()))
+
+    def cell(ct, y, x):  # equal cells have equal numbers; tiny cells or very long times can share one, so cells are compared below
+        return ((ct - first) * (1 << 20) + y) * (1 << 20) + x
+
+    span, start = stretch + 4 * age, lambda r: r["at"] - r["ct"] * stretch + 2 * age
+    own = cell(a["ct"], a["y0"], a["x0"])
+    cells, rank = np.unique(own, return_inverse=True)
+    key = rank * span + start(a)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    wide = b["x1"] - b["x0"] + 1
+    for row, k in _shares((b["y1"] - b["y0"] + 1) * wide, MEET_AT_ONCE):
+        r = b[row]
+        y, x = r["y0"] + k // wide[row], r["x0"] + k % wide[row]
+        number = cell(r["ct"], y, x)
+        at = np.minimum(np.searchsorted(cells, number), len(cells) - 1)
+        met = cells[at] == number
+        row, y, x, at, begun = row[met], y[met], x[met], at[met] * span, start(r[met])
+        lo, hi = np.searchsorted(key, at + begun - age, side="left"), np.searchsorted(key, at + begun + age, side="right")
+        for j, k in _shares(hi - lo, MEET_AT_ONCE):
+            i = order[lo[j] + k]
+            same = (a["ct"][i] == b["ct"][row[j]]) & (a["y0"][i] == y[j]) & (a["x0"][i] == x[j])
+            yield i[same], row[j[same]]
+
+
 def fresh_pairs(a: DataFrame, b: DataFrame, lateral_nm: float, vertical_ft: float, max_age_s: int = 5, cell_deg: float = 0.05) -> DataFrame:
     """Reports of two streams at most ``max_age_s`` apart in time and within both limits.
 
-    A stream-stream interval join on grid cells and stretches of time (one side copied to the cells in its
-    reach, which follows from its latitude, and to the stretches in its interval): a report meets those of its time
-    only, whatever a batch holds. Both sides carry watermarks, so state older than the interval is dropped.
+    An interval join of two streams on grid cells and stretches of time. The one side is copied to the blocks of cells in its
+    reach, which follows from its latitude, and to the stretches in its interval; within a block and a stretch a report meets
+    those of its time in the cells of its reach, whatever a batch holds. Both sides carry watermarks: late reports are dropped,
+    and reports that no later one can meet leave the state. It holds some 90 bytes a copy (1.5 copies of the one side, one of
+    the other), of the batch before and this one.
     """
     dy = lateral_nm / geo.NM_PER_DEGREE * 1.01
-    stretch = 4 * max_age_s * 1_000_000
-
-    def side(df: DataFrame, n: int) -> DataFrame:
-        return df.select(
-            F.col("tail").alias(f"tail{n}"), F.col("seq").alias(f"seq{n}"), F.col("event_time").alias(f"time{n}"),
-            F.col("lat").alias(f"lat{n}"), F.col("lon").alias(f"lon{n}"), F.col("alt_baro").alias(f"alt{n}"),
-            F.floor(F.col("lat") / cell_deg).alias(f"cy{n}"), F.floor(F.col("lon") / cell_deg).alias(f"cx{n}"),
-            F.floor(F.unix_micros("event_time") / stretch).alias(f"ct{n}"))
-
-    near, age = side(b, 2), max_age_s * 1_000_000
-    near = near.withColumn("ct2", F.explode(F.sequence(*[F.floor((F.unix_micros("time2") + d) / stretch) for d in (-age, age)])))
-    for c, place, reach in (("cy2", "lat2", F.lit(dy)), ("cx2", "lon2", geo.lon_reach(dy, "lat2"))):
-        near = near.withColumn(c, F.explode(F.sequence(F.floor((F.col(place) - reach) / cell_deg), F.floor((F.col(place) + reach) / cell_deg))))
-    span = F.expr(f"interval {max_age_s} seconds")
-    cond = (
-        (F.col("cy1") == F.col("cy2")) & (F.col("cx1") == F.col("cx2")) & (F.col("ct1") == F.col("ct2")) & (F.col("tail1") < F.col("tail2"))
-        & (F.col("time2") >= F.col("time1") - span) & (F.col("time2") <= F.col("time1") + span)
-        & (F.abs(F.col("alt1") - F.col("alt2")) < vertical_ft) & (geo.haversine_nm("lat1", "lon1", "lat2", "lon2") < lateral_nm))
-    return side(a, 1).join(near, cond, "inner").select("tail1", "seq1", "tail2", "seq2")
+    age = max_age_s * 1_000_000
+    stretch = 12 * age
+    far = np.sin(min(lateral_nm * 1.000001 / (2 * geo.EARTH_RADIUS_NM), np.pi / 2)) ** 2
+    numbers = [c for c in HELD.names if c != "tail"]
+
+    def side(df: DataFrame, n: int, reach: float, held_s: int) -> DataFrame:
+        rows = df.select(
+            F.lit(n).alias("side"), "tail", F.coalesce(F.col("seq").cast("bigint"), F.lit(NO_SEQ)).alias("seq"), "event_time", F.unix_micros("event_time").alias("at"),
+            F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col("alt_baro").cast("double").alias("alt")).dropna()
+        rows = rows.withColumn(f"ct{n}", F.explode(F.sequence(*[F.floor((F.col("at") + d) / stretch) for d in (-held_s, held_s)])))
+        for c, place, by in (("y", "lat", F.lit(reach)), ("x", "lon", geo.lon_reach(reach, "lat") if reach else F.lit(0.0))):
+            ends = [F.floor(F.greatest(F.least(F.col(place) + d, F.lit(FARTHEST)), F.lit(-FARTHEST)) / cell_deg) for d in (-by, by)]
+            rows = rows.withColumn(f"b{c}", F.explode(F.sequence(*[F.floor(end / BLOCK_CELLS) for end in ends])))
+            low = F.col(f"b{c}") * BLOCK_CELLS
+            rows = rows.withColumns({f"{c}0": F.greatest(ends[0], low), f"{c}1": F.least(ends[1], low + BLOCK_CELLS - 1)})
+        bucket = F.pmod(F.hash(f"ct{n}", "by", "bx"), F.lit(BUCKETS)).alias("bucket")
+        return rows.select(bucket, "side", "tail", "seq", "at", F.col(f"ct{n}").alias("ct"), "y0", "y1", "x0", "x1", "lat", "lon", "alt", "event_time")
+
+    def step(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        tails, parts = {}, []
+        if state.exists:
+            names, held = state.get
+            tails.update((n, i) for i, n in enumerate(names))
+            held = np.frombuffer(bytes(held), HELD)
+            parts.append(held[held["at"] >= state.getCurrentWatermarkMs() * 1000 - age])
+        before = sum(map(len, parts))
+        for pdf in batches:
+            part = np.empty(len(pdf), HELD)
+            for c in numbers:
+                part[c] = pdf[c].to_numpy()
+            codes, own = pd.factorize(pdf["tail"])
+            part["tail"] = np.array([tails.setdefault(n, len(tails)) for n in own], "i4")[codes]
+            parts.append(part)
+        rows = np.concatenate(parts)
+        new = np.arange(len(rows)) >= before
+        names = np.array(list(tails), object)
+        place = np.empty(len(names), int)
+        place[np.argsort(names)] = np.arange(len(names))
+        one, two = (np.flatnonzero(rows["side"] == n) for n in (1, 2))
+        for i, j in _meetings(rows[one], rows[two], age, stretch):
+            i, j = one[i], two[j]
+            p, q = rows[i], rows[j]
+            lat1, lat2 = np.radians(p["lat"]), np.radians(q["lat"])
+            h = np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin(np.radians(q["lon"] - p["lon"]) / 2) ** 2
+            near = (new[i] | new[j]) & (place[p["tail"]] < place[q["tail"]]) & (np.abs(p["alt"] - q["alt"]) < vertical_ft) & (h <= far * (1 + 1e-9))
+            p, q = p[near], q[near]
+            if len(p):
+                yield pd.DataFrame({f"{c}{n}": names[r[c]] if c == "tail" else r[c] for n, r in ((1, p), (2, q)) for c in ("tail", "seq", "lat", "lon")})
+        used, own = np.unique(rows["tail"], return_inverse=True)
+        rows["tail"] = own
+        state.update((names[used].tolist(), rows.tobytes()))
+        _arm(state, (int(rows["at"].max()) + age) / 1e6 + 1)
+
+    both = side(a, 1, 0.0, 0).union(side(b, 2, dy, age))
+    pairs = both.groupBy("bucket").applyInPandasWithState(
+        step, PAIR_SCHEMA, "tails array<string>, held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    seqs = [F.nullif(F.col(c), F.lit(NO_SEQ)).alias(c) for c in ("seq1", "seq2")]
+    return pairs.where(geo.haversine_nm("lat1", "lon1", "lat2", "lon2") < lateral_nm).select("tail1", seqs[0], "tail2", seqs[1])
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:
