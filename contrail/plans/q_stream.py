@@ -118,7 +118,7 @@ def event_lifecycle(spark, sf):
 def stream_pairs(spark, sf):
     folder, files = sources.in_order(t.table(spark, sf, "events"), "event_id")
     a, b = (_timed(sources.table_stream(spark, folder, files_per_trigger=files)) for _ in range(2))
-    return stateful.run_available(stateful.fresh_pairs(a, b, 1.5, 400.0), "pairs")
+    return stateful.run_available(stateful.fresh_pairs(a, b, 1.5, 400.0), "pairs", sources.BATCH_TASKS)
 
 
 @query("T10_run_counters", f"WITH {t.POSITIONS_SQL} SELECT count(*) AS reports, count(*) FILTER (WHERE on_ground) AS ground, CAST(sum(CASE WHEN alt_baro >= 1600 THEN 1 ELSE 0 END) AS BIGINT) AS high FROM positions")

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from ..sources.lines import parse_reports, snapshot_reports
 
-#: Rows of a table that a micro-batch takes, about, when the table is played back.
+#: Rows of a table that a micro-batch takes, about, when the table is played back, and tasks that are enough for them.
 BATCH_ROWS = 300_000
+BATCH_TASKS = 30
 
 
 def _lines(spark: SparkSession, format: str, options: dict) -> DataFrame:

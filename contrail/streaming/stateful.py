@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import geo
-from ..session import scratch_path
+from ..session import scratch_path, task_count
 
+PARTITIONS = "spark.sql.shuffle.partitions"
 EXPIRE_S = 180
 QUIET_S = 61
 
@@ -326,10 +327,20 @@ def fresh_pairs(a: DataFrame, b: DataFrame, lateral_nm: float, vertical_ft: floa
     return pairs.where(geo.haversine_nm("lat1", "lon1", "lat2", "lon2") < lateral_nm).select("tail1", seqs[0], "tail2", seqs[1])
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Process everything the source holds now into the shared folder; read it back."""
+def run_available(stream: DataFrame, name: str, most_tasks: int | None = None) -> DataFrame:
+    """Process everything the source holds now into the shared folder; read it back.
+
+    Every batch commits the state of each of the session's shuffle partitions; ``most_tasks`` bounds them for this run, where
+    batches are small whatever the table.
+    """
     spark = stream.sparkSession
     out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True)
+    tasks = task_count(stream)
+    spark.conf.set(PARTITIONS, min(tasks, most_tasks or tasks))
+    try:  # a query keeps the settings it is started with
+        query = writer.start()
+    finally:
+        spark.conf.set(PARTITIONS, tasks)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
